@@ -38,7 +38,11 @@ def grams(words: Column, n: int) -> Column:
 
 
 def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
-    """``df`` (with ``words``) with ``prints``: array of (words in the window, its first word from 1, fingerprint)."""
+    """``df`` (with ``words``) with ``prints``: array of (words in the window, its first word from 1, fingerprint).
+
+    Explode it with ``explode_outer``: for ``explode`` the optimizer adds a filter on the array's size and pushes that
+    below the projections that build it, where the whole chain would run once for each element.
+    """
     lowered = df.withColumn("lower", F.transform("words", lambda w: F.lower(w)))
     hashed = lowered.withColumn("grams", grams(F.col("lower"), GRAM))
     span = WINDOW - GRAM + 1
@@ -49,9 +53,10 @@ def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
 
 def benchmark_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     """(item, len, print, target): each distinct window of each item, words lower-cased by A-Z only."""
-    items = benchmark.select(F.col(f"`{item}`").alias("item"), words_of(F.col(f"`{text}`")).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.col(f"`{item}`").alias("item"), words_of(F.col(f"`{text}`")).alias("words"))
     own = F.least(F.size("words"), F.lit(WINDOW))
-    rows = items.select("item", F.explode(F.transform(upto(F.size("words") - own + 1), lambda i: F.slice("words", i, own))).alias("words"))
+    rows = items.select("item", F.explode_outer(F.transform(upto(F.size("words") - own + 1), lambda i: F.slice("words", i, own))).alias("words"))
+    rows = cut(rows.where("words IS NOT NULL"))
     long = fingerprints(rows.where(F.size("words") == WINDOW), []).withColumn("print", F.col("prints")[0]["print"])
     short = rows.where(F.size("words") < WINDOW).withColumn("print", F.xxhash64(F.transform("words", lambda w: F.lower(w))))
     both = long.select("item", "words", "print").unionByName(short)
@@ -73,14 +78,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(f"`{text}`").alias("text"))
     if sum(per_len.values()) > broadcast_windows:
         prints = fingerprints(own.withColumn("words", words_of(F.col("text"))), short)
-        keys = prints.select("id", "text_hash", F.explode(F.array_distinct(F.transform("prints", lambda p: F.struct(p["len"].alias("len"), p["print"].alias("print"))))).alias("p"))
+        keys = prints.select("id", "text_hash", F.explode_outer(F.array_distinct(F.transform("prints", lambda p: F.struct(p["len"].alias("len"), p["print"].alias("print"))))).alias("p"))
         hit = keys.select("id", "text_hash", "p.*").join(index, ["len", "print"], "left_semi").select("id", "text_hash").distinct()
         hit = hit.withColumnsRenamed({"id": "hit_id", "text_hash": "hit_hash"})
         own = own.join(hit, own["id"].eqNullSafe(hit["hit_id"]) & (own["text_hash"] == hit["hit_hash"]), "left_semi")
     else:
         index = F.broadcast(index)
     prints = fingerprints(own.withColumn("words", words_of(F.col("text"))).drop("text"), short)
-    met = prints.select("id", "text_hash", "words", F.explode("prints").alias("p")).select("id", "text_hash", "words", "p.*").join(index, ["len", "print"])
+    met = prints.select("id", "text_hash", "words", F.explode_outer("prints").alias("p")).select("id", "text_hash", "words", "p.*").join(index, ["len", "print"])
     whole = met.where(F.transform(F.slice("words", F.col("at"), F.col("len")), lambda w: ascii_lower(w)) == F.col("target"))
     spans = whole.select("id", "text_hash", F.struct("at", (F.col("at") + F.col("len")).alias("end")).alias("span"), "item")
     return spans.groupBy("id", "text_hash").agg(F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))

@@ -22,14 +22,18 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def passages(text: Column) -> Column:
-    """array<struct<level, lines>>: the maximal runs of lines of one quote level."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARK, 1), "[^>]", "")).alias("level"), F.regexp_replace(x, MARK, "").alias("body")))
-    starts = lambda a: F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (F.element_at(a, i)["level"] != F.get(a, i - 2)["level"]))
-    return F.transform(
-        F.arrays_zip(starts(lines).alias("s"), F.array_append(F.slice(starts(lines), 2, 1 << 30), F.size(lines) + 1).alias("e")),
-        lambda r: F.struct(F.element_at(lines, r["s"])["level"].alias("level"), F.transform(F.slice(lines, r["s"], r["e"] - r["s"]), lambda x: x["body"]).alias("lines")),
-    )
+def with_passages(df: DataFrame) -> DataFrame:
+    """``df`` with parts: array<struct<level, lines>>, the maximal runs of lines of one quote level in ``text``.
+
+    Each step is a projection of its own and linear in the lines of a text.
+    """
+    line = lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARK, 1), "[^>]", "")).alias("level"), F.regexp_replace(x, MARK, "").alias("body"))
+    df = df.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), r"\r?\n")).withColumn("__lines", F.transform("__lines", line))
+    change = lambda i: (i == 1) | (F.get("__lines", i - 1)["level"] != F.get("__lines", i - 2)["level"])
+    df = df.withColumn("__starts", F.filter(F.sequence(F.lit(1), F.size("__lines")), change))
+    df = df.withColumn("__runs", F.arrays_zip(F.col("__starts").alias("s"), F.array_append(F.slice("__starts", F.lit(2), F.size("__starts")), F.size("__lines") + 1).alias("e")))
+    part = lambda r: F.struct(F.get("__lines", r["s"] - 1)["level"].alias("level"), F.slice(F.col("__lines.body"), r["s"], r["e"] - r["s"]).alias("lines"))
+    return df.withColumn("parts", F.transform("__runs", part)).drop("__lines", "__starts", "__runs")
 
 
 def units(lines: Column) -> Column:
@@ -45,8 +49,8 @@ def reply_links(messages: DataFrame) -> DataFrame:
     Each (conversation, hash) keeps one original, the earliest, found by a partial minimum before the shuffle: a passage
     that a third of all messages share is one row, and a quotation meets one row at most.
     """
-    said = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("key", "conv_id", "turn", F.explode("parts").alias("p"))
-    unit = said.select("key", "conv_id", "turn", F.col("p.level").alias("level"), F.explode(units(F.col("p.lines"))).alias("u")).select("key", "conv_id", "turn", "level", "u.rank", F.md5("u.norm").alias("hash"))
+    said = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("key", "conv_id", "turn", F.explode_outer("parts").alias("p"))
+    unit = said.select("key", "conv_id", "turn", F.col("p.level").alias("level"), F.explode_outer(units(F.col("p.lines"))).alias("u")).select("key", "conv_id", "turn", "level", "u.rank", F.md5("u.norm").alias("hash")).where("hash IS NOT NULL")
     quoted = unit.where("level > 0")
     asked = quoted.select("conv_id", "hash").distinct()
     first = unit.where("level = 0").join(asked, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent_turn"))
@@ -75,7 +79,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     """
     added = ("reply_to", "root_turn", "depth", "n_quoted", "n_linked")
     own = conversations.drop(*added).withColumn("key", row_key("conv_id", "turn", "role", "text"))
-    parsed = own.withColumn("parts", passages(F.col("text")))
+    parsed = with_passages(own)
     links = cut(reply_links(parsed.select("key", "conv_id", "turn", "parts")))
     rows = parsed.withColumns({
         "n_quoted": F.size(F.filter("parts", lambda p: p["level"] > 0)).cast("long"),

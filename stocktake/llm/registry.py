@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quotes, sharding, url_filter
+from . import decontaminate, mixing, quotes, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op4_mixing": mixing.op4_mixing,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op8_sharding": sharding.op8_sharding,
     "op10_chat_formatting": quotes.op10_chat_formatting,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quotes, sharding, url_filter
+from . import decontaminate, line_dedup, mixing, quotes, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_mixing": mixing.op4_mixing,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op8_sharding": sharding.op8_sharding,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_formatting": quotes.op10_chat_formatting,
 }
 
@@ -18,4 +19,5 @@ def oracles() -> dict[str, str]:
         "op1_url_filter": url_filter.oracle(),
         "op6_decontamination": decontaminate.oracle(),
         "op8_sharding": sharding.oracle(),
+        "op9_line_dedup": line_dedup.oracle(),
     }

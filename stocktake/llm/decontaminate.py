@@ -60,7 +60,13 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     long = fingerprints(rows.where(F.size("words") == WINDOW), []).withColumn("print", F.col("prints")[0]["print"])
     short = rows.where(F.size("words") < WINDOW).withColumn("print", F.xxhash64(F.transform("words", lambda w: F.lower(w))))
     both = long.select("item", "words", "print").unionByName(short)
-    return both.select("item", F.size("words").alias("len"), "print", F.transform("words", lambda w: ascii_lower(w)).alias("target")).distinct()
+    return both.select("item", F.size("words").alias("len"), "print", spelled(F.col("words")).alias("target")).distinct()
+
+
+def spelled(words: Column) -> Column:
+    """Words as one string, A-Z lower-cased. Unlike a lambda over the array it compiles, so that the join which compares by it does not
+    copy a document's words for each of its windows."""
+    return ascii_lower(F.array_join(words, " "))
 
 
 def covered(spans: Column) -> Column:
@@ -86,7 +92,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         index = F.broadcast(index)
     prints = fingerprints(own.withColumn("words", words_of(F.col("text"))).drop("text"), short)
     met = prints.select("id", "text_hash", "words", F.explode_outer("prints").alias("p")).select("id", "text_hash", "words", "p.*").join(index, ["len", "print"])
-    whole = met.where(F.transform(F.slice("words", F.col("at"), F.col("len")), lambda w: ascii_lower(w)) == F.col("target"))
+    whole = met.where(spelled(F.slice("words", F.col("at"), F.col("len"))) == F.col("target"))
     spans = whole.select("id", "text_hash", F.struct("at", (F.col("at") + F.col("len")).alias("end")).alias("span"), "item")
     return spans.groupBy("id", "text_hash").agg(F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quotes, sharding, url_filter
+from . import decontaminate, jaccard_join, line_dedup, mixing, quotes, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op4_mixing": mixing.op4_mixing,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op8_sharding": sharding.op8_sharding,

@@ -33,22 +33,32 @@ def upto(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def grams(words: Column, n: int) -> Column:
-    return F.transform(upto(F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
+def grams(hashes: Column, n: int, *seed: Column) -> Column:
+    return F.transform(upto(F.size(hashes) - n + 1), lambda i: F.xxhash64(*seed, F.slice(hashes, i, n)))
 
 
 def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
-    """``df`` (with ``words``) with ``prints``: array of (words in the window, its first word from 1, fingerprint).
+    """``df`` (with ``words``) with ``prints``: the windows' fingerprints, those of WINDOW words first, then those of each length in ``short``.
 
-    Explode it with ``explode_outer``: for ``explode`` the optimizer adds a filter on the array's size and pushes that
+    Explode it with ``posexplode_outer``: for a plain explode the optimizer adds a filter on the array's size and pushes that
     below the projections that build it, where the whole chain would run once for each element.
     """
-    lowered = df.withColumn("lower", F.transform("words", lambda w: F.lower(w)))
-    hashed = lowered.withColumn("grams", grams(F.col("lower"), GRAM))
+    hashed = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+    hashed = hashed.withColumn("grams", grams(F.col("hashes"), GRAM))
     span = WINDOW - GRAM + 1
-    mins = F.transform(upto(F.size("grams") - span + 1), lambda i: F.struct(F.lit(WINDOW).alias("len"), i.alias("at"), F.array_min(F.slice("grams", i, span)).alias("print")))
-    whole = [F.transform(grams(F.col("lower"), n), lambda h, i, n=n: F.struct(F.lit(n).alias("len"), (i + 1).alias("at"), h.alias("print"))) for n in short]
-    return hashed.withColumn("prints", F.concat(mins, *whole) if whole else mins).drop("lower", "grams")
+    prints = F.transform(upto(F.size("grams") - span + 1), lambda i: F.array_min(F.slice("grams", i, span)))
+    if short:
+        prints = F.concat(prints, *[grams(F.col("hashes"), n, F.lit(n)) for n in short])
+    return hashed.withColumn("prints", prints).drop("hashes", "grams")
+
+
+def first_word(pos: Column, n_words: Column, length: Column, short: list[int]) -> Column:
+    """Where, from 1, the window at place ``pos`` of ``prints`` begins, if it has ``length`` words."""
+    at, before = pos + 1, F.greatest(n_words - WINDOW + 1, F.lit(0))
+    for n in short:
+        at = F.when(length == n, pos + 1 - before).otherwise(at)
+        before = before + F.greatest(n_words - n + 1, F.lit(0))
+    return at
 
 
 def benchmark_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
@@ -57,8 +67,8 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     own = F.least(F.size("words"), F.lit(WINDOW))
     rows = items.select("item", F.explode_outer(F.transform(upto(F.size("words") - own + 1), lambda i: F.slice("words", i, own))).alias("words"))
     rows = cut(rows.where("words IS NOT NULL"))
-    long = fingerprints(rows.where(F.size("words") == WINDOW), []).withColumn("print", F.col("prints")[0]["print"])
-    short = rows.where(F.size("words") < WINDOW).withColumn("print", F.xxhash64(F.transform("words", lambda w: F.lower(w))))
+    long = fingerprints(rows.where(F.size("words") == WINDOW), []).withColumn("print", F.col("prints")[0])
+    short = rows.where(F.size("words") < WINDOW).withColumn("print", F.xxhash64(F.size("words"), F.transform("words", lambda w: F.xxhash64(F.lower(w)))))
     both = long.select("item", "words", "print").unionByName(short)
     return both.select("item", F.size("words").alias("len"), "print", spelled(F.col("words")).alias("target")).distinct()
 
@@ -84,15 +94,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(f"`{text}`").alias("text"))
     if sum(per_len.values()) > broadcast_windows:
         prints = fingerprints(own.withColumn("words", words_of(F.col("text"))), short)
-        keys = prints.select("id", "text_hash", F.explode_outer(F.array_distinct(F.transform("prints", lambda p: F.struct(p["len"].alias("len"), p["print"].alias("print"))))).alias("p"))
-        hit = keys.select("id", "text_hash", "p.*").join(index, ["len", "print"], "left_semi").select("id", "text_hash").distinct()
+        keys = prints.select("id", "text_hash", F.explode_outer(F.array_distinct("prints")).alias("print"))
+        hit = keys.join(index, "print", "left_semi").select("id", "text_hash").distinct()
         hit = hit.withColumnsRenamed({"id": "hit_id", "text_hash": "hit_hash"})
         own = own.join(hit, own["id"].eqNullSafe(hit["hit_id"]) & (own["text_hash"] == hit["hit_hash"]), "left_semi")
     else:
         index = F.broadcast(index)
     prints = fingerprints(own.withColumn("words", words_of(F.col("text"))).drop("text"), short)
-    met = prints.select("id", "text_hash", "words", F.explode_outer("prints").alias("p")).select("id", "text_hash", "words", "p.*").join(index, ["len", "print"])
-    whole = met.where(spelled(F.slice("words", F.col("at"), F.col("len"))) == F.col("target"))
+    met = prints.select("id", "text_hash", "words", F.posexplode_outer("prints").alias("pos", "print")).join(index, "print")
+    at = first_word(F.col("pos"), F.size("words"), F.col("len"), short)
+    whole = met.where(spelled(F.slice("words", F.greatest(at, F.lit(1)), F.col("len"))) == F.col("target")).withColumn("at", at)
     spans = whole.select("id", "text_hash", F.struct("at", (F.col("at") + F.col("len")).alias("end")).alias("span"), "item")
     return spans.groupBy("id", "text_hash").agg(F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
 

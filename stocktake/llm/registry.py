@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quotes, sharding, url_filter
+from . import decontaminate, jaccard_join, line_dedup, mixing, pii, quotes, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op5_pii": pii.op5_pii,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op8_sharding": sharding.op8_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,

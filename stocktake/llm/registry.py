@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, pii, quotes, sharding, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, pii, quotes, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_pii": pii.op5_pii,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_formatting": quotes.op10_chat_formatting,

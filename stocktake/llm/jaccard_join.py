@@ -7,7 +7,7 @@ must pass all of them:
 1. under the order of the hashes, with l a tenth of the set: sets that don't share so many tokens with any other go;
 2. under the order of document frequency among the sets left: sets of which less than t of the tokens occur in another go, and
    sets that share no prefix token, of compatible size, part into groups;
-3. and 4. groups part further under the ascending and the descending order of the hashes.
+3. groups part further under the descending order of the hashes.
 
 Only then pairs are verified, exactly, all pairs of a group in blocks of bounded size by counting common tokens with a
 matrix product. Equal sets are one class from the start, and a block reports a spanning forest and link counts, not pairs:
@@ -205,9 +205,8 @@ def class_links(docs: DataFrame, percent: int = PERCENT, shared: float = SHARED,
 
     head = (F.col("n") - need + 1).cast("int")
     groups = split_groups(near.select("cls", F.lit(0).alias("g"), "n", F.explode_outer("rare").alias("token")), percent)
-    for prefix in (F.slice("tokens", F.lit(1), head), F.slice("tokens", (F.col("n") - head + 1).cast("int"), head)):
-        rows = near.join(groups, "cls").select("cls", "g", "n", prefix.alias("prefix"))
-        groups = split_groups(rows.select("cls", "g", "n", F.explode_outer("prefix").alias("token")), percent)
+    rows = near.join(groups, "cls").select("cls", "g", "n", F.slice("tokens", (F.col("n") - head + 1).cast("int"), head).alias("prefix"))
+    groups = cut(split_groups(rows.select("cls", "g", "n", F.explode_outer("prefix").alias("token")), percent))
 
     sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = near.select("cls", "n", "copies", "tokens").join(groups, "cls").join(sizes, "g").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))

@@ -176,7 +176,7 @@ def leftover_flags(left: DataFrame, matches: DataFrame, items: DataFrame) -> Dat
     known = items.select(F.lower("set_name").alias("stem_lc")).distinct().withColumn("k", F.lit(True))
     out = left.join(redundant, list(FILE), "left").join(copies, list(FILE), "left").withColumns({"name_lc": F.lower("entry_name"), "stem_lc": F.lower(stem(F.col("path")))}).join(nodump, "name_lc", "left").join(known, "stem_lc", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return out.select(*left.columns, yes("r").alias("redundant"), "copy_of", yes("d").alias("nodump_name"), yes("k").alias("known_container"))
+    return out.select(*left.columns, yes("r").alias("redundant"), "copy_of", yes("d").alias("nodump_name"), yes("k").alias("known_container")).persist()
 
 
 def misnamed_containers(left: DataFrame, items: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     items = benchmark.select(F.col(f"`{item}`").alias("item"), words_of(F.col(f"`{text}`")).alias("words"))
     own = F.least(F.size("words"), F.lit(WINDOW))
     rows = items.select("item", F.explode_outer(F.transform(upto(F.size("words") - own + 1), lambda i: F.slice("words", i, own))).alias("words"))
-    rows = cut(rows.where("words IS NOT NULL"))
+    rows = cut(rows.where(F.size("words") > 0))
     long = fingerprints(rows.where(F.size("words") == WINDOW), []).withColumn("print", F.col("prints")[0])
     short = rows.where(F.size("words") < WINDOW).withColumn("print", F.xxhash64(F.size("words"), F.transform("words", lambda w: F.xxhash64(F.lower(w)))))
     both = long.select("item", "words", "print").unionByName(short)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import REGION_ORDER, region_rank
+from ..lineage import cut
 
 #: Chains longer than this are cycles or damage, and end here.
 MOST_STEPS = 32
@@ -71,11 +72,11 @@ def dependency_chain(sets: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst): everything that component references reach, each once. Rounds double the reach, so few are needed."""
-    reach = edges.select("src", "dst").distinct()
+    reach = cut(edges.select("src", "dst").distinct())
     n = reach.count()
     while True:
         hop = reach.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-        wider = reach.unionByName(reach.join(hop, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst"))).distinct().persist()
+        wider = cut(reach.unionByName(reach.join(hop, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst"))).distinct())
         now = wider.count()
         if now == n:
             return wider

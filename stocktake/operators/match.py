@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, os_junk, stem
+from ..lineage import cut
 
 HASHES = ("crc32", "md5", "sha1")
 ITEM = ("set_ord", "item_ord")
@@ -115,8 +116,8 @@ def match_items(items: DataFrame, files: DataFrame) -> DataFrame:
     pairs = scoped_pairs(items, files)
     elected = elect_containers(pairs)
     own = pairs.join(elected.select("set_lc", F.col("path").alias("home")), "set_lc").where("path = home OR NOT in_container")
-    own = own.persist()  # read five times below, the claims four times
-    claims = claim(own.where("fits"), "set_lc").persist()
+    own = cut(own)  # read five times below, the claims four times
+    claims = cut(claim(own.where("fits"), "set_lc"))
     hashed = F.lit(False)
     for h in shared_hashes(items, files):
         hashed |= F.col(h).isNotNull()
@@ -136,13 +137,13 @@ def match_items(items: DataFrame, files: DataFrame) -> DataFrame:
     best = best.groupBy(*ITEM).agg(F.min_by(F.struct("match_status", *FILE), "prio").alias("m"))
     out = items.select("set_name", *ITEM, "item_name", "dump_status", hashed.alias("hashed")).join(best, list(ITEM), "left")
     out = out.where("m IS NOT NULL OR hashed")
-    return out.select("set_name", *ITEM, "item_name", F.coalesce("m.match_status", F.lit("missing")).alias("match_status"), "m.path", "m.entry_name").persist()
+    return cut(out.select("set_name", *ITEM, "item_name", F.coalesce("m.match_status", F.lit("missing")).alias("match_status"), "m.path", "m.entry_name"))
 
 
 def leftovers(matches: DataFrame, files: DataFrame) -> DataFrame:
     """Files that no item consumed and that no mismatch reports."""
     used = matches.where("match_status IN ('correct', 'misnamed', 'hashMismatch', 'nodump')").select(*FILE)
-    return files.join(used, list(FILE), "left_anti").persist()
+    return cut(files.join(used, list(FILE), "left_anti"))
 
 
 def hash_rows(df: DataFrame, hashes: Sequence[str]) -> DataFrame:
@@ -160,7 +161,7 @@ def owners(left: DataFrame, items: DataFrame) -> DataFrame:
     by_name = items.groupBy(F.lower("item_name").alias("name_lc")).agg(F.min_by("set_name", F.struct(*ITEM)).alias("by_name"))
     single = items.groupBy(F.lower("set_name").alias("stem_lc")).agg(F.count("*").alias("n"), F.first("set_name").alias("by_container")).where("n = 1").drop("n")
     out = left.join(by_hash, list(FILE), "left").withColumns({"name_lc": F.lower("entry_name"), "stem_lc": F.lower(stem(F.col("path")))}).join(by_name, "name_lc", "left").join(single, "stem_lc", "left")
-    return out.select(*left.columns, F.coalesce("by_hash", "by_name", "by_container").alias("owner")).persist()
+    return cut(out.select(*left.columns, F.coalesce("by_hash", "by_name", "by_container").alias("owner")))
 
 
 def leftover_flags(left: DataFrame, matches: DataFrame, items: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def leftover_flags(left: DataFrame, matches: DataFrame, items: DataFrame) -> Dat
     known = items.select(F.lower("set_name").alias("stem_lc")).distinct().withColumn("k", F.lit(True))
     out = left.join(redundant, list(FILE), "left").join(copies, list(FILE), "left").withColumns({"name_lc": F.lower("entry_name"), "stem_lc": F.lower(stem(F.col("path")))}).join(nodump, "name_lc", "left").join(known, "stem_lc", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return out.select(*left.columns, yes("r").alias("redundant"), "copy_of", yes("d").alias("nodump_name"), yes("k").alias("known_container")).persist()
+    return cut(out.select(*left.columns, yes("r").alias("redundant"), "copy_of", yes("d").alias("nodump_name"), yes("k").alias("known_container")))
 
 
 def misnamed_containers(left: DataFrame, items: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ SAMPLE = 600
 WINDOW, STRIDE = 16, 8
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, ATTEND = 1 << 13, 1 << 13, 8, 8, 8
 CHUNK = 4096
+#: Steps of a round at least, where the labelled rows are few.
+LEAST_STEPS = 40
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[128:] = IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = True
@@ -255,8 +257,9 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 0, rounds: int = 6, ba
             drawn = hard | (drawn & (label == 0)) | ((label == 1) & top_windows(score, text, 2))
         use = np.flatnonzero(drawn)
         many = (label[use] == 0).sum() / max(1, (label[use] == 1).sum())
-        for _ in range(2):
-            for part in np.array_split(rng.permutation(use), max(1, len(use) // batch)):
+        parts = max(1, len(use) // batch)
+        for _ in range(max(2, -(-LEAST_STEPS // parts))):
+            for part in np.array_split(rng.permutation(use), parts):
                 weight = np.where(label[part] == 1, np.float32(min(many, 4.0)), np.float32(1))
                 _, g = loss_gradients(p, words, start[part], size[part], label[part], weight)
                 step += 1

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.names import REGION_ORDER, region_rank
 from ..lineage import cut
 
-#: Chains longer than this are cycles or damage, and end here.
-MOST_STEPS = 32
-
 
 def family(prefix: str = ""):
     return F.coalesce(F.col(f"{prefix}clone_of"), F.col(f"{prefix}set_name"))
@@ -39,35 +36,47 @@ def parent_summary(sets: DataFrame, status: DataFrame) -> DataFrame:
     return out.select("parent", "variants", "present", F.when(F.col("has_parent"), 0).otherwise(F.col("present")).cast("long").alias("orphans"))
 
 
+def walks(sets: DataFrame) -> DataFrame:
+    """(set_name, above, end): the distinct names along rom_of, nearest first, and how the walk ends: root, unknown (its last name isn't in the catalog) or cycle.
+
+    Pointer doubling: each round joins a walk with the walk of its last name, so rounds grow with the logarithm of the depth.
+    A walk that meets a name again is a cycle; the distinct names in walking order are all that it reaches.
+    """
+    at = F.col("rom_of").cast("string")
+    end = F.when(at.isNull(), "root").when(at == F.col("set_name"), "cycle")
+    state = cut(sets.select("set_name", at.alias("up"), F.when(at.isNull(), F.array().cast("array<string>")).otherwise(F.array(at)).alias("above"), end.alias("end")))
+    while not state.where("end IS NULL").isEmpty():
+        onward = state.select(F.col("set_name").alias("up"), F.col("up").alias("next"), F.col("above").alias("more"), F.coalesce("end", F.lit("open")).alias("after"))
+        open_ = state.where("end IS NULL").drop("end").join(onward, "up", "left").withColumn("far", F.concat("above", F.coalesce("more", F.array().cast("array<string>"))))
+        open_ = open_.withColumn("once", F.array_distinct("far")).withColumn("again", (F.size("once") < F.size("far")) | F.array_contains("far", F.col("set_name")))
+        end = F.when(F.col("after").isNull(), "unknown").when(F.col("again"), "cycle").when(F.col("after") != "open", F.col("after"))
+        moved = open_.select("set_name", F.coalesce("next", "up").alias("up"), F.col("once").alias("above"), end.alias("end"))
+        state = cut(state.where("end IS NOT NULL").unionByName(moved))
+    return state.select("set_name", "above", "end")
+
+
 def ancestor_chain(sets: DataFrame) -> DataFrame:
-    """(set_name, ancestor, depth) along rom_of, by a recursive query; a parent that isn't in the catalog ends the chain."""
-    return sets.sparkSession.sql(
-        f"""WITH RECURSIVE chain(set_name, ancestor, depth) AS (
-          SELECT set_name, rom_of, 1 FROM {{sets}} WHERE rom_of IS NOT NULL
-          UNION ALL
-          SELECT c.set_name, p.rom_of, c.depth + 1 FROM chain c JOIN {{sets}} p ON p.set_name = c.ancestor WHERE p.rom_of IS NOT NULL AND c.depth < {MOST_STEPS})
-        SELECT set_name, ancestor, depth FROM chain""",
-        sets=sets.select("set_name", "rom_of"),
-    )
+    """(set_name, ancestor, depth) along rom_of, each ancestor once; a parent that isn't in the catalog ends the chain."""
+    return walks(sets).select("set_name", F.posexplode("above").alias("depth", "ancestor")).select("set_name", "ancestor", (F.col("depth") + 1).alias("depth"))
 
 
 def base_ancestor(sets: DataFrame) -> DataFrame:
-    """(set_name, base): the nearest ancestor that is a base set."""
-    bases = sets.where("is_bios").select(F.col("set_name").alias("ancestor"))
-    return ancestor_chain(sets).join(bases, "ancestor").groupBy("set_name").agg(F.min_by("ancestor", "depth").alias("base"))
+    """(set_name, base): the nearest ancestor that is a base set. Pointer doubling, without the ancestors between."""
+    bases = sets.where("is_bios").select(F.col("set_name").alias("up"), F.col("set_name").alias("base")).distinct()
+    state = cut(sets.where("rom_of IS NOT NULL").select("set_name", F.col("rom_of").alias("up")).join(bases, "up", "left"))
+    reach, n = 1, state.count()
+    # A walk of more steps than there are sets with a parent goes round in a cycle without a base set.
+    while reach <= n and not state.where("base IS NULL AND up IS NOT NULL").isEmpty():
+        onward = state.select(F.col("set_name").alias("up"), F.col("up").alias("next"), F.col("base").alias("later"))
+        moved = state.where("base IS NULL AND up IS NOT NULL").select("set_name", "up").join(onward, "up", "left").select("set_name", F.col("next").alias("up"), F.col("later").alias("base"))
+        state, reach = cut(state.where("base IS NOT NULL OR up IS NULL").select("set_name", "up", "base").unionByName(moved)), reach * 2
+    return state.where("base IS NOT NULL").select("set_name", "base")
 
 
 def dependency_chain(sets: DataFrame) -> DataFrame:
-    """(set_name, chain, error): names from the root to the set; an unknown name or a cycle is an error."""
-    steps = ancestor_chain(sets)
-    known = sets.select(F.col("set_name").alias("ancestor"), F.lit(True).alias("known"))
-    per = steps.join(known, "ancestor", "left").groupBy("set_name").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("depth", "ancestor")), False), lambda s: s["ancestor"]).alias("above"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"), F.max("depth").alias("depth"),
-        (F.count_distinct("ancestor") < F.count("*")).alias("again"),
-    )
-    error = F.when(F.col("again") | (F.col("depth") >= MOST_STEPS) | F.array_contains("above", F.col("set_name")), "cycle").when(~F.col("known"), "unknown")
-    out = sets.select("set_name").join(per, "set_name", "left")
-    return out.select("set_name", F.array_join(F.array_append(F.coalesce("above", F.array().cast("array<string>")), F.col("set_name")), ">").alias("chain"), error.alias("error"))
+    """(set_name, chain, error): names from the root to the set; an unknown name or a cycle is an error. A cycle's chain has each name once."""
+    above = F.reverse(F.array_remove("above", F.col("set_name")))
+    return walks(sets).select("set_name", F.array_join(F.array_append(above, F.col("set_name")), ">").alias("chain"), F.when(F.col("end") != "root", F.col("end")).alias("error"))
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -127,6 +127,25 @@ def test_cycles_end(spark):
     assert got == {"a": "cycle", "b": "cycle", "c": "unknown"}
 
 
+def test_long_chains_and_all_ancestors(spark):
+    up = {f"s{i}": f"s{i - 1}" if i else None for i in range(70)} | {"x": "y", "y": "z", "z": "y", "t": "x", "lost": "s_gone", "self": "self", "far": "lost"}
+    sets = spark.createDataFrame([(k, None, v, k in ("s0", "s40", "z"), False, []) for k, v in up.items()], SETS)
+    chains, bases = {}, {}
+    for name in up:
+        seen, at = [name], up[name]
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = up.get(at)
+        error = "cycle" if at is not None else "unknown" if seen[-1] not in up else None
+        chains[name] = (">".join(reversed(seen)), error)
+        met = seen[1:] + ([at] if at is not None else [])
+        if base := next((x for x in met if x in ("s0", "s40", "z")), None):
+            bases[name] = base
+    assert {r["set_name"]: (r["chain"], r["error"]) for r in families.dependency_chain(sets).collect()} == chains
+    assert {r["set_name"]: r["base"] for r in families.base_ancestor(sets).collect()} == bases
+    assert families.ancestor_chain(sets).where("set_name = 's69'").count() == 69
+
+
 def test_snapshots(spark):
     from datetime import datetime
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import cut, row_key, table
 
 MARK = r"^[ \t]*((?:>[ \t]?)+)"
-#: Normalised units of fewer characters are no evidence of a quotation ("ok", "thanks").
+#: Normalised units of fewer characters ("ok", "thanks") are the last evidence of a quotation: they count where no longer unit links.
 LEAST_CHARS = 12
 
 
@@ -37,10 +37,10 @@ def with_passages(df: DataFrame) -> DataFrame:
 
 
 def units(lines: Column) -> Column:
-    """The whole passage (rank 0) and each of its lines (rank 1), normalised; short ones left out."""
-    whole = F.array(F.struct(F.lit(0).alias("rank"), normalised(F.array_join(lines, " ")).alias("norm")))
-    each = F.transform(lines, lambda x: F.struct(F.lit(1).alias("rank"), normalised(x).alias("norm")))
-    return F.filter(F.concat(whole, each), lambda u: F.length(u["norm"]) >= LEAST_CHARS)
+    """The whole passage (rank 0) and each of its lines (rank 1), normalised, and whether they are short; those without letters and digits left out."""
+    unit = lambda rank, norm: F.struct(F.lit(rank).alias("rank"), norm.alias("norm"), (F.length(norm) < LEAST_CHARS).alias("short"))
+    whole = F.array(unit(0, normalised(F.array_join(lines, " "))))
+    return F.filter(F.concat(whole, F.transform(lines, lambda x: unit(1, normalised(x)))), lambda u: u["norm"] != "")
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
@@ -50,13 +50,13 @@ def reply_links(messages: DataFrame) -> DataFrame:
     that a third of all messages share is one row, and a quotation meets one row at most.
     """
     said = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("key", "conv_id", "turn", F.explode_outer("parts").alias("p"))
-    unit = said.select("key", "conv_id", "turn", F.col("p.level").alias("level"), F.explode_outer(units(F.col("p.lines"))).alias("u")).select("key", "conv_id", "turn", "level", "u.rank", F.md5("u.norm").alias("hash")).where("hash IS NOT NULL")
+    unit = said.select("key", "conv_id", "turn", F.col("p.level").alias("level"), F.explode_outer(units(F.col("p.lines"))).alias("u")).select("key", "conv_id", "turn", "level", "u.short", "u.rank", F.md5("u.norm").alias("hash")).where("hash IS NOT NULL")
     quoted = unit.where("level > 0")
     asked = quoted.select("conv_id", "hash").distinct()
     first = unit.where("level = 0").join(asked, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent_turn"))
     found = quoted.join(first, ["conv_id", "hash"]).where("parent_turn < turn")
-    # The outermost quotation names the direct parent; a whole passage is better evidence than a line.
-    return found.groupBy("key").agg(F.min_by("parent_turn", F.struct("level", "rank", -F.col("parent_turn"))).alias("parent_turn"), F.count_distinct("hash").alias("n_linked"))
+    # The outermost quotation names the direct parent; a whole passage is better evidence than a line, and any long unit than a short one.
+    return found.groupBy("key").agg(F.min_by("parent_turn", F.struct("short", "level", "rank", -F.col("parent_turn"))).alias("parent_turn"), F.count_distinct("hash").alias("n_linked"))
 
 
 def thread_roots(links: DataFrame) -> DataFrame:

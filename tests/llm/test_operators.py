@@ -336,5 +336,14 @@ def test_quotes_link_replies_and_go(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_short_quotes_link_last(spark):
+    talk = [
+        (1, 0, "user", "Yes, it does"), (1, 1, "user", "我同意你的看法。"), (1, 2, "user", "A passage that is long enough to count."), (1, 3, "user", "> Yes, it does\nGood."), (1, 4, "user", "> 我同意你的看法。\n好"),
+        (1, 5, "user", "> Yes, it does\n\n> > A passage that is long enough to count.\nBoth."), (1, 6, "user", "Yes, it does"), (1, 7, "user", "> yes it does!\nAgain."), (2, 0, "user", "> Yes, it does\nElsewhere."), (1, 8, "user", "> ...\nDots."),
+    ]
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["root_turn"], r["depth"]) for r in quotes.link_quotes(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t] for t in (3, 4, 5, 7, 8)] == [(0, 0, 1), (1, 1, 1), (2, 2, 1), (0, 0, 1), (None, 8, 0)] and got[2, 0] == (None, 0, 0)
+
+
 def test_digest_of_nothing_is_the_empty_digest():
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(line_dedup.kept_text(None, None)[2]).hexdigest()

@@ -55,8 +55,8 @@ SELECT DISTINCT concat(p_name, ' (USA)') AS set_name FROM part""",
     "fx_name_local": """
 SELECT DISTINCT concat(substring(p_name, 1, 3), substring(p_name, 5, 100), ' (USA).zip') AS local_name FROM part""",
     "fx_components": """
-SELECT p_partkey AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part WHERE p_partkey BETWEEN 1 AND 400
-UNION SELECT p_partkey AS src, CAST(floor(p_partkey / 5) AS BIGINT) AS dst FROM part WHERE p_partkey BETWEEN 1 AND 400""",
+SELECT p_partkey AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part
+UNION SELECT p_partkey AS src, CAST(floor(p_partkey / 5) AS BIGINT) AS dst FROM part""",
     "fx_disks": """
 SELECT s_suppkey AS ord, concat('set', CAST(s_suppkey AS STRING)) AS set_name, concat('disk', CAST(s_suppkey % 60 AS STRING)) AS disk_name,
        CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE sha1(concat('c', CAST(s_suppkey % 60 AS STRING))) END AS sha1 FROM supplier""",
@@ -65,7 +65,7 @@ SELECT concat('/r', CAST(s_suppkey % 2 AS STRING), '/disk', CAST(s_suppkey % 75
        sha1(concat('c', CAST(CASE WHEN s_suppkey % 7 = 0 THEN 900 + s_suppkey ELSE s_suppkey % 75 END AS STRING))) AS sha1 FROM supplier WHERE s_suppkey % 5 <> 0""",
     "fx_titles": """
 SELECT concat('Game ', CAST(p_partkey AS STRING), ' [0100', lpad(hex(CAST(p_partkey * 8192 + CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 2048 ELSE 4097 END AS BIGINT)), 12, '0'), '][v', CAST((p_size % 4) * 65536 AS STRING), '].nsp') AS file_name,
-       CAST(p_partkey * 10 AS BIGINT) AS size FROM part WHERE p_partkey < 300""",
+       CAST(p_partkey * 10 AS BIGINT) AS size FROM part""",
     "fx_roots": """
 SELECT * FROM (VALUES ('/r0', 0), ('/r1', 1), ('/r2', 2)) AS t(root, root_ord)""",
 }

@@ -30,5 +30,14 @@ def test_query_equals_its_sql(spark, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the sample tables")
+def test_views_of_parts_cover_all_parts(spark):
+    from stocktake.fixtures import view
+
+    d = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{d}/part.parquet").select("p_partkey").distinct().count()
+    assert view(spark, d, "fx_components").select("src").distinct().count() == n and view(spark, d, "fx_titles").count() == n
+
+
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -7,6 +7,7 @@ wins, so it is part of every window and of the claim.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
@@ -70,70 +71,192 @@ def scoped_pairs(items: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.withColumn("fits", compatible(hashes))
 
 
-def elect_containers(pairs: DataFrame) -> DataFrame:
-    """(set_lc, path, satisfied): of the containers with a set's name, the one that satisfies most items, then the first."""
-    n = pairs.groupBy("set_lc", "path").agg(F.count_distinct(F.when(F.col("fits"), F.struct(*ITEM))).alias("satisfied"))
-    rank = F.row_number().over(Window.partitionBy("set_lc").orderBy(F.desc("satisfied"), "path"))
-    return n.withColumn("rank", rank).where("rank = 1").drop("rank")
+def fitting(left: DataFrame, right: DataFrame, hashes: Sequence[str], keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """``left`` (keys, size, hashes, ...) with ``carry`` of the ``right`` rows (keys, f_size, f_hashes, carry) that agree on keys and are compatible.
 
+    Equi-joins on the first hash that both sides have; where they share none the size decides, and one row for each size will do.
+    ``right`` holds distinct contents, so equal files don't multiply.
+    """
+    mask = lambda cols: sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    right = right.select(*[F.col(k).alias(f"k_{k}") for k in keys], *carry, "f_size", *[f"f_{h}" for h in hashes])
+    at = F.col("size") == F.col("f_size")
+    for k in keys:
+        at &= F.col(k) == F.col(f"k_{k}")
+    least = right.select(*[f"k_{k}" for k in keys], *carry, "f_size", mask([f"f_{h}" for h in hashes]).alias("f_mask")).distinct()
+    out = left.join(least, at & (mask(hashes).bitwiseAND(F.col("f_mask")) == 0)).select(*left.columns, *carry)
+    for i, h in enumerate(hashes):
+        on = at & (F.col(h) == F.col(f"f_{h}"))
+        for g in hashes[:i]:
+            on &= F.col(g).isNull() | F.col(f"f_{g}").isNull()
+        out = out.unionByName(left.join(right, on).where(compatible(hashes)).select(*left.columns, *carry))
+    return out
 
-def claim(pairs: DataFrame, group: str, recent: Column | None = None) -> DataFrame:
-    """One file for each item at most and the other way round, items in catalog order, those without a dump last.
 
-    An item takes a file of its own name before another, and one outside recently scanned roots before another. Items compete
-    only within ``group`` (a set, or a content key for loose inventories), so each group is decided by itself; a group
-    holds one set's pairs, or the pairs of equal contents.
-    """
-    rows = pairs.withColumns({"same": F.col("item_name") == F.col("entry_name"), "recent": recent if recent is not None else F.lit(False), "late": F.col("dump_status") == "nodump"})
-    rows = rows.select(F.col(group).alias("grp"), *ITEM, *FILE, "same", "recent", "late")
+def f_prefixed(hashes: Sequence[str]) -> list[Column]:
+    return [F.col("size").alias("f_size"), *[F.col(h).alias(f"f_{h}") for h in hashes]]
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(tier=pdf["recent"].astype(int) + 2 * (~pdf["same"]).astype(int))
-        taken: set[tuple[str, str]] = set()
-        out = []
-        for _, one in pdf.sort_values(["late", "set_ord", "item_ord", "tier", "path", "entry_name"], kind="stable").groupby(["late", "set_ord", "item_ord"], sort=True):
-            for r in one.itertuples():
-                if (r.path, r.entry_name) not in taken:
-                    taken.add((r.path, r.entry_name))
-                    out.append((r.set_ord, r.item_ord, r.path, r.entry_name, "correct" if r.same else "misnamed"))
-                    break
-        return pd.DataFrame(out, columns=["set_ord", "item_ord", "path", "entry_name", "match_status"])
 
-    return rows.groupBy("grp").applyInPandas(greedy, "set_ord long, item_ord long, path string, entry_name string, match_status string")
+def elect_containers(items: DataFrame, files: DataFrame, recent: Column | None = None) -> DataFrame:
+    """(set_lc, path, satisfied): of the containers with a set's name, the one that satisfies most items, then one outside recently scanned roots, then the first.
+
+    Contents of a set meet contents of its containers, so there are no more rows than items and files.
+    """
+    hashes = shared_hashes(items, files)
+    n = items.groupBy(F.lower("set_name").alias("set_lc")).agg(F.count("*").alias("n_items"))
+    scope = with_scope(files).withColumn("recent", recent if recent is not None else F.lit(False)).where("NOT junk")
+    scope = scope.join(n, F.col("stem_lc") == F.col("set_lc")).where("in_container OR n_items = 1")
+    wanted = items.groupBy(F.lower("set_name").alias("set_lc"), "size", *hashes).agg(F.count_distinct(F.struct(*ITEM)).alias("w"))
+    held = scope.select("set_lc", "path", *f_prefixed(hashes)).distinct()
+    met = fitting(wanted, held, hashes, ["set_lc"], ["path"]).distinct().groupBy("set_lc", "path").agg(F.sum("w").alias("satisfied"))
+    paths = scope.groupBy("set_lc", "path").agg(F.bool_or("recent").alias("recent")).join(met, ["set_lc", "path"], "left").withColumn("satisfied", F.coalesce("satisfied", F.lit(0)))
+    best = F.min_by(F.struct("path", "satisfied"), F.struct(-F.col("satisfied"), "recent", "path"))
+    return paths.groupBy("set_lc").agg(best.alias("b")).select("set_lc", "b.path", "b.satisfied")
+
+
+class Pool:
+    """The free files of one claim group, by their hashes and by name; the first compatible one is found without going through the others."""
+
+    def __init__(self, n_hashes: int):
+        self.kinds = range(n_hashes)
+        self.files: list[tuple[str, str]] = []
+        self.taken: list[bool] = []
+        self.found: dict[tuple, deque[int]] = {}
+        self.masks: set[int] = set()
+
+    def put(self, path: str, name: str, recent: bool, hashes: Sequence[str | None]) -> None:
+        at = len(self.files)
+        self.files.append((path, name))
+        self.taken.append(False)
+        mask = sum(1 << k for k in self.kinds if hashes[k] is not None)
+        self.masks.add(mask)
+        some = mask
+        while True:  # all subsets of the hashes that the file has
+            shared = tuple(hashes[k] for k in self.kinds if some >> k & 1)
+            for n in (name, None):
+                self.found.setdefault((mask, some, shared, n, recent), deque()).append(at)
+            if not some:
+                return
+            some = (some - 1) & mask
+
+    def take(self, name: str | None, hashes: Sequence[str | None]) -> tuple[str, str] | None:
+        mine = sum(1 << k for k in self.kinds if hashes[k] is not None)
+        for n, recent in ((name, False), (name, True), (None, False), (None, True)):
+            first = None
+            for mask in self.masks:
+                free = self.found.get((mask, mask & mine, tuple(hashes[k] for k in self.kinds if mask & mine & 1 << k), n, recent))
+                while free and self.taken[free[0]]:
+                    free.popleft()
+                if free and (first is None or free[0] < first):
+                    first = free[0]
+            if first is not None:
+                self.taken[first] = True
+                return self.files[first]
+        return None
+
+
+def claim(items: DataFrame, files: DataFrame, hashes: Sequence[str]) -> DataFrame:
+    """One file for each item at most and the other way round, items in catalog order, those of a set without a dump last.
+
+    An item takes a file of its own name before another, and one outside recently scanned roots before another. Items (grp, size, hashes,
+    ...) and files (grp, size, hashes, recent, ...) compete within ``grp`` and a size, and within a hash where all rows of that size have it.
+    Such a group's rows, not its pairs, come sorted and are read once: the files, then the items.
+    """
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    rows = files.select("grp", "size", *hashes, F.lit(0).alias("kind"), zero.alias("set_ord"), F.lit(False).alias("late"), zero.alias("item_ord"), none.alias("item_name"), *FILE, "recent")
+    late = F.coalesce(F.col("dump_status") == "nodump", F.lit(False))
+    rows = rows.unionByName(items.select("grp", "size", *hashes, F.lit(1).alias("kind"), "set_ord", late.alias("late"), "item_ord", "item_name", none.alias("path"), none.alias("entry_name"), F.lit(False).alias("recent")))
+    rows = rows.where("size IS NOT NULL")
+    both = rows.groupBy("grp", "size").agg(F.count_distinct("kind").alias("sides"), *[F.bool_and(F.col(h).isNotNull()).alias(f"all_{h}") for h in hashes]).where("sides = 2")
+    key = F.coalesce(*[F.when(F.col(f"all_{h}"), F.col(h)) for h in hashes], F.lit(""))
+    keyed = rows.join(both, ["grp", "size"]).withColumn("key", key).drop("sides", *[f"all_{h}" for h in hashes])
+    group = ["grp", "size", "key"]
+
+    def greedy(batches):
+        at, pool = None, None
+        for pdf in batches:
+            out = []
+            hs = list(zip(*[[v if isinstance(v, str) else None for v in pdf[h]] for h in hashes], strict=True)) if hashes else [()] * len(pdf)
+            for g, s, k, kind, o, i, name, path, entry, recent, h in zip(pdf["grp"], pdf["size"], pdf["key"], pdf["kind"], pdf["set_ord"], pdf["item_ord"], pdf["item_name"], pdf["path"], pdf["entry_name"], pdf["recent"], hs, strict=True):
+                if at != (g, s, k):
+                    at, pool = (g, s, k), Pool(len(hashes))
+                if kind == 0:
+                    pool.put(path, entry, bool(recent), h)
+                elif got := pool.take(name, h):
+                    out.append((o, i, *got, "correct" if got[1] == name else "misnamed"))
+            yield pd.DataFrame(out, columns=["set_ord", "item_ord", "path", "entry_name", "match_status"])
+
+    keyed = keyed.repartition(*group).sortWithinPartitions(*group, "kind", "set_ord", "late", "item_ord", *FILE)
+    return keyed.mapInPandas(greedy, "set_ord long, item_ord long, path string, entry_name string, match_status string")
 
 
 def first_file(df: DataFrame) -> DataFrame:
     """Each item's first file by (path, entry_name)."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*ITEM).orderBy(*FILE))).where("rank = 1").select(*ITEM, *FILE)
+    return df.groupBy(*ITEM).agg(F.min(F.struct(*FILE)).alias("f")).select(*ITEM, "f.*")
 
 
-def match_items(items: DataFrame, files: DataFrame) -> DataFrame:
-    """(set_name, set_ord, item_ord, item_name, match_status, path, entry_name) for a container-organised inventory.
+def elsewhere(items: DataFrame, scope: DataFrame, hashes: Sequence[str]) -> DataFrame:
+    """``items`` (ITEM, size, hashes, active) with the first file of their content anywhere, by the first hash that hits; for sets that aren't active outside known containers only.
 
+    Contents meet contents: each content of the inventory keeps its first file and its first outside known containers.
+    """
+    here = F.when(~F.col("junk"), F.struct(*FILE))
+    held = scope.groupBy(*f_prefixed(hashes)).agg(F.min(here).alias("first"), F.min(F.when(~F.col("known"), here)).alias("open"))
+    wanted = items.select("size", *hashes).distinct()
+    found = None
+    for prio, h in enumerate(hashes):
+        part = wanted.join(held, F.col(h) == F.col(f"f_{h}")).withColumn("prio", F.lit(prio))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return items.select(*ITEM, *[F.lit(None).cast("string").alias(c) for c in FILE]).limit(0)
+    fits = compatible(hashes)
+    each = found.groupBy("size", *hashes, "prio").agg(F.min(F.when(fits, F.col("first"))).alias("first"), F.min(F.when(fits, F.col("open"))).alias("open"))
+    best = each.groupBy(*f_prefixed(hashes)).agg(F.min_by(F.struct("first", "open"), "prio").alias("b"))
+    same = F.col("size").eqNullSafe(F.col("f_size"))
+    for h in hashes:
+        same &= F.col(h).eqNullSafe(F.col(f"f_{h}"))
+    return items.join(best, same).select(*ITEM, F.when(F.col("active"), F.col("b.first")).otherwise(F.col("b.open")).alias("f")).where("f IS NOT NULL").select(*ITEM, "f.*")
+
+
+def match_items(items: DataFrame, files: DataFrame, recent: Column | None = None) -> DataFrame:
+    """(set_name, set_ord, item_ord, item_name, match_status, path, entry_name).
+
+    One entry in any container makes the whole inventory container-organised: a set claims from its own container only. Otherwise
+    all items compete for all files. ``recent`` (of files) marks those under just-rescanned roots, which are claimed last.
     Statuses in this order: correct and misnamed (claimed), hashMismatch (the slot's name with other content), foundElsewhere (content that another place has;
-    not consumed), nodump (a slot without a known dump whose name is there), missing. An undumped slot without a file has no row.
+    not consumed), nodump (a slot of a container without a known dump whose name is there), missing. An undumped slot without a file has no row.
     """
-    pairs = scoped_pairs(items, files)
-    elected = elect_containers(pairs)
-    own = pairs.join(elected.select("set_lc", F.col("path").alias("home")), "set_lc").where("path = home OR NOT in_container")
-    own = cut(own)  # read five times below, the claims four times
-    claims = cut(claim(own.where("fits"), "set_lc"))
+    hashes = shared_hashes(items, files)
+    loose = files.where(file_name(F.col("path")) != F.col("entry_name")).isEmpty()
+    known = items.select(F.lower("set_name").alias("stem_lc")).distinct().withColumn("known", F.lit(True))
+    scope = with_scope(files).withColumn("recent", F.coalesce(recent, F.lit(False)) if recent is not None else F.lit(False)).join(known, "stem_lc", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     hashed = F.lit(False)
-    for h in shared_hashes(items, files):
+    for h in hashes:
         hashed |= F.col(h).isNotNull()
-    slot = own.where((F.col("item_name") == F.col("entry_name")) & ~F.col("fits") & hashed)
-    wrong = first_file(slot.join(claims.select(*FILE), list(FILE), "left_anti")).withColumn("match_status", F.lit("hashMismatch"))
-    known = items.select(F.lower("set_name").alias("stem_lc")).distinct().withColumn("known", F.lit(True))
-    active = items.join(claims.select(*ITEM), list(ITEM)).select(F.lower("set_name").alias("set_lc")).distinct().withColumn("active", F.lit(True))
-    places = with_scope(files).where("NOT junk").join(known, "stem_lc", "left")
-    far = verified_pairs(items, files).where("hash_verified").join(places.select(*FILE, F.coalesce("known", F.lit(False)).alias("known")), list(FILE)).withColumn("set_lc", F.lower("set_name")).join(active, "set_lc", "left")
-    elsewhere = first_file(far.where("active OR NOT known")).withColumn("match_status", F.lit("foundElsewhere"))
-    unknown = first_file(own.where((F.col("item_name") == F.col("entry_name")) & ~hashed).join(claims.select(*FILE), list(FILE), "left_anti")).withColumn("match_status", F.lit("nodump"))
-    order = {"claims": claims, "wrong": wrong, "elsewhere": elsewhere, "unknown": unknown}
-    best = None
-    for prio, part in enumerate(order.values()):
-        part = part.withColumn("prio", F.lit(prio))
-        best = part if best is None else best.unionByName(part)
+    if loose:
+        items_, own = items.withColumn("grp", F.lit("")), scope.withColumn("grp", F.lit(""))
+    else:
+        n = items.groupBy(F.lower("set_name").alias("grp")).agg(F.count("*").alias("n_items"))
+        home = elect_containers(items, files, recent).select(F.col("set_lc").alias("grp"), F.col("path").alias("home")).join(n, "grp")
+        items_ = items.withColumn("grp", F.lower("set_name"))
+        own = cut(scope.where("NOT junk").join(home, F.col("stem_lc") == F.col("grp")).where("(in_container AND path = home) OR (NOT in_container AND n_items = 1)").drop("home", "n_items"))
+    claims = cut(claim(items_, own, hashes))
+    if loose:
+        named = own.where("NOT junk").groupBy(F.col("entry_name").alias("item_name")).agg(F.min(F.struct(*FILE)).alias("f"))
+        held = own.where("NOT junk").select(F.col("entry_name").alias("item_name"), *f_prefixed(hashes)).distinct()
+        right = fitting(items.select(*ITEM, "item_name", "size", *hashes), held, hashes, ["item_name"]).select(*ITEM).distinct()
+        wrong = items.where(hashed).join(right, list(ITEM), "left_anti").join(named, "item_name").select(*ITEM, "f.*")
+        unknown = wrong.limit(0)
+        active = items.select(*ITEM, "size", *hashes).withColumn("active", F.lit(True))
+    else:
+        slot = items_.join(own.select("grp", *FILE, *f_prefixed(hashes)), (items_["grp"] == own["grp"]) & (F.col("item_name") == F.col("entry_name"))).join(claims.select(*FILE), list(FILE), "left_anti")
+        wrong = first_file(slot.where(~compatible(hashes) & hashed))
+        unknown = first_file(slot.where(~hashed))
+        met = items.join(claims.select(*ITEM), list(ITEM)).select(F.lower("set_name").alias("grp")).distinct().withColumn("active", F.lit(True))
+        active = items_.join(met, "grp", "left").select(*ITEM, "size", *hashes, F.coalesce("active", F.lit(False)).alias("active"))
+    far = elsewhere(active, scope, hashes)
+    best = claims.withColumn("prio", F.lit(0))
+    for prio, (status, part) in enumerate({"hashMismatch": wrong, "foundElsewhere": far, "nodump": unknown}.items(), 1):
+        best = best.unionByName(part.withColumn("match_status", F.lit(status)).withColumn("prio", F.lit(prio)))
     best = best.groupBy(*ITEM).agg(F.min_by(F.struct("match_status", *FILE), "prio").alias("m"))
     out = items.select("set_name", *ITEM, "item_name", "dump_status", hashed.alias("hashed")).join(best, list(ITEM), "left")
     out = out.where("m IS NOT NULL OR hashed")

@@ -69,7 +69,7 @@ QUERIES = {
       SELECT item_ord, path, entry_name, 1 AS prio FROM h UNION ALL SELECT c.item_ord, f.path, f.entry_name, 4 FROM fx_catalog c JOIN fx_inventory f ON f.size = c.size WHERE c.item_ord NOT IN (SELECT item_ord FROM h)"""),
     "J2_verified_pairs": (lambda s, d: match.verified_pairs(*both(s, d)).select("item_ord", "path", "entry_name"), "SELECT c.item_ord, f.path, f.entry_name FROM fx_catalog c JOIN fx_inventory f ON f.md5 = c.md5 AND f.size = c.size"),
     "J4_container_scope": (lambda s, d: match.scoped_pairs(*both(s, d)).select("item_ord", "path", "entry_name", "fits"), sql("SELECT item_ord, path, entry_name, fits FROM pairs")),
-    "J5_container_election": (lambda s, d: match.elect_containers(match.scoped_pairs(*both(s, d))), sql("SELECT set_lc, path, satisfied FROM elected")),
+    "J5_container_election": (lambda s, d: match.elect_containers(*both(s, d)), sql("SELECT set_lc, path, satisfied FROM elected")),
     "J6_match": (lambda s, d: report(s, d)[2], sql("SELECT * FROM matches")),
     "J7_wrong_content": (of_status("hashMismatch"), sql("SELECT item_ord, path, entry_name FROM matches WHERE match_status = 'hashMismatch'")),
     "J8_found_elsewhere": (of_status("foundElsewhere"), sql("SELECT item_ord, path, entry_name FROM matches WHERE match_status = 'foundElsewhere'")),

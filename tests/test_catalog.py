@@ -46,6 +46,40 @@ def test_copies_leave_leftovers_and_the_fullest_container_wins(spark):
     assert match.leftovers(out, spark.createDataFrame(files, FILES)).count() == 5
 
 
+def test_loose_inventory_claims_by_content(spark):
+    items = [item("a", 0, "x", 1, "aa"), item("a", 1, "y", 2, "bb"), item("b", 2, "z", 2, "bb"), item("b", 3, "w", 3, "cc"), item("b", 4, "v", 4, "dd")]
+    files = [(f"/r/{n}", n, s, c, None) for n, s, c in (("x", 1, "aa"), ("q", 2, "bb"), ("w", 3, "ee"))]
+    got, _ = statuses(spark, items, files)
+    assert got == {"x": "correct", "y": "misnamed", "z": "foundElsewhere", "w": "hashMismatch", "v": "missing"}
+
+
+def test_recent_files_are_claimed_last(spark):
+    items = spark.createDataFrame([item("a", 0, "x", 1, "aa")], ITEMS)
+    for files in ([("/n/x", "x", 1, "aa", None), ("/o/x", "x", 1, "aa", None)], [("/n/a.zip", "x", 1, "aa", None), ("/o/a.zip", "x", 1, "aa", None)]):
+        out = match.match_items(items, spark.createDataFrame(files, FILES), F.col("path").startswith("/n/"))
+        assert [r["path"] for r in out.collect()] == [files[1][0]]
+
+
+@pytest.mark.parametrize("loose", [False, True])
+def test_claims_equal_the_plain_greedy(spark, loose):
+    import random
+
+    rng = random.Random(5)
+    pick = lambda p, k: None if rng.random() < p else f"{rng.randrange(k)}"
+    items = [(s, i // 40, i, f"n{rng.randrange(30)}", rng.randrange(1, 3), pick(0.2, 4), pick(0.3, 2), rng.choice(["good", "nodump"]), False) for i in range(160) for s in [f"s{i // 40}"]]
+    files = sorted((f"/r{i % 2}/f{i}" if loose else f"/r/s{i % 4}.zip", f"f{i}" if loose else f"n{i // 4}", rng.randrange(1, 3), pick(0.2, 4), pick(0.3, 2)) for i in range(120))
+    fits = lambda a, b: a[4] == b[2] and all(x is None or y is None or x == y for x, y in ((a[5], b[3]), (a[6], b[4])))
+    taken, want = set(), {}
+    for a in sorted(items, key=lambda a: (a[1], a[7] == "nodump", a[2])):
+        free = [b for b in files if b[:2] not in taken and fits(a, b) and (loose or b[0] == f"/r/{a[0]}.zip")]
+        if free:
+            b = min(free, key=lambda b: (b[1] != a[3], b[0].startswith("/r1/"), b[:2]))
+            taken.add(b[:2])
+            want[a[2]] = b[:2]
+    out = match.match_items(spark.createDataFrame(items, ITEMS), spark.createDataFrame(files, FILES), F.col("path").startswith("/r1/"))
+    assert {r["item_ord"]: (r["path"], r["entry_name"]) for r in out.where("match_status IN ('correct', 'misnamed')").collect()} == want
+
+
 def test_hit_of_wrong_size_stops_later_keys(spark):
     items = spark.createDataFrame([item("a", 0, "x", 1, "aa", "m1")], ITEMS)
     files = spark.createDataFrame([("/p", "p", 9, "aa", "m2"), ("/q", "q", 1, "bb", "m1")], FILES)

@@ -9,7 +9,7 @@ from .operators import alternates, audit, companions, snapshots
 from .queries_audit import COUNTERS
 from .queries_match import CTES, both
 
-PACKS = """SELECT DISTINCT concat('/p', CAST(doc_id % {m} AS STRING), '/g', CAST(doc_id % 3 AS STRING), CASE doc_id % 4 WHEN 0 THEN '.sfc' WHEN 1 THEN concat('-', CAST(doc_id % 5 AS STRING), '.pcm') WHEN 2 THEN '.msu' ELSE '.txt' END) AS path FROM {docs}"""
+PACKS = """SELECT DISTINCT concat('/p', CAST(CAST(floor(doc_id / {m}) AS BIGINT) AS STRING), '/g', CAST(doc_id % 3 AS STRING), CASE doc_id % 4 WHEN 0 THEN '.sfc' WHEN 1 THEN concat('-', CAST(doc_id % 5 AS STRING), '.pcm') WHEN 2 THEN '.msu' ELSE '.txt' END) AS path FROM {docs}"""
 
 
 def packs(spark, d, m):

@@ -39,5 +39,13 @@ def test_views_of_parts_cover_all_parts(spark):
     assert view(spark, d, "fx_components").select("src").distinct().count() == n and view(spark, d, "fx_titles").count() == n
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the sample tables")
+def test_pack_paths_grow_with_documents(spark):
+    from stocktake import queries_names
+
+    n = {d: queries_names.packs(spark, f"/root/testdata/{d}", 10).count() for d in ("sf0.001", "sf0.01")}
+    assert n["sf0.01"] > 4 * n["sf0.001"] > 400
+
+
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

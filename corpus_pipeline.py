@@ -19,13 +19,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that similar texts join, the one with the smallest id. Documents without words all stay."""
-    found = jaccard_join.join_similar(docs)
-    repeated = not found.groupBy("id").count().where("count > 1").isEmpty()
+    """Of each group of documents that similar texts join, the one with the smallest id (null ids last). Documents without words all stay.
+
+    Where ids repeat or are null, rows are told apart by their id, text and other columns, and equal rows count once.
+    """
+    columns, key = docs.columns, "doc_id"
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        key = "__key"
+        rest = [F.col(c) for c in columns if c not in ("doc_id", "text")]
+        docs = docs.distinct().withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(F.lit(0), *rest).alias("rest")))
+    found = jaccard_join.join_similar(docs, key)
     # Only ids that go are looked up: the others' rows need no partner.
     gone = found.where("n_shingles > 0 AND component_id <> id").select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    return kept.select(*docs.columns).distinct() if repeated else kept.select(*docs.columns)
+    return docs.join(gone, F.col(key) == F.col("__id"), "left_anti").select(*columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

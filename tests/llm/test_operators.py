@@ -317,6 +317,17 @@ def test_embedding_links_match_brute_force(spark):
     assert embedding_dedup.dedup_embeddings(empty).count() == 0
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    docs = [(1, words(1), "a"), (5, words(1), "a"), (5, words(2), "a"), (None, words(3), "a"), (None, words(3), "b"), (None, words(3), "b"), (7, words(4), "a"), (7, words(4) + " end", "a"), (None, words(1), "a"), (8, None, "a"), (9, "", "a")]
+    got = rows(corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), ""), "doc_id", "text")
+    assert len(got) == 6 and sorted((r[0] or 0) for r in got) == [0, 1, 5, 7, 8, 9] and (5, words(2)) in [tuple(r) for r in got]
+    got = rows(corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([docs[0], docs[6], (3, words(1), "a")], "doc_id long, text string, source string"), ""), "doc_id")
+    assert sorted(r[0] for r in got) == [1, 7]
+
+
 # Quotes.
 
 

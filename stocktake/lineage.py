@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``, or in a folder of our own where that is unset.
+    """A reliable checkpoint in ``spark.checkpoint.dir``; only a local session may leave that unset, it gets a folder of its own.
 
     A plan that refers to a table k times holds its whole plan k times, so chains of such steps grow exponentially unless cut.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stocktake-"))
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stocktake-"))
     return df.checkpoint()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key of more than one in so many of the counted rows is hot; there are so many hot keys at most.
+HOT = 10_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset; it gets a folder of its own."""
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stocktake-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="stocktake-")
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -52,3 +62,23 @@ def row_key(*cols: str) -> Column:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column, rows: str = "n") -> DataFrame:
+    """``left`` with the columns of ``right``, null where no row of it has the keys.
+
+    ``right`` has one row for each key and says in ``rows`` how many rows of ``left`` have it. Hot keys are joined by a broadcast of
+    HOT rows at most, and rows of ``left`` that are done with by then, or have a null key, are dealt by ``spread``: no key makes a large task.
+    """
+    values = [c for c in right.columns if c not in keys]
+    least = (right.agg(F.sum(rows)).first()[0] or 0) / HOT
+    named = lambda df, as_: df.select(*[F.col(k).alias(f"__{as_}_{k}") for k in keys], F.struct(*values).alias(f"__{as_}"))
+    same = lambda as_: [F.col(k) == F.col(f"__{as_}_{k}") for k in keys]
+    out = left.join(F.broadcast(named(right.where(F.col(rows) > least), "hot")), same("hot"), "left")
+    done = F.col("__hot").isNotNull()
+    for k in keys:
+        done |= F.col(k).isNull()
+    out = out.withColumn("__done", done).withColumn("__at", F.when(F.col("__done"), spread).otherwise(F.xxhash64(*keys)))
+    cold = named(right.where(F.col(rows) <= least), "cold").withColumn("__to", F.xxhash64(*[f"__cold_{k}" for k in keys]))
+    out = out.join(cold, [F.col("__at") == F.col("__to"), ~F.col("__done"), *same("cold")], "left")
+    return out.select(*[F.col(f"`{c}`") for c in left.columns], F.coalesce("__hot", "__cold").alias("__met")).select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("__met")[v].alias(v) for v in values])

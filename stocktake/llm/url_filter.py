@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, table
+from .common import UPPER, ascii_lower, cut, join_hot, table
 
 #: The rules that the query applies first.
 SITE_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -24,31 +24,23 @@ SPAM_PATTERNS = tuple((p, "block") for p in ("^ads-track^", "^spam-farm^", "^cas
 
 #: An index of at most so many rows is broadcast; a larger one is joined by shuffling both sides on the token.
 BROADCAST_RULES = 200_000
+#: URLs that meet a token's rules in one part of a shuffle.
+PART = 100_000
 TOKEN = "[A-Za-z0-9]+"
 
 
-def rule_regex(rule: str) -> str:
-    head, body, tail = "", rule, ""
-    if body.startswith("||"):
-        head, body = r"^(?:[^/]*\.)?", body[2:]
-    elif body.startswith("|"):
-        head, body = "^", body[1:]
-    if body.endswith("|"):
-        body, tail = body[:-1], "$"
-    to = {"*": ".*", "^": "(?:^|[^A-Za-z0-9]|$)"}
-    return "(?s)" + head + "".join(to.get(c) or re.sub(r"([^A-Za-z0-9])", r"\\\1", c) if c.isascii() else c for c in body) + tail
+def rule_regex(rule: Column) -> Column:
+    """The regular expression of a rule. Escapes come first, then the signs that mean something."""
+    body = F.regexp_replace(rule, r"^\|{1,2}|\|$", "")
+    body = F.regexp_replace(body, r"([\x00-\x7F&&[^A-Za-z0-9*^]])", r"\\$1")
+    body = F.replace(F.replace(body, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit("(?:^|[^A-Za-z0-9]|$)"))
+    head = F.when(rule.startswith("||"), r"^(?:[^/]*\.)?").when(rule.startswith("|"), "^").otherwise("")
+    return F.concat(F.lit("(?s)"), head, body, F.when(rule.rlike(r"(?s)^\|{0,2}.*[^|].*\|$"), "$").otherwise(""))
 
 
-def rule_tokens(rule: str) -> list[str]:
+def rule_tokens(rule: Column) -> Column:
     """Tokens bounded on both sides, so that a URL which fits has each of them as a whole token."""
-    start = len(rule) - len(rule.lstrip("|"))
-    found = []
-    for m in re.finditer(TOKEN, rule):
-        left = m.start() == start > 0 or m.start() > 0 and rule[m.start() - 1] not in "*|"
-        right = m.end() < len(rule) and rule[m.end()] != "*"
-        if left and right:
-            found.append(m[0])
-    return sorted(set(found))
+    return F.array_distinct(F.regexp_extract_all(rule, F.lit(r"(?<=^\|{1,2}|[^A-Za-z0-9*|])[A-Za-z0-9]+(?=[^A-Za-z0-9*])"), F.lit(0)))
 
 
 def host_of(url: Column) -> Column:
@@ -60,44 +52,55 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rules_frame(spark: SparkSession, rules: Iterable[tuple[str, str, int]]) -> DataFrame:
-    """(rule, action, tier) -> with regex and tokens; a rule without a bounded token is filed under the empty token, which every URL has."""
-    rows = [(rule, action, tier, rule_regex(rule), rule_tokens(rule) or [""]) for rule, action, tier in rules]
-    return spark.createDataFrame(rows, "rule string, action string, tier int, regex string, tokens array<string>")
+def rules_frame(rules: DataFrame) -> DataFrame:
+    """(rule, action, tier) -> with regex and tokens; a rule without a bounded token is filed under the empty token, which every URL has. Rules without a text are left out."""
+    tokens = rule_tokens(F.col("rule"))
+    return rules.where("rule IS NOT NULL").select("rule", "action", "tier", rule_regex(F.col("rule")).alias("regex"), F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit(""))).alias("tokens")).distinct()
 
 
 def fetch_rules(urls: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
-    """(url, hit): for each distinct url of ``urls`` that some rule matches, the winning one: highest tier, longest text, last by code point."""
-    parts = urls.select("url", F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("place"))
-    tokens = parts.select("url", "place", F.explode(F.array_append(F.array_distinct(F.regexp_extract_all("place", F.lit(TOKEN), F.lit(0))), F.lit(""))).alias("token"))
+    """(url, n, hit): for each of the distinct ``urls`` (url, n) that some rule matches, the winning one: highest tier, longest text, last by code point."""
+    parts = urls.select("url", "n", F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("place"))
+    tokens = parts.select("url", "n", "place", F.explode(F.array_append(F.array_distinct(F.regexp_extract_all("place", F.lit(TOKEN), F.lit(0))), F.lit(""))).alias("token"))
     filed = rules.select("rule", "action", "tier", "regex", F.explode("tokens").alias("token"))
     small = filed.count() <= broadcast_rules
     wanted = filed.select("token").distinct()
-    counted = tokens.join(F.broadcast(wanted) if small else wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    counted = tokens.join(F.broadcast(wanted) if small else wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
     index = (
         filed.join(F.broadcast(counted) if small else counted, "token", "left")
-        .groupBy("rule", "action", "tier", "regex").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+        .groupBy("rule", "action", "tier", "regex").agg(F.min_by(F.struct("token", "urls"), F.struct(F.coalesce("urls", F.lit(0)), "token")).alias("by"))
+        .select("rule", "action", "tier", "regex", "by.token", "by.urls")
     )
-    fetched = tokens.join(F.broadcast(index) if small else index, "token").where(F.expr("place RLIKE regex"))
-    return fetched.groupBy("url").agg(F.max(F.struct("tier", F.length("rule").alias("size"), "rule", "action")).alias("hit"))
+    if small:
+        met = tokens.join(F.broadcast(index.drop("urls")), "token")
+    else:  # tokens that most URLs have are hot: the URLs learn how many have the token, and each such token's rules are dealt to as many parts
+        index = cut(index)
+        each = index.where("urls IS NOT NULL").groupBy("token").agg(F.first("urls").alias("urls"))
+        asks = join_hot(tokens, cut(each), ["token"], F.xxhash64("url"), "urls").where("urls IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("url"), parts_of("urls")))
+        met = asks.drop("urls").join(index.where("urls IS NOT NULL").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts_of("urls") - 1))).drop("urls"), ["token", "part"])
+    return met.where(F.expr("place RLIKE regex")).groupBy("url").agg(F.first("n").alias("n"), F.max(F.struct("tier", F.length("rule").alias("size"), "rule", "action")).alias("hit"))
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, int]], url: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def parts_of(urls: str) -> Column:
+    return F.ceil(F.col(urls) / PART)
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, int]], url: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """``pages`` with host, path, matched_rule, matched_tier and verdict (input columns of these names are replaced).
 
-    A null url or one without ``://`` has an empty host and path; no anchored rule fits it and it gets ``default``. Rows are
-    judged by their url alone, so repeated rows agree and one url that holds a third of all rows is judged once. All
-    input rows come back, an empty frame gives an empty one.
+    ``rules`` are rows of (rule, action, tier), as a table of any size or a list. A null url or one without ``://`` has an empty host and
+    path; no anchored rule fits it and it gets ``default``. Rows are judged by their url alone, so repeated rows agree and one url that
+    holds a third of all rows is judged once and makes no large task. All input rows come back, an empty frame gives an empty one.
     """
     own = pages.drop("host", "path", "matched_rule", "matched_tier", "verdict")
-    key = F.col(f"`{url}`")
-    hits = fetch_rules(own.select(key.alias("url")).where("url IS NOT NULL").distinct(), rules_frame(pages.sparkSession, rules), broadcast_rules)
-    hits = hits.select(F.col("url").alias("__url"), "hit")
-    return (
-        own.join(hits, key == F.col("__url"), "left")
-        .withColumns({"host": host_of(key), "path": path_of(key), "matched_rule": F.col("hit.rule"), "matched_tier": F.col("hit.tier"), "verdict": F.coalesce("hit.action", F.lit(default))})
-        .drop("__url", "hit")
-    )
+    if not isinstance(rules, DataFrame):
+        rules = pages.sparkSession.createDataFrame(list(rules), "rule string, action string, tier int")
+    urls = own.select(F.col(f"`{url}`").alias("url")).where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n"))
+    hits = cut(fetch_rules(urls, rules_frame(rules), broadcast_rules)).select(F.col("url").alias("__url"), F.col("n").alias("__n"), F.col("hit").alias("__hit"))
+    own = own.withColumn("__url", F.col(f"`{url}`"))
+    met = join_hot(own, hits, ["__url"], F.xxhash64(*[f"`{c}`" for c in pages.columns if c in own.columns]), "__n")
+    key, hit = F.col("__url"), F.col("__hit")
+    return met.withColumns({"host": host_of(key), "path": path_of(key), "matched_rule": hit["rule"], "matched_tier": hit["tier"], "verdict": F.coalesce(hit["action"], F.lit(default))}).drop("__url", "__n", "__hit")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

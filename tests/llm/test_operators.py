@@ -60,15 +60,32 @@ def test_url_rules_match_a_plain_reading(spark):
     urls = ["http://a.example.net/en/1", "https://EXAMPLE.net", "https://x.net/", "http://notnet/", "http://b.org/fr/x?y#z", "http://example.com/de/", "http://com.de/", None, "", "no url", "http:///net/", "http://x.net?a", "http://a.b.example.com/de/q", "http://xexample.com/de/", "http://blog.casino-win.example.org/x", "http://x.net/", "x://y://net/"]
     df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, host string")
     rules = [("||" + r, a, 1) for r, a in url_filter.SITE_RULES] + [(r, a, 0) for r, a in url_filter.SPAM_PATTERNS]
-    for bound in (url_filter.BROADCAST_RULES, 0):
-        got = {r["page_id"]: r for r in url_filter.judge_urls(df, rules, broadcast_rules=bound).collect()}
-        assert len(got) == len(urls)
+    df = df.withColumns({"hit": F.lit(1), "n": F.lit(2), "token": F.lit("t"), "place": F.lit("p"), "rule": F.lit(3)})
+    as_table = spark.createDataFrame(rules, "rule string, action string, tier int")
+    for bound, given in ((url_filter.BROADCAST_RULES, rules), (0, as_table)):
+        out = url_filter.judge_urls(df, given, broadcast_rules=bound)
+        got = {r["page_id"]: r for r in out.collect()}
+        assert len(got) == len(urls) and {"hit", "n", "token", "place", "rule"} < set(out.columns)
         for i, u in enumerate(urls):
             host, path, rule = plain_verdict(u, url_filter.SITE_RULES)
             assert (got[i]["host"], got[i]["path"]) == (host, path)
             assert (got[i]["matched_rule"] if got[i]["matched_tier"] == 1 else None) == (rule and "||" + rule)
         assert got[14]["verdict"] == "block" and got[14]["matched_tier"] == 0
-    assert url_filter.judge_urls(df.limit(0), rules).count() == 0
+    assert url_filter.judge_urls(df.limit(0), rules).count() == 0 and url_filter.judge_urls(df, as_table.limit(0)).where("verdict = 'allow' AND matched_rule IS NULL").count() == len(urls)
+
+
+def test_urls_that_many_pages_share(spark):
+    pages = spark.createDataFrame([(i, "http://x.net/a" if i % 3 else None if i % 2 else f"http://y{i}.org/") for i in range(3000)], "page_id long, url string")
+    got = url_filter.judge_urls(pages, [("||net/", "block", 1)]).groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in got} == {"block": 2000, "allow": 1000}
+
+
+@pytest.mark.parametrize(("rule", "fits", "misses"), [("||a.b/", ["a.b/", "x.a.b/q"], ["xa.b/", "q/a.b/"]), ("|a.b/c|", ["a.b/c"], ["a.b/cd", "xa.b/c"]), ("^ads^", ["x.ads.y/", "x/ads"], ["x/adsy"]), ("a+b*c", ["x/a+b__c"], ["x/aab_c", "x/a+b"]), ("(x|y)[", ["h/(x|y)["], ["h/x"]), ("é.", ["h/é."], ["h/éa"])])
+def test_rules_as_expressions(spark, rule, fits, misses):
+    row = spark.createDataFrame([(rule,)], "r string").select(url_filter.rule_regex(F.col("r")).alias("x"), url_filter.rule_tokens(F.col("r")).alias("t")).first()
+    tried = spark.createDataFrame([(u,) for u in fits + misses], "u string").withColumn("x", F.lit(row["x"])).select("u", F.expr("u RLIKE x").alias("y"))
+    assert {r["u"]: r["y"] for r in tried.collect()} == {u: u in fits for u in fits + misses}
+    assert all(t in re.findall("[A-Za-z0-9]+", u) for t in row["t"] for u in fits)
 
 
 # Decontamination.
@@ -90,18 +107,41 @@ def plain_leaks(text, items):
 @pytest.mark.parametrize("bound", [10**6, 0])
 def test_decontamination_matches_brute_force(spark, bound):
     rng = random.Random(1)
-    items = [(0, words_text(rng, 25)), (1, "one two three"), (2, None), (3, "..."), (4, "É solo"), (5, words_text(rng, 10)), (6, words_text(rng, 9)), (7, "one two three")]
+    turn = "a b c d e a b c d e a b c d e a b c d e a b c"
+    items = [("0", words_text(rng, 25)), ("1", "one two three"), ("2", None), ("3", "..."), ("4", "É solo"), ("5", words_text(rng, 10)), ("6", words_text(rng, 9)), ("x", "one two three"), ("8", turn), ("9", "k k k k k k k k k k k k"), (None, "nobody knows the name of this one item here at all")]
     texts = [None, "", "One,two;THREE!", "é solo É solo", items[0][1], "x " + items[0][1][20:] + " y", items[5][1].upper() + " tail " + items[5][1], words_text(rng, 3000), words_text(rng, 50) + " " + items[6][1], items[5][1]]
-    docs, bench = make_docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
-    leaks = {r["id"]: r for r in decontaminate.find_leaks(docs, bench, broadcast_windows=bound).withColumn("n_hit", decontaminate.covered(F.col("spans"))).collect()}
+    texts += ["c d e a b c d e a b q", "z " + turn * 3, "k " * 40, "k k k k k k k k k", "b c d e a b c d e a b c d e a", items[10][1]]
+    for _ in range(60):  # pieces of items of all lengths in texts of few words
+        t = words_text(rng, rng.randrange(0, 30), 4).split()
+        for _ in range(rng.randrange(3)):
+            q = items[rng.choice((0, 5, 8, 9))][1].split()
+            i = rng.randrange(len(q))
+            t[rng.randrange(len(t) + 1) : 0] = q[i : i + rng.randrange(5, 16)]
+        texts.append(" ".join(t))
+    items += [("few", " ".join(f"w{i % 4}" for i in range(14)))]
+    docs, bench = make_docs(spark, texts), spark.createDataFrame(items, "item_id string, text string")
+    leaks = {r["id"]: r for r in decontaminate.find_leaks(docs, bench, broadcast_rows=bound).withColumn("n_hit", decontaminate.covered(F.col("spans"))).collect()}
     for i, t in enumerate(texts):
         _, n_hit, names = plain_leaks(t, items)
         assert (leaks[i]["n_hit"] if i in leaks else 0) == n_hit, (i, t)
-        assert (sorted(map(str, leaks[i]["items"])) if i in leaks else []) == names, i
+        assert (sorted(leaks[i]["items"]) if i in leaks else []) == [n for n in names if n != "None"], i
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_repeats_clashing_columns_and_string_ids(spark):
+    bench = spark.createDataFrame([("q-1", "a b c d e f g h i j k"), ("q-2", "solo")], "item_id string, text string")
+    text = "x a b c d e f g h i j y"
+    docs = spark.createDataFrame([(1, text, "s", 1), (1, text, "s", 1), (1, "other", "s", 2), (None, text, None, 3), (2, None, "s", 4)], "doc_id long, text string, span string, at int")
+    docs = docs.withColumns({"leak_items": F.lit(1), "words": F.lit("w"), "print": F.lit(2), "id": F.lit(3), "item": F.lit(4), "item_id": F.lit(5), "n": F.lit(6), "len": F.lit(7)})
+    out = decontaminate.decontaminate(docs, bench)
+    got = out.collect()
+    assert sorted(out.columns) == sorted([*docs.columns, "leak_spans"]) and len(got) == 5
+    assert [r["leak_items"] for r in sorted(got, key=lambda r: (r["at"]))] == [["q-1"], ["q-1"], None, ["q-1"], None]
+    counts = {(r["doc_id"], r["n_words"]): r for r in decontaminate.leak_counts(docs, bench).collect()}
+    assert counts[1, 12]["n_hit"] == 10 and counts[1, 12]["items_sha256"] == hashlib.sha256(b"q-1").hexdigest() and not counts[2, 0]["contaminated"]
+
+
 # Jaccard join.
 
 

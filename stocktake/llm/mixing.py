@@ -143,18 +143,25 @@ def share_of(copies: str, m: str, i: str) -> Column:
 
 
 def take(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: rows of ``docs`` (with doc_id, source and text), each as often as it is taken."""
-    cols = docs.columns
-    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("hash")))
-    taken = mix(keyed.select(F.col("__key.doc_id").alias("doc_id"), F.col("__key.hash").alias("hash"), "source", "text"), ["doc_id", "hash"], seed=seed)
-    taken = taken.where("copies > 0").select(F.col("key.doc_id").alias("__id"), F.col("key.hash").alias("__hash"), F.col("source").alias("__source"), "copies", "m")
-    on = F.col("__key.doc_id").eqNullSafe(F.col("__id")) & (F.col("__key.hash") == F.col("__hash")) & F.col("source").eqNullSafe(F.col("__source"))
-    met = keyed.join(taken, on)
-    single = met.where("m = 1").select(*cols, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__i")).select(*cols)
-    # Rows that repeat are numbered, so that together they are taken as often as the mix says.
-    again = met.where("m > 1").groupBy(*cols, "copies").agg(F.count("*").alias("__m"))
-    again = again.select(*cols, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__i")).select(*cols)
-    return single.unionByName(again)
+    """The mix itself: rows of ``docs`` (with doc_id, source and text), each as often as it is taken, twice at most.
+
+    Rows of one id, text and source are taken together as often as ``mix`` says, dealt evenly, whatever else they differ in. Columns must be of
+    types that can be grouped. An empty frame gives an empty one.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    taken = mix(keyed.select("doc_id", F.col("__hash").alias("hash"), "source", "text"), ["doc_id", "hash"], seed=seed)
+    taken = taken.where("copies > 0").select(F.col("key.doc_id").alias("__id"), F.col("key.hash").alias("__of"), F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("m").alias("__m"))
+    met = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")) & F.col("source").eqNullSafe(F.col("__source")))
+    times = lambda df, n: df.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*cols)
+    single = times(met.where("__m = 1"), F.col("__copies"))
+    # Rows that repeat are numbered by runs of equal ones; the first copies % m of them are taken once more than the others.
+    again = met.where("__m > 1").groupBy(*cols, "__hash", "__copies", "__m").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy("doc_id", "__hash", "source").orderBy(*cols)
+    before = F.sum("__c").over(w) - F.col("__c")
+    extra = F.greatest(F.least(F.col("__copies") % F.col("__m") - F.col("__before"), F.col("__c")), F.lit(0))
+    again = again.withColumn("__before", before).withColumn("__n", F.floor(F.col("__copies") / F.col("__m")) * F.col("__c") + extra).where("__n > 0")
+    return single.unionByName(times(again, F.col("__n")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,23 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "reply_to", "root_turn", "depth", "n_quoted", "n_linked", "text")
+
+
+def oracle() -> str:
+    mark = r"^[ \t]*((?:>[ \t]?)+)"
+    norm = lambda t: f"trim(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    return f"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, * FROM conversations),
+x AS (SELECT rid, conv_id, turn, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT *, string_split_regex(coalesce(text, ''), '\\r?\\n') AS ls FROM m)),
+y AS (SELECT rid, conv_id, turn, i, length(regexp_replace(regexp_extract(line, '{mark}', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '{mark}', '') AS body FROM x),
+z AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i) AS part FROM (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY i) THEN 1 ELSE 0 END AS new FROM y)),
+u AS (SELECT * FROM (SELECT rid, conv_id, turn, level, 0 AS rank, {norm("string_agg(body, ' ' ORDER BY i)")} AS norm FROM z GROUP BY rid, conv_id, turn, level, part UNION ALL SELECT rid, conv_id, turn, level, 1, {norm('body')} FROM z) WHERE norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+f AS (SELECT conv_id, norm, min(turn) AS parent_turn FROM u WHERE level = 0 GROUP BY 1, 2),
+q AS (SELECT u.*, f.parent_turn, row_number() OVER (PARTITION BY rid ORDER BY length(u.norm) < {LEAST_CHARS}, level, rank, f.parent_turn DESC) AS r FROM u JOIN f ON f.conv_id = u.conv_id AND f.norm = u.norm WHERE level > 0 AND f.parent_turn < u.turn),
+k AS (SELECT rid, min(parent_turn) FILTER (WHERE r = 1) AS reply_to, count(DISTINCT norm) AS n_linked FROM q GROUP BY rid),
+up AS (SELECT m.conv_id, m.turn, max(k.reply_to) AS up FROM m JOIN k ON k.rid = m.rid GROUP BY 1, 2),
+w(conv_id, turn, up, depth) AS (SELECT conv_id, turn, up, 1 FROM up UNION ALL SELECT w.conv_id, w.turn, up.up, w.depth + 1 FROM w JOIN up ON up.conv_id = w.conv_id AND up.turn = w.up),
+t AS (SELECT conv_id, turn, arg_max(up, depth) AS root_turn, max(depth) AS depth FROM w GROUP BY 1, 2),
+own AS (SELECT rid, count(DISTINCT part) FILTER (WHERE level > 0) AS n_quoted, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), concat(' ', chr(9), chr(13), chr(10))) AS text FROM z GROUP BY rid)
+SELECT m.conv_id, m.turn, m.role, k.reply_to, coalesce(t.root_turn, m.turn) AS root_turn, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth, n_quoted, coalesce(n_linked, 0) AS n_linked, own.text
+FROM m JOIN own ON own.rid = m.rid LEFT JOIN k ON k.rid = m.rid LEFT JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn"""

@@ -24,4 +24,5 @@ def oracles() -> dict[str, str]:
         "op6_decontamination": decontaminate.oracle(),
         "op8_sharding": sharding.oracle(),
         "op9_line_dedup": line_dedup.oracle(),
+        "op10_chat_formatting": quotes.oracle(),
     }

@@ -305,13 +305,18 @@ def all_spans(texts: list[bytes], w: np.ndarray, trans: np.ndarray) -> Iterator[
     for raw, learned in zip(texts, field_spans(texts, w, trans), strict=True):
         text = raw.decode("utf-8", "replace")
         base = base_spans(text)
-        ends: list[tuple[int, int, int]] = []
+        more: list[tuple[int, int, int]] = []
+        byte = char = i = reached = 0  # both lists come by their start, so each is read once
         for a, kind, b in learned:
-            a = len(raw[:a].decode("utf-8", "replace"))
-            b = a + len(raw[len(text[:a].encode()) : b].decode("utf-8", "replace"))
-            if not any(x < b and a < y for x, _, y in base):
-                ends.append((a, kind, b))
-        yield base, sorted(base + ends)
+            char += len(raw[byte:a].decode("utf-8", "replace"))
+            start, byte = char, b
+            char += len(raw[a:b].decode("utf-8", "replace"))
+            while i < len(base) and base[i][0] < char:
+                reached = max(reached, base[i][2])
+                i += 1
+            if reached <= start:
+                more.append((start, kind, char))
+        yield base, sorted(base + more)
 
 
 def pieces(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -364,4 +369,4 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -131,7 +131,7 @@ def unpack(bitmap: bytes | None, n: int) -> np.ndarray:
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, keep_first: bool = False) -> DataFrame:
     """(id_hash, text_hash, n_lines, keep) for each distinct (id, text) that loses a line; ``keep`` is a zlib-packed bitmap, first line first.
 
-    Documents are counted by id: rows that repeat an id count once. Null text is one empty line, empty lines have no key,
+    Documents are counted by id: rows that repeat an id count once, and rows without an id are one document. Null text is one empty line, empty lines have no key,
     texts of any length are read whole. ``keep_first`` spares each key's first occurrence by id and position.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{id_col}`").alias("id_hash"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").alias("text"))

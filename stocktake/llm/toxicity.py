@@ -21,6 +21,8 @@ from .shingles import LOWER, mixed
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 #: The network is fitted on at most so many labelled toxic rows and twice as many clean ones, the first by a hash of the id.
 SAMPLE = 600
+#: Texts of more characters are scored whole like all others, but not learned from, so what reaches the driver is bounded.
+LONGEST = 16_384
 #: Words in a window and between windows' starts.
 WINDOW, STRIDE = 16, 8
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, ATTEND = 1 << 13, 1 << 13, 8, 8, 8
@@ -275,15 +277,15 @@ def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[list[bytes], list[int]]:
-    """At most ``sample`` toxic texts and twice as many clean ones, none held out; only they reach the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> tuple[list[bytes], list[int]]:
+    """At most ``sample`` toxic texts and twice as many clean ones, none held out and none over ``longest``; only they reach the driver."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("label"))
     picked = None
     for value in (1, 0):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64(key), key).limit(sample if value else 2 * sample)
         picked = part if picked is None else picked.unionByName(part)
     picked = picked.withColumnRenamed(key, "__key")
-    rows = docs.select(key, text).join(F.broadcast(picked), F.col(key) == F.col("__key")).groupBy(key).agg(F.max(text).alias("text"), F.max("label").alias("label")).orderBy(key).collect()
+    rows = docs.select(key, text).where(F.coalesce(F.length(text), F.lit(0)) <= longest).join(F.broadcast(picked), F.col(key) == F.col("__key")).groupBy(key).agg(F.max(text).alias("text"), F.max("label").alias("label")).orderBy(key).collect()
     return [(r["text"] or "").encode() for r in rows], [r["label"] for r in rows]
 
 

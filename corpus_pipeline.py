@@ -13,6 +13,10 @@ from stocktake.llm import decontaminate, jaccard_join, mixing, sharding, toxicit
 from stocktake.llm.common import stored, table
 
 
+#: So many keys of repeated rows are broadcast at most.
+BROADCAST_KEYS = 100_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the cut. Texts without words score 0 and stay."""
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).where(F.col("score") < toxicity.CUT).select(*docs.columns)
@@ -21,17 +25,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that similar texts join, the one with the smallest id (null ids last). Documents without words all stay.
 
-    Where ids repeat or are null, rows are told apart by their id, text and other columns, and equal rows count once.
+    Rows are told apart by their id, text and other columns; of rows equal in all of them one stays.
     """
-    columns, key = docs.columns, "doc_id"
-    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        key = "__key"
-        rest = [F.col(c) for c in columns if c not in ("doc_id", "text")]
-        docs = docs.distinct().withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(F.lit(0), *rest).alias("rest")))
-    found = jaccard_join.join_similar(docs, key)
-    # Only ids that go are looked up: the others' rows need no partner.
-    gone = found.where("n_shingles > 0 AND component_id <> id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__id"), "left_anti").select(*columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(F.lit(0), *rest).alias("rest"))
+    docs = docs.withColumn("__key", key)
+    found = jaccard_join.join_similar(docs, "__key").where("n_shingles > 0").groupBy("id").agg(F.bool_or(F.col("component_id") != F.col("id")).alias("gone"), F.count("*").alias("n"))
+    found = stored(found.where("gone OR n > 1").select(F.col("id").alias("__id"), "gone"))
+    twice = found.where("NOT gone")
+    # Rows that go or repeat are looked up; the others need no partner. Repeated ones are few as a rule, and then they travel, not the texts.
+    once = docs.join(found, F.col("__key") == F.col("__id"), "left_anti").select(*columns)
+    again = docs.join(F.broadcast(twice) if twice.count() <= BROADCAST_KEYS else twice, F.col("__key") == F.col("__id"), "left_semi").select(*columns).distinct()
+    return once.unionByName(again)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself on small tables that hold nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -178,6 +179,43 @@ def test_jaccard_join_matches_brute_force(spark, block):
     assert rows(jaccard_join.join_similar(docs, block=block), "id", "n_shingles", "component_id", "n_links") == sorted(plain_jaccard(texts), key=str)
 
 
+def test_jaccard_join_of_large_groups_and_frequent_tokens(spark, monkeypatch):
+    rng = random.Random(12)
+    base = words_text(rng, 150, 10_000).split()
+    texts = []
+    for _ in range(500):  # one chain of near copies over many sizes; all of them share their first words
+        other = base[: rng.randrange(36, 140)]
+        for _ in range(rng.randrange(3)):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(other))
+    texts += [" ".join(base[:40])] * 30
+    docs = make_docs(spark, texts)
+    own = docs.select(F.xxhash64("doc_id").alias("idh"), F.xxhash64("text").alias("th"), "text")
+    assert jaccard_join.frequent_tokens(own, len(texts)).count() > 5
+    got = rows(jaccard_join.join_similar(docs, block=32), "id", "n_shingles", "component_id", "n_links")
+    assert got == sorted(plain_jaccard(texts), key=str)
+    monkeypatch.setattr(jaccard_join, "LEAST", 1 << 30)  # no token is known as frequent: the same result
+    assert rows(jaccard_join.join_similar(docs, block=100), "id", "n_shingles", "component_id", "n_links") == got
+
+
+def test_filters_of_a_tile_lose_no_pair():
+    rng = np.random.default_rng(3)
+    for size in (3, 40):
+        pool = np.unique(rng.integers(0, 2**63, 90, dtype=np.uint64)).view(np.int64)
+        sets = [np.sort(rng.choice(pool, rng.integers(1, size), replace=False).view(np.uint64)).view(np.int64) for _ in range(30)]
+        sets += [np.sort(np.delete(x, [0]).view(np.uint64)).view(np.int64) for x in sets if len(x) > 1] + [x[: -(len(x) // 5) or None] for x in sets]
+        want = [[100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y)) for y in sets] for x in sets]
+        assert (jaccard_join.linked_pairs(sets, sets, 75) == np.array(want)).all()
+        sparse = [jaccard_join.linked_pairs([x], sets, 75)[0] for x in sets]
+        assert (np.array(sparse) == np.array(want)).all()
+
+
+def test_jaccard_join_of_repeats_nulls_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 1), (1, "a b c d e f g", 1), (None, "a b c d e f g", 2), (None, None, 3), (2, " ", 4), (3, "q", 5)], "doc_id long, text string, cls int").withColumns({"id": F.lit("i"), "n": F.lit(1), "token": F.lit(2), "doc": F.lit(3), "g": F.lit(4)})
+    got = rows(jaccard_join.join_similar(docs), "id", "n_shingles", "component_id", "n_links")
+    assert got == sorted([(1, 3, 1, 2), (1, 3, 1, 2), (None, 3, 1, 2), (None, 0, None, 0), (2, 0, 2, 0), (3, 1, 3, 0)], key=str)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join_similar(make_docs(spark, []).limit(0)).count() == 0
 
@@ -219,6 +257,34 @@ def test_mix_reaches_targets_within_one_document(spark):
     assert taken.columns == docs.columns and taken.count() == sum(r["copies"] for r in mixing.mix(docs.select("doc_id", F.xxhash64("text").alias("h"), "source", "text"), ["doc_id", "h"]).collect())
 
 
+def test_rows_that_differ_elsewhere_are_taken_together(spark):
+    schema = "doc_id long, text string, source string, m int, copies int, lang string"
+    rows_ = [(1, "a b c d", "s", 1, 1, "en"), (1, "a b c d", "s", 1, 1, "de"), (1, "a b c d", "s", 1, 1, "de")] + [(2 + i, "p q r s", "t", 5, 6, None) for i in range(6)] + [(None, None, None, 1, 1, None), (None, "x y", None, 2, 2, "en"), (None, "x y z", None, 2, 2, "en")]
+    docs = spark.createDataFrame(rows_, schema)
+    out = mixing.take(docs)
+    assert out.columns == docs.columns and mixing.take(docs.limit(0)).count() == 0
+    got = [tuple(r) for r in out.collect()]
+    for key in {r[:3] for r in rows_}:
+        m, n = sum(r[:3] == key for r in rows_), sum(r[:3] == key for r in got)
+        assert n <= 2 * m
+    granted = {(r["key"]["doc_id"], r["key"]["hash"], r["source"]): r["copies"] for r in mixing.mix(docs.withColumn("hash", F.xxhash64("text")).drop("m", "copies"), ["doc_id", "hash"]).collect()}
+    counted = {(r["doc_id"], r["h"], r["source"]): r["count"] for r in out.groupBy("doc_id", F.xxhash64("text").alias("h"), "source").count().collect()}
+    assert counted == {k: v for k, v in granted.items() if v}
+    per = [sum(r == x for r in got) / rows_.count(x) for x in set(rows_) if x[0] == 1]
+    assert max(per) - min(per) <= 1 and max(per) <= 2
+
+
+def test_mix_agrees_with_sql_on_sizes(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(13)
+    texts = [words_text(rng, rng.randrange(0, 30)) + rng.choice(["", " ", "\t\n", "é\u00a0x"]) for _ in range(200)] + [None, ""]
+    docs = make_docs(spark, texts, [rng.choice("abcde") for _ in texts])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["size"], r["source_size"]) for r in mixing.op4_mixing(spark, str(tmp_path)).collect()}
+    sql = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM '{tmp_path}/documents.parquet/*.parquet') SELECT doc_id, size, sum(size) OVER (PARTITION BY source) FROM d"""
+    assert got == {i: (n, total) for i, n, total in duckdb.sql(sql).fetchall()}
+
+
 def test_pivot_keeps_words_and_expectation():
     sizes = [random.Random(5).randrange(1, 50) for _ in range(40)]
     mean = np.zeros(40)
@@ -260,6 +326,14 @@ def test_line_dedup_matches_a_plain_count(spark, keep_first):
     assert line_dedup.with_bitmaps(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeats_null_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "shared\nown %d" % i, "k") for i in range(9)] + [(None, "shared\nx", "k"), (None, "shared", "k"), (0, "shared\nown 0", "k"), (None, None, "k")], "doc_id long, text string, keep string").withColumns({"h1": F.lit(1), "positions": F.lit(2), "n_lines": F.lit(3), "id": F.lit("i")})
+    out = line_dedup.with_bitmaps(docs)
+    got = [line_dedup.kept_text(r["text"] and r["text"].encode(), r["keep"])[2] for r in out.collect()]
+    assert sorted(out.columns) == sorted(docs.columns) and len(got) == 13 and not any(b"shared" in t for t in got)  # nine ids and the rows without one: ten documents
+    assert any(b"shared" in (r["text"] or "").encode() and r["keep"] is None for r in line_dedup.with_bitmaps(docs.where("doc_id > 0 OR doc_id IS NULL")).collect())
+
+
 # Personal data.
 
 
@@ -295,6 +369,46 @@ def test_field_finds_secrets_and_leaves_clean_text_alone(spark):
     assert [(s["kind"], s["start"], s["end"]) for s in got[5]["base_spans"]] == [(pii.KINDS[k], a, b) for a, k, b in plain_spans(texts[5])]
 
 
+def test_decoding_is_the_best_of_all_paths():
+    rng = np.random.default_rng(16)
+    w, trans = rng.standard_normal((3, len(pii.BITS) + 1, 4)), rng.standard_normal((4, 4))
+    for lead in (0.0, 4.0):  # a large lead of O makes lines that are skipped
+        w[0, 0, 0] = lead
+        code = rng.integers(0, 1 << len(pii.BITS), 60)
+        size = np.array([1, 5, 4, 1, 5, 2, 5, 3, 5, 4, 5, 5, 5, 5, 5])
+        begin = np.cumsum(size) - size
+        got = pii.decode(code, begin, size, w, trans)
+        for b, n in zip(begin.tolist(), size.tolist(), strict=True):
+            f = pii.features(code[b : b + n])
+            own = f @ w[0] + np.vstack([np.zeros(4), f[:-1] @ w[1]]) + np.vstack([f[1:] @ w[2], np.zeros(4)])
+            score = lambda path, own=own: sum(own[i, t] for i, t in enumerate(path)) + sum(trans[x, y] for x, y in zip(path, path[1:], strict=False))
+            best = max(itertools.product(range(4), repeat=n), key=score)
+            assert score(got[b : b + n].tolist()) >= score(best) - 1e-3
+
+
+def test_field_on_a_table_that_it_has_not_seen():
+    w, trans = pii.train(pii.labelled_table())
+    rows_ = pii.labelled_table(seed=99, copies=30)
+    found = pii.field_spans([t.encode() for t, _ in rows_], w, trans)
+    want = [{(pii.LEARNED.index(k), a, b) for k, a, b in spans} for _, spans in rows_]
+    touch = lambda s, of: any(s[0] == k and s[1] < b and a < s[2] for k, a, b in of)
+    recall = sum(touch(s, [(k, a, b) for a, k, b in f]) for f, of in zip(found, want, strict=True) for s in of) / sum(map(len, want))
+    precision = sum(touch((k, a, b), of) for f, of in zip(found, want, strict=True) for a, k, b in f) / sum(map(len, found))
+    assert recall >= 0.9 and precision >= 0.95, (recall, precision)
+
+
+def test_learned_spans_in_texts_of_many(spark):
+    line = 'é token = "0641917ea4e9feb9cda83477b57ac2654884f485" then mail ü.42@mail8.example.com and password=5aaa9ac60bfe74b24b 日本\n'
+    docs = spark.createDataFrame([(1, line * 400, "a", 1), (2, None, "b", 2), (2, None, "b", 2)], "doc_id long, text string, kind string, start int").withColumns({"spans": F.lit(1), "base_spans": F.lit("x")})
+    out = pii.find_personal_data(docs)
+    got = sorted(out.collect(), key=lambda r: r["doc_id"])
+    spans = got[0]["spans"]
+    assert len(got) == 3 and set(out.columns) == set(docs.columns) and not got[1]["spans"] and got[0]["kind"] == "a"
+    assert [s["kind"] for s in spans] == ["secret", "email", "secret"] * 400
+    assert all((line * 400)[s["start"] : s["end"]].strip("\"").endswith(("f485", "example.com", "b24b")) for s in spans)
+    assert pii.find_personal_data(docs.limit(0)).count() == 0
+
+
 # Toxicity.
 
 
@@ -315,6 +429,42 @@ def test_gradients_agree_with_differences():
         assert abs((up - down) / 2e-2 - g.ravel()[i]) < 1e-3
 
 
+def test_scores_equal_a_plain_forward_pass():
+    text = b"You are an idiot, my friend. I said that many times, and today I say it once more to all of you here now and then"
+    words = toxicity.Words([text, b"one"])
+    start, size, of = words.windows()
+    p = toxicity.new_network(5)
+    got = toxicity.score_windows(p, words, start, size)
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    x, _, _ = words.embed(p)
+    h = toxicity.HIDDEN
+    for k, (st, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True)):
+        inputs, sides = x[words.ids[st : st + n]].astype(np.float64), []
+        for side in "fb":
+            state, states = np.zeros(h), []
+            for v in inputs if side == "f" else inputs[::-1]:
+                g, u = v @ p[f"in_{side}"] + p[f"bias_{side}"], state @ p[f"rec_{side}"]
+                z, r = squash(g[:h] + u[:h]), squash(g[h : 2 * h] + u[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :])
+                states.append(state)
+            sides.append(states if side == "f" else states[::-1])
+        both = np.hstack([np.array(s) for s in sides])
+        att = np.exp(np.tanh(both @ p["att"] + p["att_b"]) @ p["att_v"])
+        assert abs(squash((att / att.sum()) @ both @ p["out"] + p["out_b"][0]) - got[k]) < 1e-5
+    assert toxicity.score_texts(p, [text, b"one", None]).tolist() == [max(got[of == 0]), max(got[of == 1]), 0]
+
+
+def test_toxicity_of_repeats_nothing_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "all is well here", "a"), (1, "all is well here", "a"), (None, None, "b"), (3, "you zorgaba", "c")], "doc_id long, text string, score string").withColumns({"label": F.lit(1), "toxic": F.lit(1), "__k": F.lit(2)})
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    for lab in (labels, labels.limit(0), labels.where("toxic = 1")):
+        got = toxicity.score_toxicity(docs, lab).collect()
+        assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+    long = docs.withColumn("text", F.repeat(F.lit("word "), F.lit(10_000)))
+    assert toxicity.training_rows(long, labels) == ([], [])
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(7)
     bad = ["zorgaba", "zorgelo", "zorgimi", "vilefut", "vilekam"]
@@ -357,6 +507,51 @@ def test_embedding_links_match_brute_force(spark):
     assert embedding_dedup.dedup_embeddings(empty).count() == 0
 
 
+def brute_links(table, least=0.93):
+    """id -> linked ids, of rows (id, vector, label)."""
+    out = {i: set() for i, _, _ in table}
+    fine = [(i, np.array(v, np.float64) / np.abs(v).max(), lab) for i, v, lab in table if lab is not None and v and any(v)]
+    for key in {(len(v), lab) for _, v, lab in fine}:
+        own = [(i, v / np.linalg.norm(v)) for i, v, lab in fine if (len(v), lab) == key]
+        x = np.array([v for _, v in own])
+        for a, b in np.argwhere(x @ x.T >= least).tolist():
+            if a != b:
+                out[own[a][0]].add(own[b][0])
+    return out
+
+
+def scattered(rng, n, d, groups, spread):
+    base = rng.standard_normal((groups, d))
+    return base[rng.integers(0, groups, n)] + rng.standard_normal((n, d)) * spread[rng.integers(0, len(spread), n)][:, None]
+
+
+@pytest.mark.parametrize("how", [{"lists": 16, "more": 12}, {"lists": 120, "more": 1}, {"lists": 60, "exact": True}])
+def test_recall_with_more_lists_than_probes(spark, how):
+    rng = np.random.default_rng(14)
+    vectors = scattered(rng, 4000, 64, 1300, np.array([0.05, 0.2, 0.27]))
+    table = [(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)]
+    links = brute_links(table)
+    got = {r["id"]: r for r in embedding_dedup.dedup_embeddings(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int"), **how).collect()}
+    total = sum(map(len, links.values()))
+    found = sum(r["n_links"] for r in got.values())
+    assert total > 3000 and all(got[i]["n_links"] <= len(links[i]) for i in links)
+    assert found == total if "exact" in how else found >= 0.97 * total
+
+
+def test_vectors_of_many_lengths_sizes_and_clashing_columns(spark):
+    rng = np.random.default_rng(15)
+    table = []
+    for d in (1, 2, 7, 32, 700):
+        table += [(len(table) + k, [float(x) for x in v], 1) for k, v in enumerate(scattered(rng, 12, d, 4, np.array([0.1])))]
+    for v in ([2e200, 0.0], [1e200, 0.0], [1e-200, 0.0], [3e-320, 0.0], [0.0, 1e-300]):
+        table.append((len(table), v, 2))
+    table += [(len(table) + k, [1.0] * (k + 40), 3) for k in range(1200)]
+    links = brute_links(table)
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").withColumns({"cls": F.lit(1), "vec": F.lit("v"), "cell": F.lit(2), "d": F.lit(3), "id": F.lit("i"), "home": F.lit(4)})
+    got = {r["id"]: r["n_links"] for r in embedding_dedup.dedup_embeddings(df).collect()}
+    assert got == {i: len(x) for i, x in links.items()} and sum(got.values()) > 60
+
+
 def test_near_copies_with_repeated_and_null_ids(spark):
     import corpus_pipeline
 
@@ -396,5 +591,68 @@ def test_short_quotes_link_last(spark):
     assert [got[1, t] for t in (3, 4, 5, 7, 8)] == [(0, 0, 1), (1, 1, 1), (2, 2, 1), (0, 0, 1), (None, 8, 0)] and got[2, 0] == (None, 0, 0)
 
 
+def plain_quotes(talk):
+    """(conv_id, turn) -> (reply_to, root_turn, depth, n_quoted, n_linked, text), message by message."""
+    norm = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    parsed = {}
+    for conv, turn, _, text in talk:
+        parts = []
+        for line in re.split(r"\r?\n", text or ""):
+            mark = re.match(r"[ \t]*(?:>[ \t]?)+", line)
+            level, body = (mark[0].count(">"), line[mark.end() :]) if mark else (0, line)
+            if parts and parts[-1][0] == level:
+                parts[-1][1].append(body)
+            else:
+                parts.append((level, [body]))
+        parsed[conv, turn] = parts
+    units = lambda lines: [(r, n) for r, n in [(0, norm(" ".join(lines))), *((1, norm(x)) for x in lines)] if n]
+    said, out, reply = {}, {}, {}
+    for (conv, turn), parts in parsed.items():
+        for level, lines in parts:
+            for _, n in units(lines) if not level else ():
+                said[conv, n] = min(turn, said.get((conv, n), turn))
+    for (conv, turn), parts in parsed.items():
+        met = [(len(n) < quotes.LEAST_CHARS, level, r, -said[conv, n], n) for level, lines in parts if level for r, n in units(lines) if said.get((conv, n), turn) < turn]
+        reply[conv, turn] = -min(met)[3] if met else None
+        text = "\n".join(x for level, lines in parts if not level for x in lines).strip(" \t\r\n")
+        out[conv, turn] = [sum(level > 0 for level, _ in parts), len({m[4] for m in met}), text]
+    for conv, turn in out:
+        root, depth = turn, 0
+        while reply[conv, root] is not None:
+            root, depth = reply[conv, root], depth + 1
+        out[conv, turn] = (reply[conv, turn], root, depth, *out[conv, turn])
+    return out
+
+
+def test_quotes_equal_a_plain_reading_and_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(21)
+    talk = []
+    for conv in range(40):
+        said = []
+        for turn in range(rng.randrange(1, 12)):
+            lines = []
+            for _ in range(rng.randrange(1, 4)):
+                old = rng.choice(said) if said else []
+                if old and rng.random() < 0.6:
+                    a = rng.randrange(len(old))
+                    lines += [f"{rng.choice(['> ', '>', ' > '])}{x}" for x in old[a : a + rng.randrange(1, 4)]]
+                if rng.random() < 0.8:
+                    lines.append(rng.choice(["ok", "Yes, it does.", "", "...", "同意", words_text(rng, rng.randrange(1, 6), 9)]))
+            said.append(lines)
+            talk.append((conv, turn, "user", rng.choice(["\n", "\r\n"]).join(lines) if lines else None))
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    columns = ("reply_to", "root_turn", "depth", "n_quoted", "n_linked", "text")
+    got = {(r["conv_id"], r["turn"]): tuple(r[c] for c in columns) for r in quotes.op10_chat_formatting(spark, str(tmp_path)).collect()}
+    want = plain_quotes(talk)
+    assert got == want and sum(v[0] is not None for v in want.values()) > 60 and max(v[2] for v in want.values()) > 1
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = con.sql(quotes.oracle())
+    at = [rel.columns.index(c) for c in ("conv_id", "turn", *columns)]
+    assert {tuple(r[i] for i in at[:2]): tuple(r[i] for i in at[2:]) for r in rel.fetchall()} == want
+
+
 def test_digest_of_nothing_is_the_empty_digest():
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(line_dedup.kept_text(None, None)[2]).hexdigest()

@@ -9,51 +9,67 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark")
 
 VIEWS = {
+    "fx_content": """
+SELECT d.doc_id, coalesce(o.n_chars, d.n_chars) AS size, coalesce(o.text, d.text) AS text
+FROM documents d LEFT JOIN documents o ON d.doc_id % 4 = 3 AND d.doc_id % 5 < 2 AND o.doc_id = CAST(floor(d.doc_id / 16) AS BIGINT) * 16 + 3""",
     "fx_catalog": """
 SELECT concat('set', CAST(CAST(floor(doc_id/4) AS BIGINT) AS STRING)) AS set_name,
-       CAST(floor(doc_id/4) AS BIGINT) AS set_ord, doc_id AS item_ord,
+       CAST(floor(doc_id/4) AS BIGINT) AS set_ord, doc_id % 4 AS item_ord,
        concat(CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE 'd' END, CAST(doc_id AS STRING), '.txt') AS item_name,
-       n_chars AS size, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE md5(text) END AS md5,
+       size, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE md5(text) END AS md5,
        CASE WHEN doc_id % 17 = 0 THEN 'nodump' WHEN doc_id % 29 = 0 THEN 'baddump' ELSE 'good' END AS dump_status,
        doc_id % 19 = 0 AS optional
-FROM documents""",
+FROM fx_content""",
     "fx_sets": """
 SELECT set_ord, concat('set', CAST(set_ord AS STRING)) AS set_name,
-       concat('Title ', CAST(CAST(floor(set_ord/4) AS BIGINT) AS STRING), CASE set_ord % 4 WHEN 0 THEN ' (World)' WHEN 1 THEN ' (USA, Europe)' WHEN 2 THEN ' (Japan 940302)' ELSE ' (Prototype)' END) AS description,
+       concat('Title ', CAST(CAST(floor(set_ord/4) AS BIGINT) AS STRING), CASE set_ord % 12 WHEN 0 THEN ' (World)' WHEN 1 THEN ' (USA, Europe)' WHEN 2 THEN ' (Japan 940302)' WHEN 3 THEN ' (Prototype)' WHEN 4 THEN ' (USA) (En,Fr,De)' WHEN 5 THEN ' (Europe) (Rev B) (Beta 2)'
+         WHEN 6 THEN ' (Japan) (Ja)' WHEN 7 THEN ' (Korea, USA) (Unl)' WHEN 8 THEN ' (Brazil) (Demo)' WHEN 9 THEN ' (Unknown) (v1.2)' WHEN 10 THEN ' (Australia) (Wii) (Other)' ELSE ' (Germany, France) (De,Fr) (Sample)' END) AS description,
        CASE WHEN set_ord % 4 = 0 THEN NULL ELSE concat('set', CAST(set_ord - set_ord % 4 AS STRING)) END AS clone_of,
        CASE WHEN set_ord = 0 THEN NULL ELSE concat('set', CAST(CAST(floor(set_ord/2) AS BIGINT) AS STRING)) END AS rom_of,
-       set_ord IN (1, 2) AS is_bios
+       set_ord IN (1, 2) AS is_bios, set_ord % 31 = 5 AS is_device, set_ord % 10 = 4 AS has_disk, set_ord % 12 = 1 AS has_samples,
+       CASE WHEN set_ord % 7 <> 0 THEN CAST(1980 + set_ord % 20 AS STRING) END AS year, CASE WHEN set_ord % 11 <> 0 THEN concat('Maker ', CAST(set_ord % 13 AS STRING)) END AS manufacturer,
+       CASE set_ord % 5 WHEN 0 THEN 'z80, ay8910' WHEN 1 THEN 'm68000,ym2151 , m6502' WHEN 2 THEN 'screen' ELSE '' END AS device_refs,
+       CASE WHEN set_ord % 6 = 2 THEN 'Zilog Z80, Other' END AS cpu_chips, CASE WHEN set_ord % 6 IN (2, 3) THEN 'Some Sound' END AS audio_chips,
+       CASE WHEN set_ord % 10 = 4 THEN concat('disk', CAST(set_ord AS STRING), CASE WHEN set_ord % 20 = 4 THEN ', more' ELSE '' END) END AS disk_names,
+       CASE set_ord % 5 WHEN 0 THEN 'good' WHEN 1 THEN 'imperfect' WHEN 2 THEN 'preliminary' WHEN 3 THEN 'odd' END AS driver_status,
+       CASE WHEN set_ord % 3 = 0 THEN 'raster' WHEN set_ord % 3 = 1 THEN 'vector' END AS display_type, CASE set_ord % 8 WHEN 0 THEN '0' WHEN 1 THEN '90' WHEN 2 THEN '180' WHEN 3 THEN '270' WHEN 4 THEN '45' END AS display_rotate,
+       CASE WHEN set_ord % 4 < 3 THEN CAST(set_ord % 4 + 1 AS STRING) END AS players, CASE WHEN set_ord % 6 < 4 THEN CAST(set_ord % 6 AS STRING) END AS coins
 FROM (SELECT DISTINCT CAST(floor(doc_id/4) AS BIGINT) AS set_ord FROM documents) s""",
     "fx_inventory": """
 WITH base AS (
-  SELECT doc_id, CAST(floor(doc_id/4) AS BIGINT) AS set_ord, n_chars, text FROM documents WHERE doc_id % 11 <> 0),
+  SELECT doc_id, CAST(floor(doc_id/4) AS BIGINT) AS set_ord, size, text, doc_id % 6 = 1 AND doc_id % 13 <> 0 AS headed FROM fx_content WHERE doc_id % 11 <> 0),
 placed AS (
   SELECT *, 0 AS copy FROM base
   UNION ALL SELECT *, 1 AS copy FROM base WHERE set_ord % 5 = 0)
 SELECT concat('/r', CAST((set_ord + copy) % 3 AS STRING)) AS root,
-       concat('/r', CAST((set_ord + copy) % 3 AS STRING), '/', CASE WHEN set_ord % 23 = 0 THEN 'w' ELSE 'set' END, CAST(set_ord AS STRING), '.zip') AS path,
+       concat('/r', CAST((set_ord + copy) % 3 AS STRING), CASE WHEN set_ord % 7 = 0 THEN '/sub/' ELSE '/' END, CASE WHEN set_ord % 23 = 0 THEN 'w' ELSE 'set' END, CAST(set_ord AS STRING), '.zip') AS path,
        concat('d', CAST(doc_id AS STRING), '.txt') AS entry_name,
-       CASE WHEN doc_id % 13 = 0 THEN n_chars + 1 ELSE n_chars END AS size,
-       CASE WHEN doc_id % 13 = 0 THEN md5(concat(text, '!')) ELSE md5(text) END AS md5
+       CASE WHEN doc_id % 13 = 0 THEN size + 1 WHEN headed THEN size + 4 ELSE size END AS size,
+       CASE WHEN doc_id % 13 = 0 THEN md5(concat(text, '!')) WHEN headed THEN md5(concat('head', text)) ELSE md5(text) END AS md5,
+       CASE WHEN headed THEN size END AS s_size, CASE WHEN headed THEN md5(text) END AS s_md5
 FROM placed
 UNION ALL
 SELECT '/r0' AS root, concat('/r0/b', CAST(item_id AS STRING), '.txt') AS path, concat('b', CAST(item_id AS STRING), '.txt') AS entry_name,
-       CAST(length(text) AS BIGINT) AS size, md5(text) AS md5 FROM benchmark""",
+       CAST(length(text) AS BIGINT) AS size, md5(text) AS md5, CAST(NULL AS BIGINT) AS s_size, CAST(NULL AS STRING) AS s_md5 FROM benchmark
+UNION ALL
+SELECT '/r2' AS root, concat('/r2/zz', CAST(item_id AS STRING), '.zip') AS path, 'z.bin' AS entry_name,
+       CAST(length(text) AS BIGINT) + 2 AS size, md5(concat('zz', text)) AS md5, CAST(NULL AS BIGINT) AS s_size, CAST(NULL AS STRING) AS s_md5 FROM benchmark""",
     "fx_audit": """
 SELECT user_id AS system_id, event_id AS row_ord,
-       CASE WHEN event_type = 'click' THEN NULL ELSE concat('set', CAST(event_id % 500 AS STRING)) END AS set_name,
-       CASE event_type WHEN 'signup' THEN 'correct' WHEN 'view' THEN 'incorrect' WHEN 'error' THEN 'badDump' WHEN 'purchase' THEN 'missing' ELSE 'unknownFile' END AS status,
+       CASE WHEN event_type = 'click' THEN NULL ELSE concat('set', CAST(CAST(floor(event_id / 8) AS BIGINT) AS STRING)) END AS set_name,
+       CASE WHEN event_type = 'click' THEN 'unknownFile' WHEN floor(event_id / 8) % 6 = 0 THEN 'correct' WHEN floor(event_id / 8) % 6 = 1 THEN CASE WHEN event_id % 8 < 4 THEN 'incorrect' ELSE 'correct' END WHEN floor(event_id / 8) % 6 = 2 THEN 'missing'
+         WHEN event_type = 'signup' THEN 'correct' WHEN event_type = 'view' THEN 'incorrect' WHEN event_type = 'error' THEN 'badDump' WHEN event_type = 'purchase' THEN 'missing' ELSE 'unverifiable' END AS status,
        event_id % 9 = 0 AS is_disk, event_id % 12 = 0 AS is_optional,
-       CASE WHEN event_type = 'purchase' THEN NULL ELSE concat('/r', CAST(event_id % 3 AS STRING), '/set', CAST(event_id % 500 AS STRING), '.zip') END AS path, ts AS scanned_at
+       CASE WHEN event_type = 'purchase' THEN NULL ELSE concat('/r', CAST(event_id % 3 AS STRING), '/set', CAST(CAST(floor(event_id / 8) AS BIGINT) AS STRING), '.zip') END AS path, ts AS scanned_at
 FROM events""",
     "fx_prev": """
 SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 1 THEN 'missing' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 10 <> 0""",
     "fx_next": """
 SELECT o_orderkey AS key, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 <> 2""",
     "fx_name_catalog": """
-SELECT DISTINCT concat(p_name, ' (USA)') AS set_name FROM part""",
+SELECT concat(p_name, ' ', CAST(p_partkey AS STRING), ' (USA)') AS set_name, CAST((p_partkey * 7919) % 1000003 AS BIGINT) AS size FROM part""",
     "fx_name_local": """
-SELECT DISTINCT concat(substring(p_name, 1, 3), substring(p_name, 5, 100), ' (USA).zip') AS local_name FROM part""",
+SELECT concat(substring(p_name, 1, 3), substring(p_name, 5, 100), ' ', CAST(p_partkey AS STRING), ' (USA).zip') AS local_name, CAST((p_partkey * 7919) % 1000003 + CASE WHEN p_partkey % 3 = 0 THEN 600 ELSE 16 END AS BIGINT) AS size FROM part""",
     "fx_components": """
 SELECT p_partkey AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part
 UNION SELECT p_partkey AS src, CAST(floor(p_partkey / 5) AS BIGINT) AS dst FROM part""",
@@ -66,8 +82,23 @@ SELECT concat('/r', CAST(s_suppkey % 2 AS STRING), '/disk', CAST(s_suppkey % 75
     "fx_titles": """
 SELECT concat('Game ', CAST(p_partkey AS STRING), ' [0100', lpad(hex(CAST(p_partkey * 8192 + CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 2048 ELSE 4097 END AS BIGINT)), 12, '0'), '][v', CAST((p_size % 4) * 65536 AS STRING), '].nsp') AS file_name,
        CAST(p_partkey * 10 AS BIGINT) AS size FROM part""",
+    "fx_machines": """
+SELECT i AS set_ord, concat('m', CAST(i AS STRING)) AS set_name, CASE WHEN i % 3 <> 0 THEN concat('m', CAST(i - i % 3 AS STRING)) END AS clone_of,
+       CASE WHEN i % 30 = 0 THEN NULL WHEN i % 3 <> 0 THEN concat('m', CAST(i - i % 3 AS STRING)) ELSE concat('m', CAST(i - i % 30 AS STRING)) END AS rom_of,
+       i % 30 = 0 AS is_bios, i % 30 = 29 AS is_device, CASE WHEN i % 6 = 3 THEN concat('m', CAST(i - i % 30 + 29 AS STRING)) END AS ref
+FROM (SELECT DISTINCT CAST(floor(p_partkey / 4) AS BIGINT) AS i FROM part) s""",
+    "fx_parts": """
+SELECT concat('m', CAST(s AS STRING)) AS set_name, item_ord, CASE item_ord WHEN 0 THEN concat('own', CAST(s AS STRING)) WHEN 1 THEN concat('rom', CAST(s AS STRING)) WHEN 2 THEN 'common' ELSE 'same' END AS item_name,
+       CASE item_ord WHEN 2 THEN 10 + s % 2 WHEN 3 THEN 7 ELSE n END AS size, CASE item_ord WHEN 2 THEN concat('c', CAST(s % 2 AS STRING)) WHEN 3 THEN concat('f', CAST(CAST(floor(s / 3) AS BIGINT) AS STRING)) ELSE substring(md5(concat('p', CAST(k AS STRING))), 1, 8) END AS crc32,
+       CASE WHEN item_ord = 1 AND s % 3 <> 0 THEN concat('rom', CAST(s - s % 3 AS STRING)) END AS merge_name
+FROM (SELECT p_partkey AS k, p_partkey % 4 AS item_ord, CAST(floor(p_partkey / 4) AS BIGINT) AS s, CAST(p_size AS BIGINT) AS n FROM part) x""",
+    "fx_scan": """
+SELECT concat('/c', CAST(o_custkey AS STRING), '.zip') AS path, concat('e', CAST(o_orderkey AS STRING)) AS entry_path, o_orderkey AS size, o_orderdate AS mtime FROM orders""",
+    "fx_known": """
+SELECT concat('/c', CAST(o_custkey AS STRING), '.zip') AS path, concat('e', CAST(o_orderkey AS STRING)) AS entry_path, o_orderkey AS size, CASE WHEN o_custkey % 13 = 0 AND o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS mtime,
+       CASE WHEN o_custkey % 17 <> 0 THEN md5(CAST(o_orderkey AS STRING)) END AS md5 FROM orders WHERE o_custkey % 10 <> 0""",
     "fx_roots": """
-SELECT * FROM (VALUES ('/r0', 0), ('/r1', 1), ('/r2', 2)) AS t(root, root_ord)""",
+SELECT * FROM (VALUES ('/r0', 0), ('/r1', 1), ('/r2', 2), ('/r0/sub', 3)) AS t(root, root_ord)""",
 }
 
 
@@ -99,7 +130,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = with_views(f"SELECT * FROM {name}")
     args = {}
     for t in TABLES:
-        if re.search(rf"\bFROM {t}\b", sql):
+        if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
             args[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-            sql = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql)
+            sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **args)

@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; only a local session may leave that unset, it gets a folder of its own.
-
-    A plan that refers to a table k times holds its whole plan k times, so chains of such steps grow exponentially unless cut.
-    """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session may leave that unset, it gets a folder of its own."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stocktake-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, for a table or an export that is read again."""
+    return f"{shared_dir(spark)}/stocktake-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in ``spark.checkpoint.dir``.
+
+    A plan that refers to a table k times holds its whole plan k times, so chains of such steps grow exponentially unless cut.
+    """
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.paths import extension, stem
-from .match import first_file, scoped_pairs
+from .match import FILE, ITEM, compatible, f_prefixed, shared_hashes, with_scope
 
 #: Bytes that a header may add.
 HEADER_SIZES = (0, 16, 64, 128, 512)
@@ -18,14 +18,20 @@ def match_names(items: DataFrame, files: DataFrame, with_size: bool = False) ->
 
     A set of one item trusts the only entry of its container. ``with_size`` asks for the size, give or take a header.
     """
-    pairs = scoped_pairs(items, files)
-    alone = F.count("*").over(Window.partitionBy("path")) == 1
-    ok = (F.col("item_name") == F.col("entry_name")) | ((F.col("n_items") == 1) & alone)
+    hashes = shared_hashes(items, files)
+    left = items.withColumn("set_lc", F.lower("set_name")).join(items.groupBy(F.lower("set_name").alias("set_lc")).agg(F.count("*").alias("n_items")), "set_lc")
+    scope = with_scope(files).where("NOT junk")
+    alone = scope.groupBy("path").agg(F.count("*").alias("entries"))
+    right = scope.join(alone, "path").select(*FILE, "stem_lc", "in_container", "entries", *f_prefixed(hashes))
+    by_name = left.join(right, (F.col("set_lc") == F.col("stem_lc")) & (F.col("item_name") == F.col("entry_name")) & (F.col("in_container") | (F.col("n_items") == 1)))
+    single = left.where("n_items = 1").join(right.where("entries = 1"), (F.col("set_lc") == F.col("stem_lc")) & (F.col("item_name") != F.col("entry_name")))
+    rows = by_name.unionByName(single)
     if with_size:
-        ok &= (F.col("f_size") - F.col("size")).isin(*HEADER_SIZES)
-    rows = pairs.withColumn("ok", ok).where("ok")
-    best = rows.withColumn("any", F.bool_or("fits").over(Window.partitionBy("set_ord", "item_ord"))).where("fits OR NOT any")
-    return first_file(best)
+        rows = rows.where((F.col("f_size") - F.col("size")).isin(*HEADER_SIZES))
+    rows = rows.withColumn("fits", F.coalesce(compatible(hashes), F.lit(False)))
+    # One file for each item at most; of those that fit, and else of all, the first.
+    best = rows.groupBy(*ITEM).agg(F.min(F.when(F.col("fits"), F.struct(*FILE))).alias("fit"), F.min(F.struct(*FILE)).alias("any"))
+    return best.select(*ITEM, F.coalesce("fit", "any").alias("f")).select(*ITEM, "f.*")
 
 
 def match_aliases(local: DataFrame, catalog: DataFrame) -> DataFrame:

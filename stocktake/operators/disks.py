@@ -26,3 +26,8 @@ def leftover_disks(disks: DataFrame, files: DataFrame) -> DataFrame:
     taken = match_disks(disks, files).where("path IS NOT NULL").select("path")
     want = disks.where("sha1 IS NOT NULL").groupBy("sha1").agg(F.min_by("set_name", "ord").alias("owner"))
     return files.join(taken, "path", "left_anti").join(want, "sha1", "left").select("path", "owner", F.col("owner").isNotNull().alias("redundant"))
+
+
+def with_disks(audit: DataFrame, matched: DataFrame) -> DataFrame:
+    """``audit`` with a row for each matched disk; its counters then count them."""
+    return audit.unionByName(matched.select("set_name", F.col("disk_name").alias("item_name"), "status", "path", F.lit(True).alias("is_disk"), F.lit(False).alias("is_optional")), allowMissingColumns=True)

@@ -29,7 +29,7 @@ def component_items(sets: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def non_merged(sets: DataFrame, items: DataFrame) -> DataFrame:
-    """Own items, merged ones as the nearest ancestor (no base set) that has an item of that name spells them, and component items; of a name, the own one wins."""
+    """Own items, merged ones as the nearest ancestor (no base set) that has an item of that name spells them, and component items; of a name, the own one wins, and of several own ones the last."""
     no_base = sets.where("NOT is_bios").select(F.col("set_name").alias("ancestor"))
     above = ancestor_chain(sets).join(no_base, "ancestor")
     far = items.select(F.col("set_name").alias("ancestor"), F.col("item_name").alias("merge_name"), F.col("item_name").alias("a_name"), F.col("size").alias("a_size"), F.col("crc32").alias("a_crc"))
@@ -37,7 +37,7 @@ def non_merged(sets: DataFrame, items: DataFrame) -> DataFrame:
     merged = first_of(merged, ["set_name", "item_ord"], "depth").select("set_name", F.col("a_name").alias("item_name"), F.col("a_size").alias("size"), F.col("a_crc").alias("crc32"), "item_ord")
     own = items.join(merged.select("set_name", "item_ord"), ["set_name", "item_ord"], "left_anti").select(*OUT)
     parts = own.withColumn("rank_", F.lit(0)).unionByName(merged.withColumn("rank_", F.lit(1))).unionByName(component_items(sets, items).select(*OUT).withColumn("rank_", F.lit(2)))
-    return first_of(parts, ["set_name", "item_name"], "rank_", "item_ord").select(*OUT)
+    return first_of(parts, ["set_name", "item_name"], "rank_", F.desc("item_ord"), "crc32", "size").select(*OUT)
 
 
 def merged(sets: DataFrame, items: DataFrame) -> DataFrame:

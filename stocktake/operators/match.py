@@ -38,19 +38,34 @@ def prefixed(files: DataFrame, hashes: Sequence[str]) -> DataFrame:
     return files.select(*FILE, F.col("size").alias("f_size"), *[F.col(h).alias(f"f_{h}") for h in hashes])
 
 
+def identities(files: DataFrame) -> DataFrame:
+    """``files`` with a row for each identity: the whole content, and the content behind a header where there is one (``stripped``); via_strip tells them apart."""
+    if "stripped" not in files.columns:
+        return files.withColumn("via_strip", F.lit(False))
+    hashes = [h for h in HASHES if h in files.columns]
+    inner = files.schema["stripped"].dataType.fieldNames()
+    none = F.lit(None).cast("string")
+    whole = F.struct("size", *hashes, F.lit(False).alias("via_strip"))
+    behind = F.struct(F.col("stripped.size").cast(files.schema["size"].dataType).alias("size"), *[(F.col(f"stripped.{h}") if h in inner else none).alias(h) for h in hashes], F.lit(True).alias("via_strip"))
+    rest = [c for c in files.columns if c not in ("size", "stripped", "via_strip", *hashes)]
+    each = F.explode(F.when(F.col("stripped").isNotNull(), F.array(whole, behind)).otherwise(F.array(whole)))
+    return files.withColumn("__i", each).select(*rest, "__i.*")
+
+
 def candidates(items: DataFrame, files: DataFrame, by_size: bool = False) -> DataFrame:
     """Item-file pairs of the first key that hits: crc32, md5, sha1, at last the size. A hit of the wrong size still stops later keys.
 
-    One equi-join for each key; the pairs' least key number per item is a window over the item.
+    One equi-join for each key, over the items that no key before has hit. Files count by all their identities.
     """
     hashes = shared_hashes(items, files)
-    right = prefixed(files, hashes)
-    found = None
+    right = prefixed(identities(files), hashes)
+    found, left = None, items
     for prio, (key, other) in enumerate([(h, f"f_{h}") for h in hashes] + ([("size", "f_size")] if by_size else []), 1):
-        part = items.join(right, F.col(key) == F.col(other)).withColumn("prio", F.lit(4 if key == "size" else prio))
+        part = left.join(right, F.col(key) == F.col(other)).withColumn("prio", F.lit(4 if key == "size" else prio))
         found = part if found is None else found.unionByName(part)
-    best = F.min("prio").over(Window.partitionBy(*ITEM))
-    return found.withColumn("best", best).where("prio = best").drop("best").withColumn("hash_verified", F.col("prio") < 4)
+        # Items that a key has hit ask for no later one; a hit is a value that files have, so values meet, not rows.
+        left = left.join(right.select(F.col(other).alias(key)).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*items.columns)
+    return found.withColumn("hash_verified", F.col("prio") < 4)
 
 
 def verified_pairs(items: DataFrame, files: DataFrame, by_size: bool = False) -> DataFrame:
@@ -62,13 +77,13 @@ def with_scope(files: DataFrame) -> DataFrame:
 
 
 def scoped_pairs(items: DataFrame, files: DataFrame) -> DataFrame:
-    """Pairs of an item and a file of the container that is named like the item's set; a loose file only where the set has one item."""
-    scope = with_scope(files).where("NOT junk")
+    """Pairs of an item and a file of the container that is named like the item's set; a loose file only where the set has one item. fits: by any identity of the file."""
     hashes = shared_hashes(items, files)
-    right = scope.select(*FILE, F.col("size").alias("f_size"), *[F.col(h).alias(f"f_{h}") for h in hashes], "in_container", "stem_lc")
-    left = items.withColumns({"set_lc": F.lower("set_name"), "n_items": F.count("*").over(Window.partitionBy(F.lower("set_name")))})
+    right = with_scope(identities(files)).where("NOT junk").select(*FILE, *f_prefixed(hashes), "in_container", "stem_lc")
+    n = items.groupBy(F.lower("set_name").alias("set_lc")).agg(F.count("*").alias("n_items"))
+    left = items.withColumn("set_lc", F.lower("set_name")).join(n, "set_lc")
     pairs = left.join(right, (F.col("set_lc") == F.col("stem_lc")) & (F.col("in_container") | (F.col("n_items") == 1)))
-    return pairs.withColumn("fits", compatible(hashes))
+    return pairs.groupBy(*left.columns, *FILE, "in_container").agg(F.coalesce(F.bool_or(compatible(hashes)), F.lit(False)).alias("fits"))
 
 
 def fitting(left: DataFrame, right: DataFrame, hashes: Sequence[str], keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
@@ -96,15 +111,16 @@ def f_prefixed(hashes: Sequence[str]) -> list[Column]:
     return [F.col("size").alias("f_size"), *[F.col(h).alias(f"f_{h}") for h in hashes]]
 
 
-def elect_containers(items: DataFrame, files: DataFrame, recent: Column | None = None) -> DataFrame:
+def elect_containers(items: DataFrame, files: DataFrame, recent: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
     """(set_lc, path, satisfied): of the containers with a set's name, the one that satisfies most items, then one outside recently scanned roots, then the first.
 
     Contents of a set meet contents of its containers, so there are no more rows than items and files.
     """
     hashes = shared_hashes(items, files)
     n = items.groupBy(F.lower("set_name").alias("set_lc")).agg(F.count("*").alias("n_items"))
-    scope = with_scope(files).withColumn("recent", recent if recent is not None else F.lit(False)).where("NOT junk")
-    scope = scope.join(n, F.col("stem_lc") == F.col("set_lc")).where("in_container OR n_items = 1")
+    if scope is None:
+        scope = with_scope(identities(files)).withColumn("recent", recent if recent is not None else F.lit(False))
+    scope = scope.where("NOT junk").join(n, F.col("stem_lc") == F.col("set_lc")).where("in_container OR n_items = 1")
     wanted = items.groupBy(F.lower("set_name").alias("set_lc"), "size", *hashes).agg(F.count_distinct(F.struct(*ITEM)).alias("w"))
     held = scope.select("set_lc", "path", *f_prefixed(hashes)).distinct()
     met = fitting(wanted, held, hashes, ["set_lc"], ["path"]).distinct().groupBy("set_lc", "path").agg(F.sum("w").alias("satisfied"))
@@ -114,79 +130,99 @@ def elect_containers(items: DataFrame, files: DataFrame, recent: Column | None =
 
 
 class Pool:
-    """The free files of one claim group, by their hashes and by name; the first compatible one is found without going through the others."""
+    """The free files of one claim group, by their identities and by name; the first compatible one is found without going through the others."""
 
     def __init__(self, n_hashes: int):
         self.kinds = range(n_hashes)
         self.files: list[tuple[str, str]] = []
         self.taken: list[bool] = []
-        self.found: dict[tuple, deque[int]] = {}
+        self.found: dict[tuple, deque[tuple[int, bool]]] = {}
         self.masks: set[int] = set()
 
-    def put(self, path: str, name: str, recent: bool, hashes: Sequence[str | None]) -> None:
-        at = len(self.files)
-        self.files.append((path, name))
-        self.taken.append(False)
+    def put(self, path: str, name: str, recent: bool, size: int, hashes: Sequence[str | None], via: bool) -> None:
+        if not self.files or self.files[-1] != (path, name):  # a file's identities come one after the other
+            self.files.append((path, name))
+            self.taken.append(False)
+        at = len(self.files) - 1
         mask = sum(1 << k for k in self.kinds if hashes[k] is not None)
         self.masks.add(mask)
         some = mask
         while True:  # all subsets of the hashes that the file has
             shared = tuple(hashes[k] for k in self.kinds if some >> k & 1)
             for n in (name, None):
-                self.found.setdefault((mask, some, shared, n, recent), deque()).append(at)
+                self.found.setdefault((size, mask, some, shared, n, recent), deque()).append((at, via))
             if not some:
                 return
             some = (some - 1) & mask
 
-    def take(self, name: str | None, hashes: Sequence[str | None]) -> tuple[str, str] | None:
+    def take(self, name: str | None, size: int, hashes: Sequence[str | None]) -> tuple[str, str, bool] | None:
         mine = sum(1 << k for k in self.kinds if hashes[k] is not None)
         for n, recent in ((name, False), (name, True), (None, False), (None, True)):
             first = None
             for mask in self.masks:
-                free = self.found.get((mask, mask & mine, tuple(hashes[k] for k in self.kinds if mask & mine & 1 << k), n, recent))
-                while free and self.taken[free[0]]:
+                free = self.found.get((size, mask, mask & mine, tuple(hashes[k] for k in self.kinds if mask & mine & 1 << k), n, recent))
+                while free and self.taken[free[0][0]]:
                     free.popleft()
                 if free and (first is None or free[0] < first):
                     first = free[0]
             if first is not None:
-                self.taken[first] = True
-                return self.files[first]
+                self.taken[first[0]] = True
+                return *self.files[first[0]], first[1]
         return None
 
 
-def claim(items: DataFrame, files: DataFrame, hashes: Sequence[str]) -> DataFrame:
+def size_parts(files: DataFrame) -> DataFrame:
+    """(size, part): sizes that files have with and without their headers, joined as far as that reaches, under the least of them. Sizes of no such file have no row."""
+    pairs = files.where("stripped IS NOT NULL").select(F.col("size").cast("long").alias("size"), F.col("stripped.size").cast("long").alias("other")).distinct()
+    both = cut(pairs.unionByName(pairs.select(F.col("other").alias("size"), F.col("size").alias("other"))))
+    state = cut(both.groupBy("size").agg(F.min("other").alias("low")).select("size", F.least("size", "low").alias("part")))
+    while True:
+        low = both.join(state.select(F.col("size").alias("other"), "part"), "other").groupBy("size").agg(F.min("part").alias("low"))
+        down = cut(state.join(low, "size").select("size", F.least("part", "low").alias("next")))
+        jump = down.select(F.col("size").alias("next"), F.col("next").alias("further"))
+        after = cut(down.join(jump, "next", "left").select("size", F.coalesce("further", "next").alias("part")))
+        if after.join(state, ["size", "part"], "left_anti").isEmpty():
+            return after
+        state = after
+
+
+def claim(items: DataFrame, files: DataFrame, hashes: Sequence[str], parts: DataFrame | None = None) -> DataFrame:
     """One file for each item at most and the other way round, items in catalog order, those of a set without a dump last.
 
     An item takes a file of its own name before another, and one outside recently scanned roots before another. Items (grp, size, hashes,
-    ...) and files (grp, size, hashes, recent, ...) compete within ``grp`` and a size, and within a hash where all rows of that size have it.
-    Such a group's rows, not its pairs, come sorted and are read once: the files, then the items.
+    ...) and files (grp, size, hashes, via_strip, recent, ...; a row for each identity) compete within ``grp`` and a size, and within a hash where all
+    rows of that size have it; sizes of one of ``parts`` compete together, as a file has several. Such a group's rows, not its pairs,
+    come sorted and are read once: the files, then the items.
     """
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
-    rows = files.select("grp", "size", *hashes, F.lit(0).alias("kind"), zero.alias("set_ord"), F.lit(False).alias("late"), zero.alias("item_ord"), none.alias("item_name"), *FILE, "recent")
+    rows = files.select("grp", "size", *hashes, F.lit(0).alias("kind"), zero.alias("set_ord"), F.lit(False).alias("late"), zero.alias("item_ord"), none.alias("item_name"), *FILE, "recent", "via_strip")
     late = F.coalesce(F.col("dump_status") == "nodump", F.lit(False))
-    rows = rows.unionByName(items.select("grp", "size", *hashes, F.lit(1).alias("kind"), "set_ord", late.alias("late"), "item_ord", "item_name", none.alias("path"), none.alias("entry_name"), F.lit(False).alias("recent")))
+    rows = rows.unionByName(items.select("grp", "size", *hashes, F.lit(1).alias("kind"), "set_ord", late.alias("late"), "item_ord", "item_name", none.alias("path"), none.alias("entry_name"), F.lit(False).alias("recent"), F.lit(False).alias("via_strip")))
     rows = rows.where("size IS NOT NULL")
-    both = rows.groupBy("grp", "size").agg(F.count_distinct("kind").alias("sides"), *[F.bool_and(F.col(h).isNotNull()).alias(f"all_{h}") for h in hashes]).where("sides = 2")
+    rows = rows.join(parts, "size", "left") if parts is not None else rows.withColumn("part", F.lit(None).cast("long"))
+    rows = rows.withColumn("joined", F.col("part").isNotNull()).withColumn("part", F.coalesce("part", "size"))
+    both = rows.groupBy("grp", "part").agg(F.count_distinct("kind").alias("sides"), *[(~F.bool_or("joined") & F.bool_and(F.col(h).isNotNull())).alias(f"all_{h}") for h in hashes]).where("sides = 2")
     key = F.coalesce(*[F.when(F.col(f"all_{h}"), F.col(h)) for h in hashes], F.lit(""))
-    keyed = rows.join(both, ["grp", "size"]).withColumn("key", key).drop("sides", *[f"all_{h}" for h in hashes])
-    group = ["grp", "size", "key"]
+    keyed = rows.join(both, ["grp", "part"]).withColumn("key", key).drop("sides", "joined", *[f"all_{h}" for h in hashes])
+    group = ["grp", "part", "key"]
 
     def greedy(batches):
         at, pool = None, None
         for pdf in batches:
             out = []
             hs = list(zip(*[[v if isinstance(v, str) else None for v in pdf[h]] for h in hashes], strict=True)) if hashes else [()] * len(pdf)
-            for g, s, k, kind, o, i, name, path, entry, recent, h in zip(pdf["grp"], pdf["size"], pdf["key"], pdf["kind"], pdf["set_ord"], pdf["item_ord"], pdf["item_name"], pdf["path"], pdf["entry_name"], pdf["recent"], hs, strict=True):
-                if at != (g, s, k):
-                    at, pool = (g, s, k), Pool(len(hashes))
+            columns = ("grp", "part", "key", "size", "kind", "set_ord", "item_ord", "item_name", "path", "entry_name", "recent", "via_strip")
+            for (g, p, k, size, kind, o, i, name, path, entry, recent, via), h in zip(zip(*[pdf[c] for c in columns], strict=True), hs, strict=True):
+                if at != (g, p, k):
+                    at, pool = (g, p, k), Pool(len(hashes))
                 if kind == 0:
-                    pool.put(path, entry, bool(recent), h)
-                elif got := pool.take(name, h):
+                    pool.put(path, entry, bool(recent), size, h, bool(via))
+                elif got := pool.take(name, size, h):
                     out.append((o, i, *got, "correct" if got[1] == name else "misnamed"))
-            yield pd.DataFrame(out, columns=["set_ord", "item_ord", "path", "entry_name", "match_status"])
+            yield pd.DataFrame(out, columns=["set_ord", "item_ord", "path", "entry_name", "via_strip", "match_status"])
 
     keyed = keyed.repartition(*group).sortWithinPartitions(*group, "kind", "set_ord", "late", "item_ord", *FILE)
-    return keyed.mapInPandas(greedy, "set_ord long, item_ord long, path string, entry_name string, match_status string")
+    return keyed.mapInPandas(greedy, "set_ord long, item_ord long, path string, entry_name string, via_strip boolean, match_status string")
 
 
 def first_file(df: DataFrame) -> DataFrame:
@@ -217,18 +253,36 @@ def elsewhere(items: DataFrame, scope: DataFrame, hashes: Sequence[str]) -> Data
     return items.join(best, same).select(*ITEM, F.when(F.col("active"), F.col("b.first")).otherwise(F.col("b.open")).alias("f")).where("f IS NOT NULL").select(*ITEM, "f.*")
 
 
-def match_items(items: DataFrame, files: DataFrame, recent: Column | None = None) -> DataFrame:
-    """(set_name, set_ord, item_ord, item_name, match_status, path, entry_name).
+def other_spellings(scope: DataFrame, items: DataFrame) -> DataFrame:
+    """``scope`` with containers whose name is no set's filed under the set that an alias of it, or a variant, means; approximate marks the variants."""
+    from .alternates import match_aliases, match_variants
+
+    catalog = items.select("set_name").distinct()
+    asked = scope.where("NOT known").select(stem(F.col("path")).alias("local_name")).distinct()
+    alias = match_aliases(asked, catalog)
+    variant = match_variants(asked.join(alias, "local_name", "left_anti"), catalog)
+    met = cut(alias.withColumn("approximate", F.lit(False)).unionByName(variant.withColumn("approximate", F.lit(True))))
+    met = met.select(F.col("local_name").alias("__local"), F.lower("set_name").alias("__lc"), F.col("approximate").alias("__approximate"))
+    out = scope.join(met, stem(F.col("path")) == F.col("__local"), "left")
+    return out.withColumns({"stem_lc": F.coalesce("__lc", "stem_lc"), "known": F.col("known") | F.col("__lc").isNotNull(), "approximate": F.coalesce("__approximate", F.lit(False))}).drop("__local", "__lc", "__approximate")
+
+
+def match_items(items: DataFrame, files: DataFrame, recent: Column | None = None, spellings: bool = False, names_alone: str | None = None) -> DataFrame:
+    """(set_name, set_ord, item_ord, item_name, match_status, path, entry_name, via_strip).
 
     One entry in any container makes the whole inventory container-organised: a set claims from its own container only. Otherwise
-    all items compete for all files. ``recent`` (of files) marks those under just-rescanned roots, which are claimed last.
+    all items compete for all files. ``recent`` (of files) marks those under just-rescanned roots, which are claimed last. Where files have a
+    ``stripped`` identity, content behind a header counts as the file's too. ``spellings`` lets containers in that an alias or a variant of a
+    set's name names; what a variant's container gives is misnamed. ``names_alone`` ("name", or "size" for its size as well, give or take a header) trusts
+    an entry of an item's name, whatever its content.
     Statuses in this order: correct and misnamed (claimed), hashMismatch (the slot's name with other content), foundElsewhere (content that another place has;
-    not consumed), nodump (a slot of a container without a known dump whose name is there), missing. An undumped slot without a file has no row.
+    not consumed), nodump (a slot without a known dump whose name is there, in the set's container or in its parent's), missing. An undumped slot without a file has no row.
     """
     hashes = shared_hashes(items, files)
     loose = files.where(file_name(F.col("path")) != F.col("entry_name")).isEmpty()
     known = items.select(F.lower("set_name").alias("stem_lc")).distinct().withColumn("known", F.lit(True))
-    scope = with_scope(files).withColumn("recent", F.coalesce(recent, F.lit(False)) if recent is not None else F.lit(False)).join(known, "stem_lc", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    scope = with_scope(identities(files)).withColumn("recent", F.coalesce(recent, F.lit(False)) if recent is not None else F.lit(False)).join(known, "stem_lc", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    scope = cut(other_spellings(scope, items)) if spellings else scope.withColumn("approximate", F.lit(False))
     hashed = F.lit(False)
     for h in hashes:
         hashed |= F.col(h).isNotNull()
@@ -236,10 +290,20 @@ def match_items(items: DataFrame, files: DataFrame, recent: Column | None = None
         items_, own = items.withColumn("grp", F.lit("")), scope.withColumn("grp", F.lit(""))
     else:
         n = items.groupBy(F.lower("set_name").alias("grp")).agg(F.count("*").alias("n_items"))
-        home = elect_containers(items, files, recent).select(F.col("set_lc").alias("grp"), F.col("path").alias("home")).join(n, "grp")
+        home = elect_containers(items, files, scope=scope).select(F.col("set_lc").alias("grp"), F.col("path").alias("home")).join(n, "grp")
         items_ = items.withColumn("grp", F.lower("set_name"))
         own = cut(scope.where("NOT junk").join(home, F.col("stem_lc") == F.col("grp")).where("(in_container AND path = home) OR (NOT in_container AND n_items = 1)").drop("home", "n_items"))
-    claims = cut(claim(items_, own, hashes))
+    claims = claim(items_, own, hashes, size_parts(files) if "stripped" in files.columns else None)
+    if names_alone:
+        from .alternates import match_names
+
+        trusted = match_names(items, files, names_alone == "size").withColumns({"via_strip": F.lit(False), "match_status": F.lit("correct")})
+        claims = trusted.unionByName(claims.join(trusted.select(*ITEM), list(ITEM), "left_anti").join(trusted.select(*FILE), list(FILE), "left_anti").select(*trusted.columns))
+    if spellings:
+        about = own.where("approximate").select(*FILE, "approximate").distinct()
+        claims = claims.join(about, list(FILE), "left").withColumn("match_status", F.when(F.col("approximate"), "misnamed").otherwise(F.col("match_status"))).drop("approximate")
+    claims = cut(claims)
+    fits = compatible(hashes)
     if loose:
         named = own.where("NOT junk").groupBy(F.col("entry_name").alias("item_name")).agg(F.min(F.struct(*FILE)).alias("f"))
         held = own.where("NOT junk").select(F.col("entry_name").alias("item_name"), *f_prefixed(hashes)).distinct()
@@ -249,18 +313,24 @@ def match_items(items: DataFrame, files: DataFrame, recent: Column | None = None
         active = items.select(*ITEM, "size", *hashes).withColumn("active", F.lit(True))
     else:
         slot = items_.join(own.select("grp", *FILE, *f_prefixed(hashes)), (items_["grp"] == own["grp"]) & (F.col("item_name") == F.col("entry_name"))).join(claims.select(*FILE), list(FILE), "left_anti")
-        wrong = first_file(slot.where(~compatible(hashes) & hashed))
-        unknown = first_file(slot.where(~hashed))
+        slot = slot.groupBy(*ITEM, *FILE).agg(F.bool_or(fits).alias("fits"), F.bool_or(hashed).alias("hashed"))
+        wrong = first_file(slot.where("NOT coalesce(fits, false) AND hashed"))
+        unknown = slot.where("NOT hashed").select(*ITEM, *FILE)
+        if "clone_of" in items.columns:
+            parent = scope.where("in_container AND NOT junk").select(F.col("stem_lc").alias("parent_lc"), *FILE).distinct()
+            far = items.where(~hashed & F.col("clone_of").isNotNull()).select(*ITEM, F.lower("clone_of").alias("parent_lc"), F.col("item_name").alias("entry_name")).join(parent, ["parent_lc", "entry_name"])
+            unknown = unknown.unionByName(far.select(*ITEM, *FILE).join(claims.select(*FILE), list(FILE), "left_anti"))
+        unknown = first_file(unknown)
         met = items.join(claims.select(*ITEM), list(ITEM)).select(F.lower("set_name").alias("grp")).distinct().withColumn("active", F.lit(True))
         active = items_.join(met, "grp", "left").select(*ITEM, "size", *hashes, F.coalesce("active", F.lit(False)).alias("active"))
     far = elsewhere(active, scope, hashes)
     best = claims.withColumn("prio", F.lit(0))
     for prio, (status, part) in enumerate({"hashMismatch": wrong, "foundElsewhere": far, "nodump": unknown}.items(), 1):
-        best = best.unionByName(part.withColumn("match_status", F.lit(status)).withColumn("prio", F.lit(prio)))
-    best = best.groupBy(*ITEM).agg(F.min_by(F.struct("match_status", *FILE), "prio").alias("m"))
-    out = items.select("set_name", *ITEM, "item_name", "dump_status", hashed.alias("hashed")).join(best, list(ITEM), "left")
+        best = best.unionByName(part.withColumns({"match_status": F.lit(status), "prio": F.lit(prio), "via_strip": F.lit(False)}))
+    best = best.groupBy(*ITEM).agg(F.min_by(F.struct("match_status", *FILE, "via_strip"), "prio").alias("m"))
+    out = items.select("set_name", *ITEM, "item_name", hashed.alias("hashed")).join(best, list(ITEM), "left")
     out = out.where("m IS NOT NULL OR hashed")
-    return cut(out.select("set_name", *ITEM, "item_name", F.coalesce("m.match_status", F.lit("missing")).alias("match_status"), "m.path", "m.entry_name"))
+    return cut(out.select("set_name", *ITEM, "item_name", F.coalesce("m.match_status", F.lit("missing")).alias("match_status"), "m.path", "m.entry_name", F.coalesce("m.via_strip", F.lit(False)).alias("via_strip")))
 
 
 def leftovers(matches: DataFrame, files: DataFrame) -> DataFrame:
@@ -280,7 +350,7 @@ def owners(left: DataFrame, items: DataFrame) -> DataFrame:
     hashes = shared_hashes(items, left)
     want = hash_rows(items.select("set_name", *ITEM, *hashes), hashes).groupBy("kind", "hash").agg(F.min_by("set_name", F.struct(*ITEM)).alias("owner"))
     rank = F.create_map(*[x for i, h in enumerate(hashes) for x in (F.lit(h), F.lit(i))])
-    by_hash = hash_rows(left.select(*FILE, *hashes), hashes).join(want, ["kind", "hash"]).groupBy(*FILE).agg(F.min_by("owner", rank[F.col("kind")]).alias("by_hash"))
+    by_hash = hash_rows(identities(left).select(*FILE, "via_strip", *hashes), hashes).join(want, ["kind", "hash"]).groupBy(*FILE).agg(F.min_by("owner", F.struct(rank[F.col("kind")], "via_strip")).alias("by_hash"))
     by_name = items.groupBy(F.lower("item_name").alias("name_lc")).agg(F.min_by("set_name", F.struct(*ITEM)).alias("by_name"))
     single = items.groupBy(F.lower("set_name").alias("stem_lc")).agg(F.count("*").alias("n"), F.first("set_name").alias("by_container")).where("n = 1").drop("n")
     out = left.join(by_hash, list(FILE), "left").withColumns({"name_lc": F.lower("entry_name"), "stem_lc": F.lower(stem(F.col("path")))}).join(by_name, "name_lc", "left").join(single, "stem_lc", "left")
@@ -292,10 +362,11 @@ def leftover_flags(left: DataFrame, matches: DataFrame, items: DataFrame) -> Dat
     hashes = shared_hashes(items, left)
     met = matches.where("match_status IN ('correct', 'misnamed')").select(*ITEM).join(items, list(ITEM))
     satisfied = hash_rows(met.select(F.col("set_name").alias("owner"), *hashes), hashes).select("owner", "hash").distinct()
-    redundant = hash_rows(left.select(*FILE, "owner", *hashes), hashes).join(satisfied, ["owner", "hash"], "left_semi").select(*FILE).distinct().withColumn("r", F.lit(True))
-    w = Window.partitionBy("kind", "hash")
-    first = hash_rows(left.select(*FILE, *hashes), hashes).withColumn("first", F.min(F.struct(*FILE)).over(w))
-    copies = first.where("first.path < path").groupBy(*FILE).agg(F.min("first.path").alias("copy_of"))
+    redundant = hash_rows(identities(left).select(*FILE, "owner", *hashes), hashes).join(satisfied, ["owner", "hash"], "left_semi").select(*FILE).distinct().withColumn("r", F.lit(True))
+    each = hash_rows(left.select(*FILE, *hashes), hashes)
+    # A hash that one leftover has alone has no earlier one; the first of each other hash is a partial minimum, so a frequent hash makes no large group.
+    first = each.groupBy("kind", "hash").agg(F.min("path").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = each.join(first, ["kind", "hash"]).where("first < path").groupBy(*FILE).agg(F.min("first").alias("copy_of"))
     nodump = items.where("dump_status = 'nodump'").select(F.lower("item_name").alias("name_lc")).distinct().withColumn("d", F.lit(True))
     known = items.select(F.lower("set_name").alias("stem_lc")).distinct().withColumn("k", F.lit(True))
     out = left.join(redundant, list(FILE), "left").join(copies, list(FILE), "left").withColumns({"name_lc": F.lower("entry_name"), "stem_lc": F.lower(stem(F.col("path")))}).join(nodump, "name_lc", "left").join(known, "stem_lc", "left")

@@ -20,11 +20,39 @@ def diff(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def save_diff(changes: DataFrame, path: str, partition: str) -> None:
-    """Write the new rows of the partitions that changed; other partitions stay as they are."""
+    """Write the new rows of the partitions that changed; other partitions stay as they are, and one that lost all its rows goes."""
     touched = changes.where("action <> 'same'").select(partition).distinct()
-    rows = changes.join(touched, partition, "left_semi").where("action <> 'delete'")
+    rows = changes.join(touched, partition, "left_semi")
     keys = [c for c in changes.columns if c not in ("old", "new", "action")]
-    rows.select(*keys, "new.*").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    rows.where("action <> 'delete'").select(*keys, "new.*").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    # A dynamic overwrite replaces only partitions that it has rows for.
+    spark = changes.sparkSession
+    gone = rows.groupBy(partition).agg(F.bool_and(F.col("action") == "delete").alias("gone")).where("gone").select(F.col(partition).cast("string"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in gone.toLocalIterator():  # as many rows as partitions, one at a time
+        name = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else escape(row[0])
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{partition}={name}"), True)
+
+
+def changed_flag(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``after`` with changed: false where ``before`` has a row of the same key and the same values."""
+    rest = [c for c in after.columns if c not in key]
+    tag = "__was"
+    same = [F.col(k).eqNullSafe(F.col(f"{tag}_{k}")) for k in key]
+    was = before.select(*[F.col(k).alias(f"{tag}_{k}") for k in key], F.struct(*rest).alias(tag)).dropDuplicates([f"{tag}_{k}" for k in key])
+    out = after.join(was, same, "left")
+    return out.select(*after.columns, (~F.coalesce(F.col(tag).eqNullSafe(F.struct(*rest)) & F.col(tag).isNotNull(), F.lit(False))).alias("changed"))
+
+
+def newest(snapshot: DataFrame) -> DataFrame:
+    """The newest row for each (path, entry_path): a snapshot that grows by appending keeps what a later run has superseded. Of equal times the largest row."""
+    if "mtime" not in snapshot.columns:
+        return snapshot
+    rest = [c for c in snapshot.columns if c not in ("path", "mtime")]
+    row = F.max(F.struct("mtime", *rest)).alias("r")
+    return snapshot.groupBy("path", F.coalesce("entry_path", F.lit("")).alias("__e")).agg(row).select("path", "r.*").select(*snapshot.columns)
 
 
 def remove(df: DataFrame, system: Column | None = None, paths: DataFrame | None = None, prefix: str | None = None) -> DataFrame:
@@ -47,9 +75,9 @@ def reuse(now: DataFrame, before: DataFrame, hashes: Sequence[str]) -> tuple[Dat
     """(known, to_hash): rows of ``now`` (path, entry_path, size, mtime) whose fingerprint ``before`` has, and the others.
 
     A row is known if size and time agree and all ``hashes`` are there; files whose layout must be normalised also need
-    byte_order_checked. One entry of another time makes a whole container unknown.
+    byte_order_checked. One entry of another time makes a whole container unknown. Of several rows of one file in ``before`` the newest counts.
     """
-    old = before.select("path", F.coalesce("entry_path", F.lit("")).alias("e"), F.col("size").alias("o_size"), F.col("mtime").alias("o_mtime"), *[F.col(h).alias(f"o_{h}") for h in hashes], *(["byte_order_checked"] if "byte_order_checked" in before.columns else []))
+    old = newest(before).select("path", F.coalesce("entry_path", F.lit("")).alias("e"), F.col("size").alias("o_size"), F.col("mtime").alias("o_mtime"), *[F.col(h).alias(f"o_{h}") for h in hashes], *(["byte_order_checked"] if "byte_order_checked" in before.columns else []))
     met = now.withColumn("e", F.coalesce("entry_path", F.lit(""))).join(old, ["path", "e"], "left")
     good = (F.col("size") == F.col("o_size")) & same_time(F.col("mtime"), F.col("o_mtime"))
     for h in hashes:

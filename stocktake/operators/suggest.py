@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 THRESHOLD, NEAR_TIE = 0.75, 0.05
+#: Bytes that a file's size may be off.
+SIZE_OFF = 512
 SPECIAL = ("beta", "proto", "demo", "debug", "sample", "kiosk", "unl", "pirate", "alpha", "test program", "lodgenet", "gamecube", "virtual console", "switch online", "limited run", "aftermarket", "promo", "rerelease")
 
 
@@ -41,13 +43,6 @@ def special_words(name: Column, local: Column) -> Column:
     return F.size(F.filter(found, lambda w: w.isNotNull() & ~F.lower(local).contains(w)))
 
 
-def grams(text: Column, n: int = 2) -> Column:
-    """Distinct (n-gram, how often it came before) tokens, so that sets of them compare as multisets."""
-    key = F.lower(text)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substr(key, i, F.lit(n)))
-    return F.array_distinct(each)
-
-
 def near_names(local: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(local_name, set_name, score) of all pairs of at least ``threshold``.
 
@@ -55,13 +50,22 @@ def near_names(local: DataFrame, catalog: DataFrame, threshold: float = THRESHOL
     one stands unchanged within that many places in the other: blocks are (length, piece number, piece), as in pass-join. The
     pieces are cut from catalog names, whose lengths are few; a local name looks up its substrings near the same places.
     Names that many rows share are joined once and brought back by an equi-join.
+
+    Where both sides have a size, it may be off by SIZE_OFF, and blocks are of one range of sizes or its neighbour: names that share a
+    piece (a tag, say) meet only within it.
     """
-    a = local.select(local_title(F.col("local_name")).alias("a")).distinct()
-    b = catalog.select(F.col("set_name").alias("b")).distinct()
+    sized = "size" in local.columns and "size" in catalog.columns
+    more = ["size"] if sized else []
+    a = local.select(local_title(F.col("local_name")).alias("a"), *more).distinct()
+    b = catalog.select(F.col("set_name").alias("b"), *more).distinct()
+    if sized:
+        a = a.withColumn("near", F.explode(F.array(*[F.floor(F.col("size") / SIZE_OFF) + k for k in (-1, 0, 1)])))
+        b = b.withColumn("near", F.floor(F.col("size") / SIZE_OFF)).withColumnRenamed("size", "b_size")
+    at, at_b = ["near", *more] if sized else [], ["near", "b_size"] if sized else []
     least = (threshold - 0.1) / 0.9
     keys = []
     for part, floor in ((title, least), (lambda x: x, threshold)):
-        left, right = a.select("a", F.lower(part(F.col("a"))).alias("x")), b.select("b", F.lower(part(F.col("b"))).alias("y"))
+        left, right = a.select("a", *at, F.lower(part(F.col("a"))).alias("x")), b.select("b", *at_b, F.lower(part(F.col("b"))).alias("y"))
         lengths = F.sequence(F.greatest(F.ceil(F.length("x") * floor).cast("int"), F.lit(1)), F.floor(F.length("x") / floor).cast("int"))
         # y of length m and x of length n differ by at most (1 - floor) * max(m, n) edits; one piece more than that.
         edits = lambda m, n, floor=floor: F.floor(F.greatest(m, n) * (1 - floor) + 1e-9).cast("int")
@@ -69,14 +73,22 @@ def near_names(local: DataFrame, catalog: DataFrame, threshold: float = THRESHOL
         cut_at = lambda m, k, i: F.floor(m * i / k).cast("int")
         m = F.length("y")
         pieces = F.transform(F.sequence(F.lit(0), most(m) - 1), lambda i: F.struct(i.alias("i"), F.substr(F.col("y"), cut_at(m, most(m), i) + 1, cut_at(m, most(m), i + 1) - cut_at(m, most(m), i)).alias("p")))
-        right = right.where(m > 0).select("b", m.alias("m"), F.explode_outer(pieces).alias("s")).select("b", "m", "s.i", "s.p")
-        asks = left.where(F.length("x") > 0).select("a", "x", F.explode_outer(lengths).alias("m")).withColumn("k", most(F.col("m"))).withColumn("e", edits(F.col("m"), F.length("x")))
+        right = right.where(m > 0).select("b", *at_b, m.alias("m"), F.explode_outer(pieces).alias("s")).select("b", *at_b, "m", "s.i", "s.p")
+        asks = left.where(F.length("x") > 0).select("a", *at, "x", F.explode_outer(lengths).alias("m")).withColumn("k", most(F.col("m"))).withColumn("e", edits(F.col("m"), F.length("x")))
         asks = asks.withColumn("i", F.explode_outer(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("at", cut_at(F.col("m"), F.col("k"), F.col("i"))).withColumn("len", cut_at(F.col("m"), F.col("k"), F.col("i") + 1) - F.col("at"))
         asks = asks.withColumn("from", F.explode_outer(F.sequence(F.greatest(F.col("at") - F.col("e"), F.lit(0)), F.least(F.col("at") + F.col("e"), F.greatest(F.length("x") - F.col("len"), F.lit(0))))))
-        keys.append(asks.select("a", "m", "i", F.substr(F.col("x"), F.col("from") + 1, F.col("len")).alias("p")).distinct().join(right, ["m", "i", "p"]).select("a", "b"))
+        met = asks.select("a", *at, "m", "i", F.substr(F.col("x"), F.col("from") + 1, F.col("len")).alias("p")).distinct().join(right, [*at[:1], "m", "i", "p"])
+        keys.append((met.where(F.abs(F.col("size") - F.col("b_size")) <= SIZE_OFF) if sized else met).select("a", *more, "b"))
     pairs = keys[0].unionByName(keys[1]).distinct().withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold - 1e-12)
-    names = local.select("local_name", local_title(F.col("local_name")).alias("a")).distinct()
-    return names.join(pairs, "a").select("local_name", F.col("b").alias("set_name"), "score")
+    names = local.select("local_name", *more, local_title(F.col("local_name")).alias("a")).distinct()
+    return names.join(pairs, ["a", *more]).select("local_name", F.col("b").alias("set_name"), "score").distinct()
+
+
+def near_leftovers(left: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(path, set_name, score): the best near name of each leftover that no set owns, of a size within SIZE_OFF of the set's (set_name, size)."""
+    own = left.where("owner IS NULL AND NOT nodump_name").select("path", F.element_at(F.split("path", "/"), -1).alias("local_name"), "size")
+    best = best_name(near_names(own, catalog, threshold))
+    return own.select("path", "local_name").distinct().join(best, "local_name").select("path", "set_name", "score")
 
 
 def best_name(pairs: DataFrame, available: Column | None = None) -> DataFrame:

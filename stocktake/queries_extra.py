@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import names, paths
-from .operators import audit, disks, duplicates, families, suggest
+from .operators import audit, browse, disks, duplicates, families, suggest
 from .plans import changes
 from .queries_match import CTES, audited, left, report, sql
 from .queries_more import DISKS, DONORS, wanted
@@ -45,20 +45,20 @@ QUERIES = {
     "F14_name_checksum_mismatch": (lambda s, d: named(s, d).where(names.embedded_checksum(c("file_name")) != c("actual")).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id % 5 = 0 AND substr(md5(text), 1, 8) <> 'deadbeef'"),
     "X9_special_words": (lambda s, d: view(s, d, CAT).select("set_name", suggest.special_words(F.concat("set_name", F.lit(" (Beta 2) (Demo)")), F.concat("set_name", F.lit(" demo"))).alias("n")), "SELECT set_name, 1 AS n FROM fx_name_catalog"),
     "X13_clean_name": (lambda s, d: view(s, d, CAT).select("set_name", names.clean_name(F.concat(F.lit("A™:  "), F.regexp_replace("set_name", " ", "/"), F.lit("?. "))).alias("clean")), "SELECT set_name, concat('A - ', replace(set_name, ' ', '-')) AS clean FROM fx_name_catalog"),
-    "X14_case": (lambda s, d: view(s, d, "fx_catalog").select("item_ord", paths.with_case(c("item_name"), "upper").alias("up")), "SELECT item_ord, concat(upper(split_part(item_name, '.', 1)), '.txt') AS up FROM fx_catalog"),
-    "X15_layout_extension": (lambda s, d: view(s, d, "fx_catalog").select("item_ord", paths.keep_layout_extension(F.concat(F.lit("/r/"), "item_name", F.lit(".V64")), F.concat("item_name", F.lit(".z64"))).alias("kept")), "SELECT item_ord, concat(item_name, '.v64') AS kept FROM fx_catalog"),
+    "X14_case": (lambda s, d: view(s, d, "fx_catalog").select("item_name", paths.with_case(c("item_name"), "upper").alias("up")), "SELECT item_name, concat(upper(split_part(item_name, '.', 1)), '.txt') AS up FROM fx_catalog"),
+    "X15_layout_extension": (lambda s, d: view(s, d, "fx_catalog").select("item_name", paths.keep_layout_extension(F.concat(F.lit("/r/"), "item_name", F.lit(".V64")), F.concat("item_name", F.lit(".z64"))).alias("kept")), "SELECT item_name, concat(item_name, '.v64') AS kept FROM fx_catalog"),
     "X19_display_name": (lambda s, d: view(s, d, "fx_inventory").select("path", paths.file_name(c("path")).alias("shown")).distinct(), "SELECT DISTINCT path, regexp_extract(path, '[^/]*$') AS shown FROM fx_inventory"),
     "X23_file_roles": (lambda s, d: view(s, d, "fx_inventory").select("path", "entry_name", *[v.alias(k) for k, v in paths.roles(c("path"), c("entry_name")).items()]), "SELECT path, entry_name, regexp_extract(path, '[^/]*$') <> entry_name AS in_container, path LIKE '%.zip' AS is_zip, regexp_extract(path, '[^/]*$') = entry_name AS is_loose, path LIKE '%.zip' AS rewritable FROM fx_inventory"),
     "F8_os_junk": (lambda s, d: view(s, d, "fx_inventory").withColumn("entry_name", F.when(c("size") % 3 == 0, F.concat(F.lit("._"), "entry_name")).otherwise(c("entry_name"))).where(paths.os_junk(c("entry_name"))).select("path", "entry_name"), "SELECT path, concat('._', entry_name) AS entry_name FROM fx_inventory WHERE size % 3 = 0"),
     "F9_size_comparable": (lambda s, d: view(s, d, "fx_inventory").withColumn("n", F.when(c("size") % 2 == 0, F.concat("entry_name", F.lit(".RVZ"))).otherwise(c("entry_name"))).where(paths.size_comparable(c("n"))).select("path", "entry_name"), "SELECT path, entry_name FROM fx_inventory WHERE size % 2 <> 0"),
     "F10_protected": (lambda s, d: view(s, d, "fx_inventory").withColumn("p", F.when(c("size") % 4 == 0, F.concat(F.lit("/r/Images/x/"), "entry_name")).when(c("size") % 4 == 1, F.concat(F.lit("/r/"), "entry_name", F.lit(".srm"))).otherwise(c("path"))).where(paths.protected(c("p"))).select("path", "entry_name"), "SELECT path, entry_name FROM fx_inventory WHERE size % 4 IN (0, 1)"),
-    "F16_container_case": (lambda s, d: view(s, d, "fx_sets").withColumn("container", F.when(c("set_ord") % 3 == 0, F.upper("set_name")).otherwise(c("set_name"))).where((F.lower("container") == F.lower("set_name")) & (c("container") != c("set_name"))).select("set_name"), "SELECT set_name FROM fx_sets WHERE set_ord % 3 = 0"),
-    "J28_donor_flag": (lambda s, d: (lambda w: duplicates.with_donor_flag(w[2].select("set_name", "item_ord", F.when(c("match_status") == "correct", "correct").otherwise("other").alias("status")), duplicates.donors(w[0], w[1])).select("item_ord", "donor_available"))(wanted(s, d)),
-      f"WITH {CTES},\n{DONORS} SELECT item_ord, match_status <> 'correct' AND item_ord IN (SELECT item_ord FROM dn) AND set_name IN (SELECT set_name FROM matches WHERE match_status = 'correct') AS donor_available FROM matches"),
+    "F16_container_case": (lambda s, d: view(s, d, "fx_sets").withColumn("container", F.when(c("set_ord") % 3 == 0, F.upper("set_name")).otherwise(c("set_name"))).where(browse.case_mismatch(c("container"), c("set_name"))).select("set_name"), "SELECT set_name FROM fx_sets WHERE set_ord % 3 = 0"),
+    "J28_donor_flag": (lambda s, d: (lambda w: duplicates.with_donor_flag(w[2].select("set_name", "set_ord", "item_ord", F.when(c("match_status") == "correct", "correct").otherwise("other").alias("status")), duplicates.donors(w[0], w[1])).select("set_ord", "item_ord", "donor_available"))(wanted(s, d)),
+      f"WITH {CTES},\n{DONORS} SELECT set_ord, item_ord, match_status <> 'correct' AND uid IN (SELECT uid FROM dn) AND set_name IN (SELECT set_name FROM matches WHERE match_status = 'correct') AS donor_available FROM matches"),
     "J31_unused_bases": (lambda s, d: audit.unused_bases(bases(s, d)), f"SELECT set_name AS name FROM fx_sets WHERE is_bios AND {STATUS} <> 'missing' AND set_name NOT IN (SELECT unnest(['set1', 'set9']) FROM fx_sets WHERE set_ord % 50 = 3 AND {STATUS} <> 'missing')"),
     "J33_system_copies": (lambda s, d: (lambda x: duplicates.system_copies(x[3], audited(s, d)))(left(s, d)), sql("""SELECT path, min(owner) AS owner FROM flagged WHERE owner IN (SELECT set_name FROM aud WHERE set_name IS NOT NULL AND status <> 'missing') AND path NOT IN (SELECT path FROM aud WHERE set_name IS NOT NULL AND path IS NOT NULL) GROUP BY path""")),
     "J34_region_notes": (lambda s, d: families.notes_for(view(s, d, "fx_sets").select(c("description").alias("set_name")).distinct(), notes(s, d)).select("set_name", "recommended_region"), "SELECT DISTINCT a.description AS set_name, 'USA' AS recommended_region FROM fx_sets a JOIN fx_sets b ON trim(split_part(a.description, '(', 1)) = trim(split_part(b.description, '(', 1)) WHERE b.set_ord % 8 = 0 AND b.set_ord % 16 <> 0"),
-    "U1_disks_in_report": (lambda s, d: audit.counters(view(s, d, "fx_audit").select("status").unionByName(disks.match_disks(view(s, d, "fx_disks"), view(s, d, "fx_disk_files")).select("status"))).select("correct", "incorrect", "missing", "unverifiable"), f"""WITH {DISKS}, u AS (SELECT status FROM fx_audit UNION ALL SELECT status FROM m) SELECT count(*) FILTER (WHERE status = 'correct') AS correct, count(*) FILTER (WHERE status = 'incorrect') AS incorrect, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'unverifiable') AS unverifiable FROM u"""),
+    "U1_disks_in_report": (lambda s, d: audit.counters(disks.with_disks(view(s, d, "fx_audit"), disks.match_disks(view(s, d, "fx_disks"), view(s, d, "fx_disk_files")))).select("correct", "incorrect", "missing", "unverifiable"), f"""WITH {DISKS}, u AS (SELECT status FROM fx_audit UNION ALL SELECT status FROM m) SELECT count(*) FILTER (WHERE status = 'correct') AS correct, count(*) FILTER (WHERE status = 'incorrect') AS incorrect, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'unverifiable') AS unverifiable FROM u"""),
     "P21_restricted_plan": (lambda s, d: changes.restrict(changes.rename_entries(report(s, d)[2]), ["/r0"]).select("op", "group_id", "source", "source_entry"), f"""WITH {CTES}, r AS (SELECT * FROM matches WHERE match_status = 'misnamed' AND regexp_extract(path, '[^/]*$') <> entry_name AND starts_with(path, '/r0/')) SELECT op, concat(path, '::', entry_name) AS group_id, path AS source, entry_name AS source_entry FROM r, (VALUES ('add_entry'), ('remove_entry')) AS o(op)"""),
     "P22_preview": (lambda s, d: (lambda m: changes.preview(changes.rename_entries(m), changes.rebuild_to_folder(m, "/out"), changes.consolidate(m)))(report(s, d)[2]), f"""WITH {CTES}, r AS (SELECT * FROM matches WHERE match_status = 'misnamed'), k AS (SELECT * FROM matches WHERE match_status IN ('correct', 'misnamed'))
       SELECT 'add_entry' AS op, count(*) AS n, count(DISTINCT concat(path, '::', entry_name)) AS groups FROM r UNION ALL SELECT 'remove_entry', count(*), count(DISTINCT concat(path, '::', entry_name)) FROM r UNION ALL SELECT 'extract', count(*), count(DISTINCT set_name) FROM k

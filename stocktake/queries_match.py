@@ -5,39 +5,51 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
+from .lineage import cut
 from .operators import audit, match
 
+KEY = ("set_ord", "item_ord")
 STEM = "lower(regexp_replace(regexp_extract({p}, '[^/]*$'), '\\.[^.]*$', ''))"
-FITS = "c.size = f.size AND (c.md5 IS NULL OR f.md5 IS NULL OR c.md5 = f.md5)"
-#: The whole match as common table expressions. Within the fixture no set holds two items of one content, so a claim is the best pair of both sides.
-CTES = f"""n AS (SELECT lower(set_name) AS set_lc, count(*) AS n_items FROM fx_catalog GROUP BY 1),
+RAW, BEHIND = "(c.size = f.size AND (c.md5 IS NULL OR f.md5 IS NULL OR c.md5 = f.md5))", "coalesce(c.size = f.s_size AND (c.md5 IS NULL OR f.s_md5 IS NULL OR c.md5 = f.s_md5), FALSE)"
+#: The whole match as common table expressions. Where no set holds two items of one content, a claim is the best pair of both sides.
+CTES = f"""cat AS (SELECT *, set_ord * 16 + item_ord AS uid FROM fx_catalog),
+n AS (SELECT lower(set_name) AS set_lc, count(*) AS n_items FROM cat GROUP BY 1),
 f AS (SELECT *, {STEM.format(p='path')} AS stem_lc, regexp_extract(path, '[^/]*$') <> entry_name AS in_container FROM fx_inventory),
-pairs AS (SELECT c.set_name, c.set_ord, c.item_ord, c.item_name, c.size, c.md5, c.dump_status, lower(c.set_name) AS set_lc, f.path, f.entry_name, f.in_container, {FITS} AS fits FROM fx_catalog c JOIN n ON n.set_lc = lower(c.set_name) JOIN f ON f.stem_lc = lower(c.set_name) AND (f.in_container OR n.n_items = 1)),
-elected AS (SELECT set_lc, path, satisfied FROM (SELECT *, row_number() OVER (PARTITION BY set_lc ORDER BY satisfied DESC, path) AS r FROM (SELECT set_lc, path, count(DISTINCT CASE WHEN fits THEN item_ord END) AS satisfied FROM pairs GROUP BY 1, 2)) WHERE r = 1),
+pairs AS (SELECT c.uid, c.set_name, c.set_ord, c.item_ord, c.item_name, c.size, c.md5, c.dump_status, lower(c.set_name) AS set_lc, f.path, f.entry_name, f.in_container, {RAW} OR {BEHIND} AS fits, NOT {RAW} AS via_strip FROM cat c JOIN n ON n.set_lc = lower(c.set_name) JOIN f ON f.stem_lc = lower(c.set_name) AND (f.in_container OR n.n_items = 1)),
+elected AS (SELECT set_lc, path, satisfied FROM (SELECT *, row_number() OVER (PARTITION BY set_lc ORDER BY satisfied DESC, path) AS r FROM (SELECT set_lc, path, count(DISTINCT CASE WHEN fits THEN uid END) AS satisfied FROM pairs GROUP BY 1, 2)) WHERE r = 1),
 own AS (SELECT p.* FROM pairs p JOIN elected e ON e.set_lc = p.set_lc WHERE e.path = p.path OR NOT in_container),
-hc AS (SELECT set_ord, item_ord, path, entry_name, CASE WHEN item_name = entry_name THEN 'correct' ELSE 'misnamed' END AS match_status FROM (SELECT *, row_number() OVER (PARTITION BY item_ord ORDER BY item_name <> entry_name, path, entry_name) AS r, row_number() OVER (PARTITION BY path, entry_name ORDER BY item_ord) AS k FROM own WHERE fits AND dump_status <> 'nodump') WHERE r = 1 AND k = 1),
-nc AS (SELECT set_ord, item_ord, path, entry_name, CASE WHEN item_name = entry_name THEN 'correct' ELSE 'misnamed' END AS match_status FROM (SELECT *, row_number() OVER (PARTITION BY item_ord ORDER BY item_name <> entry_name, path, entry_name) AS r FROM own WHERE fits AND dump_status = 'nodump' AND (path, entry_name) NOT IN (SELECT (path, entry_name) FROM hc)) WHERE r = 1),
+hc AS (SELECT uid, path, entry_name, via_strip, CASE WHEN item_name = entry_name THEN 'correct' ELSE 'misnamed' END AS match_status FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY item_name <> entry_name, path, entry_name) AS r, row_number() OVER (PARTITION BY path, entry_name ORDER BY uid) AS k FROM own WHERE fits AND dump_status <> 'nodump') WHERE r = 1 AND k = 1),
+nc AS (SELECT uid, path, entry_name, via_strip, CASE WHEN item_name = entry_name THEN 'correct' ELSE 'misnamed' END AS match_status FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY item_name <> entry_name, path, entry_name) AS r FROM own WHERE fits AND dump_status = 'nodump' AND (path, entry_name) NOT IN (SELECT (path, entry_name) FROM hc)) WHERE r = 1),
 claims AS (SELECT * FROM hc UNION ALL SELECT * FROM nc),
-wrong AS (SELECT set_ord, item_ord, min(path) AS path, min(entry_name) AS entry_name FROM own WHERE item_name = entry_name AND NOT fits AND md5 IS NOT NULL AND (path, entry_name) NOT IN (SELECT (path, entry_name) FROM claims) GROUP BY 1, 2),
-far AS (SELECT c.set_ord, c.item_ord, f.path, f.entry_name, row_number() OVER (PARTITION BY c.item_ord ORDER BY f.path, f.entry_name) AS r FROM fx_catalog c JOIN f ON f.md5 = c.md5 AND f.size = c.size
-  WHERE f.stem_lc NOT IN (SELECT set_lc FROM n) OR lower(c.set_name) IN (SELECT lower(x.set_name) FROM claims k JOIN fx_catalog x ON x.item_ord = k.item_ord)),
-named AS (SELECT set_ord, item_ord, min(path) AS path, min(entry_name) AS entry_name FROM own WHERE item_name = entry_name AND md5 IS NULL AND (path, entry_name) NOT IN (SELECT (path, entry_name) FROM claims) GROUP BY 1, 2),
-best AS (SELECT item_ord, match_status, path, entry_name, 0 AS p FROM claims UNION ALL SELECT item_ord, 'hashMismatch', path, entry_name, 1 FROM wrong UNION ALL SELECT item_ord, 'foundElsewhere', path, entry_name, 2 FROM far WHERE r = 1 UNION ALL SELECT item_ord, 'nodump', path, entry_name, 3 FROM named),
-matches AS (SELECT c.set_name, c.set_ord, c.item_ord, c.item_name, coalesce(b.match_status, 'missing') AS match_status, b.path, b.entry_name FROM fx_catalog c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY item_ord ORDER BY p) AS r FROM best) b ON b.item_ord = c.item_ord AND b.r = 1 WHERE b.item_ord IS NOT NULL OR c.md5 IS NOT NULL),
+wrong AS (SELECT uid, min(path) AS path, min(entry_name) AS entry_name FROM own WHERE item_name = entry_name AND NOT fits AND md5 IS NOT NULL AND (path, entry_name) NOT IN (SELECT (path, entry_name) FROM claims) GROUP BY 1),
+far AS (SELECT c.uid, f.path, f.entry_name, row_number() OVER (PARTITION BY c.uid ORDER BY f.path, f.entry_name) AS r FROM cat c JOIN (SELECT path, entry_name, stem_lc, size, md5 FROM f UNION ALL SELECT path, entry_name, stem_lc, s_size, s_md5 FROM f WHERE s_md5 IS NOT NULL) f ON f.md5 = c.md5 AND f.size = c.size
+  WHERE f.stem_lc NOT IN (SELECT set_lc FROM n) OR lower(c.set_name) IN (SELECT lower(x.set_name) FROM claims k JOIN cat x ON x.uid = k.uid)),
+named AS (SELECT uid, min(path) AS path, min(entry_name) AS entry_name FROM own WHERE item_name = entry_name AND md5 IS NULL AND (path, entry_name) NOT IN (SELECT (path, entry_name) FROM claims) GROUP BY 1),
+best AS (SELECT uid, match_status, path, entry_name, via_strip, 0 AS p FROM claims UNION ALL SELECT uid, 'hashMismatch', path, entry_name, FALSE, 1 FROM wrong UNION ALL SELECT uid, 'foundElsewhere', path, entry_name, FALSE, 2 FROM far WHERE r = 1 UNION ALL SELECT uid, 'nodump', path, entry_name, FALSE, 3 FROM named),
+matches AS (SELECT c.uid, c.set_name, c.set_ord, c.item_ord, c.item_name, coalesce(b.match_status, 'missing') AS match_status, b.path, b.entry_name, coalesce(b.via_strip, FALSE) AS via_strip FROM cat c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY p) AS r FROM best) b ON b.uid = c.uid AND b.r = 1 WHERE b.uid IS NOT NULL OR c.md5 IS NOT NULL),
 used AS (SELECT path, entry_name FROM matches WHERE match_status IN ('correct', 'misnamed', 'hashMismatch', 'nodump')),
 rest AS (SELECT * FROM f WHERE (path, entry_name) NOT IN (SELECT (path, entry_name) FROM used)),
-owned AS (SELECT r.root, r.path, r.entry_name, r.size, r.md5, r.stem_lc, coalesce(h.owner, m.owner, s.owner) AS owner FROM rest r
-  LEFT JOIN (SELECT md5, arg_min(set_name, item_ord) AS owner FROM fx_catalog WHERE md5 IS NOT NULL GROUP BY 1) h ON h.md5 = r.md5
-  LEFT JOIN (SELECT lower(item_name) AS name_lc, arg_min(set_name, item_ord) AS owner FROM fx_catalog GROUP BY 1) m ON m.name_lc = lower(r.entry_name)
-  LEFT JOIN (SELECT lower(set_name) AS stem_lc, min(set_name) AS owner FROM fx_catalog GROUP BY 1 HAVING count(*) = 1) s ON s.stem_lc = r.stem_lc),
-sat AS (SELECT DISTINCT c.set_name AS owner, c.md5 FROM matches m JOIN fx_catalog c ON c.item_ord = m.item_ord WHERE m.match_status IN ('correct', 'misnamed') AND c.md5 IS NOT NULL),
-flagged AS (SELECT o.*, sat.owner IS NOT NULL AS redundant, (SELECT min(q.path) FROM rest q WHERE q.md5 = o.md5 AND q.path < o.path) AS copy_of, lower(o.entry_name) IN (SELECT lower(item_name) FROM fx_catalog WHERE dump_status = 'nodump') AS nodump_name, o.stem_lc IN (SELECT set_lc FROM n) AS known_container FROM owned o LEFT JOIN sat ON sat.owner = o.owner AND sat.md5 = o.md5),
+want AS (SELECT md5, arg_min(set_name, uid) AS owner FROM cat WHERE md5 IS NOT NULL GROUP BY 1),
+owned AS (SELECT r.root, r.path, r.entry_name, r.size, r.md5, r.s_md5, r.stem_lc, coalesce(h.owner, b.owner, m.owner, s.owner) AS owner FROM rest r
+  LEFT JOIN want h ON h.md5 = r.md5 LEFT JOIN want b ON b.md5 = r.s_md5
+  LEFT JOIN (SELECT lower(item_name) AS name_lc, arg_min(set_name, uid) AS owner FROM cat GROUP BY 1) m ON m.name_lc = lower(r.entry_name)
+  LEFT JOIN (SELECT lower(set_name) AS stem_lc, min(set_name) AS owner FROM cat GROUP BY 1 HAVING count(*) = 1) s ON s.stem_lc = r.stem_lc),
+sat AS (SELECT DISTINCT c.set_name AS owner, c.md5 FROM matches m JOIN cat c ON c.uid = m.uid WHERE m.match_status IN ('correct', 'misnamed') AND c.md5 IS NOT NULL),
+flagged AS (SELECT o.*, (o.owner, o.md5) IN (SELECT (owner, md5) FROM sat) OR coalesce((o.owner, o.s_md5) IN (SELECT (owner, md5) FROM sat), FALSE) AS redundant, CASE WHEN e.first < o.path THEN e.first END AS copy_of, lower(o.entry_name) IN (SELECT lower(item_name) FROM cat WHERE dump_status = 'nodump') AS nodump_name, o.stem_lc IN (SELECT set_lc FROM n) AS known_container
+  FROM owned o LEFT JOIN (SELECT md5, min(path) AS first FROM rest GROUP BY 1) e ON e.md5 = o.md5),
 aud AS (SELECT m.set_name, m.item_name, CASE match_status WHEN 'nodump' THEN 'unverifiable' WHEN 'misnamed' THEN 'incorrect' WHEN 'foundElsewhere' THEN 'incorrect' WHEN 'hashMismatch' THEN 'badDump' ELSE match_status END AS status, m.path FROM matches m
   UNION ALL SELECT NULL, entry_name, CASE WHEN owner IS NOT NULL THEN 'incorrect' WHEN nodump_name THEN 'unverifiable' WHEN known_container THEN 'surplusInArchive' ELSE 'unknownFile' END, path FROM flagged)"""
 
 
+def inventory(spark, d):
+    """The files, with what is behind a header as their second identity."""
+    rows = view(spark, d, "fx_inventory")
+    return rows.withColumn("stripped", F.when(F.col("s_size").isNotNull(), F.struct(F.col("s_size").alias("size"), F.col("s_md5").alias("md5")))).drop("s_size", "s_md5")
+
+
 def both(spark, d):
-    return view(spark, d, "fx_catalog"), view(spark, d, "fx_inventory")
+    """Items and files, each made once: a match reads them several times, and their hashes are of whole texts."""
+    return cut(view(spark, d, "fx_catalog")), cut(inventory(spark, d))
 
 
 def report(spark, d):
@@ -57,7 +69,7 @@ def audited(spark, d):
 
 
 def of_status(status):
-    return lambda s, d: report(s, d)[2].where(F.col("match_status") == status).select("item_ord", "path", "entry_name")
+    return lambda s, d: report(s, d)[2].where(F.col("match_status") == status).select(*KEY, "path", "entry_name")
 
 
 def sql(select):
@@ -65,16 +77,17 @@ def sql(select):
 
 
 QUERIES = {
-    "J1_content_candidates": (lambda s, d: match.candidates(*both(s, d), by_size=True).select("item_ord", "path", "entry_name", F.col("prio").cast("int").alias("prio")), """WITH h AS (SELECT c.item_ord, f.path, f.entry_name, 2 AS prio FROM fx_catalog c JOIN fx_inventory f ON f.md5 = c.md5)
-      SELECT item_ord, path, entry_name, 1 AS prio FROM h UNION ALL SELECT c.item_ord, f.path, f.entry_name, 4 FROM fx_catalog c JOIN fx_inventory f ON f.size = c.size WHERE c.item_ord NOT IN (SELECT item_ord FROM h)"""),
-    "J2_verified_pairs": (lambda s, d: match.verified_pairs(*both(s, d)).select("item_ord", "path", "entry_name"), "SELECT c.item_ord, f.path, f.entry_name FROM fx_catalog c JOIN fx_inventory f ON f.md5 = c.md5 AND f.size = c.size"),
-    "J4_container_scope": (lambda s, d: match.scoped_pairs(*both(s, d)).select("item_ord", "path", "entry_name", "fits"), sql("SELECT item_ord, path, entry_name, fits FROM pairs")),
+    "J1_content_candidates": (lambda s, d: match.candidates(*both(s, d), by_size=True).select(*KEY, "path", "entry_name", F.col("prio").cast("int").alias("prio")), """WITH i AS (SELECT path, entry_name, size, md5 FROM fx_inventory UNION ALL SELECT path, entry_name, s_size, s_md5 FROM fx_inventory WHERE s_size IS NOT NULL), h AS (SELECT c.set_ord, c.item_ord, i.path, i.entry_name FROM fx_catalog c JOIN i ON i.md5 = c.md5)
+      SELECT *, 1 AS prio FROM h UNION ALL SELECT c.set_ord, c.item_ord, i.path, i.entry_name, 4 FROM fx_catalog c JOIN i ON i.size = c.size WHERE (c.set_ord, c.item_ord) NOT IN (SELECT (set_ord, item_ord) FROM h)"""),
+    "J2_verified_pairs": (lambda s, d: match.verified_pairs(*both(s, d)).select(*KEY, "path", "entry_name"), "SELECT c.set_ord, c.item_ord, f.path, f.entry_name FROM fx_catalog c JOIN fx_inventory f ON f.md5 = c.md5 AND f.size = c.size UNION ALL SELECT c.set_ord, c.item_ord, f.path, f.entry_name FROM fx_catalog c JOIN fx_inventory f ON f.s_md5 = c.md5 AND f.s_size = c.size"),
+    "J3_behind_headers": (lambda s, d: report(s, d)[2].where("via_strip").select(*KEY, "path", "entry_name", "match_status"), sql("SELECT set_ord, item_ord, path, entry_name, match_status FROM matches WHERE via_strip")),
+    "J4_container_scope": (lambda s, d: match.scoped_pairs(*both(s, d)).select(*KEY, "path", "entry_name", "fits"), sql("SELECT set_ord, item_ord, path, entry_name, fits FROM pairs")),
     "J5_container_election": (lambda s, d: match.elect_containers(*both(s, d)), sql("SELECT set_lc, path, satisfied FROM elected")),
-    "J6_match": (lambda s, d: report(s, d)[2], sql("SELECT * FROM matches")),
-    "J7_wrong_content": (of_status("hashMismatch"), sql("SELECT item_ord, path, entry_name FROM matches WHERE match_status = 'hashMismatch'")),
-    "J8_found_elsewhere": (of_status("foundElsewhere"), sql("SELECT item_ord, path, entry_name FROM matches WHERE match_status = 'foundElsewhere'")),
-    "J9_nodump_slots": (of_status("nodump"), sql("SELECT item_ord, path, entry_name FROM matches WHERE match_status = 'nodump'")),
-    "J13_leftovers": (lambda s, d: match.leftovers(report(s, d)[2], view(s, d, "fx_inventory")).select("path", "entry_name"), sql("SELECT path, entry_name FROM rest")),
+    "J6_match": (lambda s, d: report(s, d)[2], sql("SELECT * EXCLUDE (uid) FROM matches")),
+    "J7_wrong_content": (of_status("hashMismatch"), sql("SELECT set_ord, item_ord, path, entry_name FROM matches WHERE match_status = 'hashMismatch'")),
+    "J8_found_elsewhere": (of_status("foundElsewhere"), sql("SELECT set_ord, item_ord, path, entry_name FROM matches WHERE match_status = 'foundElsewhere'")),
+    "J9_nodump_slots": (of_status("nodump"), sql("SELECT set_ord, item_ord, path, entry_name FROM matches WHERE match_status = 'nodump'")),
+    "J13_leftovers": (lambda s, d: (lambda x: match.leftovers(x[2], x[1]))(report(s, d)).select("path", "entry_name"), sql("SELECT path, entry_name FROM rest")),
     "J14_owners": (lambda s, d: left(s, d)[3].select("path", "entry_name", "owner"), sql("SELECT path, entry_name, owner FROM owned")),
     "J15_leftover_flags": (lambda s, d: left(s, d)[3].select("path", "entry_name", "redundant", "copy_of", "nodump_name", "known_container"), sql("SELECT path, entry_name, redundant, copy_of, nodump_name, known_container FROM flagged")),
     "J19_misnamed_containers": (lambda s, d: (lambda x: match.misnamed_containers(x[3], x[0]))(left(s, d)), sql("""SELECT path, min(owner) AS suggested FROM (SELECT path, owner, count(*) AS n FROM owned WHERE owner IS NOT NULL AND stem_lc NOT IN (SELECT set_lc FROM n) GROUP BY 1, 2) x

@@ -20,12 +20,22 @@ DIALECTS = {"datafile": ("game", "machine"), "mame": ("machine",), "softwarelist
 
 
 def dialect(spark: SparkSession, path: str) -> str:
-    """The dialect by the root element, read from the head of the file; one error says what none of the three accepts."""
-    head = "\n".join(r[0] for r in spark.read.text(path).limit(200).collect())
+    """The dialect by the root element, read from the head of the file, however long its document type is; one error says what none of the three accepts."""
     import re
 
-    root = re.search(r"<([A-Za-z_][\w.-]*)", re.sub(r"<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[.*?\])?\s*>", "", head, flags=re.S))
-    name = root[1] if root else None
+    head, lines, name, seen = "", 0, None, 1
+    for row in spark.read.text(path).toLocalIterator():  # stops at the root
+        head, lines = f"{head}{row[0]}\n", lines + 1
+        if lines < seen:
+            continue
+        seen *= 2  # looked at again when it has doubled
+        bare = re.sub(r"<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[.*?\]\s*)?>", "", head, flags=re.S)
+        if "<!" not in bare and (root := re.search(r"<([A-Za-z_][\w.-]*)", bare)):
+            name = root[1]
+            break
+    else:
+        root = re.search(r"<([A-Za-z_][\w.-]*)", re.sub(r"<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[.*?\]\s*)?>", "", head, flags=re.S))
+        name = root[1] if root else None
     if name not in DIALECTS:
         raise ValueError(f"{path}: the root is {name!r}; a data file begins with <datafile>, a machine list with <mame>, a software list with <softwarelist>")
     return name
@@ -53,9 +63,10 @@ def read_sets(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
         items = F.flatten(F.flatten(F.transform("part", lambda p: F.transform(F.coalesce(p["dataarea"], F.array().cast(AREA)), lambda a: F.coalesce(a["rom"], F.array().cast(f"array<{ROM}>"))))))
         disks = F.flatten(F.flatten(F.transform("part", lambda p: F.transform(F.coalesce(p["diskarea"], F.array().cast(f"array<struct<disk:array<{DISK}>>>")), lambda a: F.coalesce(a["disk"], F.array().cast(f"array<{DISK}>"))))))
         return rows.select(F.col("_name").alias("set_name"), "set_ord", "description", F.col("_cloneof").alias("clone_of"), F.lit(None).cast("string").alias("rom_of"), F.lit(False).alias("is_bios"), F.lit(False).alias("is_device"), "year", F.col("publisher").alias("manufacturer"), F.lit(None).cast("string").alias("category"), F.array().cast("array<string>").alias("refs"), F.lit(False).alias("has_samples"), items.alias("items"), disks.alias("disks"))
-    rows = None
-    for tag in DIALECTS[kind]:
-        part = read_rows(spark, path, tag, SET)
+    rows, tags = None, DIALECTS[kind]
+    for i, tag in enumerate(tags):
+        # Each tag is a read of its own that counts its own places; interleaved, they stay apart.
+        part = read_rows(spark, path, tag, SET).withColumn("place", F.col("place") * len(tags) + i)
         rows = part if rows is None else rows.unionByName(part)
     rows = ordered(rows)
     ids = rows.where("_id IS NOT NULL").select(F.col("_id").alias("parent_id"), F.col("_name").alias("parent_name"))
@@ -67,9 +78,13 @@ def read_sets(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
     )
 
 
-def catalog_items(sets: DataFrame) -> DataFrame:
-    """One row for each item: hashes lower-cased, an empty size 0, an unknown status good; items without a name or a size are left out."""
-    rows = sets.select("set_name", "set_ord", F.posexplode_outer("items").alias("item_ord", "r")).where("r IS NOT NULL AND r._name IS NOT NULL AND r._size IS NOT NULL")
+def catalog_items(sets: DataFrame, strict: bool = False) -> DataFrame:
+    """One row for each item: hashes lower-cased, an empty size 0, an unknown status good. Items without a name or a size are left out, or an error where ``strict``."""
+    rows = sets.select("set_name", "set_ord", F.posexplode_outer("items").alias("item_ord", "r")).where("r IS NOT NULL")
+    whole = F.col("r._name").isNotNull() & F.col("r._size").isNotNull()
+    if strict:
+        whole = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("an item without a name or a size in the set "), "set_name")).cast("boolean"))
+    rows = rows.where(whole)
     low = lambda n: F.when(F.trim(f"r._{n}") != "", F.lower(F.trim(f"r._{n}"))).alias({"crc": "crc32"}.get(n, n))
     size = F.when(F.trim("r._size") == "", F.lit(0)).otherwise(F.trim("r._size").try_cast("long"))
     status = F.when(F.lower("r._status").isin("baddump", "nodump"), F.lower("r._status")).otherwise("good")
@@ -81,6 +96,16 @@ def catalog_disks(sets: DataFrame) -> DataFrame:
     return rows.select("set_name", "set_ord", "ord", F.col("r._name").alias("disk_name"), F.lower("r._sha1").alias("sha1"), yes(F.col("r._optional")).alias("optional"))
 
 
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """(name, description, version, author, date) of a data file; no row without a header."""
+    return spark.read.format("xml").option("rowTag", "header").schema("name string, description string, version string, author string, date string").load(path)
+
+
+def catalog_names(sets: DataFrame) -> DataFrame:
+    """(name_lc): all names that sets have, lower-cased."""
+    return sets.select(F.lower("set_name").alias("name_lc")).where("name_lc IS NOT NULL").distinct()
+
+
 def title_names(spark: SparkSession, path: str) -> DataFrame:
     """(id, name) of a JSON object of ids to names."""
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "name")).select(F.upper("id").alias("id"), "name")
@@ -105,6 +130,9 @@ def fix_catalog(audit: DataFrame, items: DataFrame, path: str) -> None:
     """Missing and incorrect items as a catalog in XML, sets in catalog order; the writer escapes."""
     want = audit.where("status IN ('missing', 'incorrect') AND set_name IS NOT NULL").select("set_name", "item_name").distinct()
     rows = items.join(want, ["set_name", "item_name"])
-    rom = F.struct("item_ord", F.col("item_name").alias("_name"), F.col("size").alias("_size"), F.col("md5").alias("_md5"))
-    sets = rows.groupBy("set_ord", F.col("set_name").alias("_name")).agg(F.transform(F.array_sort(F.collect_list(rom)), lambda r: F.struct(r["_name"].alias("_name"), r["_size"].alias("_size"), r["_md5"].alias("_md5"))).alias("rom"))
+    tags = {"item_name": "_name", "size": "_size", "crc32": "_crc", "md5": "_md5", "sha1": "_sha1", "dump_status": "_status"}
+    tags = {c: t for c, t in tags.items() if c in rows.columns}
+    value = lambda c: F.when(F.col(c) != "good", F.col(c)) if c == "dump_status" else F.col(c)
+    rom = F.struct("item_ord", *[value(c).alias(t) for c, t in tags.items()])
+    sets = rows.groupBy("set_ord", F.col("set_name").alias("_name")).agg(F.transform(F.array_sort(F.collect_list(rom)), lambda r: F.struct(*[r[t].alias(t) for t in tags.values()])).alias("rom"))
     sets.orderBy("set_ord").select("_name", "rom").write.format("xml").option("rowTag", "game").option("rootTag", "datafile").mode("overwrite").save(path)

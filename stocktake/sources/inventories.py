@@ -19,22 +19,47 @@ HEADERS = ((b"NES\x1a", 16), (b"LYNX", 64))
 COPIER, COPIER_MOST = 512, 64 << 20
 
 
-def scan(spark: SparkSession, roots: Sequence[str], most_depth: int | None = None) -> DataFrame:
-    """(path, entry_name, size, mtime, content) of all files under the roots; hidden ones are left out, a path under two roots comes once.
+def present_roots(spark: SparkSession, roots: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(roots that can be reached, roots that can't)."""
+    there, gone = [], []
+    for root in roots:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        (there if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder) else gone).append(root)
+    return there, gone
 
-    ``content`` is read only if a query uses it.
-    """
+
+def files_below(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None:
     found = None
-    for root in roots:
+    for root in present_roots(spark, roots)[0]:
         part = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         path = F.regexp_replace("path", "^file:", "")
         depth = F.size(F.split(F.substring(path, len(root.rstrip("/")) + 2, 1 << 20), "/"))
         part = part.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content", depth.alias("depth"))
-        part = part.where(F.col("depth") <= most_depth) if most_depth else part
         found = part if found is None else found.unionByName(part)
+    return found
+
+
+def scan(spark: SparkSession, roots: Sequence[str], most_depth: int | None = None) -> DataFrame:
+    """(path, entry_name, size, mtime, content) of all files under the roots that can be reached; hidden ones are left out, a path under two roots comes once.
+
+    ``content`` is read only if a query uses it. See ``present_roots`` and ``too_deep`` for what is not in it.
+    """
+    found = files_below(spark, roots)
+    if found is None:
+        return spark.createDataFrame([], "path string, entry_name string, size long, mtime timestamp, content binary")
+    found = found.where(F.col("depth") <= most_depth) if most_depth else found
     return found.where(~F.col("path").rlike(r"/\.[^/]+(/|$)")).dropDuplicates(["path"]).select("path", file_name(F.col("path")).alias("entry_name"), "size", "mtime", "content")
 
 
+def too_deep(spark: SparkSession, roots: Sequence[str], most_depth: int) -> DataFrame:
+    """(folder, n): the folders that a scan of that depth skips, and how many files are in each or below."""
+    found = files_below(spark, roots)
+    if found is None:
+        return spark.createDataFrame([], "folder string, n long")
+    keep = F.size(F.split("path", "/")) - (F.col("depth") - most_depth)
+    return found.where(F.col("depth") > most_depth).groupBy(F.array_join(F.slice(F.split("path", "/"), F.lit(1), keep), "/").alias("folder")).agg(F.count("*").alias("n"))
+
+
 def supported(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, count of unsupported containers by extension)."""
     return files.where(~unsupported_container(F.col("path"))), files.where(unsupported_container(F.col("path"))).groupBy(extension(F.col("path")).alias("kind")).agg(F.count("*").alias("n"))
@@ -43,7 +68,7 @@ def supported(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def zip_entries(files: DataFrame, content: bool = False) -> DataFrame:
     """(path, entry_name, size, stored_crc32, local_crc32, comment, read_state[, content]) of zip containers.
 
-    A container that can't be read is one row in state corrupt without hashes. local_crc32 is what the entry's own header
+    A container that can't be read is one row in state corrupt without hashes, an encrypted entry one in state skipped. local_crc32 is what the entry's own header
     says, null where the header leaves it to a descriptor.
     """
 
@@ -57,8 +82,9 @@ def zip_entries(files: DataFrame, content: bool = False) -> DataFrame:
                             if info.is_dir():
                                 continue
                             local = int.from_bytes(data[info.header_offset + 14 : info.header_offset + 18], "little")
-                            body = z.read(info) if content else None
-                            rows.append((path, info.filename, info.file_size, f"{info.CRC:08x}", f"{local:08x}" if not info.flag_bits & 8 else None, z.comment.decode("utf-8", "replace") or None, "ok", body))
+                            state = "skipped" if info.flag_bits & 1 else "ok"
+                            body = z.read(info) if content and state == "ok" else None
+                            rows.append((path, info.filename, info.file_size, f"{info.CRC:08x}", f"{local:08x}" if not info.flag_bits & 8 else None, z.comment.decode("utf-8", "replace") or None, state, body))
                 except (zipfile.BadZipFile, EOFError, RuntimeError, NotImplementedError, zlib.error, ValueError):
                     rows = [(path, None, None, None, None, None, "corrupt", None)]
                 if rows:
@@ -68,6 +94,11 @@ def zip_entries(files: DataFrame, content: bool = False) -> DataFrame:
     return out if content else out.drop("content")
 
 
+def from_directory(entries: DataFrame) -> DataFrame:
+    """Entries with the checksum that their container's directory states as their identity: nothing is unpacked for it."""
+    return entries.where("read_state = 'ok'").select("path", "entry_name", "size", F.col("stored_crc32").alias("crc32"))
+
+
 def checksum_conflicts(entries: DataFrame) -> DataFrame:
     """Entries whose own header has another checksum than the container's directory; an unknown one is no conflict."""
     return entries.where("read_state = 'ok' AND local_crc32 <> stored_crc32").select("path", "entry_name")
@@ -90,10 +121,10 @@ def header_length(content: Column) -> Column:
 
 
 def stripped_fingerprints(df: DataFrame, content: str = "content") -> DataFrame:
-    """``df`` with stripped: struct<size, md5, sha1> of the content behind its header, null without one."""
+    """``df`` with stripped: struct<size, crc32, md5, sha1> of the content behind its header, null without one."""
     n = header_length(F.col(content))
     body = F.substr(F.col(content), n + 1, F.length(content))
-    return df.withColumn("stripped", F.when(n.isNotNull(), F.struct((F.length(content) - n).cast("long").alias("size"), F.md5(body).alias("md5"), F.sha1(body).alias("sha1"))))
+    return df.withColumn("stripped", F.when(n.isNotNull(), F.struct((F.length(content) - n).cast("long").alias("size"), F.lpad(F.lower(F.hex(F.crc32(body))), 8, "0").alias("crc32"), F.md5(body).alias("md5"), F.sha1(body).alias("sha1"))))
 
 
 def normalised_bytes(name: str, data: bytes) -> bytes:

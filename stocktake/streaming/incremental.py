@@ -13,7 +13,8 @@ from ..operators.snapshots import reuse
 def follow(spark: SparkSession, folder: str, schema: str, snapshot: str, checkpoint: str, hashes: tuple[str, ...], fingerprint: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Append fingerprints of new inventory rows (parquet files in ``folder``) to the ``snapshot`` table, those that it has reused.
 
-    State is the snapshot table alone; a batch that runs again after a failure finds its rows known and writes none of them twice.
+    State is the snapshot table alone; a batch that runs again after a failure finds its rows known and writes none of them twice. A file that
+    changed has a further row then, and ``snapshots.newest`` tells which one holds.
     """
 
     def batch(df: DataFrame, _: int) -> None:

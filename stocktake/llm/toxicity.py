@@ -277,16 +277,31 @@ def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> tuple[list[bytes], list[int]]:
-    """At most ``sample`` toxic texts and twice as many clean ones, none held out and none over ``longest``; only they reach the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
+    """(key, text, label) of at most ``sample`` toxic texts and twice as many clean ones, none held out and none over ``longest``."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("label"))
     picked = None
     for value in (1, 0):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64(key), key).limit(sample if value else 2 * sample)
         picked = part if picked is None else picked.unionByName(part)
     picked = picked.withColumnRenamed(key, "__key")
-    rows = docs.select(key, text).where(F.coalesce(F.length(text), F.lit(0)) <= longest).join(F.broadcast(picked), F.col(key) == F.col("__key")).groupBy(key).agg(F.max(text).alias("text"), F.max("label").alias("label")).orderBy(key).collect()
-    return [(r["text"] or "").encode() for r in rows], [r["label"] for r in rows]
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    return own.join(F.broadcast(picked), F.col("key") == F.col("__key")).groupBy("key").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+
+
+def fitted(rows: DataFrame, seed: int = 0) -> dict[str, np.ndarray]:
+    """The network fitted on ``training_rows``. The fit runs in a task, on that bounded sample in the order of its keys; the weights alone come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            toxic += batch.column("label").to_pylist()
+        p = fit(texts, toxic, seed=seed)
+        yield pa.RecordBatch.from_arrays([pa.array(list(p)), pa.array([v.astype(np.float32).tobytes() for v in p.values()], pa.binary()), pa.array([list(v.shape) for v in p.values()], pa.list_(pa.int32()))], ["name", "data", "shape"])
+
+    made = rows.repartition(1).sortWithinPartitions("key").mapInArrow(run, "name string, data binary, shape array<int>").collect()
+    return {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in made} if made else fit([], [], seed=seed)  # no rows, no task
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, seed: int = 0) -> DataFrame:
@@ -295,7 +310,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     Null and wordless texts score 0. Rows with equal texts score alike. All windows of texts of any length are scored.
     With no labelled rows, or labels of one kind, every text with words gets the same low (or high) score.
     """
-    weights = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels, key, text, sample=sample), seed=seed))
+    weights = docs.sparkSession.sparkContext.broadcast(fitted(training_rows(docs, labels, key, text, sample=sample), seed))
     own = docs.drop("score")
     at = own.columns.index(text)
 

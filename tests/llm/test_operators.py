@@ -462,7 +462,7 @@ def test_toxicity_of_repeats_nothing_and_clashing_columns(spark):
         assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
     long = docs.withColumn("text", F.repeat(F.lit("word "), F.lit(10_000)))
-    assert toxicity.training_rows(long, labels) == ([], [])
+    assert toxicity.training_rows(long, labels).count() == 0 and toxicity.training_rows(docs, labels).count() == 2
 
 
 def test_toxicity_on_held_out_rows(spark):

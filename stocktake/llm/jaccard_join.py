@@ -7,8 +7,7 @@ must pass all of them before it is verified:
 1. under the order of the hashes, with l a tenth of the set: sets that don't share so many tokens with any others go;
 2. under the order of document frequency among the sets left: sets of which less than t of the tokens occur in another go, and
    sets that share no prefix token, of compatible size, part into groups;
-3. under the descending order of the hashes groups part further;
-4. within a group, pairs of sets meet in tiles of bounded size. A tile holds the pairs that share a prefix token under the ascending
+3. within a group, pairs of sets meet in tiles of bounded size. A tile holds the pairs that share a prefix token under the ascending
    order, those that do under the descending one, and those of compatible size, as three bit matrices; what is in all three is verified
    exactly, by counting common tokens.
 
@@ -159,22 +158,22 @@ def bucket_of(n: str, percent: int):
 
 
 def split_groups(rows: DataFrame, percent: int, frequent: DataFrame) -> DataFrame:
-    """(cls, g, n, token) -> (cls, g): classes that a chain of shared tokens and compatible sizes joins, within their old g; the others go.
+    """(cls, n, token) -> (cls, g): classes that a chain of shared tokens and compatible sizes joins; those of no other class go.
 
     In the order of sizes, a token's classes fall apart where the next is too large for the last; each such run links
     to its first class. Classes of a frequent token are dealt to many parts, and fall apart by buckets of sizes.
     """
     rows = rows.join(F.broadcast(frequent.withColumn("often", F.lit(True))), "token", "left")
-    w = Window.partitionBy("g", "token").orderBy("n", "cls")
+    w = Window.partitionBy("token").orderBy("n", "cls")
     gap = F.coalesce(F.lag("n").over(w) * 100 < F.col("n") * percent, F.lit(True))
     runs = rows.where("often IS NULL").withColumn("gap", gap).withColumn("a", F.last(F.when(F.col("gap"), F.col("cls")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     edges = runs.select("a", F.col("cls").alias("b"))
-    key = ["g", "token", "size"]
-    hot = rows.where("often").select("g", "token", bucket_of("n", percent).alias("size"), "cls", F.pmod(F.xxhash64("cls"), F.lit(4 * tasks(rows.sparkSession))).alias("part"))
+    key = ["token", "size"]
+    hot = rows.where("often").select("token", bucket_of("n", percent).alias("size"), "cls", F.pmod(F.xxhash64("cls"), F.lit(4 * tasks(rows.sparkSession))).alias("part"))
     hot = hot.withColumn("a", F.min("cls").over(Window.partitionBy(*key, "part")))
     heads = cut(hot.select(*key, "a").distinct())  # one for each part
     least = cut(heads.groupBy(*key).agg(F.min("a").alias("b")))
-    up = least.select("g", "token", (F.col("size") - 1).alias("size"), F.col("b").alias("a")).join(least, key).select("a", "b")
+    up = least.select("token", (F.col("size") - 1).alias("size"), F.col("b").alias("a")).join(least, key).select("a", "b")
     edges = edges.unionByName(hot.select("a", F.col("cls").alias("b"))).unionByName(heads.join(least, key).select("a", "b")).unionByName(up)
     found = components(edges.where("a <> b").distinct())
     return found.select(F.col("v").alias("cls"), F.col("root").alias("g"))
@@ -306,10 +305,7 @@ def class_links(docs: DataFrame, percent: int = PERCENT, shared: float = SHARED,
     near = near.select("cls", rare["token"].alias("rare")).join(sets, "cls").join(classes.select("cls", "copies"), "cls")
     near = stored(near)
 
-    head = (F.col("n") - need + 1).cast("int")
-    groups = split_groups(near.select("cls", F.lit(0).alias("g"), "n", F.explode_outer("rare").alias("token")), percent, frequent)
-    rows = near.join(groups, "cls").select("cls", "g", "n", F.slice("tokens", (F.col("n") - head + 1).cast("int"), head).alias("prefix"))
-    groups = split_groups(rows.select("cls", "g", "n", F.explode_outer("prefix").alias("token")), percent, frequent)
+    groups = split_groups(near.select("cls", "n", F.explode_outer("rare").alias("token")), percent, frequent)
     tiles = tiles_of(cut(groups.join(near.select("cls", "n"), "cls")), percent, block)
     rows = near.select("cls", "copies", "tokens").join(tiles, "cls")
     return members, rows.groupBy("g", "b1", "lo", "b2", "hi").applyInPandas(lambda pdf: verify_tile(pdf, percent), "a long, b long, links long")

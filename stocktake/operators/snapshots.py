@@ -67,8 +67,9 @@ def remove(df: DataFrame, system: Column | None = None, paths: DataFrame | None
 
 
 def same_time(a: Column, b: Column) -> Column:
-    """Within a millisecond."""
-    return F.abs(a.cast("double") - b.cast("double")) < 0.001
+    """Less than a millisecond apart; times with and without a zone alike."""
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    return F.abs(micros(a) - micros(b)) < 1000
 
 
 def reuse(now: DataFrame, before: DataFrame, hashes: Sequence[str]) -> tuple[DataFrame, DataFrame]:

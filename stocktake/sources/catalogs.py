@@ -107,8 +107,10 @@ def catalog_names(sets: DataFrame) -> DataFrame:
 
 
 def title_names(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name) of a JSON object of ids to names."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "name")).select(F.upper("id").alias("id"), "name")
+    """(id, name) of JSON objects of ids to names: one that fills a file, or one in each line."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\s*\z", "").alias("value"))
+    many = F.when(F.from_json("value", "map<string,string>").isNull() | F.col("value").rlike(r"\}\s*\n\s*\{"), F.split("value", r"\n")).otherwise(F.array("value"))
+    return rows.select(F.explode(many).alias("value")).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "name")).select(F.upper("id").alias("id"), "name")
 
 
 def title_versions(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stocktake.functions import headers, names, paths
-from stocktake.operators import audit, families, layout, match, snapshots, suggest
+from stocktake.operators import audit, duplicates, families, layout, match, snapshots, suggest
 from stocktake.plans import changes
 from stocktake.sources import catalogs, inventories
 
@@ -80,6 +80,107 @@ def test_claims_equal_the_plain_greedy(spark, loose):
     assert {r["item_ord"]: (r["path"], r["entry_name"]) for r in out.where("match_status IN ('correct', 'misnamed')").collect()} == want
 
 
+@pytest.mark.parametrize("loose", [False, True])
+def test_claims_by_two_identities_equal_the_plain_greedy(spark, loose):
+    import random
+
+    rng = random.Random(8)
+    items = [(f"s{i // 30}", i // 30, i % 30, f"n{rng.randrange(30)}", rng.randrange(1, 9) * 16, None, f"m{rng.randrange(3)}", rng.choice(["good", "nodump"]), False) for i in range(120)]
+    files = []
+    for i in range(110):
+        size, inner = rng.randrange(2, 9) * 16, (None if rng.random() < 0.5 else f"m{rng.randrange(3)}")
+        files.append((f"/r{i % 2}/f{i}" if loose else f"/r/s{i % 4}.zip", f"f{i}" if loose else f"n{i // 4}", size, None, f"m{rng.randrange(3)}", inner and (size - 16, inner)))
+    files.sort(key=lambda b: b[:2])
+    fits = lambda a, b: (a[4], a[6]) in ((b[2], b[4]), b[5])
+    taken, want = set(), {}
+    for a in sorted(items, key=lambda a: (a[1], a[7] == "nodump", a[2])):
+        free = [b for b in files if b[:2] not in taken and fits(a, b) and (loose or b[0] == f"/r/{a[0]}.zip")]
+        if free:
+            b = min(free, key=lambda b: (b[1] != a[3], b[:2]))
+            taken.add(b[:2])
+            want[a[1], a[2]] = (*b[:2], (a[4], a[6]) != (b[2], b[4]))
+    df = spark.createDataFrame(files, FILES + ", stripped struct<size: long, md5: string>")
+    out = match.match_items(spark.createDataFrame(items, ITEMS), df).where("match_status IN ('correct', 'misnamed')")
+    assert {(r["set_ord"], r["item_ord"]): (r["path"], r["entry_name"], r["via_strip"]) for r in out.collect()} == want
+    assert sum(v[2] for v in want.values()) > 10
+
+
+def test_a_set_of_many_items_is_matched(spark):
+    n = 10_000
+    items = spark.range(n).selectExpr("'big' AS set_name", "0L AS set_ord", "id AS item_ord", "concat('i', id) AS item_name", "id % 7 AS size", "CAST(NULL AS STRING) AS crc32", "md5(CAST(id AS STRING)) AS md5", "'good' AS dump_status", "false AS optional")
+    files = spark.range(n).where("id % 10 <> 3").selectExpr("'/r/big.zip' AS path", "concat('i', id + id % 2) AS entry_name", "id % 7 AS size", "CAST(NULL AS STRING) AS crc32", "md5(CAST(id AS STRING)) AS md5")
+    got = {r["match_status"]: r["count"] for r in match.match_items(items, files).groupBy("match_status").count().collect()}
+    assert got["correct"] == n // 2 and got["misnamed"] == n // 2 - n // 10 and sum(got.values()) == n
+
+
+def test_an_undumped_slot_is_found_in_the_parents_container(spark):
+    items = [item("par", 0, "p", 1, "aa"), item("var", 1, "v", 2, "bb"), item("var", 2, "nd", 9, None, None, "nodump"), item("var", 3, "none", 9, None, None, "nodump")]
+    df = spark.createDataFrame(items, ITEMS).withColumn("clone_of", F.when(F.col("set_name") == "var", "par"))
+    out = match.match_items(df, spark.createDataFrame([("/r/par.zip", "p", 1, "aa", None), ("/r/par.zip", "nd", 5, "cc", None), ("/r/var.zip", "v", 2, "bb", None)], FILES))
+    assert {r["item_name"]: (r["match_status"], r["path"]) for r in out.collect()} == {"p": ("correct", "/r/par.zip"), "v": ("correct", "/r/var.zip"), "nd": ("nodump", "/r/par.zip")}
+
+
+def test_donors_of_sets_that_number_their_items_alike(spark):
+    wanted = spark.createDataFrame([("a", 0, 0, 1, "m1"), ("b", 1, 0, 2, "m2")], "set_name string, set_ord long, item_ord long, size long, md5 string")
+    pool = spark.createDataFrame([("/x", "x", 1, "m1"), ("/y", "y", 2, "m2"), ("/z", "z", 2, "m1")], "path string, entry_name string, size long, md5 string")
+    assert {(r["set_ord"], r["donor_path"]) for r in duplicates.donors(wanted, pool).collect()} == {(0, "/x"), (1, "/y")}
+
+
+def test_the_most_specific_root(spark, monkeypatch):
+    files = spark.createDataFrame([("/r0/sub/a",), ("/r0/sub2/a",), ("/r0",), ("/q/a",), ("/r0/sub::e",), ("/r0/sub/a",)], "path string")
+    roots = spark.createDataFrame([("/r0", 0), ("/r0/sub", 1)], "root string, root_ord int")
+    want = [(None, "/q/a"), ("/r0", "/r0"), ("/r0", "/r0/sub2/a"), ("/r0/sub", "/r0/sub/a"), ("/r0/sub", "/r0/sub/a"), ("/r0/sub", "/r0/sub::e")]
+    for few in (200, 1):
+        monkeypatch.setattr(duplicates, "FEW_ROOTS", few)
+        got = sorted(((r["root"], r["path"]) for r in duplicates.root_of(files, roots).collect()), key=str)
+        assert got == sorted(want, key=str), few
+
+
+def test_renames_go_by_phases(spark):
+    items = spark.createDataFrame([item("a", 0, "a.bin", 1, "aa"), item("one", 1, "o.bin", 2, "bb"), item("c", 2, "c1", 3, "cc"), item("c", 3, "c2", 4, "dd")], ITEMS)
+    files = spark.createDataFrame([("/r/x.bin", "x.bin"), ("/r/on.zip", "q"), ("/r/free.zip", "s"), ("/r/C.zip", "c1"), ("/r/typo.zip", "t"), ("/r/taken.zip", "u"), ("/r/full.zip", "u")], "path string, entry_name string")
+    met = spark.createDataFrame([("a", 0, 0, "a.bin", "misnamed", "/r/x.bin", "x.bin"), ("one", 0, 1, "o.bin", "misnamed", "/r/on.zip", "q"), ("c", 0, 2, "c1", "correct", "/r/C.zip", "c1")], "set_name string, set_ord long, item_ord long, item_name string, match_status string, path string, entry_name string")
+    suggested = spark.createDataFrame([("/r/free.zip", "on"), ("/r/taken.zip", "full")], "path string, suggested string")
+    near = spark.createDataFrame([("/r/typo.zip", "type", 0.95), ("/r/taken.zip", "far", 0.5)], "path string, set_name string, score double")
+    got = [(r["step"], r["source"], r["target"]) for r in changes.rename_files(met, items, suggested, files, near).orderBy("step").collect()]
+    assert got == [(0, "/r/x.bin", "/r/a.bin"), (1, "/r/on.zip", "/r/one.zip"), (2, "/r/free.zip", "/r/on.zip"), (3, "/r/typo.zip", "/r/type.zip"), (4, "/r/C.zip", "/r/c.zip")]
+
+
+def test_long_document_types_and_strict_items(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    text = "<?xml version='1.0'?>\n<!DOCTYPE mame [\n" + "<!ELEMENT x (y)>\n" * 700 + "]>\n<mame>\n<machine name='m'><rom name='a'/></machine></mame>"
+    (tmp_path / "m.xml").write_text(text)
+    assert catalogs.dialect(spark, str(tmp_path / "m.xml")) == "mame"
+    sets = catalogs.read_sets(spark, str(tmp_path / "m.xml"))
+    assert catalogs.catalog_items(sets).count() == 0
+    with pytest.raises(PySparkException, match="without a name or a size in the set m"):
+        catalogs.catalog_items(sets, strict=True).collect()
+    (tmp_path / "d.xml").write_text("<datafile><header><name>n</name><version>2</version></header><game name='A'/><machine name='B'/><game name='C'/></datafile>")
+    both = catalogs.read_sets(spark, str(tmp_path / "d.xml"))
+    assert len({r["set_ord"] for r in both.collect()}) == 3 and catalogs.read_header(spark, str(tmp_path / "d.xml")).first()["version"] == "2"
+
+
+def test_roots_that_are_gone_or_too_deep(spark, tmp_path):
+    (tmp_path / "r" / "a" / "b").mkdir(parents=True)
+    (tmp_path / "r" / "x").write_text("1")
+    (tmp_path / "r" / "a" / "b" / "y").write_text("2")
+    roots = [str(tmp_path / "r"), str(tmp_path / "gone")]
+    assert inventories.present_roots(spark, roots) == (roots[:1], roots[1:])
+    assert [r["entry_name"] for r in inventories.scan(spark, roots, 1).collect()] == ["x"] and inventories.scan(spark, roots[1:]).count() == 0
+    assert [(r["folder"], r["n"]) for r in inventories.too_deep(spark, roots, 1).collect()] == [(f"{roots[0]}/a", 1)]
+
+
+def test_a_changed_file_has_its_newest_row(spark):
+    from datetime import datetime
+
+    old, new = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    schema = "path string, entry_path string, size long, mtime timestamp"
+    before = spark.createDataFrame([("/a", None, 1, old, "m1"), ("/a", None, 1, new, "m2")], schema + ", md5 string")
+    known, fresh = snapshots.reuse(spark.createDataFrame([("/a", None, 1, new)], schema), before, ["md5"])
+    assert [r["md5"] for r in known.collect()] == ["m2"] and fresh.count() == 0
+
+
 def test_hit_of_wrong_size_stops_later_keys(spark):
     items = spark.createDataFrame([item("a", 0, "x", 1, "aa", "m1")], ITEMS)
     files = spark.createDataFrame([("/p", "p", 9, "aa", "m2"), ("/q", "q", 1, "bb", "m1")], FILES)

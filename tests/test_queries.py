@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on the smallest sample tables."""
+"""All registered queries of the catalog engine against their SQL on the smallest sample tables."""
 
 import os
 
@@ -8,38 +8,62 @@ import __spark_entry__
 
 duckdb = pytest.importorskip("duckdb")
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark")
-NAMES = ("J1_content_candidates", "J5_container_election", "J6_match", "A1_counters", "A5_completion", "A7_one_per_family", "J20_base_ancestor", "J22_component_closure", "J23_disk_match", "J26_near_names", "K1_report_diff", "A17_title_sets", "P3_rename_entries", "A11_bucket_keys")
+OWN = {name: query for module in __spark_entry__.CATALOG for name, query in module.queries().items()}
+SQL = {name: text for module in __spark_entry__.CATALOG for name, text in module.oracles().items()}
+#: At this size no sample row is of the kind that these look for.
+MAY_BE_EMPTY = {"J9_nodump_slots", "J24_disk_leftovers"}
+
+pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the sample tables")
+
+
+@pytest.fixture(scope="module")
+def one_match(spark):
+    """Queries that start from the match of the sample tables share one, which is a checkpoint already."""
+    kept = {}
+
+    def once(f):
+        return lambda s, d: kept[f.__name__, d] if (f.__name__, d) in kept else kept.setdefault((f.__name__, d), f(s, d))
+
+    patch = pytest.MonkeyPatch()
+    for module in __spark_entry__.CATALOG:
+        for name in ("both", "report", "left"):
+            if hasattr(module, name):
+                patch.setattr(module, name, once(getattr(module, name)))
+    yield
+    patch.undo()
 
 
 def plain(v):
     return None if v is None else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the sample tables")
-@pytest.mark.parametrize("name", NAMES)
-def test_query_equals_its_sql(spark, name):
+@pytest.fixture(scope="module")
+def tables():
     con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
-    want = con.sql(__spark_entry__.oracle_sql()[name])
-    df = __spark_entry__.queries()[name](spark, SF_DIR)
+    for file in os.listdir(SF_DIR):
+        con.sql(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{SF_DIR}/{file}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, one_match, tables, name):
+    want = tables.sql(SQL[name])
+    df = OWN[name](spark, SF_DIR)
     assert sorted(df.columns) == sorted(want.columns)
     got = sorted((tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=str)
     at = [want.columns.index(c) for c in sorted(want.columns)]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
+    assert got or name in MAY_BE_EMPTY
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the sample tables")
 def test_views_of_parts_cover_all_parts(spark):
     from stocktake.fixtures import view
 
     d = "/root/testdata/sf0.01"
     n = spark.read.parquet(f"{d}/part.parquet").select("p_partkey").distinct().count()
-    assert view(spark, d, "fx_components").select("src").distinct().count() == n and view(spark, d, "fx_titles").count() == n
+    assert view(spark, d, "fx_components").select("src").distinct().count() == n and view(spark, d, "fx_titles").count() == n and view(spark, d, "fx_name_catalog").select("set_name").distinct().count() == n
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the sample tables")
 def test_pack_paths_grow_with_documents(spark):
     from stocktake import queries_names
 
@@ -48,4 +72,4 @@ def test_pack_paths_grow_with_documents(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and set(OWN) - set(SQL) == {"J6_loose_mode"}

@@ -175,15 +175,16 @@ def size_parts(files: DataFrame) -> DataFrame:
     """(size, part): sizes that files have with and without their headers, joined as far as that reaches, under the least of them. Sizes of no such file have no row."""
     pairs = files.where("stripped IS NOT NULL").select(F.col("size").cast("long").alias("size"), F.col("stripped.size").cast("long").alias("other")).distinct()
     both = cut(pairs.unionByName(pairs.select(F.col("other").alias("size"), F.col("size").alias("other"))))
-    state = cut(both.groupBy("size").agg(F.min("other").alias("low")).select("size", F.least("size", "low").alias("part")))
+    state, seen = both.groupBy("size").agg(F.min("other").alias("low")).select("size", F.least("size", "low").alias("part")), None
     while True:
+        state = cut(state)
+        sign = state.agg(F.sum("part")).first()[0]  # parts only ever get smaller
+        if sign == seen:
+            return state
+        seen = sign
         low = both.join(state.select(F.col("size").alias("other"), "part"), "other").groupBy("size").agg(F.min("part").alias("low"))
-        down = cut(state.join(low, "size").select("size", F.least("part", "low").alias("next")))
-        jump = down.select(F.col("size").alias("next"), F.col("next").alias("further"))
-        after = cut(down.join(jump, "next", "left").select("size", F.coalesce("further", "next").alias("part")))
-        if after.join(state, ["size", "part"], "left_anti").isEmpty():
-            return after
-        state = after
+        down = state.join(low, "size").select("size", F.least("part", "low").alias("next"))
+        state = down.join(state.select(F.col("size").alias("next"), F.col("part").alias("further")), "next", "left").select("size", F.coalesce("further", "next").alias("part"))
 
 
 def claim(items: DataFrame, files: DataFrame, hashes: Sequence[str], parts: DataFrame | None = None) -> DataFrame:

@@ -324,10 +324,12 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pe
     per_class = members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     linked = links.groupBy("a").agg(F.sum("links").alias("links"))
     per_class = per_class.join(labels.withColumnRenamed("v", "cls"), "cls", "left").join(linked.withColumnRenamed("a", "cls"), "cls", "left")
-    per_class = cut(per_class.select("cls", "least", F.coalesce("root", "cls").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    smallest = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = per_class.join(smallest, "root").select("cls", "component_id", "n_links", F.lit(True).alias("known"))
-    return members.join(final, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per_class = cut(per_class.select("cls", "least", "copies", F.coalesce("root", "cls").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    # A component, or a class of equal texts, may hold a third of all rows.
+    smallest = cut(per_class.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+    final = cut(join_hot(per_class, smallest, ["root"], F.col("cls"), "classes").select("cls", "component_id", "n_links", "copies", F.lit(True).alias("known")))
+    out = join_hot(members, final, ["cls"], F.xxhash64("doc.idh", "doc.th"), "copies")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 THRESHOLD, NEAR_TIE = 0.75, 0.05
 #: Bytes that a file's size may be off.
 SIZE_OFF = 512
+#: In a range of sizes that at most so many catalog names have, each of them is compared; blocks are for larger ones.
+FEW_NAMES = 200
 SPECIAL = ("beta", "proto", "demo", "debug", "sample", "kiosk", "unl", "pirate", "alpha", "test program", "lodgenet", "gamecube", "virtual console", "switch online", "limited run", "aftermarket", "promo", "rerelease")
 
 
@@ -51,19 +53,22 @@ def near_names(local: DataFrame, catalog: DataFrame, threshold: float = THRESHOL
     pieces are cut from catalog names, whose lengths are few; a local name looks up its substrings near the same places.
     Names that many rows share are joined once and brought back by an equi-join.
 
-    Where both sides have a size, it may be off by SIZE_OFF, and blocks are of one range of sizes or its neighbour: names that share a
-    piece (a tag, say) meet only within it.
+    Where both sides have a size, it may be off by SIZE_OFF, and names meet within one range of sizes or its neighbours: each where few
+    catalog names have such a size, and by blocks where many have, so names that share a piece (a tag, say) meet only there.
     """
     sized = "size" in local.columns and "size" in catalog.columns
-    more = ["size"] if sized else []
+    more, keys = (["size"] if sized else []), []
     a = local.select(local_title(F.col("local_name")).alias("a"), *more).distinct()
     b = catalog.select(F.col("set_name").alias("b"), *more).distinct()
     if sized:
         a = a.withColumn("near", F.explode(F.array(*[F.floor(F.col("size") / SIZE_OFF) + k for k in (-1, 0, 1)])))
         b = b.withColumn("near", F.floor(F.col("size") / SIZE_OFF)).withColumnRenamed("size", "b_size")
+        many = b.groupBy("near").agg(F.count("*").alias("n")).where(F.col("n") > FEW_NAMES).select("near")
+        fits = F.abs(F.col("size") - F.col("b_size")) <= SIZE_OFF
+        keys.append(a.join(b.join(many, "near", "left_anti"), "near").where(fits).select("a", "size", "b"))
+        a, b = a.join(many, "near", "left_semi"), b.join(many, "near", "left_semi")
     at, at_b = ["near", *more] if sized else [], ["near", "b_size"] if sized else []
     least = (threshold - 0.1) / 0.9
-    keys = []
     for part, floor in ((title, least), (lambda x: x, threshold)):
         left, right = a.select("a", *at, F.lower(part(F.col("a"))).alias("x")), b.select("b", *at_b, F.lower(part(F.col("b"))).alias("y"))
         lengths = F.sequence(F.greatest(F.ceil(F.length("x") * floor).cast("int"), F.lit(1)), F.floor(F.length("x") / floor).cast("int"))
@@ -78,8 +83,11 @@ def near_names(local: DataFrame, catalog: DataFrame, threshold: float = THRESHOL
         asks = asks.withColumn("i", F.explode_outer(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("at", cut_at(F.col("m"), F.col("k"), F.col("i"))).withColumn("len", cut_at(F.col("m"), F.col("k"), F.col("i") + 1) - F.col("at"))
         asks = asks.withColumn("from", F.explode_outer(F.sequence(F.greatest(F.col("at") - F.col("e"), F.lit(0)), F.least(F.col("at") + F.col("e"), F.greatest(F.length("x") - F.col("len"), F.lit(0))))))
         met = asks.select("a", *at, "m", "i", F.substr(F.col("x"), F.col("from") + 1, F.col("len")).alias("p")).distinct().join(right, [*at[:1], "m", "i", "p"])
-        keys.append((met.where(F.abs(F.col("size") - F.col("b_size")) <= SIZE_OFF) if sized else met).select("a", *more, "b"))
-    pairs = keys[0].unionByName(keys[1]).distinct().withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold - 1e-12)
+        keys.append((met.where(fits) if sized else met).select("a", *more, "b"))
+    pairs = keys[0]
+    for part in keys[1:]:
+        pairs = pairs.unionByName(part)
+    pairs = pairs.distinct().withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold - 1e-12)
     names = local.select("local_name", *more, local_title(F.col("local_name")).alias("a")).distinct()
     return names.join(pairs, ["a", *more]).select("local_name", F.col("b").alias("set_name"), "score").distinct()
 

@@ -241,6 +241,21 @@ def test_near_names_pick_plain_and_available(spark):
     assert [r["set_name"] for r in suggest.near_names(local, cat).collect()] == ["P.O.W. - Prisoners of War (USA)"]
 
 
+def test_near_names_of_near_sizes(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    names_ = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(8, 16))).strip() or "x" for _ in range(60)]
+    cat = [(f"{n} (USA)", rng.randrange(4) * 400) for n in names_]
+    local = [(f"{n[:3]}{n[4:]} (USA).zip", rng.randrange(4) * 400) for n in names_]
+    a, b = spark.createDataFrame(local, "local_name string, size long"), spark.createDataFrame(cat, "set_name string, size long")
+    score = a.withColumnRenamed("size", "s").crossJoin(b).where("abs(s - size) <= 512").withColumn("x", suggest.similarity(suggest.local_title(F.col("local_name")), F.col("set_name"))).where(F.col("x") >= 0.75 - 1e-12)
+    want = {(r["local_name"], r["set_name"]) for r in score.collect()}
+    for few in (200, 0):
+        monkeypatch.setattr(suggest, "FEW_NAMES", few)
+        assert {(r["local_name"], r["set_name"]) for r in suggest.near_names(a, b).collect()} == want and len(want) > 30
+
+
 SETS = "set_name string, clone_of string, rom_of string, is_bios boolean, is_device boolean, refs array<string>"
 PARTS = "set_name string, item_ord long, item_name string, size long, crc32 string, merge_name string"
 

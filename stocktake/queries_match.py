@@ -52,6 +52,11 @@ def both(spark, d):
     return cut(view(spark, d, "fx_catalog")), cut(inventory(spark, d))
 
 
+def once(spark, d):
+    """Items and files for queries that read each but a few times."""
+    return view(spark, d, "fx_catalog"), inventory(spark, d)
+
+
 def report(spark, d):
     items, files = both(spark, d)
     return items, files, match.match_items(items, files)
@@ -77,11 +82,11 @@ def sql(select):
 
 
 QUERIES = {
-    "J1_content_candidates": (lambda s, d: match.candidates(*both(s, d), by_size=True).select(*KEY, "path", "entry_name", F.col("prio").cast("int").alias("prio")), """WITH i AS (SELECT path, entry_name, size, md5 FROM fx_inventory UNION ALL SELECT path, entry_name, s_size, s_md5 FROM fx_inventory WHERE s_size IS NOT NULL), h AS (SELECT c.set_ord, c.item_ord, i.path, i.entry_name FROM fx_catalog c JOIN i ON i.md5 = c.md5)
+    "J1_content_candidates": (lambda s, d: match.candidates(*once(s, d), by_size=True).select(*KEY, "path", "entry_name", F.col("prio").cast("int").alias("prio")), """WITH i AS (SELECT path, entry_name, size, md5 FROM fx_inventory UNION ALL SELECT path, entry_name, s_size, s_md5 FROM fx_inventory WHERE s_size IS NOT NULL), h AS (SELECT c.set_ord, c.item_ord, i.path, i.entry_name FROM fx_catalog c JOIN i ON i.md5 = c.md5)
       SELECT *, 1 AS prio FROM h UNION ALL SELECT c.set_ord, c.item_ord, i.path, i.entry_name, 4 FROM fx_catalog c JOIN i ON i.size = c.size WHERE (c.set_ord, c.item_ord) NOT IN (SELECT (set_ord, item_ord) FROM h)"""),
-    "J2_verified_pairs": (lambda s, d: match.verified_pairs(*both(s, d)).select(*KEY, "path", "entry_name"), "SELECT c.set_ord, c.item_ord, f.path, f.entry_name FROM fx_catalog c JOIN fx_inventory f ON f.md5 = c.md5 AND f.size = c.size UNION ALL SELECT c.set_ord, c.item_ord, f.path, f.entry_name FROM fx_catalog c JOIN fx_inventory f ON f.s_md5 = c.md5 AND f.s_size = c.size"),
+    "J2_verified_pairs": (lambda s, d: match.verified_pairs(*once(s, d)).select(*KEY, "path", "entry_name"), "SELECT c.set_ord, c.item_ord, f.path, f.entry_name FROM fx_catalog c JOIN fx_inventory f ON f.md5 = c.md5 AND f.size = c.size UNION ALL SELECT c.set_ord, c.item_ord, f.path, f.entry_name FROM fx_catalog c JOIN fx_inventory f ON f.s_md5 = c.md5 AND f.s_size = c.size"),
     "J3_behind_headers": (lambda s, d: report(s, d)[2].where("via_strip").select(*KEY, "path", "entry_name", "match_status"), sql("SELECT set_ord, item_ord, path, entry_name, match_status FROM matches WHERE via_strip")),
-    "J4_container_scope": (lambda s, d: match.scoped_pairs(*both(s, d)).select(*KEY, "path", "entry_name", "fits"), sql("SELECT set_ord, item_ord, path, entry_name, fits FROM pairs")),
+    "J4_container_scope": (lambda s, d: match.scoped_pairs(*once(s, d)).select(*KEY, "path", "entry_name", "fits"), sql("SELECT set_ord, item_ord, path, entry_name, fits FROM pairs")),
     "J5_container_election": (lambda s, d: match.elect_containers(*both(s, d)), sql("SELECT set_lc, path, satisfied FROM elected")),
     "J6_match": (lambda s, d: report(s, d)[2], sql("SELECT * EXCLUDE (uid) FROM matches")),
     "J7_wrong_content": (of_status("hashMismatch"), sql("SELECT set_ord, item_ord, path, entry_name FROM matches WHERE match_status = 'hashMismatch'")),

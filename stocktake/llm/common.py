@@ -82,3 +82,10 @@ def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Col
     cold = named(right.where(F.col(rows) <= least), "cold").withColumn("__to", F.xxhash64(*[f"__cold_{k}" for k in keys]))
     out = out.join(cold, [F.col("__at") == F.col("__to"), ~F.col("__done"), *same("cold")], "left")
     return out.select(*[F.col(f"`{c}`") for c in left.columns], F.coalesce("__hot", "__cold").alias("__met")).select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("__met")[v].alias(v) for v in values])
+
+
+def crc32_sql(number: str) -> str:
+    """DuckDB SQL of the crc32 of an integer's decimal text: each digit is mixed in, then eight shifts by the polynomial 0xEDB88320."""
+    steps = f"flatten(list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda d: list_concat([CAST(ascii(d) AS BIGINT)], list_resize(CAST([] AS BIGINT[]), 8, 256))))"
+    step = "CASE WHEN x < 256 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"xor(list_reduce({steps}, lambda c, x: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"

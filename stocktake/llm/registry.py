@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, pii, quotes, sharding, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quotes, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_formatting": quotes.op10_chat_formatting,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 
@@ -25,4 +26,5 @@ def oracles() -> dict[str, str]:
         "op8_sharding": sharding.oracle(),
         "op9_line_dedup": line_dedup.oracle(),
         "op10_chat_formatting": quotes.oracle(),
+        "op13_merkle": merkle.oracle(),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quotes, sharding, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, licenses, line_dedup, merkle, mixing, pii, quotes, runs, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_formatting": quotes.op10_chat_formatting,
+    "op11_runs": runs.op11_runs,
+    "op12_licenses": licenses.op12_licenses,
     "op13_merkle": merkle.op13_merkle,
 }
 
@@ -26,5 +28,6 @@ def oracles() -> dict[str, str]:
         "op8_sharding": sharding.oracle(),
         "op9_line_dedup": line_dedup.oracle(),
         "op10_chat_formatting": quotes.oracle(),
+        "op11_runs": runs.oracle(),
         "op13_merkle": merkle.oracle(),
     }

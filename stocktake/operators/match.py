@@ -7,19 +7,16 @@ wins, so it is part of every window and of the claim.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, os_junk, stem
 from ..lineage import cut
+from .claims import FILE, ITEM, claim, claim_anywhere, size_parts
 
 HASHES = ("crc32", "md5", "sha1")
-ITEM = ("set_ord", "item_ord")
-FILE = ("path", "entry_name")
 
 
 def shared_hashes(a: DataFrame, b: DataFrame) -> list[str]:
@@ -129,103 +126,6 @@ def elect_containers(items: DataFrame, files: DataFrame, recent: Column | None =
     return paths.groupBy("set_lc").agg(best.alias("b")).select("set_lc", "b.path", "b.satisfied")
 
 
-class Pool:
-    """The free files of one claim group, by their identities and by name; the first compatible one is found without going through the others."""
-
-    def __init__(self, n_hashes: int):
-        self.kinds = range(n_hashes)
-        self.files: list[tuple[str, str]] = []
-        self.taken: list[bool] = []
-        self.found: dict[tuple, deque[tuple[int, bool]]] = {}
-        self.masks: set[int] = set()
-
-    def put(self, path: str, name: str, recent: bool, size: int, hashes: Sequence[str | None], via: bool) -> None:
-        if not self.files or self.files[-1] != (path, name):  # a file's identities come one after the other
-            self.files.append((path, name))
-            self.taken.append(False)
-        at = len(self.files) - 1
-        mask = sum(1 << k for k in self.kinds if hashes[k] is not None)
-        self.masks.add(mask)
-        some = mask
-        while True:  # all subsets of the hashes that the file has
-            shared = tuple(hashes[k] for k in self.kinds if some >> k & 1)
-            for n in (name, None):
-                self.found.setdefault((size, mask, some, shared, n, recent), deque()).append((at, via))
-            if not some:
-                return
-            some = (some - 1) & mask
-
-    def take(self, name: str | None, size: int, hashes: Sequence[str | None]) -> tuple[str, str, bool] | None:
-        mine = sum(1 << k for k in self.kinds if hashes[k] is not None)
-        for n, recent in ((name, False), (name, True), (None, False), (None, True)):
-            first = None
-            for mask in self.masks:
-                free = self.found.get((size, mask, mask & mine, tuple(hashes[k] for k in self.kinds if mask & mine & 1 << k), n, recent))
-                while free and self.taken[free[0][0]]:
-                    free.popleft()
-                if free and (first is None or free[0] < first):
-                    first = free[0]
-            if first is not None:
-                self.taken[first[0]] = True
-                return *self.files[first[0]], first[1]
-        return None
-
-
-def size_parts(files: DataFrame) -> DataFrame:
-    """(size, part): sizes that files have with and without their headers, joined as far as that reaches, under the least of them. Sizes of no such file have no row."""
-    pairs = files.where("stripped IS NOT NULL").select(F.col("size").cast("long").alias("size"), F.col("stripped.size").cast("long").alias("other")).distinct()
-    both = cut(pairs.unionByName(pairs.select(F.col("other").alias("size"), F.col("size").alias("other"))))
-    state, seen = both.groupBy("size").agg(F.min("other").alias("low")).select("size", F.least("size", "low").alias("part")), None
-    while True:
-        state = cut(state)
-        sign = state.agg(F.sum("part")).first()[0]  # parts only ever get smaller
-        if sign == seen:
-            return state
-        seen = sign
-        low = both.join(state.select(F.col("size").alias("other"), "part"), "other").groupBy("size").agg(F.min("part").alias("low"))
-        down = state.join(low, "size").select("size", F.least("part", "low").alias("next"))
-        state = down.join(state.select(F.col("size").alias("next"), F.col("part").alias("further")), "next", "left").select("size", F.coalesce("further", "next").alias("part"))
-
-
-def claim(items: DataFrame, files: DataFrame, hashes: Sequence[str], parts: DataFrame | None = None) -> DataFrame:
-    """One file for each item at most and the other way round, items in catalog order, those of a set without a dump last.
-
-    An item takes a file of its own name before another, and one outside recently scanned roots before another. Items (grp, size, hashes,
-    ...) and files (grp, size, hashes, via_strip, recent, ...; a row for each identity) compete within ``grp`` and a size, and within a hash where all
-    rows of that size have it; sizes of one of ``parts`` compete together, as a file has several. Such a group's rows, not its pairs,
-    come sorted and are read once: the files, then the items.
-    """
-    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
-    rows = files.select("grp", "size", *hashes, F.lit(0).alias("kind"), zero.alias("set_ord"), F.lit(False).alias("late"), zero.alias("item_ord"), none.alias("item_name"), *FILE, "recent", "via_strip")
-    late = F.coalesce(F.col("dump_status") == "nodump", F.lit(False))
-    rows = rows.unionByName(items.select("grp", "size", *hashes, F.lit(1).alias("kind"), "set_ord", late.alias("late"), "item_ord", "item_name", none.alias("path"), none.alias("entry_name"), F.lit(False).alias("recent"), F.lit(False).alias("via_strip")))
-    rows = rows.where("size IS NOT NULL")
-    rows = rows.join(parts, "size", "left") if parts is not None else rows.withColumn("part", F.lit(None).cast("long"))
-    rows = rows.withColumn("joined", F.col("part").isNotNull()).withColumn("part", F.coalesce("part", "size"))
-    both = rows.groupBy("grp", "part").agg(F.count_distinct("kind").alias("sides"), *[(~F.bool_or("joined") & F.bool_and(F.col(h).isNotNull())).alias(f"all_{h}") for h in hashes]).where("sides = 2")
-    key = F.coalesce(*[F.when(F.col(f"all_{h}"), F.col(h)) for h in hashes], F.lit(""))
-    keyed = rows.join(both, ["grp", "part"]).withColumn("key", key).drop("sides", "joined", *[f"all_{h}" for h in hashes])
-    group = ["grp", "part", "key"]
-
-    def greedy(batches):
-        at, pool = None, None
-        for pdf in batches:
-            out = []
-            hs = list(zip(*[[v if isinstance(v, str) else None for v in pdf[h]] for h in hashes], strict=True)) if hashes else [()] * len(pdf)
-            columns = ("grp", "part", "key", "size", "kind", "set_ord", "item_ord", "item_name", "path", "entry_name", "recent", "via_strip")
-            for (g, p, k, size, kind, o, i, name, path, entry, recent, via), h in zip(zip(*[pdf[c] for c in columns], strict=True), hs, strict=True):
-                if at != (g, p, k):
-                    at, pool = (g, p, k), Pool(len(hashes))
-                if kind == 0:
-                    pool.put(path, entry, bool(recent), size, h, bool(via))
-                elif got := pool.take(name, size, h):
-                    out.append((o, i, *got, "correct" if got[1] == name else "misnamed"))
-            yield pd.DataFrame(out, columns=["set_ord", "item_ord", "path", "entry_name", "via_strip", "match_status"])
-
-    keyed = keyed.repartition(*group).sortWithinPartitions(*group, "kind", "set_ord", "late", "item_ord", *FILE)
-    return keyed.mapInPandas(greedy, "set_ord long, item_ord long, path string, entry_name string, via_strip boolean, match_status string")
-
-
 def first_file(df: DataFrame) -> DataFrame:
     """Each item's first file by (path, entry_name)."""
     return df.groupBy(*ITEM).agg(F.min(F.struct(*FILE)).alias("f")).select(*ITEM, "f.*")
@@ -294,7 +194,8 @@ def match_items(items: DataFrame, files: DataFrame, recent: Column | None = None
         home = elect_containers(items, files, scope=scope).select(F.col("set_lc").alias("grp"), F.col("path").alias("home")).join(n, "grp")
         items_ = items.withColumn("grp", F.lower("set_name"))
         own = cut(scope.where("NOT junk").join(home, F.col("stem_lc") == F.col("grp")).where("(in_container AND path = home) OR (NOT in_container AND n_items = 1)").drop("home", "n_items"))
-    claims = claim(items_, own, hashes, size_parts(files) if "stripped" in files.columns else None)
+    two = "stripped" in files.columns
+    claims = claim_anywhere(items_, own, hashes, two) if loose else claim(items_, own, hashes, size_parts(files) if two else None)
     if names_alone:
         from .alternates import match_names
 

@@ -84,13 +84,15 @@ SELECT concat('Game ', CAST(p_partkey AS STRING), ' [0100', lpad(hex(CAST(p_part
        CAST(p_partkey * 10 AS BIGINT) AS size FROM part""",
     "fx_machines": """
 SELECT i AS set_ord, concat('m', CAST(i AS STRING)) AS set_name, CASE WHEN i % 3 <> 0 THEN concat('m', CAST(i - i % 3 AS STRING)) END AS clone_of,
-       CASE WHEN i % 30 = 0 THEN NULL WHEN i % 3 <> 0 THEN concat('m', CAST(i - i % 3 AS STRING)) ELSE concat('m', CAST(i - i % 30 AS STRING)) END AS rom_of,
-       i % 30 = 0 AS is_bios, i % 30 = 29 AS is_device, CASE WHEN i % 6 = 3 THEN concat('m', CAST(i - i % 30 + 29 AS STRING)) END AS ref
+       CASE WHEN i % 97 = 5 THEN 'nowhere' WHEN i % 30 = 0 THEN NULL WHEN i % 3 <> 0 THEN concat('m', CAST(i - i % 3 AS STRING)) ELSE concat('m', CAST(i - i % 30 AS STRING)) END AS rom_of,
+       i % 30 = 0 AS is_bios, i % 30 >= 28 AS is_device,
+       CASE WHEN i % 6 = 3 OR i % 10 = 1 THEN concat('m', CAST(i - i % 30 + 29 AS STRING)) WHEN i % 30 IN (12, 29) THEN concat('m', CAST(i - i % 30 + 28 AS STRING)) END AS ref,
+       CASE WHEN i % 12 = 3 THEN concat('m', CAST(i - i % 30 + 28 AS STRING)) WHEN i % 30 = 14 THEN concat('m', CAST(i - i % 30 + 27 AS STRING)) END AS ref2
 FROM (SELECT DISTINCT CAST(floor(p_partkey / 4) AS BIGINT) AS i FROM part) s""",
     "fx_parts": """
 SELECT concat('m', CAST(s AS STRING)) AS set_name, item_ord, CASE item_ord WHEN 0 THEN concat('own', CAST(s AS STRING)) WHEN 1 THEN concat('rom', CAST(s AS STRING)) WHEN 2 THEN 'common' ELSE 'same' END AS item_name,
        CASE item_ord WHEN 2 THEN 10 + s % 2 WHEN 3 THEN 7 ELSE n END AS size, CASE item_ord WHEN 2 THEN concat('c', CAST(s % 2 AS STRING)) WHEN 3 THEN concat('f', CAST(CAST(floor(s / 3) AS BIGINT) AS STRING)) ELSE substring(md5(concat('p', CAST(k AS STRING))), 1, 8) END AS crc32,
-       CASE WHEN item_ord = 1 AND s % 3 <> 0 THEN concat('rom', CAST(s - s % 3 AS STRING)) END AS merge_name
+       CASE WHEN item_ord = 1 AND s % 3 <> 0 THEN concat(CASE WHEN s % 5 = 0 THEN 'gone' ELSE 'rom' END, CAST(s - s % 3 AS STRING)) WHEN item_ord = 1 AND s % 9 = 0 AND s % 30 <> 0 THEN concat('rom', CAST(s - s % 30 AS STRING)) END AS merge_name
 FROM (SELECT p_partkey AS k, p_partkey % 4 AS item_ord, CAST(floor(p_partkey / 4) AS BIGINT) AS s, CAST(p_size AS BIGINT) AS n FROM part) x""",
     "fx_scan": """
 SELECT concat('/c', CAST(o_custkey AS STRING), '.zip') AS path, concat('e', CAST(o_orderkey AS STRING)) AS entry_path, o_orderkey AS size, o_orderdate AS mtime FROM orders""",

@@ -23,7 +23,7 @@ OUT = ("set_name", "item_name", "size", "crc32")
 
 
 def machines(spark, d):
-    sets = view(spark, d, "fx_machines").withColumn("refs", F.when(c("ref").isNotNull(), F.array("ref")).otherwise(F.array().cast("array<string>")))
+    sets = view(spark, d, "fx_machines").withColumn("refs", F.array_compact(F.array("ref", "ref2")))
     return sets, view(spark, d, "fx_parts")
 
 
@@ -31,16 +31,33 @@ def laid_out(mode, base="split"):
     return lambda s, d: layout.build_layout(*machines(s, d), mode, base).select(*OUT)
 
 
+def layout_sizes(spark, d):
+    each = [laid_out(mode)(spark, d).withColumn("mode", F.lit(mode)) for mode in layout.MODES]
+    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("mode", "set_name").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
 SPLIT = "sp AS (SELECT DISTINCT set_name, item_name, size, crc32 FROM fx_parts WHERE merge_name IS NULL)"
-NON_MERGED = """mg AS (SELECT i.set_name, i.item_ord, q.item_name, q.size, q.crc32 FROM fx_parts i JOIN fx_machines m ON m.set_name = i.set_name JOIN fx_machines p ON p.set_name = m.rom_of AND NOT p.is_bios JOIN fx_parts q ON q.set_name = p.set_name AND q.item_name = i.merge_name),
-al AS (SELECT set_name, item_name, size, crc32, item_ord, 0 AS k FROM fx_parts WHERE (set_name, item_ord) NOT IN (SELECT (set_name, item_ord) FROM mg) UNION ALL SELECT set_name, item_name, size, crc32, item_ord, 1 FROM mg
-  UNION ALL SELECT m.set_name, q.item_name, q.size, q.crc32, q.item_ord, 2 FROM fx_machines m JOIN fx_parts q ON q.set_name = m.ref),
-nm AS (SELECT set_name, item_name, size, crc32 FROM (SELECT *, row_number() OVER (PARTITION BY set_name, item_name ORDER BY k, item_ord DESC, crc32, size) AS r FROM al) WHERE r = 1)"""
-MERGED = """fm AS (SELECT i.*, coalesce(m.clone_of, m.set_name) AS parent, m.clone_of IS NOT NULL AS variant FROM fx_parts i JOIN fx_machines m ON m.set_name = i.set_name),
-di AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent, item_name, size, crc32 ORDER BY variant, set_name, item_ord) AS r FROM fm) WHERE r = 1),
-me AS (SELECT parent AS set_name, CASE WHEN row_number() OVER (PARTITION BY parent, item_name ORDER BY variant, set_name, item_ord) = 1 THEN item_name ELSE concat(set_name, '/', item_name) END AS item_name, size, crc32 FROM di)"""
-#: The nearest base set of a set: itself is none; a chain here has two steps at most.
-BASES = "ba AS (SELECT m.set_name, m.clone_of, CASE WHEN p.is_bios THEN p.set_name WHEN q.is_bios THEN q.set_name END AS base FROM fx_machines m LEFT JOIN fx_machines p ON p.set_name = m.rom_of LEFT JOIN fx_machines q ON q.set_name = p.rom_of)"
+#: Each set and what is above it, from the set on; chains here have three sets at most. Those with an unknown name above are left out.
+CHAINS = """m AS (SELECT * FROM fx_machines),
+c1 AS (SELECT set_name AS s, set_name AS x, 0 AS depth, rom_of FROM m UNION ALL SELECT a.set_name, b.set_name, 1, b.rom_of FROM m a JOIN m b ON b.set_name = a.rom_of
+  UNION ALL SELECT a.set_name, e.set_name, 2, e.rom_of FROM m a JOIN m b ON b.set_name = a.rom_of JOIN m e ON e.set_name = b.rom_of),
+ch AS (SELECT c1.s, c1.x, c1.depth, m.is_bios FROM c1 JOIN m ON m.set_name = c1.x WHERE c1.s IN (SELECT s FROM c1 WHERE rom_of IS NULL))"""
+#: Rows of a set in the order in which they replace each other: own ones, then components, in the order in which a walk in depth meets them.
+NON_MERGED = CHAINS + """,
+rf AS (SELECT set_name, 0 AS k, ref AS dev FROM m WHERE ref IS NOT NULL UNION ALL SELECT set_name, CASE WHEN ref IS NULL THEN 0 ELSE 1 END, ref2 FROM m WHERE ref2 IS NOT NULL),
+d1 AS (SELECT s, dev, [-depth, k] AS p FROM ch JOIN rf ON rf.set_name = ch.x WHERE NOT is_bios OR depth = 0),
+d2 AS (SELECT s, rf.dev, list_append(p, k) AS p FROM d1 JOIN rf ON rf.set_name = d1.dev), d3 AS (SELECT s, rf.dev, list_append(p, k) AS p FROM d2 JOIN rf ON rf.set_name = d2.dev),
+dv AS (SELECT s, dev, min(p) AS p FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3) GROUP BY 1, 2),
+al AS (SELECT i.set_name, item_name, size, crc32, item_ord, CAST([] AS INTEGER[]) AS p FROM fx_parts i WHERE merge_name IS NULL AND set_name IN (SELECT s FROM ch)
+  UNION ALL SELECT set_name, item_name, size, crc32, item_ord, CAST([] AS INTEGER[]) FROM (SELECT i.set_name, q.item_name, q.size, q.crc32, i.item_ord, row_number() OVER (PARTITION BY i.set_name, i.item_ord ORDER BY depth) AS r FROM fx_parts i JOIN ch ON ch.s = i.set_name AND depth > 0 AND NOT is_bios JOIN fx_parts q ON q.set_name = ch.x AND q.item_name = i.merge_name AND q.merge_name IS NULL) WHERE r = 1
+  UNION ALL SELECT s, item_name, size, crc32, item_ord, p FROM dv JOIN fx_parts q ON q.set_name = dv.dev),
+nm AS (SELECT set_name, item_name, size, crc32 FROM (SELECT *, row_number() OVER (PARTITION BY set_name, item_name ORDER BY p DESC, item_ord DESC) AS r FROM al) WHERE r = 1)"""
+#: Sets and names are told from the first owner's; parents here hold each name once.
+MERGED = """fm AS (SELECT i.*, coalesce(m.clone_of, m.set_name) AS parent, m.set_ord, m.clone_of IS NOT NULL AS variant FROM fx_parts i JOIN fx_machines m ON m.set_name = i.set_name WHERE merge_name IS NULL AND coalesce(m.clone_of, m.set_name) IN (SELECT set_name FROM fx_machines WHERE clone_of IS NULL)),
+fo AS (SELECT *, first_value(crc32) OVER w AS first_crc, first_value(size) OVER w AS first_size, row_number() OVER w AS r FROM fm WINDOW w AS (PARTITION BY parent, item_name ORDER BY variant, set_ord, item_ord)),
+me AS (SELECT parent AS set_name, CASE WHEN r = 1 THEN item_name ELSE concat(set_name, '/', item_name) END AS item_name, size, crc32 FROM fo WHERE r = 1 OR crc32 <> first_crc OR size <> first_size)"""
+#: Base sets' items that a set lacks, the base nearest to the root first.
+BASES = "ba AS (SELECT s AS set_name, item_name, size, crc32, clone_of, row_number() OVER (PARTITION BY s, item_name ORDER BY depth DESC, item_ord) AS r FROM ch JOIN fx_machines g ON g.set_name = ch.s JOIN fx_parts q ON q.set_name = ch.x WHERE ch.is_bios)"
 
 
 def scanned(spark, d):
@@ -139,9 +156,9 @@ QUERIES = {
     "U3_split": (laid_out("split"), f"WITH {SPLIT} SELECT * FROM sp"),
     "U4_non_merged": (laid_out("non-merged"), f"WITH {NON_MERGED} SELECT * FROM nm"),
     "U5_merged": (laid_out("merged"), f"WITH {MERGED} SELECT * FROM me"),
-    "U6_bases_everywhere": (laid_out("non-merged", "non-merged"), f"WITH {NON_MERGED}, {BASES} SELECT * FROM nm UNION ALL SELECT b.set_name, i.item_name, i.size, i.crc32 FROM ba b JOIN fx_parts i ON i.set_name = b.base WHERE (b.set_name, i.item_name) NOT IN (SELECT (set_name, item_name) FROM nm)"),
-    "U6_bases_of_parents": (laid_out("merged", "merged"), f"WITH {MERGED}, {BASES} SELECT * FROM me UNION ALL SELECT b.set_name, i.item_name, i.size, i.crc32 FROM ba b JOIN fx_parts i ON i.set_name = b.base WHERE b.clone_of IS NULL AND b.set_name IN (SELECT set_name FROM me) AND (b.set_name, i.item_name) NOT IN (SELECT (set_name, item_name) FROM me)"),
-    "U7_layout_sizes": (lambda s, d: layout.build_layout(*machines(s, d), "split").groupBy("set_name").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), f"WITH {SPLIT} SELECT set_name, count(*) AS n, sum(size) AS bytes FROM sp GROUP BY 1"),
+    "U6_bases_everywhere": (laid_out("non-merged", "non-merged"), f"WITH {NON_MERGED}, {BASES} SELECT * FROM nm UNION ALL SELECT set_name, item_name, size, crc32 FROM ba WHERE r = 1 AND (set_name, item_name) NOT IN (SELECT (set_name, item_name) FROM nm)"),
+    "U6_bases_of_parents": (laid_out("merged", "merged"), f"WITH {MERGED}, {CHAINS}, {BASES} SELECT * FROM me WHERE set_name IN (SELECT s FROM ch) UNION ALL SELECT set_name, item_name, size, crc32 FROM ba WHERE r = 1 AND clone_of IS NULL AND (set_name, item_name) NOT IN (SELECT (set_name, item_name) FROM me)"),
+    "U7_layout_sizes": (layout_sizes, f"WITH {SPLIT}, {NON_MERGED}, {MERGED} SELECT mode, set_name, count(*) AS n, sum(size) AS bytes FROM (SELECT 'split' AS mode, * FROM sp UNION ALL SELECT 'non-merged', * FROM nm UNION ALL SELECT 'merged', * FROM me) GROUP BY 1, 2"),
     "U8_merged_disks": (lambda s, d: layout.merged_disks(machines(s, d)[0], view(s, d, "fx_parts").where("item_ord > 1").select("set_name", c("item_name").alias("disk_name"), c("crc32").alias("sha1"))), "SELECT DISTINCT coalesce(m.clone_of, m.set_name) AS set_name, item_name AS disk_name, crc32 AS sha1 FROM fx_parts p JOIN fx_machines m ON m.set_name = p.set_name WHERE item_ord > 1"),
     "I1_reused": (lambda s, d: scanned(s, d)[0].select("path", "entry_path", "md5"), f"WITH {KNOWN} SELECT path, entry_path, md5 FROM w WHERE whole"),
     "I2_to_hash": (lambda s, d: scanned(s, d)[1].select("path", "entry_path"), f"WITH {KNOWN} SELECT path, entry_path FROM w WHERE NOT whole"),

@@ -94,6 +94,13 @@ SELECT concat('m', CAST(s AS STRING)) AS set_name, item_ord, CASE item_ord WHEN
        CASE item_ord WHEN 2 THEN 10 + s % 2 WHEN 3 THEN 7 ELSE n END AS size, CASE item_ord WHEN 2 THEN concat('c', CAST(s % 2 AS STRING)) WHEN 3 THEN concat('f', CAST(CAST(floor(s / 3) AS BIGINT) AS STRING)) ELSE substring(md5(concat('p', CAST(k AS STRING))), 1, 8) END AS crc32,
        CASE WHEN item_ord = 1 AND s % 3 <> 0 THEN concat(CASE WHEN s % 5 = 0 THEN 'gone' ELSE 'rom' END, CAST(s - s % 3 AS STRING)) WHEN item_ord = 1 AND s % 9 = 0 AND s % 30 <> 0 THEN concat('rom', CAST(s - s % 30 AS STRING)) END AS merge_name
 FROM (SELECT p_partkey AS k, p_partkey % 4 AS item_ord, CAST(floor(p_partkey / 4) AS BIGINT) AS s, CAST(p_size AS BIGINT) AS n FROM part) x""",
+    "fx_placed": """
+SELECT set_name, set_ord, item_ord, concat('n', CAST(item_ord % 3 AS STRING), CASE WHEN set_ord % 2 = 0 THEN '.txt' ELSE '.TXT' END) AS item_name,
+       CASE (set_ord * 4 + item_ord) % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'foundElsewhere' WHEN 2 THEN 'misnamed' ELSE 'correct' END AS match_status,
+       CASE WHEN (set_ord * 4 + item_ord) % 7 = 0 THEN NULL WHEN set_ord % 3 = 0 THEN concat('/l/d', CAST(set_ord % 40 AS STRING), '/', CASE WHEN set_ord % 5 = 0 AND item_ord = 1 THEN 'n0.txt' ELSE concat('f', CAST(set_ord * 4 + item_ord AS STRING)) END)
+         WHEN set_ord % 11 = 0 THEN concat('/z', CAST(set_ord % 2 AS STRING), '/box', CAST(set_ord AS STRING), '.7z') ELSE concat('/z', CAST(set_ord % 2 AS STRING), '/box', CAST(CAST(floor(set_ord / 2) AS BIGINT) AS STRING), '.zip') END AS path,
+       CASE WHEN (set_ord * 4 + item_ord) % 7 = 0 THEN NULL WHEN set_ord % 3 = 0 THEN CASE WHEN set_ord % 5 = 0 AND item_ord = 1 THEN 'n0.txt' ELSE concat('f', CAST(set_ord * 4 + item_ord AS STRING)) END ELSE concat(CASE WHEN item_ord = 2 AND set_ord % 4 = 1 THEN 'N2.txt' ELSE 'e' END, CASE WHEN item_ord = 2 AND set_ord % 4 = 1 THEN '' ELSE CAST(set_ord * 4 + item_ord AS STRING) END) END AS entry_name
+FROM fx_catalog""",
     "fx_scan": """
 SELECT concat('/c', CAST(o_custkey AS STRING), '.zip') AS path, concat('e', CAST(o_orderkey AS STRING)) AS entry_path, o_orderkey AS size, o_orderdate AS mtime FROM orders""",
     "fx_known": """

@@ -1,18 +1,18 @@
 """Change plans: rows of (op, group_id, step, source, source_entry, target, target_entry). Nothing is carried out.
 
-A row's target must be free: plans leave out targets that a file occupies, and of two rows to one target the first stays.
+A row's target must be free: plans pass ``reservation.granted``, which leaves out targets that a file keeps, and of two rows to one target all but the
+first. ``reservation.reserve`` gives the refused rows as well, with a reason, and takes the rows of several plans together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension, file_name, folder, keep_layout_extension, os_junk, protected, safe_component, stem, under, with_case
 from ..lineage import cut
 from ..operators.match import HASHES, ITEM, hash_rows, shared_hashes
-
-COLUMNS = ("op", "group_id", "step", "source", "source_entry", "target", "target_entry")
+from .reservation import COLUMNS, granted, place, reserve
 
 
 def plan(df: DataFrame, op: str, group: Column, source: Column, target: Column, source_entry: Column | None = None, target_entry: Column | None = None, step: int = 0) -> DataFrame:
@@ -20,17 +20,9 @@ def plan(df: DataFrame, op: str, group: Column, source: Column, target: Column,
     return df.select(F.lit(op).alias("op"), group.cast("string").alias("group_id"), F.lit(step).alias("step"), source.cast("string").alias("source"), (source_entry if source_entry is not None else none).alias("source_entry"), target.cast("string").alias("target"), (target_entry if target_entry is not None else none).alias("target_entry"))
 
 
-def free_targets(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Without rows whose target is occupied, by lower-cased path, or claimed by an earlier row."""
-    occupied = files.select(F.lower("path").alias("t")).distinct()
-    rank = F.row_number().over(Window.partitionBy(F.lower("target")).orderBy("op", "source"))
-    open_ = rows.withColumn("t", F.lower("target")).join(occupied, "t", "left_anti").drop("t")
-    return open_.withColumn("rank", rank).where("rank = 1").drop("rank")
-
-
 def rename_containers(suggested: DataFrame, files: DataFrame) -> DataFrame:
     """Containers that belong to another set (path, suggested) take its name, where that is free."""
-    return free_targets(plan(suggested, "rename", F.col("path"), F.col("path"), beside(F.col("path"), F.col("suggested"))), files)
+    return granted(plan(suggested, "rename", F.col("path"), F.col("path"), beside(F.col("path"), F.col("suggested"))), files)
 
 
 def beside(path: Column, name: Column) -> Column:
@@ -43,7 +35,8 @@ def rename_files(matches: DataFrame, items: DataFrame, suggested: DataFrame, fil
     """All renames of files, in five phases: misnamed loose files, the container of a one-item set whose item is misnamed, containers that belong to
     another set (path, suggested), files of a near name (path, set_name, score of ``least`` or more), and sets' own containers of a wrong name.
 
-    A phase sees the paths as the phases before leave them: what they free may be taken, what they take is taken. A path is renamed once.
+    A phase sees the paths as the phases before leave them: what they free may be taken, what they take is taken. A path is renamed once. Within a phase, files
+    may take each other's names: step orders such chains, and circles go by a temporary name.
     """
     loose = file_name(F.col("path")) == F.col("entry_name")
     met = matches.where("match_status IN ('correct', 'misnamed')")
@@ -56,25 +49,25 @@ def rename_files(matches: DataFrame, items: DataFrame, suggested: DataFrame, fil
         near.where(F.col("score") >= least).select("path", beside(F.col("path"), F.col("set_name")).alias("target")) if near is not None else None,
         inside.select("path", beside(F.col("path"), F.col("set_name")).alias("target")).distinct(),
     ]
-    taken, done = files.select(F.lower("path").alias("t")).distinct(), None
-    for step, rows in enumerate(phases):
-        if rows is None:
-            continue
-        rows = rows.where("path <> target").groupBy("path").agg(F.min("target").alias("target")).withColumn("t", F.lower("target"))
-        if done is not None:
-            rows = rows.join(done.select(F.col("source").alias("path")), "path", "left_anti")
-        # A name that differs by case alone is the file's own place.
-        free = rows.where(F.lower("path") == F.col("t")).unionByName(rows.where(F.lower("path") != F.col("t")).join(taken, "t", "left_anti").select(*rows.columns))
-        free = free.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("path"))).where("rank = 1")
-        part = cut(plan(free, "rename", F.col("path"), F.col("path"), F.col("target"), step=step))
-        done = part if done is None else done.unionByName(part)
-        taken = cut(taken.join(part.select(F.lower("source").alias("t")), "t", "left_anti").unionByName(part.select(F.lower("target").alias("t"))))
+    taken, done, begins = files.select(place(F.col("path")).alias("place")).distinct(), None, 0
+    for rows in phases:
+        if rows is not None:
+            rows = rows.where("path <> target").groupBy("path").agg(F.min("target").alias("target"))
+            if done is not None:
+                rows = rows.join(done.select(F.col("source").alias("path")), "path", "left_anti")
+            part = cut(reserve(plan(rows, "rename", F.col("path"), F.col("path"), F.col("target")), taken).where("refused IS NULL"))
+            kept = part.where("NOT temporary").select(place(F.col("target")).alias("place"))
+            taken = cut(taken.join(part.select(place(F.col("source")).alias("place")), "place", "left_anti").unionByName(kept))
+            steps = part.select(*[F.col(c) if c != "step" else (F.col("turn") + begins).alias("step") for c in COLUMNS])
+            done = steps if done is None else done.unionByName(steps)
+            begins += part.agg(F.max("turn")).first()[0] or 0
+        begins += 1
     return done
 
 
 def rename_outcomes(suggested: DataFrame, files: DataFrame) -> DataFrame:
     """(path, outcome) of every container: rename, collides, already correct, or none."""
-    target = F.concat(folder(F.col("path")), F.lit("/"), F.col("suggested"), F.lit("."), extension(F.col("path")))
+    target = beside(F.col("path"), F.col("suggested"))
     occupied = files.select(F.lower("path").alias("t"), F.lit(True).alias("there")).distinct()
     rows = files.select("path").distinct().join(suggested, "path", "left").withColumn("target", target).withColumn("t", F.lower("target")).join(occupied, "t", "left")
     return rows.select("path", F.when(F.col("suggested").isNull(), "none").when(F.col("target") == F.col("path"), "already correct").when(F.col("there"), "collides").otherwise("rename").alias("outcome"))
@@ -111,13 +104,13 @@ def owned_entries(left: DataFrame, items: DataFrame) -> DataFrame:
     return met.select("path", "entry_name", F.coalesce("i.item_name", "only").alias("item_name")).where("item_name IS NOT NULL")
 
 
-def rebuild_to_folder(matches: DataFrame, target: str, move: bool = False) -> DataFrame:
-    """Every claimed file to target/set/item: entries are extracted, loose files copied or moved."""
+def rebuild_to_folder(matches: DataFrame, target: str, files: DataFrame, move: bool = False) -> DataFrame:
+    """Every claimed file to target/set/item: entries of zip containers are extracted, loose files copied or moved; of items that would get one name the first does."""
     rows = matches.where("match_status IN ('correct', 'misnamed')")
-    where = F.concat(F.lit(target.rstrip("/") + "/"), "set_name", F.lit("/"), "item_name")
+    where = F.concat(F.lit(target.rstrip("/") + "/"), safe_component(F.col("set_name")), F.lit("/"), safe_component(F.col("item_name")))
     loose = file_name(F.col("path")) == F.col("entry_name")
-    inside = plan(rows.where(~loose), "extract", F.col("set_name"), F.col("path"), where, F.col("entry_name"))
-    return inside.unionByName(plan(rows.where(loose), "move" if move else "copy", F.col("set_name"), F.col("path"), where))
+    inside = plan(rows.where(~loose & (extension(F.col("path")) == "zip")), "extract", F.col("set_name"), F.col("path"), where, F.col("entry_name"))
+    return granted(inside.unionByName(plan(rows.where(loose), "move" if move else "copy", F.col("set_name"), F.col("path"), where)), files)
 
 
 def rebuild_containers(matches: DataFrame, target: str) -> DataFrame:
@@ -156,15 +149,24 @@ def remove_redundant(left: DataFrame, containers: DataFrame, disks: DataFrame |
 
 
 def anchors(matches: DataFrame) -> DataFrame:
-    """(set_name, anchor): the container of a set's first matched item."""
-    rows = matches.where("match_status IN ('correct', 'misnamed')")
-    return rows.groupBy("set_name").agg(F.min_by("path", F.struct(*ITEM)).alias("anchor"))
+    """(set_name, anchor, is_folder): where a set's items go: the zip container of its first matched item that lies in one or is loose, or the loose item's folder."""
+    rows = matches.where("match_status IN ('correct', 'misnamed')").withColumn("is_folder", file_name(F.col("path")) == F.col("entry_name"))
+    rows = rows.where(F.col("is_folder") | (extension(F.col("path")) == "zip"))
+    first = rows.groupBy("set_name").agg(F.min_by(F.struct("path", "is_folder"), F.struct(*ITEM)).alias("a"))
+    return first.select("set_name", F.when(F.col("a.is_folder"), folder(F.col("a.path"))).otherwise(F.col("a.path")).alias("anchor"), "a.is_folder")
 
 
-def repair(matches: DataFrame, donors: DataFrame, op: str, statuses: tuple[str, ...]) -> DataFrame:
+def into_anchors(rows: DataFrame, matches: DataFrame, op: str, source: str, source_entry: str, files: DataFrame) -> DataFrame:
+    """Rows (set_name, item_name, source, ...) as operations: an entry of the set's container, or a file in its folder."""
+    met = rows.join(anchors(matches), "set_name")
+    to = F.when(F.col("is_folder"), F.concat("anchor", F.lit("/"), safe_component(F.col("item_name")))).otherwise(F.col("anchor"))
+    return granted(plan(met, op, F.col("set_name"), F.col(source), to, F.col(source_entry), F.when(~F.col("is_folder"), F.col("item_name"))), files)
+
+
+def repair(matches: DataFrame, donors: DataFrame, op: str, statuses: tuple[str, ...], files: DataFrame) -> DataFrame:
     """Items of some statuses, filled from donors (set_ord, item_ord, donor_path, donor_entry), into their set's anchor."""
-    rows = matches.where(F.col("match_status").isin(*statuses)).select("set_name", *ITEM, "item_name").join(donors, list(ITEM)).join(anchors(matches), "set_name")
-    return plan(rows, op, F.col("set_name"), F.col("donor_path"), F.col("anchor"), F.col("donor_entry"), F.col("item_name"))
+    rows = matches.where(F.col("match_status").isin(*statuses)).select("set_name", *ITEM, "item_name").join(donors, list(ITEM))
+    return into_anchors(rows, matches, op, "donor_path", "donor_entry", files)
 
 
 def matched_content(matches: DataFrame, items: DataFrame, families: DataFrame) -> DataFrame:
@@ -175,15 +177,15 @@ def matched_content(matches: DataFrame, items: DataFrame, families: DataFrame) -
     return matches.where("match_status IN ('correct', 'misnamed')").select(*ITEM, "path", "entry_name").join(own, list(ITEM)).join(fam, "set_name")
 
 
-def cross_set_repair(matches: DataFrame, items: DataFrame, families: DataFrame) -> DataFrame:
+def cross_set_repair(matches: DataFrame, items: DataFrame, families: DataFrame, files: DataFrame) -> DataFrame:
     """Missing items filled from a set of the same family that has their content matched, into their set's anchor."""
     have = matched_content(matches, items, families).where("hash IS NOT NULL")
     first = have.groupBy("family", "size", "hash").agg(F.min(F.struct(*ITEM, "path", "entry_name")).alias("d"))
     hashes = [h for h in HASHES if h in items.columns]
     fam = families.select("set_name", F.coalesce("clone_of", "set_name").alias("family"))
     gone = matches.where("match_status = 'missing'").select("set_name", *ITEM, "item_name").join(items.select(*ITEM, "size", F.coalesce(*[F.concat(F.lit(f"{h}:"), h) for h in hashes]).alias("hash")), list(ITEM)).join(fam, "set_name")
-    rows = gone.join(first, ["family", "size", "hash"]).join(anchors(matches), "set_name").where("d.set_ord <> set_ord")
-    return plan(rows, "fill", F.col("set_name"), F.col("d.path"), F.col("anchor"), F.col("d.entry_name"), F.col("item_name"))
+    rows = gone.join(first, ["family", "size", "hash"]).where("d.set_ord <> set_ord").select("set_name", "item_name", F.col("d.path").alias("donor_path"), F.col("d.entry_name").alias("donor_entry"))
+    return into_anchors(rows, matches, "fill", "donor_path", "donor_entry", files)
 
 
 def parent_content(matches: DataFrame, items: DataFrame, families: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def convert_to_merged(matches: DataFrame, items: DataFrame, families: DataFrame,
 
     Left alone are containers with leftovers, with an undumped or mismatched slot, and families whose parent has no container.
     """
-    zip_anchor = anchors(matches).where(extension(F.col("anchor")) == "zip")
+    zip_anchor = anchors(matches).where("NOT is_folder").drop("is_folder")
     fam = families.where("clone_of IS NOT NULL").select("set_name", "clone_of").join(zip_anchor.select(F.col("set_name").alias("clone_of"), F.col("anchor").alias("into")), "clone_of")
     unsafe = matches.where("match_status IN ('hashMismatch', 'nodump')").select("set_name", F.col("path").alias("anchor")).distinct()
     each = zip_anchor.join(fam, "set_name").where("anchor <> into").join(left.select(F.col("path").alias("anchor")).distinct(), "anchor", "left_anti").join(unsafe, ["set_name", "anchor"], "left_anti")
@@ -214,8 +216,11 @@ def convert_to_merged(matches: DataFrame, items: DataFrame, families: DataFrame,
     return move.unionByName(plan(each, "remove_container", F.col("set_name"), F.col("anchor"), F.lit(None), step=1))
 
 
-def corrupt_entries(matches: DataFrame, conflicts: DataFrame, policy: str, quarantine: str | None = None) -> DataFrame:
-    """Correct entries whose container states another checksum than their own header (path, entry_name): left, deleted, or moved to a folder and then deleted."""
+def corrupt_entries(matches: DataFrame, conflicts: DataFrame, policy: str, quarantine: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Correct entries whose container states another checksum than their own header (path, entry_name): left, deleted, or moved to a folder and then deleted.
+
+    An entry whose place in the folder another one gets, or one of ``files`` has, stays where it is.
+    """
     if policy == "none" or (policy == "quarantine" and quarantine is None):
         return plan(matches.limit(0), "none", F.col("path"), F.col("path"), F.lit(None))
     if policy not in ("delete", "quarantine"):
@@ -226,7 +231,7 @@ def corrupt_entries(matches: DataFrame, conflicts: DataFrame, policy: str, quara
     if policy == "delete":
         return go
     to = F.concat(F.lit(quarantine.rstrip("/") + "/"), safe_component(F.coalesce("set_name", F.lit("unknown"))), F.lit("_"), safe_component(F.col("entry_name")))
-    return plan(rows, "extract", group, F.col("path"), to, F.col("entry_name"), None, 0).unionByName(go)
+    return granted(plan(rows, "extract", group, F.col("path"), to, F.col("entry_name"), None, 0).unionByName(go), files if files is not None else matches.select("path", "entry_name"))
 
 
 def remove_comments(matches: DataFrame, left: DataFrame, entries: DataFrame) -> DataFrame:
@@ -236,20 +241,20 @@ def remove_comments(matches: DataFrame, left: DataFrame, entries: DataFrame) ->
     return plan(rows, "clear_comment", F.col("path"), F.col("path"), F.lit(None))
 
 
-def collect_samples(samples: DataFrame, folder_: str) -> DataFrame:
-    """Sample containers (sample_set, path) are copied to a folder under their set's name."""
-    return plan(samples, "copy", F.col("sample_set"), F.col("path"), F.concat(F.lit(folder_.rstrip("/") + "/"), safe_component(F.col("sample_set")), F.lit(".zip")))
+def collect_samples(samples: DataFrame, folder_: str, files: DataFrame) -> DataFrame:
+    """Sample containers (sample_set, path) are copied to a folder under their set's name, where that is free."""
+    return granted(plan(samples, "copy", F.col("sample_set"), F.col("path"), F.concat(F.lit(folder_.rstrip("/") + "/"), safe_component(F.col("sample_set")), F.lit(".zip"))), files)
 
 
-def organise(matches: DataFrame, left: DataFrame, sets: DataFrame, folder_: str) -> DataFrame:
-    """Files of the given ``sets`` (base sets, or components) move to a folder; redundant leftovers that they own go."""
+def organise(matches: DataFrame, left: DataFrame, sets: DataFrame, folder_: str, files: DataFrame) -> DataFrame:
+    """Files of the given ``sets`` (base sets, or components) move to a folder; redundant leftovers that they own go. Of files of one name the first moves, the others stay."""
     of = sets.select("set_name").distinct()
     rows = matches.where("match_status IN ('correct', 'misnamed', 'hashMismatch')").join(of, "set_name", "left_semi").select("set_name", "path").distinct().where(folder(F.col("path")) != folder_.rstrip("/"))
     move = plan(rows, "move", F.col("set_name"), F.col("path"), F.concat(F.lit(folder_.rstrip("/") + "/"), file_name(F.col("path"))))
     gone = left.where("redundant").join(of.select(F.col("set_name").alias("owner")), "owner", "left_semi")
     loose = file_name(F.col("path")) == F.col("entry_name")
     gone = gone.where((extension(F.col("path")) == "zip") | loose)
-    return move.unionByName(plan(gone.where(loose), "remove", F.col("owner"), F.col("path"), F.lit(None))).unionByName(plan(gone.where(~loose), "remove_entry", F.col("owner"), F.col("path"), F.lit(None), F.col("entry_name")))
+    return granted(move, files).unionByName(plan(gone.where(loose), "remove", F.col("owner"), F.col("path"), F.lit(None))).unionByName(plan(gone.where(~loose), "remove_entry", F.col("owner"), F.col("path"), F.lit(None), F.col("entry_name")))
 
 
 def organise_preview(moves: DataFrame, sets: DataFrame) -> DataFrame:
@@ -260,10 +265,9 @@ def organise_preview(moves: DataFrame, sets: DataFrame) -> DataFrame:
     return n.join(about, "set_name", "left").select("set_name", F.concat("set_name", F.lit(" — "), F.coalesce("description", "set_name"), F.lit(" ("), told, F.lit(")")).alias("text"))
 
 
-def consolidate(matches: DataFrame) -> DataFrame:
+def consolidate(matches: DataFrame, files: DataFrame) -> DataFrame:
     """What is found elsewhere is copied to its set's anchor."""
-    rows = matches.where("match_status = 'foundElsewhere'").join(anchors(matches), "set_name")
-    return plan(rows, "copy_entry", F.col("set_name"), F.col("path"), F.col("anchor"), F.col("entry_name"), F.col("item_name"))
+    return into_anchors(matches.where("match_status = 'foundElsewhere'"), matches, "copy_entry", "path", "entry_name", files)
 
 
 def case_policy(matches: DataFrame, policy: str) -> DataFrame:

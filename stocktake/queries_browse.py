@@ -56,7 +56,7 @@ GUESSED, OTHER = CPU.format(r=REFS, no=""), CPU.format(r=REFS, no="NOT")
 def organised(spark, d):
     x = left(spark, d)
     sets = view(spark, d, "fx_sets").where("is_bios OR set_ord % 9 = 2")
-    return changes.organise(x[2], x[3], sets, "/bios"), sets
+    return changes.organise(x[2], x[3], sets, "/bios", x[1]), sets
 
 
 ORGANISED = f"""{CTES}, q AS (SELECT set_name, description FROM fx_sets WHERE is_bios OR set_ord % 9 = 2), mv AS (SELECT DISTINCT m.set_name, path FROM matches m JOIN q ON q.set_name = m.set_name WHERE match_status IN ('correct', 'misnamed', 'hashMismatch')),
@@ -115,7 +115,7 @@ QUERIES = {
       SELECT base_id, nullif(concat_ws(' · ', CASE WHEN lacks IS NOT NULL THEN concat('Update ', m, ' available (', CASE WHEN have IS NULL THEN 'none installed' ELSE concat('have ', h) END, ')') WHEN have > 0 THEN concat('Update ', h) WHEN have = 0 THEN 'Update' END, CASE WHEN extras > 0 THEN concat(CAST(extras AS VARCHAR), ' DLC') END), '') AS text FROM n"""),
     "T1_first_nodes": (lambda s, d: browse.nodes_in_order(audit.nodes(view(s, d, "fx_audit"))).select("node").limit(100), """WITH n AS (SELECT DISTINCT concat(CASE WHEN is_disk THEN 'disk:' ELSE 'set:' END, set_name) AS node FROM (SELECT set_name, is_disk, bool_and(status = 'missing') AS gone FROM fx_audit WHERE set_name IS NOT NULL GROUP BY 1, 2) s WHERE is_disk OR NOT gone OR set_name NOT IN (SELECT set_name FROM fx_audit WHERE is_disk AND set_name IS NOT NULL)
       UNION SELECT DISTINCT concat('path:', coalesce(path, '')) FROM fx_audit WHERE set_name IS NULL) SELECT node FROM n ORDER BY lower(regexp_extract(regexp_replace(node, '^(set|disk|path):', ''), '[^/]*$')), node LIMIT 100"""),
-    "T5_first_rows_of_a_plan": (lambda s, d: plan_cols(changes.in_order(changes.rebuild_to_folder(report(s, d)[2], "/out"))).select("source", "source_entry", "target").limit(100), sql("SELECT path AS source, entry_name AS source_entry, concat('/out/', set_name, '/', item_name) AS target FROM matches WHERE match_status IN ('correct', 'misnamed') ORDER BY set_name, path, entry_name, target LIMIT 100")),
+    "T5_first_rows_of_a_plan": (lambda s, d: plan_cols(changes.in_order((lambda x: changes.rebuild_to_folder(x[2], "/out", x[1]))(report(s, d)))).select("source", "source_entry", "target").limit(100), sql("SELECT path AS source, entry_name AS source_entry, concat('/out/', set_name, '/', item_name) AS target FROM matches WHERE match_status IN ('correct', 'misnamed') ORDER BY set_name, path, entry_name, target LIMIT 100")),
     "U2_duplicate_rows": (lambda s, d: (lambda f: audit.counters(duplicates.with_duplicates(audited(s, d), duplicates.duplicate_sets(f, view(s, d, "fx_roots")))).select("correct", "missing", "duplicate"))(view(s, d, "fx_inventory")), sql("""SELECT count(*) FILTER (WHERE status = 'correct') AS correct, count(*) FILTER (WHERE status = 'missing') AS missing, (SELECT count(*) FROM (SELECT set_lc, root, row_number() OVER (PARTITION BY set_lc ORDER BY root_ord) AS k FROM (SELECT DISTINCT stem_lc AS set_lc, root, root_ord FROM
       (SELECT f.stem_lc, f.path, arg_max(r.root, length(r.root)) AS root, arg_max(r.root_ord, length(r.root)) AS root_ord FROM f JOIN fx_roots r ON starts_with(f.path, concat(r.root, '/')) GROUP BY 1, 2))) WHERE k > 1 AND set_lc IN (SELECT set_lc FROM n)) AS duplicate FROM aud""")),
     "U9_any_shared_hash": (lambda s, d: view(s, d, "fx_catalog").join(view(s, d, "fx_inventory").select("path", "entry_name", c("md5").alias("f_md5")), c("item_name") == c("entry_name")).select(*KEY, "path", F.coalesce(duplicates.shares_hash(("md5",), "f_"), F.lit(False)).alias("shared")), "SELECT set_ord, item_ord, path, coalesce(c.md5 = f.md5, FALSE) AS shared FROM fx_catalog c JOIN fx_inventory f ON f.entry_name = c.item_name"),
@@ -127,12 +127,12 @@ QUERIES = {
     "J26_near_leftovers": (lambda s, d: (lambda x: match_near(s, d, x[3]))(left(s, d)), sql("SELECT path, regexp_replace(entry_name, '\\.txt$', '') AS set_name FROM flagged WHERE owner IS NULL AND NOT nodump_name AND regexp_extract(path, '[^/]*$') = entry_name")),
     "P1_rename_files": (lambda s, d: (lambda x: changes.rename_files(x[2], x[0], match.misnamed_containers(x[3], x[0]), x[1]).select("op", "source", "target"))(left(s, d)), f"""WITH {CTES}, sg AS (SELECT path, min(owner) AS suggested FROM (SELECT path, owner, count(*) AS n FROM owned WHERE owner IS NOT NULL AND stem_lc NOT IN (SELECT set_lc FROM n) GROUP BY 1, 2) x JOIN (SELECT set_name, count(*) AS n_items FROM cat GROUP BY 1) y ON y.set_name = x.owner WHERE x.n * 5 >= n_items * 3 GROUP BY path HAVING count(*) = 1),
       t AS (SELECT path, regexp_replace(path, '[^/]*$', '') || suggested || '.zip' AS target FROM sg), q AS (SELECT *, row_number() OVER (PARTITION BY lower(target) ORDER BY path) AS r FROM t WHERE lower(target) NOT IN (SELECT lower(path) FROM fx_inventory)) SELECT 'rename' AS op, path AS source, target FROM q WHERE r = 1"""),
-    "P8_cross_set_repair": (converted(lambda m, i, f, _: changes.cross_set_repair(as_missing(m), i, f)), f"""WITH {CTES}, {MATCHED}, {ANCHOR}, d AS (SELECT family, size, md5, arg_min({{'s': set_name, 'p': path, 'e': entry_name}}, uid) AS d FROM mc WHERE md5 IS NOT NULL GROUP BY 1, 2, 3) SELECT 'fill' AS op, m.set_name AS group_id, d.d.p AS source, d.d.e AS source_entry, an.anchor AS target, m.item_name AS target_entry
+    "P8_cross_set_repair": (lambda s, d: (lambda x: plan_cols(changes.cross_set_repair(as_missing(x[2]), x[0], view(s, d, "fx_sets"), x[1])))(left(s, d)), f"""WITH {CTES}, {MATCHED}, {ANCHOR}, d AS (SELECT family, size, md5, arg_min({{'s': set_name, 'p': path, 'e': entry_name}}, uid) AS d FROM mc WHERE md5 IS NOT NULL GROUP BY 1, 2, 3) SELECT 'fill' AS op, m.set_name AS group_id, d.d.p AS source, d.d.e AS source_entry, an.anchor AS target, m.item_name AS target_entry
       FROM matches m JOIN cat c ON c.uid = m.uid JOIN fx_sets s ON s.set_name = m.set_name JOIN d ON d.family = coalesce(s.clone_of, s.set_name) AND d.size = c.size AND d.md5 = c.md5 JOIN an ON an.set_name = m.set_name WHERE m.match_status IN ('missing', 'foundElsewhere') AND d.d.s <> m.set_name"""),
     "P12_convert_to_split": (converted(lambda m, i, f, _: changes.convert_to_split(m, i, f)), f"WITH {CTES}, {MATCHED} SELECT 'remove_entry' AS op, set_name AS group_id, path AS source, entry_name AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM mc WHERE clone_of IS NOT NULL AND path LIKE '%.zip' AND (clone_of, size, md5) IN (SELECT (clone_of, size, md5) FROM ph)"),
     "P13_convert_to_merged": (converted(changes.convert_to_merged), f"""WITH {CTES}, {MATCHED}, {ANCHOR}, e AS (SELECT s.set_name, s.clone_of, a.anchor, b.anchor AS into_ FROM fx_sets s JOIN an a ON a.set_name = s.set_name JOIN an b ON b.set_name = s.clone_of WHERE a.anchor LIKE '%.zip' AND b.anchor LIKE '%.zip' AND a.anchor <> b.anchor AND a.anchor NOT IN (SELECT path FROM rest) AND (s.set_name, a.anchor) NOT IN (SELECT (set_name, path) FROM matches WHERE match_status IN ('hashMismatch', 'nodump')))
       SELECT 'add_entry' AS op, m.set_name AS group_id, m.path AS source, m.entry_name AS source_entry, e.into_ AS target, m.item_name AS target_entry FROM mc m JOIN e ON e.set_name = m.set_name WHERE m.path = e.anchor AND (m.md5 IS NULL OR (m.clone_of, m.size, m.md5) NOT IN (SELECT (clone_of, size, md5) FROM ph)) UNION ALL SELECT 'remove_container', set_name, anchor, NULL, NULL, NULL FROM e"""),
-    "P18_collect_samples": (lambda s, d: plan_cols(changes.collect_samples(alternates.sample_containers(view(s, d, "fx_sets").select("set_name", c("clone_of").alias("sample_of")), view(s, d, "fx_inventory")), "/samples")), f"SELECT 'copy' AS op, n.s AS group_id, min(path) AS source, {NULLS} AS source_entry, concat('/samples/', n.s, '.zip') AS target, {NULLS} AS target_entry FROM (SELECT DISTINCT coalesce(clone_of, set_name) AS s FROM fx_sets) n JOIN fx_inventory i ON i.path LIKE '%.zip' AND lower(regexp_extract(i.path, '([^/]*)\\.zip$', 1)) = lower(n.s) GROUP BY n.s"),
+    "P18_collect_samples": (lambda s, d: plan_cols(changes.collect_samples(alternates.sample_containers(view(s, d, "fx_sets").select("set_name", c("clone_of").alias("sample_of")), view(s, d, "fx_inventory")), "/samples", view(s, d, "fx_inventory"))), f"SELECT 'copy' AS op, n.s AS group_id, min(path) AS source, {NULLS} AS source_entry, concat('/samples/', n.s, '.zip') AS target, {NULLS} AS target_entry FROM (SELECT DISTINCT coalesce(clone_of, set_name) AS s FROM fx_sets) n JOIN fx_inventory i ON i.path LIKE '%.zip' AND lower(regexp_extract(i.path, '([^/]*)\\.zip$', 1)) = lower(n.s) GROUP BY n.s"),
     "P19_organise": (lambda s, d: plan_cols(organised(s, d)[0]), f"WITH {ORGANISED} SELECT * FROM og"),
     "A19_organise_preview": (lambda s, d: changes.organise_preview(*organised(s, d)), f"""WITH {ORGANISED}, g AS (SELECT group_id, count(*) FILTER (WHERE op = 'move') AS moved, count(*) FILTER (WHERE op <> 'move') AS copies FROM og GROUP BY 1) SELECT group_id AS set_name, concat(group_id, ' — ', description, ' (', concat_ws('; ', CASE WHEN moved = 1 THEN 'move' WHEN moved > 1 THEN concat('move ', CAST(moved AS VARCHAR), ' files') END,
       CASE WHEN copies = 1 THEN '1 duplicate copy removed' WHEN copies > 1 THEN concat(CAST(copies AS VARCHAR), ' duplicate copies removed') END), ')') AS text FROM g JOIN q ON q.set_name = g.group_id"""),

@@ -60,7 +60,7 @@ QUERIES = {
     "J34_region_notes": (lambda s, d: families.notes_for(view(s, d, "fx_sets").select(c("description").alias("set_name")).distinct(), notes(s, d)).select("set_name", "recommended_region"), "SELECT DISTINCT a.description AS set_name, 'USA' AS recommended_region FROM fx_sets a JOIN fx_sets b ON trim(split_part(a.description, '(', 1)) = trim(split_part(b.description, '(', 1)) WHERE b.set_ord % 8 = 0 AND b.set_ord % 16 <> 0"),
     "U1_disks_in_report": (lambda s, d: audit.counters(disks.with_disks(view(s, d, "fx_audit"), disks.match_disks(view(s, d, "fx_disks"), view(s, d, "fx_disk_files")))).select("correct", "incorrect", "missing", "unverifiable"), f"""WITH {DISKS}, u AS (SELECT status FROM fx_audit UNION ALL SELECT status FROM m) SELECT count(*) FILTER (WHERE status = 'correct') AS correct, count(*) FILTER (WHERE status = 'incorrect') AS incorrect, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'unverifiable') AS unverifiable FROM u"""),
     "P21_restricted_plan": (lambda s, d: changes.restrict(changes.rename_entries(report(s, d)[2]), ["/r0"]).select("op", "group_id", "source", "source_entry"), f"""WITH {CTES}, r AS (SELECT * FROM matches WHERE match_status = 'misnamed' AND regexp_extract(path, '[^/]*$') <> entry_name AND starts_with(path, '/r0/')) SELECT op, concat(path, '::', entry_name) AS group_id, path AS source, entry_name AS source_entry FROM r, (VALUES ('add_entry'), ('remove_entry')) AS o(op)"""),
-    "P22_preview": (lambda s, d: (lambda m: changes.preview(changes.rename_entries(m), changes.rebuild_to_folder(m, "/out"), changes.consolidate(m)))(report(s, d)[2]), f"""WITH {CTES}, r AS (SELECT * FROM matches WHERE match_status = 'misnamed'), k AS (SELECT * FROM matches WHERE match_status IN ('correct', 'misnamed'))
+    "P22_preview": (lambda s, d: (lambda x: changes.preview(changes.rename_entries(x[2]), changes.rebuild_to_folder(x[2], "/out", x[1]), changes.consolidate(x[2], x[1])))(report(s, d)), f"""WITH {CTES}, r AS (SELECT * FROM matches WHERE match_status = 'misnamed'), k AS (SELECT * FROM matches WHERE match_status IN ('correct', 'misnamed'))
       SELECT 'add_entry' AS op, count(*) AS n, count(DISTINCT concat(path, '::', entry_name)) AS groups FROM r UNION ALL SELECT 'remove_entry', count(*), count(DISTINCT concat(path, '::', entry_name)) FROM r UNION ALL SELECT 'extract', count(*), count(DISTINCT set_name) FROM k
       UNION ALL SELECT 'copy_entry', count(*), count(DISTINCT set_name) FROM matches m WHERE match_status = 'foundElsewhere' AND set_name IN (SELECT set_name FROM k)"""),
 }

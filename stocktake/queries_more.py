@@ -76,15 +76,15 @@ QUERIES = {
     "P3_rename_entries": (lambda s, d: (lambda x: plan_cols(changes.rename_entries(x[2], x[3], x[0])))(left(s, d)), f"""WITH {CTES}, r AS (SELECT path, entry_name, item_name FROM matches WHERE match_status = 'misnamed' AND regexp_extract(path, '[^/]*$') <> entry_name
       UNION SELECT g.path, g.entry_name, c.item_name FROM flagged g JOIN (SELECT set_name, md5, arg_min(item_name, uid) AS item_name FROM cat WHERE md5 IS NOT NULL GROUP BY 1, 2) c ON c.set_name = g.owner AND c.md5 = g.md5 WHERE regexp_extract(path, '[^/]*$') <> entry_name AND c.item_name <> g.entry_name) SELECT 'add_entry' AS op, concat(path, '::', entry_name) AS group_id, path AS source, entry_name AS source_entry, path AS target, item_name AS target_entry FROM r
       UNION ALL SELECT 'remove_entry', concat(path, '::', entry_name), path, entry_name, NULL, NULL FROM r"""),
-    "P4_rebuild_folder": (lambda s, d: plan_cols(changes.rebuild_to_folder(report(s, d)[2], "/out")), f"WITH {CTES} SELECT CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN 'copy' ELSE 'extract' END AS op, set_name AS group_id, path AS source, CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN NULL ELSE entry_name END AS source_entry, concat('/out/', set_name, '/', item_name) AS target, {NULLS} AS target_entry FROM matches WHERE match_status IN ('correct', 'misnamed')"),
+    "P4_rebuild_folder": (lambda s, d: plan_cols((lambda x: changes.rebuild_to_folder(x[2], "/out", x[1]))(report(s, d))), f"WITH {CTES} SELECT CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN 'copy' ELSE 'extract' END AS op, set_name AS group_id, path AS source, CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN NULL ELSE entry_name END AS source_entry, concat('/out/', set_name, '/', item_name) AS target, {NULLS} AS target_entry FROM matches WHERE match_status IN ('correct', 'misnamed')"),
     "P5_rebuild_containers": (lambda s, d: changes.rebuild_containers(report(s, d)[2], "/out"), f"WITH {CTES} SELECT set_name, concat('/out/', set_name, '.zip') AS target, string_agg(concat(path, '::', entry_name, '>', item_name), '|' ORDER BY uid) AS entries FROM matches WHERE match_status IN ('correct', 'misnamed') GROUP BY set_name"),
     "P7_remove_redundant": (lambda s, d: (lambda x: plan_cols(changes.remove_redundant(x[3], match.redundant_containers(x[3], x[1]))))(left(s, d)), f"""WITH {CTES},\n{REDUNDANT} SELECT 'remove_container' AS op, path AS group_id, path AS source, {NULLS} AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM rc
       UNION ALL SELECT CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN 'remove' ELSE 'remove_entry' END, path, path, CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN NULL ELSE entry_name END, NULL, NULL FROM flagged WHERE redundant AND path NOT IN (SELECT path FROM rc)"""),
     "P6_remove_useless": (lambda s, d: (lambda x: plan_cols(changes.remove_useless(x[3], x[1], match.emptied_containers(x[3], x[1]))))(left(s, d)), f"""WITH {CTES}, em AS (SELECT f.path FROM f LEFT JOIN flagged g ON g.path = f.path AND g.entry_name = f.entry_name WHERE f.in_container GROUP BY 1 HAVING bool_and(g.path IS NOT NULL AND g.owner IS NULL AND NOT g.nodump_name))
       SELECT CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN 'remove' ELSE 'remove_entry' END AS op, path AS group_id, path AS source, CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN NULL ELSE entry_name END AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM flagged WHERE owner IS NULL AND NOT nodump_name AND path NOT IN (SELECT path FROM em)"""),
-    "P9_repair_missing": (lambda s, d: (lambda x: plan_cols(changes.repair(x[2], duplicates.donors(x[0], x[1]), "fill", ("missing", "foundElsewhere"))))(wanted(s, d)), f"WITH {CTES},\n{DONORS},\n{ANCHOR} SELECT 'fill' AS op, m.set_name AS group_id, donor_path AS source, donor_entry AS source_entry, anchor AS target, item_name AS target_entry FROM matches m JOIN dn ON dn.uid = m.uid JOIN an ON an.set_name = m.set_name WHERE m.match_status IN ('missing', 'foundElsewhere')"),
-    "P10_replace_corrupt": (lambda s, d: (lambda x: plan_cols(changes.repair(x[2], duplicates.donors(x[0], x[1]), "replace", ("hashMismatch",))))(wanted(s, d)), f"WITH {CTES},\n{DONORS},\n{ANCHOR} SELECT 'replace' AS op, m.set_name AS group_id, donor_path AS source, donor_entry AS source_entry, anchor AS target, item_name AS target_entry FROM matches m JOIN dn ON dn.uid = m.uid JOIN an ON an.set_name = m.set_name WHERE m.match_status = 'hashMismatch'"),
-    "P11_consolidate": (lambda s, d: plan_cols(changes.consolidate(report(s, d)[2])), f"WITH {CTES},\n{ANCHOR} SELECT 'copy_entry' AS op, m.set_name AS group_id, path AS source, entry_name AS source_entry, anchor AS target, item_name AS target_entry FROM matches m JOIN an ON an.set_name = m.set_name WHERE m.match_status = 'foundElsewhere'"),
+    "P9_repair_missing": (lambda s, d: (lambda x: plan_cols(changes.repair(x[2], duplicates.donors(x[0], x[1]), "fill", ("missing", "foundElsewhere"), x[1])))(wanted(s, d)), f"WITH {CTES},\n{DONORS},\n{ANCHOR} SELECT 'fill' AS op, m.set_name AS group_id, donor_path AS source, donor_entry AS source_entry, anchor AS target, item_name AS target_entry FROM matches m JOIN dn ON dn.uid = m.uid JOIN an ON an.set_name = m.set_name WHERE m.match_status IN ('missing', 'foundElsewhere')"),
+    "P10_replace_corrupt": (lambda s, d: (lambda x: plan_cols(changes.repair(x[2], duplicates.donors(x[0], x[1]), "replace", ("hashMismatch",), x[1])))(wanted(s, d)), f"WITH {CTES},\n{DONORS},\n{ANCHOR} SELECT 'replace' AS op, m.set_name AS group_id, donor_path AS source, donor_entry AS source_entry, anchor AS target, item_name AS target_entry FROM matches m JOIN dn ON dn.uid = m.uid JOIN an ON an.set_name = m.set_name WHERE m.match_status = 'hashMismatch'"),
+    "P11_consolidate": (lambda s, d: (lambda x: plan_cols(changes.consolidate(x[2], x[1])))(report(s, d)), f"WITH {CTES},\n{ANCHOR} SELECT 'copy_entry' AS op, m.set_name AS group_id, path AS source, entry_name AS source_entry, anchor AS target, item_name AS target_entry FROM matches m JOIN an ON an.set_name = m.set_name WHERE m.match_status = 'foundElsewhere'"),
     "P14_case_policy": (lambda s, d: plan_cols(changes.case_policy(report(s, d)[2], "upper")), f"WITH {CTES} SELECT 'rename_entry' AS op, path AS group_id, path AS source, entry_name AS source_entry, path AS target, concat(upper(regexp_replace(entry_name, '\\.[^.]*$', '')), '.txt') AS target_entry FROM matches WHERE match_status = 'correct'"),
     "P16_placeholders": (lambda s, d: (lambda x: plan_cols(changes.placeholders(x[0], x[2], "/out")))(report(s, d)), f"WITH {CTES} SELECT 'placeholder' AS op, set_name AS group_id, {NULLS} AS source, {NULLS} AS source_entry, concat('/out/', set_name, '/', item_name) AS target, {NULLS} AS target_entry FROM cat WHERE dump_status = 'nodump' AND uid NOT IN (SELECT uid FROM matches)"),
 }

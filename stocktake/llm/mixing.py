@@ -78,7 +78,8 @@ def pivot(sizes: Sequence[int], parts: list[float], rng: random.Random) -> None:
 
 def round_level(rows: DataFrame, seed: int) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "order"], kind="stable")
+        # Large documents first: what is left at the end is among the small ones, so little is left to chance.
+        pdf = pdf.sort_values(["size", "order"], ascending=[False, True], kind="stable")
         parts = pdf["part"].tolist()
         pivot(pdf["size"].tolist(), parts, random.Random(f"{seed} {pdf['bucket'].iloc[0]} {pdf['order'].iloc[0]}"))
         return pdf.assign(part=parts)

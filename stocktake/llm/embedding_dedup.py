@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import cut, join_hot, stored, table
 from .components import components
 
 #: Fixed value of the query.
@@ -237,9 +237,11 @@ def dedup_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec: str = "emb
     labels = components(links.select("a", "b"))
     linked = links.groupBy("a").agg(F.sum("links").alias("links"))
     per = classes.select("cls", "least", "copies").join(labels.withColumnRenamed("v", "cls"), "cls", "left").join(linked.withColumnRenamed("a", "cls"), "cls", "left")
-    per = cut(per.select("cls", "least", F.coalesce("root", "cls").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    final = per.join(per.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "n_links", "component_id")
-    out = rows.select("id", "cls").join(final, "cls", "left")
+    per = cut(per.select("cls", "least", "copies", F.coalesce("root", "cls").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    # A component, or a class of equal vectors, may hold a third of all rows; vectors without a class are dealt out.
+    smallest = cut(per.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+    final = cut(join_hot(per, smallest, ["root"], F.col("cls"), "classes").select("cls", "n_links", "component_id", "copies"))
+    out = join_hot(rows.select("id", "cls"), final, ["cls"], F.xxhash64("id"), "copies")
     return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 

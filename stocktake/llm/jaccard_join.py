@@ -8,8 +8,8 @@ must pass all of them before it is verified:
 2. under the order of document frequency among the sets left: sets of which less than t of the tokens occur in another go, and
    sets that share no prefix token, of compatible size, part into groups;
 3. within a group, pairs of sets meet in tiles of bounded size. A tile holds the pairs that share a prefix token under the ascending
-   order, those that do under the descending one, and those of compatible size, as three bit matrices; what is in all three is verified
-   exactly, by counting common tokens.
+   order of hashes, those that do under the descending one, those that do under the order of document frequency, and those of compatible size, as
+   bit matrices; what is in all of them is verified exactly, by counting common tokens.
 
 Equal sets are one class from the start, and a tile reports a spanning forest and link counts, not pairs: a group of near copies
 costs rows in proportion to its members. Tokens that a noticeable share of all texts has are known beforehand from a sample of bounded
@@ -204,13 +204,21 @@ def prefix(tokens: np.ndarray, percent: int, last: bool) -> np.ndarray:
     return tokens[-k:] if last else tokens[:k]
 
 
-def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which left sets link with which right ones. The filters of two orders and of the sizes are intersected; what passes all is verified."""
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, copies, tokens, rare) -> (cls, copies, tokens, in_rare): a bit for each token, whether it is among the set's rare ones."""
+    for batch in batches:
+        tokens, rare = batch.column("tokens"), batch.column("rare")
+        bits = [np.packbits(np.isin(tokens[i].values.to_numpy(), rare[i].values.to_numpy())).tobytes() for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("copies"), tokens, pa.array(bits, pa.binary())], ["cls", "copies", "tokens", "in_rare"])
+
+
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int, rare: tuple[list[np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """Which left sets link with which right ones. The filters of three orders (``rare`` are the prefixes by document frequency) and of the sizes are intersected; what passes all is verified."""
     na, nb = np.array([len(t) for t in left])[:, None], np.array([len(t) for t in right])[None, :]
     passed = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    for last in (False, True):
+    for of in (lambda sets, _: [prefix(t, percent, False) for t in sets], lambda sets, _: [prefix(t, percent, True) for t in sets], lambda _, own: own):
         if passed.any():
-            passed &= common_counts([prefix(t, percent, last) for t in left], [prefix(t, percent, last) for t in right]) > 0
+            passed &= common_counts(of(left, rare[0]), of(right, rare[1])) > 0
     i, j = np.nonzero(passed)
     if len(i) * SPARSE < passed.size:
         common = np.array([len(np.intersect1d(left[a], right[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
@@ -228,7 +236,8 @@ def verify_tile(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     a, b = (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
     if not len(a) or not len(b) or (same and len(a) == 1):
         return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
-    linked = linked_pairs(a["tokens"].tolist(), b["tokens"].tolist(), percent)
+    first = lambda df: [t[np.unpackbits(np.frombuffer(m, np.uint8), count=len(t)).astype(bool)] for t, m in zip(df["tokens"], df["in_rare"], strict=True)]
+    linked = linked_pairs(a["tokens"].tolist(), b["tokens"].tolist(), percent, (first(a), first(b)))
     if same:
         np.fill_diagonal(linked, False)
     ids_a, ids_b = a["cls"].to_numpy(), b["cls"].to_numpy()
@@ -307,7 +316,8 @@ def class_links(docs: DataFrame, percent: int = PERCENT, shared: float = SHARED,
 
     groups = split_groups(near.select("cls", "n", F.explode_outer("rare").alias("token")), percent, frequent)
     tiles = tiles_of(cut(groups.join(near.select("cls", "n"), "cls")), percent, block)
-    rows = near.select("cls", "copies", "tokens").join(tiles, "cls")
+    held = near.select("cls", "copies", "tokens", "rare").mapInArrow(marked, "cls long, copies long, tokens array<long>, in_rare binary")
+    rows = held.join(tiles, "cls")
     return members, rows.groupBy("g", "b1", "lo", "b2", "hi").applyInPandas(lambda pdf: verify_tile(pdf, percent), "a long, b long, links long")
 
 

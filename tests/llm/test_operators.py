@@ -205,8 +205,10 @@ def test_filters_of_a_tile_lose_no_pair():
         sets = [np.sort(rng.choice(pool, rng.integers(1, size), replace=False).view(np.uint64)).view(np.int64) for _ in range(30)]
         sets += [np.sort(np.delete(x, [0]).view(np.uint64)).view(np.int64) for x in sets if len(x) > 1] + [x[: -(len(x) // 5) or None] for x in sets]
         want = [[100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y)) for y in sets] for x in sets]
-        assert (jaccard_join.linked_pairs(sets, sets, 75) == np.array(want)).all()
-        sparse = [jaccard_join.linked_pairs([x], sets, 75)[0] for x in sets]
+        rare = [sorted(x.tolist(), key=lambda t: (t * 7) % 1009)[: len(x) - -(-75 * len(x) // 100) + 1] for x in sets]  # a third order
+        rare = [np.array(x, np.int64) for x in rare]
+        assert (jaccard_join.linked_pairs(sets, sets, 75, (rare, rare)) == np.array(want)).all()
+        sparse = [jaccard_join.linked_pairs([x], sets, 75, ([r], rare))[0] for x, r in zip(sets, rare, strict=True)]
         assert (np.array(sparse) == np.array(want)).all()
 
 
@@ -297,6 +299,29 @@ def test_pivot_keeps_words_and_expectation():
     assert np.abs(mean / 800 - 0.3).max() < 0.08
 
 
+def test_little_is_left_to_chance():
+    misses = []
+    for seed in range(60):
+        rng = random.Random(seed)
+        sizes = sorted((max(1, int(rng.lognormvariate(5, 1.2))) for _ in range(300)), reverse=True)
+        part = rng.random()
+        parts = [part] * 300
+        mixing.pivot(sizes, parts, rng)
+        taken = sum(s * (p if p in (0.0, 1.0) else float(rng.random() < p)) for s, p in zip(sizes, parts, strict=True))
+        misses.append(abs(taken / (part * sum(sizes)) - 1))
+    assert np.mean(misses) < 0.03
+
+
+def test_mixes_come_near_their_targets(spark):
+    rng = random.Random(8)
+    docs = make_docs(spark, [words_text(rng, max(1, int(rng.lognormvariate(4, 1)))) for _ in range(300)], [rng.choice("abc") for _ in range(300)])
+    far = []
+    for seed in range(3):
+        mixed = mixing.mix(docs, ["doc_id"], seed=seed).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+        far += [abs(r["taken"] / r["target"] - 1) for r in mixed]
+    assert np.mean(far) < 0.03
+
+
 # Line dedup.
 
 

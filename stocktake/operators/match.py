@@ -276,13 +276,26 @@ def leftover_flags(left: DataFrame, matches: DataFrame, items: DataFrame) -> Dat
     return cut(out.select(*left.columns, yes("r").alias("redundant"), "copy_of", yes("d").alias("nodump_name"), yes("k").alias("known_container")))
 
 
-def misnamed_containers(left: DataFrame, items: DataFrame) -> DataFrame:
-    """(path, suggested): containers of which the leftovers hold three fifths of one set's items, of exactly one set."""
-    known = items.select(F.lower("set_name").alias("stem_lc")).distinct()
-    n = items.groupBy(F.col("set_name").alias("owner")).agg(F.count("*").alias("n_items"))
-    held = left.where("owner IS NOT NULL").withColumn("stem_lc", F.lower(stem(F.col("path")))).join(known, "stem_lc", "left_anti").groupBy("path", "owner").agg(F.count("*").alias("n"))
-    fit = held.join(n, "owner").where("n * 5 >= n_items * 3")
-    return fit.groupBy("path").agg(F.count("*").alias("k"), F.min("owner").alias("suggested")).where("k = 1").drop("k")
+def misnamed_containers(left: DataFrame, items: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """(path, suggested): containers of which the leftovers hold three fifths of one set's items, of exactly one set.
+
+    A loose file counts for a set of one item only. A container that is named like a set keeps that name, unless ``matches`` shows that nothing of its own set is claimed from it, and
+    the other set has one item and has claimed no file yet.
+    """
+    known = items.select(F.lower("set_name").alias("stem_lc")).distinct().withColumn("known", F.lit(True))
+    n = items.groupBy(F.lower("set_name").alias("owner_lc")).agg(F.count("*").alias("n_items"), F.min("set_name").alias("suggested"))
+    loose = file_name(F.col("path")) == F.col("entry_name")
+    rows = left.where("owner IS NOT NULL").withColumns({"stem_lc": F.lower(stem(F.col("path"))), "owner_lc": F.lower("owner"), "loose": loose}).join(n, "owner_lc").where("NOT loose OR n_items = 1")
+    held = rows.groupBy("path", "stem_lc", "owner_lc").agg(F.count("*").alias("n"), F.first("n_items").alias("n_items"), F.first("suggested").alias("suggested"))
+    fit = held.where("n * 5 >= n_items * 3").groupBy("path", "stem_lc").agg(F.count("*").alias("k"), *[F.min(c).alias(c) for c in ("owner_lc", "suggested", "n_items")]).where("k = 1")
+    fit = fit.join(known, "stem_lc", "left")
+    if matches is None:
+        return fit.where("known IS NULL").select("path", "suggested")
+    met = matches.where("match_status IN ('correct', 'misnamed')").select(F.lower("set_name").alias("set_lc"), "path").distinct()
+    own = met.select(F.col("set_lc").alias("stem_lc"), "path", F.lit(True).alias("its_own"))
+    has = met.select(F.col("set_lc").alias("owner_lc"), F.lit(True).alias("has_some")).distinct()
+    fit = fit.join(own, ["stem_lc", "path"], "left").join(has, "owner_lc", "left")
+    return fit.where("known IS NULL OR (n_items = 1 AND owner_lc <> stem_lc AND has_some IS NULL AND its_own IS NULL)").select("path", "suggested")
 
 
 def redundant_containers(left: DataFrame, files: DataFrame) -> DataFrame:

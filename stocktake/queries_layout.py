@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .fixtures import view, with_views
 from .functions import headers, names
 from .lineage import scratch
-from .operators import alternates, layout, snapshots
+from .operators import alternates, disks, layout, match, snapshots
 from .plans import changes
 from .queries_match import CTES, left
-from .queries_more import NULLS, plan_cols
+from .queries_more import DISKS, NULLS, REDUNDANT, plan_cols
 from .sources import catalogs, inventories, stores
 
 c = F.col
@@ -106,9 +106,15 @@ def round_trip(spark, d):
 
 
 def headed(spark, d):
-    """Every third document behind a header of 16 bytes."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 3 = 0")
-    return docs.select("doc_id", F.concat(F.lit(b"NES\x1a" + b"\x02" * 12), F.encode("text", "UTF-8")).alias("content"))
+    """All documents, two of three behind a header: of 16 bytes, or of 64."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    head = F.when(c("doc_id") % 3 == 0, F.lit(b"NES\x1a" + b"\x02" * 12)).when(c("doc_id") % 3 == 1, F.lit(b"LYNX" + b"\x03" * 60)).when((F.octet_length("text") + 6) % 1024 == 512, F.lit(b"plain  ")).otherwise(F.lit(b"plain "))  # of no length that a copier's header makes
+    return docs.select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content"))
+
+
+def redundant_with_disks(spark, d):
+    x = left(spark, d)
+    return plan_cols(changes.remove_redundant(x[3], match.redundant_containers(x[3], x[1]), disks.leftover_disks(view(spark, d, "fx_disks"), view(spark, d, "fx_disk_files"))))
 
 
 def cartridges(spark, d):
@@ -167,7 +173,7 @@ QUERIES = {
     "S5_catalog_names": (lambda s, d: catalogs.catalog_names(round_trip(s, d)), "SELECT DISTINCT lower(set_name) AS name_lc FROM fx_catalog"),
     "S8_zip_entries": (lambda s, d: inventories.fingerprints(inventories.zip_entries(packed(s, d), content=True).where("read_state = 'ok'"), hashes=("md5",)).select("path", "entry_name", "size", "md5", "comment"), f"WITH {ENTRIES} SELECT path, entry_name, length(entry_name) + 11 AS size, md5(concat('content of ', entry_name)) AS md5, CASE WHEN length(path) % 3 = 0 THEN 'note' END AS comment FROM e"),
     "S10_from_directory": (lambda s, d: inventories.from_directory(inventories.zip_entries(packed(s, d))).select("path", "entry_name", "size", (F.length("crc32") == 8).alias("stated")), f"WITH {ENTRIES} SELECT path, entry_name, length(entry_name) + 11 AS size, TRUE AS stated FROM e"),
-    "S11_behind_headers": (lambda s, d: inventories.stripped_fingerprints(headed(s, d)).select("doc_id", "stripped.size", "stripped.md5", "stripped.sha1"), "SELECT doc_id, strlen(text) AS size, md5(text) AS md5, sha1(text) AS sha1 FROM documents WHERE doc_id % 3 = 0"),
+    "S11_behind_headers": (lambda s, d: inventories.stripped_fingerprints(headed(s, d)).select("doc_id", "stripped.size", "stripped.md5", "stripped.sha1"), "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN strlen(text) END AS size, CASE WHEN doc_id % 3 < 2 THEN md5(text) END AS md5, CASE WHEN doc_id % 3 < 2 THEN sha1(text) END AS sha1 FROM documents"),
     "S15_cartridge_headers": (lambda s, d: cartridges(s, d).select("doc_id", headers.cartridge_header(c("hex")).alias("h")).select("doc_id", "h.mapper", "h.prg_kb", "h.chr_kb", "h.has_battery", "h.mirroring", "h.tv_system"), """SELECT doc_id, CAST(((doc_id * 11 % 256) & 240) | ((doc_id * 7 % 256) >> 4) AS INTEGER) AS mapper, CAST(doc_id * 3 % 256 * 16 AS INTEGER) AS prg_kb, CAST(doc_id * 5 % 256 * 8 AS INTEGER) AS chr_kb, (doc_id * 7 % 256) & 2 <> 0 AS has_battery,
       CASE WHEN (doc_id * 7 % 256) & 8 <> 0 THEN 'Four-screen' WHEN (doc_id * 7 % 256) & 1 <> 0 THEN 'Vertical' ELSE 'Horizontal' END AS mirroring, CASE WHEN (doc_id * 17 % 256) & 1 <> 0 THEN 'PAL' ELSE 'NTSC' END AS tv_system FROM documents"""),
     "S17_title_names": (written(lambda s, d, p: view(s, d, "fx_titles").select(F.to_json(F.create_map(F.coalesce(names.title_id(c("file_name")), F.lit("-")), F.regexp_replace("file_name", r" \[.*$", ""))).alias("value")).write.option("maxRecordsPerFile", 1000).text(p), catalogs.title_names), "SELECT regexp_extract(file_name, '\\[(0100[0-9A-F]{12})\\]', 1) AS id, regexp_replace(file_name, ' \\[.*$', '') AS name FROM fx_titles"),
@@ -185,7 +191,9 @@ QUERIES = {
     "K7_stored_catalog": (stored_catalog, "SELECT set_name, item_name, md5 FROM fx_catalog"),
     "K8_stored_inventory": (written(lambda s, d, p: stores.save_inventory(view(s, d, "fx_inventory").withColumn("read_state", F.when(c("size") % 4 == 0, "corrupt").otherwise("ok")), p), lambda s, p: s.read.parquet(p).select("path", "entry_name", "md5")), "SELECT path, entry_name, md5 FROM fx_inventory WHERE size % 4 <> 0"),
     "K9_notes": (written(lambda s, d, p: stores.save_notes(view(s, d, "fx_sets").select(c("set_name").alias("family"), "year"), p), lambda s, p: s.read.schema("family string, year string").json(p)), "SELECT set_name AS family, year FROM fx_sets"),
-    "P7_remove_disks": (lambda s, d: (lambda x, y: plan_cols(changes.remove_redundant(x[3].limit(0), x[1].select("path").limit(0), y)))(left(s, d), view(s, d, "fx_disk_files").select("path", (F.length("path") % 2 == 1).alias("redundant"))), f"SELECT 'remove_disk' AS op, path AS group_id, path AS source, {NULLS} AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM fx_disk_files WHERE length(path) % 2 = 1"),
+    "P7_remove_disks": (redundant_with_disks, f"""WITH {CTES},\n{REDUNDANT}, {DISKS} SELECT 'remove_container' AS op, path AS group_id, path AS source, {NULLS} AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM rc
+      UNION ALL SELECT CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN 'remove' ELSE 'remove_entry' END, path, path, CASE WHEN regexp_extract(path, '[^/]*$') = entry_name THEN NULL ELSE entry_name END, NULL, NULL FROM flagged WHERE redundant AND path NOT IN (SELECT path FROM rc)
+      UNION ALL SELECT 'remove_disk', path, path, NULL, NULL, NULL FROM fx_disk_files WHERE path NOT IN (SELECT path FROM m WHERE path IS NOT NULL) AND sha1 IN (SELECT sha1 FROM fx_disks WHERE sha1 IS NOT NULL)"""),
 }
 
 

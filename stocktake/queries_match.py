@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .lineage import cut
-from .operators import audit, match
+from .operators import audit, browse, match
 
 KEY = ("set_ord", "item_ord")
 STEM = "lower(regexp_replace(regexp_extract({p}, '[^/]*$'), '\\.[^.]*$', ''))"
@@ -95,9 +95,7 @@ QUERIES = {
     "J13_leftovers": (lambda s, d: (lambda x: match.leftovers(x[2], x[1]))(report(s, d)).select("path", "entry_name"), sql("SELECT path, entry_name FROM rest")),
     "J14_owners": (lambda s, d: left(s, d)[3].select("path", "entry_name", "owner"), sql("SELECT path, entry_name, owner FROM owned")),
     "J15_leftover_flags": (lambda s, d: left(s, d)[3].select("path", "entry_name", "redundant", "copy_of", "nodump_name", "known_container"), sql("SELECT path, entry_name, redundant, copy_of, nodump_name, known_container FROM flagged")),
-    "J19_misnamed_containers": (lambda s, d: (lambda x: match.misnamed_containers(x[3], x[0]))(left(s, d)), sql("""SELECT path, min(owner) AS suggested FROM (SELECT path, owner, count(*) AS n FROM owned WHERE owner IS NOT NULL AND stem_lc NOT IN (SELECT set_lc FROM n) GROUP BY 1, 2) x
-      JOIN (SELECT set_name, count(*) AS n_items FROM fx_catalog GROUP BY 1) y ON y.set_name = x.owner WHERE x.n * 5 >= n_items * 3 GROUP BY path HAVING count(*) = 1""")),
-    "A13_declared_size": (lambda s, d: view(s, d, "fx_catalog").groupBy(F.lower("set_name").alias("set_lc")).agg(F.sum("size").alias("declared")), "SELECT lower(set_name) AS set_lc, sum(size) AS declared FROM fx_catalog GROUP BY 1"),
+    "A13_declared_size": (lambda s, d: browse.declared_sizes(view(s, d, "fx_catalog")), "SELECT lower(set_name) AS set_lc, sum(size) AS declared FROM fx_catalog GROUP BY 1"),
     "A14_redundant_containers": (lambda s, d: (lambda x: match.redundant_containers(x[3], x[1]))(left(s, d)), sql("SELECT f.path, count(*) AS n FROM f LEFT JOIN flagged g ON g.path = f.path AND g.entry_name = f.entry_name GROUP BY 1 HAVING bool_and(coalesce(g.redundant, FALSE))")),
     "A15_emptied_containers": (lambda s, d: (lambda x: match.emptied_containers(x[3], x[1]))(left(s, d)), sql("SELECT f.path FROM f LEFT JOIN flagged g ON g.path = f.path AND g.entry_name = f.entry_name WHERE f.in_container GROUP BY 1 HAVING bool_and(g.path IS NOT NULL AND g.owner IS NULL AND NOT g.nodump_name)")),
     "X21_audit": (lambda s, d: audited(s, d).select("set_name", "item_name", "status", "path"), sql("SELECT * FROM aud")),

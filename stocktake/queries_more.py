@@ -11,7 +11,8 @@ from .queries_match import CTES, KEY, left, report
 
 DISKS = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY disk_name ORDER BY sha1 IS NULL, ord) AS r FROM fx_disks) WHERE r = 1),
   m AS (SELECT d.disk_name, d.set_name, CASE WHEN h.p IS NOT NULL THEN 'correct' WHEN s.p IS NOT NULL AND d.sha1 IS NULL THEN 'unverifiable' WHEN s.p IS NOT NULL THEN 'incorrect' ELSE 'missing' END AS status, coalesce(h.p, s.p) AS path
-  FROM d LEFT JOIN (SELECT sha1, min(path) AS p FROM fx_disk_files WHERE sha1 IS NOT NULL GROUP BY 1) h ON h.sha1 = d.sha1 LEFT JOIN (SELECT stem, min(path) AS p FROM fx_disk_files GROUP BY 1) s ON s.stem = d.disk_name)"""
+  FROM d LEFT JOIN (SELECT d.disk_name, arg_min(path, (lower(split_part(path, '/', -2)) = lower(d.disk_name), path)) AS p FROM d JOIN fx_disk_files f ON f.sha1 = d.sha1 GROUP BY 1) h ON h.disk_name = d.disk_name LEFT JOIN (SELECT stem, min(path) AS p FROM fx_disk_files GROUP BY 1) s ON s.stem = d.disk_name)"""
+SUBFOLDER = "lower(split_part(path, '/', -2)) = lower(d.disk_name)"
 LEV = "(1 - levenshtein(lower({a}), lower({b}))::DOUBLE / greatest(length({a}), length({b})))"
 NEAR = f"""a AS (SELECT local_name, size, trim(regexp_replace(local_name, '\\.[^. ]*$', '')) AS a FROM fx_name_local),
   p AS (SELECT local_name, set_name, a, set_name AS b, trim(split_part(a, ' (', 1)) AS ta, trim(split_part(set_name, ' (', 1)) AS tb FROM a JOIN fx_name_catalog c ON c.size BETWEEN a.size - 512 AND a.size + 512),
@@ -39,11 +40,13 @@ def plan_cols(df):
 
 def suggested(spark, d):
     x = left(spark, d)
-    return match.misnamed_containers(x[3], x[0]), x
+    return match.misnamed_containers(x[3], x[0], x[2]), x
 
 
-SUGGESTED = """sg AS (SELECT path, min(owner) AS suggested FROM (SELECT path, owner, count(*) AS n FROM owned WHERE owner IS NOT NULL AND stem_lc NOT IN (SELECT set_lc FROM n) GROUP BY 1, 2) x
-  JOIN (SELECT set_name, count(*) AS n_items FROM cat GROUP BY 1) y ON y.set_name = x.owner WHERE x.n * 5 >= n_items * 3 GROUP BY path HAVING count(*) = 1)"""
+#: A container's set by what its leftovers are; a name that is a set's own stays, but for a container of nothing of that set, and a set of one item that has no file.
+SUGGESTED = """sg AS (SELECT path, min(y.set_name) AS suggested FROM (SELECT path, stem_lc, owner, count(*) AS n FROM owned o JOIN n ON n.set_lc = lower(o.owner) WHERE n.n_items = 1 OR regexp_extract(path, '[^/]*$') <> entry_name GROUP BY 1, 2, 3) x
+  JOIN (SELECT set_name, count(*) AS n_items FROM cat GROUP BY 1) y ON y.set_name = x.owner WHERE x.n * 5 >= n_items * 3 GROUP BY path, stem_lc
+  HAVING count(*) = 1 AND (stem_lc NOT IN (SELECT set_lc FROM n) OR (min(n_items) = 1 AND lower(min(y.set_name)) <> stem_lc AND lower(min(y.set_name)) NOT IN (SELECT lower(set_name) FROM matches WHERE match_status IN ('correct', 'misnamed')) AND (stem_lc, path) NOT IN (SELECT (lower(set_name), path) FROM matches WHERE match_status IN ('correct', 'misnamed')))))"""
 NULLS = "CAST(NULL AS VARCHAR)"
 REDUNDANT = """rc AS (SELECT f.path FROM f LEFT JOIN flagged g ON g.path = f.path AND g.entry_name = f.entry_name GROUP BY 1 HAVING bool_and(coalesce(g.redundant, FALSE)))"""
 TID = "regexp_extract(file_name, '\\[(0100[0-9A-F]{12})\\]', 1)"
@@ -51,7 +54,9 @@ TITLES = f"""t AS (SELECT file_name, {TID} AS tid, CAST(regexp_extract(file_name
   k AS (SELECT *, CASE right(tid, 3) WHEN '000' THEN 0 WHEN '800' THEN 1 ELSE 2 END AS rank, CASE WHEN right(tid, 3) IN ('000', '800') THEN concat(substr(tid, 1, 13), '000') ELSE lpad(upper(to_hex((CAST('0x' || tid AS BIGINT) - 4096) // 4096 * 4096)), 16, '0') END AS base_id FROM t)"""
 
 QUERIES = {
+    "J19_misnamed_containers": (lambda s, d: suggested(s, d)[0], f"WITH {CTES},\n{SUGGESTED} SELECT path, suggested FROM sg"),
     "J23_disk_match": (lambda s, d: disks.match_disks(view(s, d, "fx_disks"), view(s, d, "fx_disk_files")), f"WITH {DISKS} SELECT disk_name, set_name, status, path FROM m"),
+    "J23_disks_in_subfolders": (lambda s, d: disks.match_disks(view(s, d, "fx_disks"), view(s, d, "fx_disk_files"), prefer_subfolder=True), f"WITH {DISKS.replace(SUBFOLDER, SUBFOLDER.replace('=', '<>'))} SELECT disk_name, set_name, status, path FROM m"),
     "J24_disk_leftovers": (lambda s, d: disks.leftover_disks(view(s, d, "fx_disks"), view(s, d, "fx_disk_files")), f"WITH {DISKS} SELECT f.path, o.owner, o.owner IS NOT NULL AS redundant FROM fx_disk_files f LEFT JOIN (SELECT sha1, arg_min(set_name, ord) AS owner FROM fx_disks WHERE sha1 IS NOT NULL GROUP BY 1) o ON o.sha1 = f.sha1 WHERE f.path NOT IN (SELECT path FROM m WHERE path IS NOT NULL)"),
     "J26_near_names": (lambda s, d: suggest.near_names(view(s, d, "fx_name_local"), view(s, d, "fx_name_catalog")).withColumn("score", F.round("score", 6)), f"WITH {NEAR} SELECT local_name, set_name, round(score, 6) AS score FROM near"),
     "W6_best_name": (lambda s, d: suggest.best_name(suggest.near_names(view(s, d, "fx_name_local"), view(s, d, "fx_name_catalog"))).select("local_name", "set_name"), f"WITH {NEAR} SELECT local_name, set_name FROM (SELECT *, row_number() OVER (PARTITION BY local_name ORDER BY round(score, 9) DESC, length(set_name), set_name) AS r FROM near) WHERE r = 1"),

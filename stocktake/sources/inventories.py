@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
@@ -33,7 +34,8 @@ def files_below(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None:
     for root in present_roots(spark, roots)[0]:
         part = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         path = F.regexp_replace("path", "^file:", "")
-        depth = F.size(F.split(F.substring(path, len(root.rstrip("/")) + 2, 1 << 20), "/"))
+        below = re.sub("^file:/*", "/", root.rstrip("/"))
+        depth = F.size(F.split(F.substring(path, len(below) + 2, 1 << 20), "/"))
         part = part.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content", depth.alias("depth"))
         found = part if found is None else found.unionByName(part)
     return found

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import under
+from ..lineage import cut
 
 
 def diff(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -20,20 +21,14 @@ def diff(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def save_diff(changes: DataFrame, path: str, partition: str) -> None:
-    """Write the new rows of the partitions that changed; other partitions stay as they are, and one that lost all its rows goes."""
-    touched = changes.where("action <> 'same'").select(partition).distinct()
-    rows = changes.join(touched, partition, "left_semi")
+    """The new rows of the partitions that changed, as a new version of the stored table (``sources.versions``); other partitions stay where they are, one that lost all its rows goes."""
+    from ..sources.versions import commit
+
+    touched = cut(changes.where("action <> 'same'").select(partition).distinct())
     keys = [c for c in changes.columns if c not in ("old", "new", "action")]
-    rows.where("action <> 'delete'").select(*keys, "new.*").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    # A dynamic overwrite replaces only partitions that it has rows for.
-    spark = changes.sparkSession
-    gone = rows.groupBy(partition).agg(F.bool_and(F.col("action") == "delete").alias("gone")).where("gone").select(F.col(partition).cast("string"))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for row in gone.toLocalIterator():  # as many rows as partitions, one at a time
-        name = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else escape(row[0])
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{partition}={name}"), True)
+    held = touched.withColumnRenamed(partition, "__touched")
+    rows = changes.where("action <> 'delete'").join(held, F.col(partition).eqNullSafe(F.col("__touched")), "left_semi")
+    commit(rows.select(*keys, "new.*"), path, partition, touched)
 
 
 def changed_flag(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -16,7 +16,8 @@ from .operators import alternates, disks, layout, match, snapshots
 from .plans import changes
 from .queries_match import CTES, left
 from .queries_more import DISKS, NULLS, REDUNDANT, plan_cols
-from .sources import catalogs, inventories, stores
+from .sources import catalogs, inventories, stores, versions
+from .streaming import incremental
 
 c = F.col
 OUT = ("set_name", "item_name", "size", "crc32")
@@ -138,9 +139,22 @@ def stored_diff(spark, d):
     """A report's new rows by partition: what changed is written, and a partition whose rows all went is gone."""
     path, part = scratch(spark), (c("key") % 7).alias("part")
     before, after = (view(spark, d, n).select(part, "key", "status") for n in ("fx_prev", "fx_next"))
-    before.write.partitionBy("part").parquet(path)
+    versions.commit(before, path, "part")
     snapshots.save_diff(snapshots.diff(before, after.where("part <> 5"), ["part", "key"]), path, "part")
-    return spark.read.parquet(path).select("key", "status")
+    return versions.load(spark, path, "part").select("key", "status")
+
+
+def followed_snapshot(spark, d):
+    """A snapshot that gets what a scan adds, batch by batch: what it knew, and the rest with fingerprints."""
+    path, found = scratch(spark), ("path", "entry_path", "size", "mtime", "md5")
+    now, known = view(spark, d, "fx_scan"), view(spark, d, "fx_known").where("md5 IS NOT NULL")
+    incremental.save_snapshot(known.select(*found), path)
+    for part in range(3):
+        batch = now.where(F.pmod(F.xxhash64("path"), F.lit(3)) == part)
+        _, fresh = snapshots.reuse(batch, incremental.load_snapshot(spark, path, batch), ["md5"])
+        incremental.save_snapshot(fresh.withColumn("md5", F.md5(F.concat(F.lit("new"), c("size").cast("string")))).select(*found), path)
+    incremental.compact(spark, path, 2)
+    return incremental.load_snapshot(spark, path).select("path", "entry_path", "md5")
 
 
 def written(write, read):
@@ -178,6 +192,8 @@ QUERIES = {
       CASE WHEN (doc_id * 7 % 256) & 8 <> 0 THEN 'Four-screen' WHEN (doc_id * 7 % 256) & 1 <> 0 THEN 'Vertical' ELSE 'Horizontal' END AS mirroring, CASE WHEN (doc_id * 17 % 256) & 1 <> 0 THEN 'PAL' ELSE 'NTSC' END AS tv_system FROM documents"""),
     "S17_title_names": (written(lambda s, d, p: view(s, d, "fx_titles").select(F.to_json(F.create_map(F.coalesce(names.title_id(c("file_name")), F.lit("-")), F.regexp_replace("file_name", r" \[.*$", ""))).alias("value")).write.option("maxRecordsPerFile", 1000).text(p), catalogs.title_names), "SELECT regexp_extract(file_name, '\\[(0100[0-9A-F]{12})\\]', 1) AS id, regexp_replace(file_name, ' \\[.*$', '') AS name FROM fx_titles"),
     "S18_title_versions": (written(lambda s, d, p: view(s, d, "fx_titles").select(F.concat_ws("|", names.title_id(c("file_name")), F.lit("0"), F.when(c("size") % 70 != 0, (c("size") % 9 * 65536).cast("string")).otherwise("none")).alias("value")).write.text(p), catalogs.title_versions), "SELECT regexp_extract(file_name, '\\[(0100[0-9A-F]{12})\\]', 1) AS id, size % 9 * 65536 AS version FROM fx_titles WHERE size % 70 <> 0"),
+    "I1_followed_snapshot": (followed_snapshot, f"""WITH {KNOWN}, h AS (SELECT path, bool_and(good) AS whole FROM k GROUP BY 1), a AS (SELECT k.path, k.entry_path, CASE WHEN whole THEN md5 ELSE md5(concat('new', CAST(size AS VARCHAR))) END AS md5, mtime FROM k JOIN h ON h.path = k.path)
+      SELECT path, entry_path, md5 FROM (SELECT *, row_number() OVER (PARTITION BY path, entry_path ORDER BY mtime DESC, md5 DESC) AS r FROM (SELECT path, entry_path, md5, mtime FROM a UNION ALL SELECT path, entry_path, md5, mtime FROM fx_known WHERE md5 IS NOT NULL)) WHERE r = 1"""),
     "S19_report_of_a_system": (stored_report, "SELECT row_ord, status FROM fx_audit WHERE system_id = 3"),
     "F15_checksum_conflicts": (lambda s, d: inventories.checksum_conflicts(inventories.zip_entries(packed(s, d))), f"WITH {ENTRIES} SELECT path, entry_name FROM e WHERE length(entry_name) % 4 = 0"),
     "P15_corrupt_deleted": (lambda s, d: (lambda x: plan_cols(changes.corrupt_entries(x[2], inventories.checksum_conflicts(inventories.zip_entries(packed(s, d))), "delete")))(left(s, d)), f"WITH {CTES} SELECT 'remove_entry' AS op, concat(path, '::', entry_name) AS group_id, path AS source, entry_name AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM matches WHERE match_status = 'correct' AND path LIKE '%.zip' AND length(entry_name) % 4 = 0"),

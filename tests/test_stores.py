@@ -1,11 +1,13 @@
-"""Stores, small tables beside a catalog, serials, and the incremental run."""
+"""Stores and their versions, small tables beside a catalog, serials, and the incremental run."""
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from stocktake.operators import alternates, snapshots, titles
-from stocktake.sources import catalogs, inventories, stores
+from stocktake.sources import catalogs, inventories, stores, versions
+from stocktake.streaming import incremental
 from stocktake.streaming.incremental import follow
 
 
@@ -67,10 +69,79 @@ def test_incremental_run_hashes_new_rows_once(spark, tmp_path):
     row = lambda p, c: spark.sql(f"SELECT '{p}' AS path, CAST(NULL AS STRING) AS entry_path, CAST(1 AS BIGINT) AS size, TIMESTAMP '2024-01-01' AS mtime, '{c}' AS content")
     arrive, snapshot = str(tmp_path / "in"), str(tmp_path / "snapshot")
     finger = lambda df: inventories.fingerprints(df, hashes=("md5",)).drop("content")
-    finger(row("/a", "x")).write.parquet(snapshot)
+    incremental.save_snapshot(finger(row("/a", "x")), snapshot, 16)
     for batch in (row("/a", "x"), row("/b", "y")):
         batch.write.mode("append").parquet(arrive)
     for _ in range(2):
-        follow(spark, arrive, schema, snapshot, str(tmp_path / "checkpoint"), ("md5",), finger).awaitTermination(60)
-    got = spark.read.parquet(snapshot)
+        follow(spark, arrive, schema, snapshot, str(tmp_path / "checkpoint"), ("md5",), finger, 16).awaitTermination(60)
+    got = incremental.load_snapshot(spark, snapshot)
     assert sorted(r["path"] for r in got.collect()) == ["/a", "/b"] and got.where(F.col("md5").isNull()).count() == 0
+
+
+REPORT = "system_id long, set_name string, status string"
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_a_save_that_fails_leaves_the_report_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "report")
+    old = [("a", "correct", 1), ("b", "missing", 2), ("c", "correct", None)]
+    before = spark.createDataFrame([(s, n, t) for n, t, s in old], REPORT)
+    stores.save_report(before, path)
+    after = spark.createDataFrame([(1, "a", "missing"), (3, "d", "correct")], REPORT)
+    changes = snapshots.diff(before, after, ["system_id", "set_name"])
+    fails = after.withColumn("status", F.when(F.col("system_id") == 3, F.raise_error(F.lit("disk full"))).otherwise(F.col("status")))
+    with pytest.raises(Exception, match="disk full"):
+        stores.save_report(fails, path)
+    assert rows_of(versions.load(spark, path, "system_id")) == sorted(old, key=str)
+    monkeypatch.setattr(versions, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        snapshots.save_diff(changes, path, "system_id")
+    assert rows_of(versions.load(spark, path, "system_id")) == sorted(old, key=str)
+    monkeypatch.undo()
+    snapshots.save_diff(changes, path, "system_id")
+    assert rows_of(versions.load(spark, path, "system_id")) == sorted([("a", "missing", 1), ("d", "correct", 3)], key=str)
+    assert rows_of(versions.load(spark, path, "system_id", version=1)) == sorted(old, key=str)
+    stores.remove_system(spark, path, 1)
+    assert rows_of(versions.load(spark, path, "system_id")) == [("d", "correct", 3)] and stores.load_report(spark, path, 1).count() == 0
+
+
+def test_two_writers_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "report")
+    stores.save_report(spark.createDataFrame([(1, "a", "correct")], REPORT), path)
+    real, other = versions.publish, []
+
+    def late(spark_, source, target):
+        if not other:
+            other.append(1)
+            stores.save_report(spark.createDataFrame([(2, "b", "correct")], REPORT), path)
+        return real(spark_, source, target)
+
+    monkeypatch.setattr(versions, "publish", late)
+    stores.save_report(spark.createDataFrame([(3, "c", "correct")], REPORT), path)
+    assert [r[0] for r in rows_of(versions.load(spark, path, "system_id"))] == ["a", "b", "c"] and versions.last_version(spark, path) == 3
+    versions.vacuum(spark, path, keep=1, older_than_s=-10)
+    assert [r[0] for r in rows_of(versions.load(spark, path, "system_id"))] == ["a", "b", "c"] and versions.names_in(spark, f"{path}/manifest").count("000000000003") == 1
+    assert versions.load(spark, str(tmp_path / "none"), "system_id") is None
+
+
+def test_a_batch_reads_its_buckets_alone(spark, tmp_path):
+    path = str(tmp_path / "snapshot")
+    rows = spark.range(400).select(F.concat(F.lit("/p"), "id").alias("path"), F.lit(None).cast("string").alias("entry_path"), F.col("id").alias("size"), F.lit("2024-01-01").cast("timestamp").alias("mtime"), F.md5(F.col("id").cast("string")).alias("md5"))
+    incremental.save_snapshot(rows, path, 32)
+    batch = rows.where("size IN (3, 5)")
+    wanted = {r[0] for r in incremental.with_bucket(batch, 32).select("bucket").collect()}
+    got = incremental.load_snapshot(spark, path, batch, 32)
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in got.inputFiles() if "bucket=" in f} >= wanted
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "IN (" in plan.split("PartitionFilters")[1][:200]
+    assert {r[0] for r in incremental.with_bucket(got, 32).select("bucket").distinct().collect()} == wanted
+    newer = rows.where("size < 100").withColumn("mtime", F.lit("2025-01-01").cast("timestamp")).withColumn("md5", F.lit("new"))
+    incremental.save_snapshot(newer, path, 32)
+    assert incremental.load_snapshot(spark, path).where("md5 = 'new'").count() == 100 and incremental.load_snapshot(spark, path).count() == 400
+    assert versions.load(spark, path, "bucket").count() == 500
+    assert len(incremental.compact(spark, path, 2)) > 0
+    assert versions.load(spark, path, "bucket").count() == 400 and incremental.load_snapshot(spark, path).where("md5 = 'new'").count() == 100
+    assert incremental.compact(spark, path, 2) == []

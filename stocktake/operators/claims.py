@@ -22,6 +22,8 @@ FILE = ("path", "entry_name")
 ORDER = ("set_ord", "late", "item_ord")
 #: Files of a size are searched for what undumped items may take in parts of so many.
 PART = 100_000
+#: So many links of sizes or contents are joined in the driver, at most.
+FEW_LINKS = 10_000
 CLAIMS = "set_ord long, item_ord long, path string, entry_name string, via_strip boolean, match_status string"
 
 
@@ -67,8 +69,29 @@ class Pool:
         return None
 
 
+def joined(pairs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    return [(x, top(x)) for x in up]
+
+
 def linked(pairs: DataFrame) -> DataFrame:
-    """(node, part) of all nodes of ``pairs`` (a, b), numbers: part is the least node that links reach. Rounds grow with the logarithm of the longest path."""
+    """(node, part) of all nodes of ``pairs`` (a, b), numbers: part is the least node that links reach.
+
+    Up to ``FEW_LINKS`` links are joined here, more by rounds that grow with the logarithm of the longest path.
+    """
+    pairs = pairs.select("a", "b").distinct()
+    few = pairs.limit(FEW_LINKS + 1).collect()
+    if len(few) <= FEW_LINKS:
+        return pairs.sparkSession.createDataFrame(joined(few), "node long, part long")
     both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state, seen = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("part")), None
     while True:

@@ -52,6 +52,7 @@ def frames(spark, cases):
 def test_claims_anywhere_equal_the_plain_reader(spark, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(claims, "PART", 2)
+        monkeypatch.setattr(claims, "FEW_LINKS", 3)
     rng = random.Random(seed)
     cases = [random_case(rng, g) for g in range(400)]
     items, files = frames(spark, cases)

@@ -15,7 +15,10 @@ def components(edges: DataFrame) -> DataFrame:
     both keep components, and repeated they end in one star for each. Rounds grow with the logarithm of the vertices.
     All state stays in tables; a count and a checksum reach the driver. A vertex's smallest neighbour is a partial
     minimum and comes back by a join, so a vertex with any number of links is never gathered in one group.
+    The join is on the complement of the vertex, which no aggregate has dealt rows by: so both its sides come straight from a shuffle, and a
+    vertex with a great many links is one that adaptive execution can split among tasks.
     """
+    with_least = lambda rows, least: rows.join(least.withColumnRenamed("a", "of"), F.bitwise_not("a") == F.bitwise_not("of")).drop("of")
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
@@ -25,8 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = sign
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
+        small = with_least(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
         edges = cut(small.distinct())
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .fixtures import view, with_views
 from .functions import names
-from .operators import audit, browse, families
+from .lineage import scratch
+from .operators import audit, browse, families, paging
 
 listed = lambda values: ", ".join(f"'{v}'" for v in values)
 #: Groups in parentheses of a description, their tokens, and what they are, computed by SQL alone.
@@ -44,6 +45,27 @@ def statuses(spark, d):
 
 
 K = ("system_id", "row_ord")
+NODES = f"""WITH s AS (SELECT set_name, is_disk, count(*) AS n, {ROLL.format(w='TRUE')} AS status, bool_and(status = 'missing') AS gone FROM fx_audit WHERE set_name IS NOT NULL GROUP BY 1, 2)
+      SELECT concat(CASE WHEN is_disk THEN 'disk:' ELSE 'set:' END, set_name) AS node, FALSE AS is_bucket, status, n FROM s WHERE is_disk OR NOT gone OR set_name NOT IN (SELECT set_name FROM s WHERE is_disk)
+      UNION ALL SELECT concat('path:', coalesce(path, '')), TRUE, 'unknownFile', count(*) FROM fx_audit WHERE set_name IS NULL GROUP BY path"""
+
+
+def node_page(spark, d, read):
+    """A page of the node list, which is stored in ranges of a thousand."""
+    path = scratch(spark)
+    paging.store_pages(audit.nodes(view(spark, d, "fx_audit")), path, "node", 1000)
+    return read(path)
+
+
+def keyset_page(spark, d):
+    """The fourth page of fifty, behind the key that the third ends with."""
+    def read(path):
+        last = paging.page_at(spark, path, "node", 149, 1).first()["node"]
+        return paging.page_after(spark, path, "node", last, 50)
+
+    return node_page(spark, d, read)
+
+
 QUERIES = {
     "A1_counters": (on_audit(audit.counters), f"SELECT {COUNTERS} FROM fx_audit"),
     "A2_worst_status": (on_audit(lambda a: audit.worst_status(a, "system_id")), f"SELECT system_id, CASE coalesce(max(CASE WHEN NOT is_disk THEN {LEVELS} END), max(CASE WHEN is_disk THEN {LEVELS} END)) WHEN 4 THEN 'missing' WHEN 3 THEN 'badDump' WHEN 2 THEN 'incorrect' WHEN 1 THEN 'correct' END AS worst FROM fx_audit GROUP BY system_id"),
@@ -53,9 +75,7 @@ QUERIES = {
     "A8_status_counts": (on_audit(audit.status_counts), f"SELECT status, count(*) AS n FROM (SELECT set_name, {ITEM_ROLL} AS status FROM fx_audit WHERE set_name IS NOT NULL GROUP BY set_name) GROUP BY status UNION ALL SELECT 'unknownContainer', count(DISTINCT path) FROM fx_audit WHERE set_name IS NULL"),
     "A9_unknown_containers": (on_audit(lambda a: audit.status_counts(a).where("status = 'unknownContainer'")), "SELECT 'unknownContainer' AS status, count(DISTINCT path) AS n FROM fx_audit WHERE set_name IS NULL"),
     "A10_majority_path": (on_audit(audit.majority_path), "SELECT set_name, path FROM (SELECT *, sum(n) OVER (PARTITION BY set_name) AS total, row_number() OVER (PARTITION BY set_name ORDER BY n DESC, path) AS r FROM (SELECT set_name, path, count(*) AS n FROM fx_audit WHERE set_name IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2)) WHERE r = 1 AND n * 2 >= total"),
-    "A12_nodes": (on_audit(audit.nodes), f"""WITH s AS (SELECT set_name, is_disk, count(*) AS n, {ROLL.format(w='TRUE')} AS status, bool_and(status = 'missing') AS gone FROM fx_audit WHERE set_name IS NOT NULL GROUP BY 1, 2)
-      SELECT concat(CASE WHEN is_disk THEN 'disk:' ELSE 'set:' END, set_name) AS node, FALSE AS is_bucket, status, n FROM s WHERE is_disk OR NOT gone OR set_name NOT IN (SELECT set_name FROM s WHERE is_disk)
-      UNION ALL SELECT concat('path:', coalesce(path, '')), TRUE, 'unknownFile', count(*) FROM fx_audit WHERE set_name IS NULL GROUP BY path"""),
+    "A12_nodes": (on_audit(audit.nodes), NODES),
     "A16_by_manufacturer": (on_sets(lambda s: browse.browse_groups(s, "manufacturer")), "SELECT manufacturer, count(DISTINCT set_name) AS n_sets FROM fx_sets GROUP BY 1"),
     "A16_by_year": (on_sets(lambda s: browse.browse_groups(s, "year")), "SELECT year, count(DISTINCT set_name) AS n_sets FROM fx_sets GROUP BY 1"),
     "F1a_verified": (on_audit(audit.verified, *K), f"SELECT {KEY} FROM fx_audit WHERE set_name IN (SELECT set_name FROM fx_audit WHERE set_name IS NOT NULL GROUP BY set_name HAVING bool_and(status = 'correct'))"),
@@ -74,6 +94,8 @@ QUERIES = {
     "F7_rescan_summary": (on_audit(lambda a: audit.rescan_summary(a, "/r0")), f"SELECT {COUNTERS} FROM fx_audit WHERE set_name IN ({HERE}) OR (set_name IS NULL AND (path IS NULL OR {UNDER}))"),
     "F12_toggles": (on_audit(lambda a: audit.by_toggles(a, ["missing", "badDump"], True), *K), f"SELECT {KEY} FROM fx_audit WHERE set_name IS NULL OR set_name IN (SELECT set_name FROM (SELECT set_name, {ITEM_ROLL} AS s FROM fx_audit WHERE set_name IS NOT NULL GROUP BY set_name) WHERE s IN ('missing', 'badDump'))"),
     "K5_collection_report": (on_audit(lambda a: audit.collection_report(a.select("system_id").distinct(), a)), f"SELECT system_id, count(status) AS rows, count(*) FILTER (WHERE status = 'correct') AS correct, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status IN ({SURPLUS})) AS surplus, count(status) > 0 AS scanned FROM fx_audit GROUP BY ROLLUP (system_id)"),
+    "T3_keyset_page": (keyset_page, f"SELECT * FROM ({NODES}) ORDER BY node LIMIT 50 OFFSET 150"),
+    "T3_numbered_page": (lambda s, d: node_page(s, d, lambda p: paging.page_at(s, p, "node", 1000, 80)), f"SELECT * FROM ({NODES}) ORDER BY node LIMIT 80 OFFSET 1000"),
     "T3_page": (on_audit(lambda a: audit.page(a, ["row_ord"], 100, 50).select("system_id", "row_ord")), f"SELECT {KEY} FROM fx_audit ORDER BY row_ord LIMIT 50 OFFSET 100"),
     "A6_parent_summary": (lambda sp, d: families.parent_summary(view(sp, d, "fx_sets"), statuses(sp, d)), f"""WITH h AS (SELECT set_name FROM ({PRESENT}) WHERE status <> 'missing') SELECT clone_of AS parent, count(*) AS variants, count(h.set_name) AS present, CASE WHEN clone_of IN (SELECT set_name FROM h) THEN 0 ELSE count(h.set_name) END AS orphans
       FROM fx_sets s LEFT JOIN h ON h.set_name = s.set_name WHERE clone_of IS NOT NULL GROUP BY clone_of"""),

@@ -80,7 +80,7 @@ SELECT s_suppkey AS ord, concat('set', CAST(s_suppkey AS STRING)) AS set_name, c
 SELECT concat('/r', CAST(s_suppkey % 2 AS STRING), CASE WHEN s_suppkey % 6 < 2 THEN concat('/DISK', CAST(s_suppkey % 75 AS STRING)) WHEN s_suppkey % 6 = 2 THEN '/other' ELSE '' END, '/disk', CAST(s_suppkey % 75 AS STRING), '.chd') AS path, concat('disk', CAST(s_suppkey % 75 AS STRING)) AS stem,
        sha1(concat('c', CAST(CASE WHEN s_suppkey % 7 = 0 THEN 900 + s_suppkey ELSE s_suppkey % 75 END AS STRING))) AS sha1 FROM supplier WHERE s_suppkey % 5 <> 0""",
     "fx_titles": """
-SELECT concat('Game ', CAST(p_partkey AS STRING), ' [0100', lpad(hex(CAST(p_partkey * 8192 + CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 2048 ELSE 4097 END AS BIGINT)), 12, '0'), '][v', CAST((p_size % 4) * 65536 AS STRING), '].nsp') AS file_name,
+SELECT concat(CASE WHEN p_partkey % 2 = 0 THEN 'Game ' ELSE 'GAME ' END, CAST(p_partkey % 150 AS STRING), ' [0100', lpad(hex(CAST(p_partkey * 8192 + CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 2048 ELSE 4097 END AS BIGINT)), 12, '0'), '][v', CAST((p_size % 4) * 65536 AS STRING), '].nsp') AS file_name,
        CAST(p_partkey * 10 AS BIGINT) AS size FROM part""",
     "fx_machines": """
 SELECT i AS set_ord, concat('m', CAST(i AS STRING)) AS set_name, CASE WHEN i % 3 <> 0 THEN concat('m', CAST(i - i % 3 AS STRING)) END AS clone_of,

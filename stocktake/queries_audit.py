@@ -95,7 +95,7 @@ QUERIES = {
     "F12_toggles": (on_audit(lambda a: audit.by_toggles(a, ["missing", "badDump"], True), *K), f"SELECT {KEY} FROM fx_audit WHERE set_name IS NULL OR set_name IN (SELECT set_name FROM (SELECT set_name, {ITEM_ROLL} AS s FROM fx_audit WHERE set_name IS NOT NULL GROUP BY set_name) WHERE s IN ('missing', 'badDump'))"),
     "K5_collection_report": (on_audit(lambda a: audit.collection_report(a.select("system_id").distinct(), a)), f"SELECT system_id, count(status) AS rows, count(*) FILTER (WHERE status = 'correct') AS correct, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status IN ({SURPLUS})) AS surplus, count(status) > 0 AS scanned FROM fx_audit GROUP BY ROLLUP (system_id)"),
     "T3_keyset_page": (keyset_page, f"SELECT * FROM ({NODES}) ORDER BY node LIMIT 50 OFFSET 150"),
-    "T3_numbered_page": (lambda s, d: node_page(s, d, lambda p: paging.page_at(s, p, "node", 1000, 80)), f"SELECT * FROM ({NODES}) ORDER BY node LIMIT 80 OFFSET 1000"),
+    "T3_numbered_page": (lambda s, d: node_page(s, d, lambda p: paging.page_at(s, p, "node", 200, 80)), f"SELECT * FROM ({NODES}) ORDER BY node LIMIT 80 OFFSET 200"),
     "T3_page": (on_audit(lambda a: audit.page(a, ["row_ord"], 100, 50).select("system_id", "row_ord")), f"SELECT {KEY} FROM fx_audit ORDER BY row_ord LIMIT 50 OFFSET 100"),
     "A6_parent_summary": (lambda sp, d: families.parent_summary(view(sp, d, "fx_sets"), statuses(sp, d)), f"""WITH h AS (SELECT set_name FROM ({PRESENT}) WHERE status <> 'missing') SELECT clone_of AS parent, count(*) AS variants, count(h.set_name) AS present, CASE WHEN clone_of IN (SELECT set_name FROM h) THEN 0 ELSE count(h.set_name) END AS orphans
       FROM fx_sets s LEFT JOIN h ON h.set_name = s.set_name WHERE clone_of IS NOT NULL GROUP BY clone_of"""),

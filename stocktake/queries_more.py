@@ -30,6 +30,21 @@ def wanted(spark, d):
     return matches.where("match_status IN ('missing', 'hashMismatch', 'foundElsewhere')").select(*KEY).join(items, list(KEY)), files, matches
 
 
+def known_versions(spark, d):
+    """A title table that knows an update for each base of a file, of a version made from its size."""
+    own = titles.title_files(view(spark, d, "fx_titles")).where("tid IS NOT NULL").join(view(spark, d, "fx_titles").select("file_name", "size"), "file_name")
+    return own.select(F.concat(F.substring("base_id", 1, 13), F.lit("800")).alias("id"), (F.col("size") % 9 * 65536).alias("version"))
+
+
+def near_renames(spark, d):
+    """Files of a near name, of 0.9 or more, take their set's name."""
+    files = view(spark, d, "fx_name_local").select(F.concat(F.lit("/n/"), "local_name").alias("path"), F.col("local_name").alias("entry_name"), "local_name").distinct()
+    near = suggest.best_name(suggest.near_names(view(spark, d, "fx_name_local"), view(spark, d, "fx_name_catalog"))).join(files, "local_name").select("path", "set_name", "score")
+    items, _, matches = report(spark, d)
+    none = matches.where("match_status = 'unknown'")
+    return changes.rename_files(none, items, none.select("path", F.col("set_name").alias("suggested")), files, near).select("op", "source", "target")
+
+
 DONORS = "dn AS (SELECT m.uid, min(f.path) AS donor_path, arg_min(f.entry_name, f.path) AS donor_entry FROM matches m JOIN cat c ON c.uid = m.uid JOIN f ON f.size = c.size AND f.md5 = c.md5 WHERE m.match_status IN ('missing', 'hashMismatch', 'foundElsewhere') GROUP BY 1)"
 ANCHOR = "an AS (SELECT set_name, arg_min(path, uid) AS anchor FROM matches WHERE match_status IN ('correct', 'misnamed') GROUP BY 1)"
 
@@ -51,7 +66,7 @@ NULLS = "CAST(NULL AS VARCHAR)"
 REDUNDANT = """rc AS (SELECT f.path FROM f LEFT JOIN flagged g ON g.path = f.path AND g.entry_name = f.entry_name GROUP BY 1 HAVING bool_and(coalesce(g.redundant, FALSE)))"""
 TID = "regexp_extract(file_name, '\\[(0100[0-9A-F]{12})\\]', 1)"
 TITLES = f"""t AS (SELECT file_name, {TID} AS tid, CAST(regexp_extract(file_name, '\\[v([0-9]+)\\]', 1) AS BIGINT) AS version FROM fx_titles),
-  k AS (SELECT *, CASE right(tid, 3) WHEN '000' THEN 0 WHEN '800' THEN 1 ELSE 2 END AS rank, CASE WHEN right(tid, 3) IN ('000', '800') THEN concat(substr(tid, 1, 13), '000') ELSE lpad(upper(to_hex((CAST('0x' || tid AS BIGINT) - 4096) // 4096 * 4096)), 16, '0') END AS base_id FROM t)"""
+  k AS (SELECT *, CASE right(tid, 3) WHEN '000' THEN 0 WHEN '800' THEN 1 ELSE 2 END AS rank, CASE WHEN right(tid, 3) IN ('000', '800') THEN concat(substr(tid, 1, 13), '000') ELSE lpad(upper(to_hex((CAST('0x' || tid AS BIGINT) - 4096) // 4096 * 4096)), 16, '0') END AS base_id FROM t WHERE tid <> '')"""
 
 QUERIES = {
     "J19_misnamed_containers": (lambda s, d: suggested(s, d)[0], f"WITH {CTES},\n{SUGGESTED} SELECT path, suggested FROM sg"),
@@ -72,7 +87,14 @@ QUERIES = {
     "I3_carry_over": (lambda s, d: (lambda v: snapshots.carry_over(v.where("path LIKE '/r0/%' AND size % 2 = 0"), v, ["/r0"]).select("path", "entry_name", "md5"))(view(s, d, FILES)), "SELECT path, entry_name, md5 FROM fx_inventory WHERE NOT starts_with(path, '/r0/') OR size % 2 = 0"),
     "S9_fingerprints": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1")), "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1 FROM documents"),
     "A17_title_sets": (lambda s, d: titles.title_sets(view(s, d, "fx_titles")), f"""WITH {TITLES}, g AS (SELECT base_id, arg_min(file_name, (rank, file_name)) AS lead, string_agg(file_name, '|' ORDER BY rank, file_name) AS members FROM k GROUP BY 1), n AS (SELECT *, trim(split_part(lead, '[', 1)) AS nm FROM g)
-      SELECT base_id, CASE WHEN count(*) OVER (PARTITION BY nm) > 1 THEN concat(nm, ' [', base_id, ']') ELSE nm END AS set_name, members FROM n"""),
+      SELECT base_id, CASE WHEN row_number() OVER (PARTITION BY lower(nm) ORDER BY base_id) > 1 THEN concat(nm, ' [', base_id, ']') ELSE nm END AS set_name, members FROM n"""),
+    "A17_generated_items": (lambda s, d: titles.title_items(view(s, d, "fx_titles"), known_versions(s, d)), f"""WITH {TITLES}, g AS (SELECT base_id, arg_min(file_name, (rank, file_name)) AS lead FROM k GROUP BY 1), n AS (SELECT *, trim(split_part(lead, '[', 1)) AS nm FROM g), s AS (SELECT base_id, CASE WHEN row_number() OVER (PARTITION BY lower(nm) ORDER BY base_id) > 1 THEN concat(nm, ' [', base_id, ']') ELSE nm END AS set_name FROM n),
+      v AS (SELECT concat(substr(base_id, 1, 13), '800') AS id, base_id, max(size % 9 * 65536) AS newest FROM k JOIN fx_titles USING (file_name) GROUP BY 1, 2), h AS (SELECT base_id, max(version) AS held FROM k WHERE rank = 1 GROUP BY 1)
+      SELECT s.base_id, set_name, file_name AS item_name, size, FALSE AS expected FROM s JOIN k ON k.base_id = s.base_id JOIN fx_titles USING (file_name)
+      UNION ALL SELECT s.base_id, set_name, concat(set_name, ' [', id, '][v', CAST(newest AS VARCHAR), '].nsp'), 0, TRUE FROM s JOIN v ON v.base_id = s.base_id LEFT JOIN h ON h.base_id = s.base_id WHERE newest > 0 AND newest > coalesce(held, -1)"""),
+    "A17_unidentified": (lambda s, d: titles.unidentified(view(s, d, "fx_titles").withColumn("file_name", F.when(F.col("size") % 130 == 0, F.replace("file_name", F.lit("[0100"), F.lit("[x"))).otherwise(F.col("file_name")))), "SELECT replace(file_name, '[0100', '[x') AS file_name FROM fx_titles WHERE size % 130 = 0"),
+    "P1_near_names": (lambda s, d: near_renames(s, d), f"""WITH {NEAR}, b AS (SELECT *, row_number() OVER (PARTITION BY local_name ORDER BY round(score, 9) DESC, length(set_name), set_name) AS r FROM near), t AS (SELECT concat('/n/', local_name) AS source, concat('/n/', set_name, '.zip') AS target FROM b WHERE r = 1 AND score >= 0.9),
+      u AS (SELECT *, row_number() OVER (PARTITION BY lower(target) ORDER BY source) AS k FROM t) SELECT 'rename' AS op, source, target FROM u WHERE k = 1 AND source <> target AND lower(target) NOT IN (SELECT lower(concat('/n/', local_name)) FROM fx_name_local)"""),
     "A22_title_summary": (lambda s, d: titles.title_summary(view(s, d, "fx_titles")), f"WITH {TITLES} SELECT base_id, bool_or(rank = 0) AS has_base, max(CASE WHEN rank = 1 THEN version END) AS newest_update, count(*) FILTER (WHERE rank = 2) AS extras FROM k GROUP BY 1"),
     "P1_rename_containers": (lambda s, d: (lambda x: plan_cols(changes.rename_containers(x[0], x[1][1])))(suggested(s, d)), f"""WITH {CTES},\n{SUGGESTED}, t AS (SELECT path, regexp_replace(path, '[^/]*$', '') || suggested || '.zip' AS target FROM sg), q AS (SELECT *, row_number() OVER (PARTITION BY lower(target) ORDER BY path) AS r FROM t WHERE lower(target) NOT IN (SELECT lower(path) FROM fx_inventory))
       SELECT 'rename' AS op, path AS group_id, path AS source, {NULLS} AS source_entry, target, {NULLS} AS target_entry FROM q WHERE r = 1"""),

@@ -121,7 +121,7 @@ QUERIES = {
     "S6_skipped_folders": (skipped, "SELECT regexp_replace(path, '/[^/]*$', '') AS path, count(DISTINCT path) AS n FROM fx_inventory WHERE path LIKE '/r0/%/%' OR path LIKE '/r2/%/%' GROUP BY 1"),
     "S6_folders_at_the_limit": (at_the_limit, "SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM fx_inventory WHERE path LIKE '/r0/%/%' OR path LIKE '/r2/%/%'"),
     "S7_letter_case": (letter_case, f"SELECT DISTINCT path, {NAME} AS entry_name, length(path) AS size FROM fx_inventory WHERE path LIKE '/r1/%' AND path NOT LIKE '/r1/%/%'"),
-    "K4_title_catalog": (title_catalog, f"""WITH {TITLES}, g AS (SELECT base_id, arg_min(file_name, (rank, file_name)) AS lead FROM k GROUP BY 1), n AS (SELECT *, trim(split_part(lead, '[', 1)) AS nm FROM g), s AS (SELECT base_id, CASE WHEN count(*) OVER (PARTITION BY nm) > 1 THEN concat(nm, ' [', base_id, ']') ELSE nm END AS set_name FROM n)
+    "K4_title_catalog": (title_catalog, f"""WITH {TITLES}, g AS (SELECT base_id, arg_min(file_name, (rank, file_name)) AS lead FROM k GROUP BY 1), n AS (SELECT *, trim(split_part(lead, '[', 1)) AS nm FROM g), s AS (SELECT base_id, CASE WHEN row_number() OVER (PARTITION BY lower(nm) ORDER BY base_id) > 1 THEN concat(nm, ' [', base_id, ']') ELSE nm END AS set_name FROM n)
       SELECT set_name, file_name AS item_name FROM s JOIN k ON k.base_id = s.base_id"""),
     "S8_zip_directory": (directory, f"WITH {ENTRIES}, k AS (SELECT path, entry_name, concat('content of ', entry_name) AS t, length(path) % 3 = 0 AS noted, length(entry_name) % 4 = 0 AS wrong FROM e), x AS (SELECT *, {CRC.format(t='t')} AS crc FROM k) SELECT path, entry_name, length(t) AS size, crc AS stored_crc32, CASE WHEN wrong THEN concat(substr(crc, 1, 6), lpad(lower(hex(xor(CAST('0x' || substr(crc, 7, 2) AS BIGINT), 255))), 2, '0')) ELSE crc END AS local_crc32, CASE WHEN noted THEN 'note' END AS comment, 'ok' AS read_state FROM x"),
     "S9_streamed_fingerprints": (prints, f"WITH {ENTRIES}, k AS (SELECT path, entry_name, concat('content of ', entry_name) AS t FROM e) SELECT path, entry_name, length(t) AS size, {CRC.format(t='t')} AS crc32, md5(t) AS md5, sha1(t) AS sha1 FROM k"),

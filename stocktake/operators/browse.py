@@ -13,10 +13,12 @@ from .audit import majority_path, rollup_status
 
 # Names of processors among component names, and the texts of badges and explanations.
 PROCESSORS = (
-    "z80 z8400 z84c0010 z180 m6502 m6507 m6509 m65c02 m6510 n2a03 m6800 m6801 m6803 m6805 m6809 m6809e hd6309 hd63701 hd6301 m68000 m68010 m68020 m68030 m68040 scc68070 i8080 i8085 i8086 i8088 i80186 i80286 v20 v30 v33 v60 v70 "
-    "i8035 i8039 i8048 i8049 i8051 i8749 mcs48 mcs51 tms9900 tms9980 tms9995 tms32010 tms32025 tms34010 tms34020 arm arm7 arm7500 arm9 sh1 sh2 sh4 mips1 mips3 powerpc ppc403 ppc601 ppc602 ppc603 upd7810 upd78c05 upd78c11 upd7801 "
-    "cop420 cop410 cop440 h6280 h83002 h83007 h83044 pic16c54 pic16c57 pic16c58 se3208 e116t mn10200 dsp16a adsp2100 adsp2105 adsp2115"
-).split()
+    "z80", "z8400", "z84c0010", "z180", "m6502", "m6507", "m6509", "m65c02", "m6510", "n2a03", "m6800", "m6801", "m6803", "m6805", "m6809", "m6809e", "hd6309", "hd63701", "hd6301", "m68000",
+    "m68010", "m68020", "m68030", "m68040", "scc68070", "i8080", "i8085", "i8086", "i8088", "i80186", "i80286", "v20", "v30", "v33", "v60", "v70", "i8035", "i8039", "i8048", "i8049", "i8051",
+    "i8749", "mcs48", "mcs51", "tms9900", "tms9980", "tms9995", "tms32010", "tms32025", "tms34010", "tms34020", "arm", "arm7", "arm7500", "arm9", "sh1", "sh2", "sh4", "mips1", "mips3",
+    "powerpc", "ppc403", "ppc601", "ppc602", "ppc603", "upd7810", "upd78c05", "upd78c11", "upd7801", "cop420", "cop410", "cop440", "h6280", "h83002", "h83007", "h83044", "pic16c54", "pic16c57",
+    "pic16c58", "se3208", "e116t", "mn10200", "dsp16a", "adsp2100", "adsp2105", "adsp2115",
+)
 DISK_TEXTS = {"missing": "Missing", "incorrect": "Incorrect", "badDump": "Bad", "unverifiable": "Nodump (unverifiable)"}
 SET_TEXTS = {"missing": "Incomplete (rom missing)", "badDump": "Bad (hash mismatch)", "unverifiable": "Ok (contains a nodump rom)"}
 #: Categories that only a scan can answer; the bare catalog has none of them.

@@ -38,12 +38,30 @@ def notes(spark, d):
     return sets.select(names.base_title(c("description")).alias("family"), F.lit(None).cast("string").alias("platform"), F.lit(None).cast("array<string>").alias("alternate_titles"), F.lit("USA").alias("recommended_region"), F.lit(False).alias("is_override"), (c("set_ord") % 16 == 0).alias("disabled")).distinct()
 
 
+def chosen(k, *texts):
+    """One of the texts, by a row's size."""
+    return F.get(F.array(*[F.lit(t) for t in texts]), (c("size") % k).cast("int"))
+
+
+def tagged_names(spark, d):
+    """Names with short region tags, of one region or several, behind an article, unknown, and full ones."""
+    bare = F.regexp_replace("set_name", r" \(USA\)$", "")
+    return view(spark, d, CAT).withColumn("tagged", F.concat(bare, chosen(6, " (U)", " (JU)", " The (E)", " (X)", " (JUE)", " (USA)")))
+
+
+def special(spark, d):
+    """Names of special releases, some of whose words the local name has as well."""
+    name = F.concat("set_name", chosen(4, " (Beta 2) (Demo)", " (Proto)", "", " (Kiosk Demo)"))
+    return view(spark, d, CAT).select("set_name", suggest.special_words(name, F.concat("set_name", chosen(3, " demo", "", " beta proto"))).alias("n"))
+
+
 QUERIES = {
-    "X5_aliases": (lambda s, d: view(s, d, CAT).select("set_name", F.array_join(names.aliases(F.regexp_replace("set_name", r"\(USA\)$", "(U)")), "|").alias("aliases")), "SELECT set_name, set_name AS aliases FROM fx_name_catalog"),
+    "X5_aliases": (lambda s, d: tagged_names(s, d).select("set_name", F.array_join(names.aliases(c("tagged")), "|").alias("aliases")), """SELECT set_name, CASE size % 6 WHEN 0 THEN concat(b, ' (USA)') WHEN 1 THEN concat(b, ' (Japan, USA)|', b, ' (USA, Japan)') WHEN 2 THEN concat(b, ' The (Europe)|', b, ', The (Europe)')
+      WHEN 4 THEN concat(b, ' (Japan, USA, Europe)|', b, ' (World)') ELSE '' END AS aliases FROM (SELECT *, replace(set_name, ' (USA)', '') AS b FROM fx_name_catalog)"""),
     "X6_variants": (lambda s, d: view(s, d, CAT).select("set_name", names.numeric_revision(F.concat("set_name", F.lit(" (Rev B)"))).alias("revised"), names.without_languages(F.concat("set_name", F.lit(" (En,Fr+De)"))).alias("bare")), "SELECT set_name, concat(set_name, ' (Rev 2)') AS revised, set_name AS bare FROM fx_name_catalog"),
     "X7_embedded_checksum": (lambda s, d: named(s, d).select("doc_id", names.embedded_checksum(c("file_name")).alias("stated")), "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'deadbeef' ELSE substr(md5(text), 1, 8) END AS stated FROM documents"),
     "F14_name_checksum_mismatch": (lambda s, d: named(s, d).where(names.embedded_checksum(c("file_name")) != c("actual")).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id % 5 = 0 AND substr(md5(text), 1, 8) <> 'deadbeef'"),
-    "X9_special_words": (lambda s, d: view(s, d, CAT).select("set_name", suggest.special_words(F.concat("set_name", F.lit(" (Beta 2) (Demo)")), F.concat("set_name", F.lit(" demo"))).alias("n")), "SELECT set_name, 1 AS n FROM fx_name_catalog"),
+    "X9_special_words": (special, "SELECT set_name, CASE size % 4 WHEN 0 THEN CAST(size % 3 <> 2 AS INTEGER) + CAST(size % 3 <> 0 AS INTEGER) WHEN 1 THEN CAST(size % 3 <> 2 AS INTEGER) WHEN 3 THEN CAST(size % 3 <> 0 AS INTEGER) ELSE 0 END AS n FROM fx_name_catalog"),
     "X13_clean_name": (lambda s, d: view(s, d, CAT).select("set_name", names.clean_name(F.concat(F.lit("A™:  "), F.regexp_replace("set_name", " ", "/"), F.lit("?. "))).alias("clean")), "SELECT set_name, concat('A - ', replace(set_name, ' ', '-')) AS clean FROM fx_name_catalog"),
     "X14_case": (lambda s, d: view(s, d, "fx_catalog").select("item_name", paths.with_case(c("item_name"), "upper").alias("up")), "SELECT item_name, concat(upper(split_part(item_name, '.', 1)), '.txt') AS up FROM fx_catalog"),
     "X15_layout_extension": (lambda s, d: view(s, d, "fx_catalog").select("item_name", paths.keep_layout_extension(F.concat(F.lit("/r/"), "item_name", F.lit(".V64")), F.concat("item_name", F.lit(".z64"))).alias("kept")), "SELECT item_name, concat(item_name, '.v64') AS kept FROM fx_catalog"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
+from .operators import match, report
 from .plans import changes, reservation
-from .queries_more import NULLS, plan_cols
+from .queries_match import CTES, left
+from .queries_more import NULLS, SUGGESTED, plan_cols
 
 c = F.col
 
@@ -61,6 +63,20 @@ def all_plans(spark, d):
     return reservation.reserve(copies.unionByName(moves), reservation.places(files)).groupBy("op", "refused").agg(F.count("*").alias("n"))
 
 
+def shown(spark, d):
+    """The audit with all that a browser shows."""
+    items, files, matches, rest = left(spark, d)
+    found = report.full_audit(matches, rest, items, files, view(spark, d, "fx_sets"), match.misnamed_containers(rest, items, matches))
+    return found.select(*SHOWN)
+
+
+SETS = ("description", "clone_of", "is_bios", "is_device", "has_disk", "has_samples", "year", "manufacturer", "disk_names", "device_refs", "cpu_chips", "audio_chips", "driver_status", "display_type", "display_rotate", "players", "coins")
+SHOWN = ("set_name", "item_name", "status", "dump_status", "is_optional", "is_bad_dump", "via_header", "found_elsewhere", "path", "entry_name", "expected_size", "expected_md5", "actual_size", "actual_md5", *SETS, "required_bios", "required_by", "owner_description", "redundant", "suggested", "case_mismatch")
+SHOWN_SQL = f"""WITH {CTES},\n{SUGGESTED},
+r AS (SELECT m.set_name, m.item_name, CASE match_status WHEN 'nodump' THEN 'unverifiable' WHEN 'misnamed' THEN 'incorrect' WHEN 'foundElsewhere' THEN 'incorrect' WHEN 'hashMismatch' THEN 'badDump' ELSE match_status END AS status, c.dump_status, coalesce(c.optional, FALSE) AS is_optional, c.dump_status = 'baddump' AS is_bad_dump, m.via_strip AS via_header,
+  CASE WHEN match_status = 'foundElsewhere' THEN regexp_extract(m.path, '[^/]*$') END AS found_elsewhere, m.path, m.entry_name, c.size AS expected_size, c.md5 AS expected_md5, NULL AS required_by, NULL AS owner_description, FALSE AS redundant, NULL AS suggested FROM matches m JOIN cat c ON c.uid = m.uid
+  UNION ALL SELECT NULL, g.entry_name, CASE WHEN owner IS NOT NULL THEN 'incorrect' WHEN nodump_name THEN 'unverifiable' WHEN known_container THEN 'surplusInArchive' ELSE 'unknownFile' END, NULL, FALSE, FALSE, FALSE, NULL, g.path, g.entry_name, NULL, NULL, owner, o.description, redundant, sg.suggested FROM flagged g LEFT JOIN fx_sets o ON o.set_name = g.owner LEFT JOIN sg ON sg.path = g.path)
+SELECT r.*, a.size AS actual_size, a.md5 AS actual_md5, {', '.join('s.' + x for x in SETS)}, CASE WHEN s.set_ord >= 2 THEN CASE WHEN s.set_ord < 4 THEN 'set1' ELSE concat('set', CASE WHEN substr(bin(s.set_ord), 2, 1) = '0' THEN '2' ELSE '1' END) END END AS required_bios, FALSE AS case_mismatch FROM r LEFT JOIN fx_sets s ON s.set_name = r.set_name LEFT JOIN f a ON a.path = r.path AND a.entry_name = r.entry_name"""
 SWAP = "concat('/r/.swap-', substr(sha1(concat('/r/S', CAST(set_ord AS VARCHAR), '.zip')), 1, 16))"
 QUERIES = {
     "P9_repair_loose_sets": (lambda s, d: (lambda m: plan_cols(changes.repair(m[0], donors(m[0]), "fill", ("missing",), m[1])))(placed(s, d)), filled("fill", "concat('/d/', CAST(set_ord * 4 + item_ord AS VARCHAR))", "'x'", "match_status = 'missing'")),
@@ -73,6 +89,7 @@ QUERIES = {
       t AS (SELECT *, concat('/r/s', CASE WHEN i < 9 THEN CAST(set_ord + 1 AS VARCHAR) WHEN kind = 0 THEN CAST(set_ord - 9 AS VARCHAR) ELSE concat('free', CAST(set_ord AS VARCHAR)) END, '.zip') AS target FROM r WHERE i < 9 OR kind < 2)
       SELECT source, target, CASE kind WHEN 0 THEN 10 - i WHEN 1 THEN 9 - i ELSE 8 - i END AS turn, CASE WHEN kind = 2 THEN 'occupied' END AS refused FROM t WHERE kind > 0 OR i > 0
       UNION ALL SELECT source, {SWAP}, 0, NULL FROM t WHERE kind = 0 AND i = 0 UNION ALL SELECT {SWAP}, target, 10, NULL FROM t WHERE kind = 0 AND i = 0"""),
+    "X21_full_audit": (shown, SHOWN_SQL),
     "P22_all_plans": (all_plans, """WITH m AS (SELECT DISTINCT 'copy' AS op, set_name, path AS source, entry_name AS source_entry, concat('/out/', item_name) AS target FROM fx_placed WHERE match_status = 'correct'
       UNION ALL SELECT DISTINCT 'move', set_name, path, NULL, concat('/out/', item_name) FROM fx_placed WHERE match_status = 'correct' AND set_ord % 3 = 0 AND item_ord = 1),
       s AS (SELECT *, op = 'move' AND row_number() OVER (PARTITION BY op, lower(source) ORDER BY source, set_name, target) > 1 AS twice FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY lower(target), twice ORDER BY op, source, source_entry, set_name, target) AS k FROM s)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
-from .operators import match, report
+from .operators import match
+from .operators.report import full_audit
 from .plans import changes, reservation
 from .queries_match import CTES, left
 from .queries_more import NULLS, SUGGESTED, plan_cols
@@ -66,7 +67,7 @@ def all_plans(spark, d):
 def shown(spark, d):
     """The audit with all that a browser shows."""
     items, files, matches, rest = left(spark, d)
-    found = report.full_audit(matches, rest, items, files, view(spark, d, "fx_sets"), match.misnamed_containers(rest, items, matches))
+    found = full_audit(matches, rest, items, files, view(spark, d, "fx_sets"), match.misnamed_containers(rest, items, matches))
     return found.select(*SHOWN)
 
 

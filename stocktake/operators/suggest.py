@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 THRESHOLD, NEAR_TIE = 0.75, 0.05
 #: Bytes that a file's size may be off.
 SIZE_OFF = 512
-#: In a range of sizes that at most so many catalog names have, each of them is compared; blocks are for larger ones.
-FEW_NAMES = 200
+#: In a range of sizes that at most so many catalog names have, each of them is compared; blocks are for larger ones. A name asks for some 3,000 pieces, and to
+#: rule a name out by its letters costs far less than to send a piece.
+FEW_NAMES = 20_000
+#: Local names that a share of a range holds.
+PART = 10_000
 SPECIAL = ("beta", "proto", "demo", "debug", "sample", "kiosk", "unl", "pirate", "alpha", "test program", "lodgenet", "gamecube", "virtual console", "switch online", "limited run", "aftermarket", "promo", "rerelease")
 
 
@@ -33,12 +37,55 @@ def ratio(a: Column, b: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """The better of whole names and of 0.9 title with 0.1 tags; tags that one side lacks count half."""
-    ta, tb = tags(a), tags(b)
+    return score((a, title(a), tags(a)), (b, title(b), tags(b)))
+
+
+def score(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """``similarity`` of two names that are given with their titles and tags."""
+    (a, title_a, ta), (b, title_b, tb) = a, b
     tag_score = F.when((ta == "") & (tb == ""), 1.0).when((ta == "") | (tb == ""), 0.5).otherwise(ratio(ta, tb))
-    by_title = F.when(F.greatest(F.length(title(a)), F.length(title(b))) > 0, ratio(title(a), title(b)) * 0.9 + tag_score * 0.1).otherwise(0.0)
+    by_title = F.when(F.greatest(F.length(title_a), F.length(title_b)) > 0, ratio(title_a, title_b) * 0.9 + tag_score * 0.1).otherwise(0.0)
     return F.greatest(ratio(a, b), by_title)
 
 
+def letters(x: pd.Series) -> pd.DataFrame:
+    """A name's letters in 64 bits, a letter's second and later places in bits of their own, and its pairs of letters in 128: an edit clears one bit or two at most, and sets as many."""
+    rows = []
+    for name in x:
+        one, pairs, seen, before = 0, 0, {}, 0
+        for ch in map(ord, name or ""):
+            seen[ch] = seen.get(ch, 0) + 1
+            one |= 1 << (ch + 41 * seen[ch]) % 64
+            if before:
+                pairs |= 1 << (before * 37 + ch) % 128
+            before = ch
+        rows.append((one, pairs & (1 << 64) - 1, pairs >> 64))
+    return pd.DataFrame([[n - (1 << 64) if n >> 63 else n for n in row] for row in rows], columns=["one", "two", "three"], dtype="int64")
+
+
+def about(names: DataFrame, c: str) -> DataFrame:
+    """``names`` with what comparisons of ``c`` ask for: title, tags, and lengths and letters of the whole and the title."""
+    names = names.withColumns({f"{c}_title": title(F.col(c)), f"{c}_tags": tags(F.col(c))})
+    bits = F.pandas_udf(letters, "one long, two long, three long")
+    names = names.withColumns({f"{c}_bits": bits(F.lower(c)), f"{c}_title_bits": bits(F.lower(f"{c}_title"))})
+    return names.withColumns({f"{x}_{k}": v for x in (c, f"{c}_title") for k, v in (("n", F.length(x)), ("low", F.length(F.lower(x))), *[(k, F.col(f"{x}_bits.{k}")) for k in BITS])})
+
+
+BITS = ("one", "two", "three")
+
+
+def added(c: str) -> list[str]:
+    return [f"{c}_title", f"{c}_tags", *[f"{x}_{k}" for x in (c, f"{c}_title") for k in ("n", "low", *BITS)]]
+
+
+def possible(a: str, b: str, floor: float) -> Column:
+    """Whether two texts can be of ``floor`` or more by their lengths and letters."""
+    of = lambda x, k: F.col(f"{x}_{k}")
+    lacks = lambda x, y, *ks: sum((F.bit_count(of(x, k).bitwiseAND(F.bitwise_not(of(y, k)))) for k in ks[1:]), F.bit_count(of(x, ks[0]).bitwiseAND(F.bitwise_not(of(y, ks[0])))))
+    edits = F.greatest(of(a, "n"), of(b, "n")) * (1 - floor) + 1e-9
+    return (F.abs(of(a, "low") - of(b, "low")) <= edits) & (lacks(a, b, "one") <= edits) & (lacks(b, a, "one") <= edits) & (lacks(a, b, "two", "three") <= edits * 2) & (lacks(b, a, "two", "three") <= edits * 2)
+
+
 def special_words(name: Column, local: Column) -> Column:
     """How many groups of ``name`` have a special word that ``local`` lacks."""
     found = F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"\(([^)]*)\)"), F.lit(1)), lambda g: F.get(F.filter(F.array(*[F.lit(w) for w in SPECIAL]), lambda w: g.contains(w)), F.lit(0)))
@@ -57,18 +104,30 @@ def near_names(local: DataFrame, catalog: DataFrame, threshold: float = THRESHOL
     catalog names have such a size, and by blocks where many have, so names that share a piece (a tag, say) meet only there.
     """
     sized = "size" in local.columns and "size" in catalog.columns
-    more, keys = (["size"] if sized else []), []
+    more, found = (["size"] if sized else []), []
+    least = (threshold - 0.1) / 0.9
+    whole = lambda c: (F.col(c), F.col(f"{c}_title"), F.col(f"{c}_tags"))
     a = local.select(local_title(F.col("local_name")).alias("a"), *more).distinct()
     b = catalog.select(F.col("set_name").alias("b"), *more).distinct()
     if sized:
-        a = a.withColumn("near", F.explode(F.array(*[F.floor(F.col("size") / SIZE_OFF) + k for k in (-1, 0, 1)])))
-        b = b.withColumn("near", F.floor(F.col("size") / SIZE_OFF)).withColumnRenamed("size", "b_size")
-        many = b.groupBy("near").agg(F.count("*").alias("n")).where(F.col("n") > FEW_NAMES).select("near")
+        a = about(a, "a").withColumn("near", F.explode(F.array(*[F.floor(F.col("size") / SIZE_OFF) + k for k in (-1, 0, 1)])))
+        b = about(b, "b").withColumn("near", F.floor(F.col("size") / SIZE_OFF)).withColumnRenamed("size", "b_size")
+        # A range's comparisons are dealt out by shares of the local names.
+        ranges = b.groupBy("near").agg(F.count("*").alias("n")).hint("merge").join(a.groupBy("near").agg(F.ceil(F.count("*") / PART).alias("shares")), "near")
+        ranges = ranges.select("near", "shares", (F.col("n") > FEW_NAMES).alias("many"))
+        a, b = a.join(ranges.hint("merge"), "near"), b.join(ranges.hint("merge"), "near")
+        share = F.pmod(F.xxhash64("a", "size"), "shares")
+        # So many tasks, however few bytes there are: it is the comparisons that take time.
+        tasks = int(local.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        own = a.where("NOT many").select("near", share.alias("share"), "a", "size", *added("a")).repartition(tasks, "near", "share")
+        other = b.where("NOT many").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select("near", "share", "b", "b_size", *added("b")).repartition(tasks, "near", "share")
         fits = F.abs(F.col("size") - F.col("b_size")) <= SIZE_OFF
-        keys.append(a.join(b.join(many, "near", "left_anti"), "near").where(fits).select("a", "size", "b"))
-        a, b = a.join(many, "near", "left_semi"), b.join(many, "near", "left_semi")
+        close = lambda x, y, floor: possible(x, y, floor) & (ratio(F.col(x), F.col(y)) >= floor - 1e-9)
+        pairs = own.join(other.hint("merge"), ["near", "share"]).where(fits & (close("a", "b", threshold) | close("a_title", "b_title", least)))
+        found.append(pairs.select("a", "size", "b", score(whole("a"), whole("b")).alias("score")))
+        a, b = a.where("many").select("a", "size", "near"), b.where("many").select("b", "b_size", "near")
     at, at_b = ["near", *more] if sized else [], ["near", "b_size"] if sized else []
-    least = (threshold - 0.1) / 0.9
+    keys = []
     for part, floor in ((title, least), (lambda x: x, threshold)):
         left, right = a.select("a", *at, F.lower(part(F.col("a"))).alias("x")), b.select("b", *at_b, F.lower(part(F.col("b"))).alias("y"))
         lengths = F.sequence(F.greatest(F.ceil(F.length("x") * floor).cast("int"), F.lit(1)), F.floor(F.length("x") / floor).cast("int"))
@@ -82,14 +141,14 @@ def near_names(local: DataFrame, catalog: DataFrame, threshold: float = THRESHOL
         asks = left.where(F.length("x") > 0).select("a", *at, "x", F.explode_outer(lengths).alias("m")).withColumn("k", most(F.col("m"))).withColumn("e", edits(F.col("m"), F.length("x")))
         asks = asks.withColumn("i", F.explode_outer(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("at", cut_at(F.col("m"), F.col("k"), F.col("i"))).withColumn("len", cut_at(F.col("m"), F.col("k"), F.col("i") + 1) - F.col("at"))
         asks = asks.withColumn("from", F.explode_outer(F.sequence(F.greatest(F.col("at") - F.col("e"), F.lit(0)), F.least(F.col("at") + F.col("e"), F.greatest(F.length("x") - F.col("len"), F.lit(0))))))
-        met = asks.select("a", *at, "m", "i", F.substr(F.col("x"), F.col("from") + 1, F.col("len")).alias("p")).distinct().join(right, [*at[:1], "m", "i", "p"])
+        met = asks.select("a", *at, "m", "i", F.substr(F.col("x"), F.col("from") + 1, F.col("len")).alias("p")).distinct().join(right.hint("merge"), [*at[:1], "m", "i", "p"])
         keys.append((met.where(fits) if sized else met).select("a", *more, "b"))
-    pairs = keys[0]
-    for part in keys[1:]:
-        pairs = pairs.unionByName(part)
-    pairs = pairs.distinct().withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold - 1e-12)
+    found.append(keys[0].unionByName(keys[1]).distinct().select("a", *more, "b", similarity(F.col("a"), F.col("b")).alias("score")))
+    pairs = found[0].unionByName(found[1]) if sized else found[0]
+    pairs = pairs.where(F.col("score") >= threshold - 1e-12)
     names = local.select("local_name", *more, local_title(F.col("local_name")).alias("a")).distinct()
-    return names.join(pairs, ["a", *more]).select("local_name", F.col("b").alias("set_name"), "score").distinct()
+    # Joined by a shuffle: what a table of names takes up in the driver isn't told by the size of its file.
+    return pairs.join(names.hint("merge"), ["a", *more]).select("local_name", F.col("b").alias("set_name"), "score").distinct()
 
 
 def near_leftovers(left: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -256,6 +256,18 @@ def test_near_names_of_near_sizes(spark, monkeypatch):
         assert {(r["local_name"], r["set_name"]) for r in suggest.near_names(a, b).collect()} == want and len(want) > 30
 
 
+def test_near_names_are_dealt_out_and_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(suggest, "PART", 3)
+    names_ = [f"{x} {y} {n}" for x in ("large", "large", "small") for y in ("ring", "bolt") for n in range(4)]
+    a = spark.createDataFrame([(f"{n[0]}{n[2:]} (USA).zip", k % 3 * 500) for k, n in enumerate(names_)], "local_name string, size long")
+    b = spark.createDataFrame([(f"{n} (USA)", k % 4 * 500) for k, n in enumerate(names_)] + [("", 0), (" (USA)", 0)], "set_name string, size long")
+    score = a.withColumnRenamed("size", "s").crossJoin(b).where("abs(s - size) <= 512").withColumn("x", suggest.similarity(suggest.local_title(F.col("local_name")), F.col("set_name"))).where(F.col("x") >= 0.75 - 1e-12)
+    near = suggest.near_names(a, b)
+    assert {tuple(r) for r in near.collect()} == {(r["local_name"], r["set_name"], r["x"]) for r in score.collect()} and near.count() > 30
+    # A file's size says little of what a table of pieces takes up, so Spark may not choose to hold one in the driver.
+    assert "Broadcast" not in near._jdf.queryExecution().sparkPlan().toString()
+
+
 SETS = "set_name string, clone_of string, rom_of string, is_bios boolean, is_device boolean, refs array<string>"
 PARTS = "set_name string, item_ord long, item_name string, size long, crc32 string, merge_name string"
 

@@ -92,9 +92,18 @@ def as_files(found: DataFrame) -> DataFrame:
 
 
 def files_named(paths: DataFrame) -> DataFrame:
-    """Files that a table names (path) in any letter case, spelt as their folders spell them; those that aren't there have no row."""
-    own = F.regexp_replace("path", "^file:/*", "/")
-    return as_files(cut(looked(paths.select(own.alias("root"), own.alias("path"), F.lit(0).alias("depth")).distinct())))
+    """Files that a table names (path) in any letter case, spelt as their folders spell them; those that aren't there have no row.
+
+    Each folder is listed once, however many of its files are named; names meet what it holds by an equi-join.
+    """
+    own = paths.select(F.regexp_replace("path", "^file:/*", "/").alias("root")).distinct().withColumn("folder", F.coalesce(F.nullif(F.regexp_extract("root", "(?s)^(.*)/[^/]*$", 1), F.lit("")), F.lit("/")))
+    name = lambda c: F.lower(F.element_at(F.split(c, "/"), -1))
+    found = cut(looked(own.select(F.col("folder").alias("root"), F.col("folder").alias("path"), F.lit(1).alias("depth")).distinct()))
+    files = found.where("kind = 'file'").select(F.col("root").alias("folder"), "path", "kind", "size", "mtime", name("path").alias("name"))
+    met = cut(own.withColumn("name", name("root")).join(files, ["folder", "name"]))
+    # Of several files that differ by case alone the one of the name's own case, else the first.
+    best = met.groupBy("root").agg(F.min_by(F.struct("path", "kind", "size", "mtime"), F.struct(F.element_at(F.split("path", "/"), -1) != F.element_at(F.split("root", "/"), -1), F.col("path"))).alias("f"))
+    return as_files(best.select("f.*"))
 
 
 def walk(spark: SparkSession, roots: Sequence[str], most_depth: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -97,6 +97,18 @@ def test_walk_leaves_out_links_and_hidden_files_and_tells_the_rest(spark, tree):
     assert files.count() == 4 and [r["folder"] for r in skipped.collect()] == [str(tree / "deep")]
 
 
+def test_named_files_list_a_folder_once(spark, tmp_path, monkeypatch):
+    for name in ("a.bin", "A.bin", "B.Bin", "c/c"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    asked, real = [], ranges.looked
+    monkeypatch.setattr(ranges, "looked", lambda places: real(asked.append(places.count()) or places))
+    paths = [f"file:{tmp_path}/{n}" for n in ("A.BIN", "a.bin", "b.bin", "gone", "c/C", "a.bin/A.bin", "none/x")]
+    found = {(r["path"][len(str(tmp_path)) :], r["entry_name"], r["size"]) for r in ranges.files_named(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert found == {("/A.bin", "A.bin", 5), ("/a.bin", "a.bin", 5), ("/B.Bin", "B.Bin", 5), ("/c/c", "c", 3)}
+    assert asked == [4]
+
+
 ITEMS = "set_name string, set_ord long, item_ord long, item_name string"
 LEFT = "path string, entry_name string, owner string"
 MATCHES = "set_name string, match_status string, path string"

@@ -1,6 +1,6 @@
 """Stored tables in versions: readers see a whole version or the one before, whatever fails in between.
 
-Rows lie in runs (``data/run=<id>/<partition>=<value>``), and a version is a manifest that says which run holds which partition. A writer adds a run, then a
+Rows lie in runs, in a bounded number of buckets of partitions (``data/run=<id>/__bucket=<n>``) and sorted by partition, so files don't grow with the number of partitions. A version is a manifest that says which run holds which partition. A writer adds a run, then a
 manifest beside it, and at last gives that the next number by one rename, which fails if another writer was first; then the manifest is made anew from theirs.
 Partitions that a writer doesn't touch stay where they are, however large the table is.
 """
@@ -12,12 +12,18 @@ import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 #: Writers that find the next number taken try again so often.
 TRIES = 20
+#: Folders of a run. A partition's rows are in one of them.
+BUCKETS = 64
+
+
+def bucket(partition: Column) -> Column:
+    return F.pmod(F.xxhash64(partition), F.lit(BUCKETS))
 
 
 def hadoop(spark: SparkSession, path: str):
@@ -55,11 +61,18 @@ def manifest(spark: SparkSession, path: str, version: int) -> DataFrame | None:
     return spark.read.parquet(f"{path}/manifest/{version:012d}") if version else None
 
 
-def commit(rows: DataFrame, path: str, partition: str, replaced: DataFrame | None = None) -> int:
-    """Add ``rows`` to the table, without what the partitions ``replaced`` (a column named like ``partition``) held before; the version's number."""
+def commit(rows: DataFrame, path: str, partition: str, replaced: DataFrame | None = None, folders: bool = False) -> int:
+    """Add ``rows`` to the table, without what the partitions ``replaced`` (a column named like ``partition``) held before; the version's number.
+
+    ``folders``: a folder for each partition, for a column that is a bucket itself. A table is written one way or the other throughout.
+    """
     spark, run = rows.sparkSession, uuid.uuid4().hex
     rows = rows.select(*[c for c in rows.columns if c != partition], partition)
-    rows.write.partitionBy(partition).parquet(f"{path}/data/run={run}")
+    if folders:
+        rows.write.partitionBy(partition).parquet(f"{path}/data/run={run}")
+    else:
+        dealt = rows.withColumn("__bucket", bucket(F.col(partition)))
+        dealt.hint("rebalance", "__bucket").sortWithinPartitions("__bucket", partition).write.partitionBy("__bucket").parquet(f"{path}/data/run={run}")
     shape = rows.schema.json()
     added = spark.read.schema(rows.schema).parquet(f"{path}/data/run={run}").select(F.lit(run).alias("run"), F.col(partition).alias("part")).distinct()
     gone = replaced.select(F.col(partition).alias("gone")).distinct() if replaced is not None else None
@@ -83,7 +96,7 @@ def commit(rows: DataFrame, path: str, partition: str, replaced: DataFrame | Non
 
 
 def load(spark: SparkSession, path: str, partition: str, only: Sequence | None = None, version: int | None = None) -> DataFrame | None:
-    """The table's rows, of some partitions where ``only`` names them (their folders alone are read); None before the first version."""
+    """The table's rows, of some partitions where ``only`` names them (their buckets' folders alone are read); None before the first version."""
     held = manifest(spark, path, last_version(spark, path) if version is None else version)
     if held is None:
         return None
@@ -93,10 +106,12 @@ def load(spark: SparkSession, path: str, partition: str, only: Sequence | None =
     runs = [r["run"] for r in held.select("run").distinct().collect()]  # a few for each version since the last compaction
     if not runs:
         return spark.createDataFrame([], shape)
-    full = StructType(shape.fields).add("run", StringType())
+    full = StructType(shape.fields).add("run", StringType()).add("__bucket", LongType())
     rows = spark.read.schema(full).option("basePath", f"{path}/data").parquet(*[f"{path}/data/run={r}" for r in runs])
     if only:
         rows = rows.where(F.col(partition).isin(*only))
+        # A run with a folder for each partition has no bucket.
+        rows = rows.where(F.col("__bucket").isNull() | F.col("__bucket").isin(*[bucket(F.lit(v).cast(shape[partition].dataType)) for v in only]))
     # The manifest has a row for each run and partition.
     held = held.select(F.col("run").alias("__run"), F.col("part").alias("__part"))
     return rows.join(held, (F.col("run") == F.col("__run")) & F.col(partition).eqNullSafe(F.col("__part")), "left_semi").select(*shape.fieldNames())

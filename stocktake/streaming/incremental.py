@@ -22,7 +22,7 @@ def with_bucket(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def save_snapshot(rows: DataFrame, snapshot: str, buckets: int = BUCKETS) -> None:
     """Rows (path, entry_path, size, mtime, hashes) as further rows of a snapshot."""
-    versions.commit(with_bucket(rows, buckets), snapshot, "bucket")
+    versions.commit(with_bucket(rows, buckets), snapshot, "bucket", folders=True)
 
 
 def load_snapshot(spark: SparkSession, snapshot: str, of: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame | None:
@@ -39,7 +39,7 @@ def compact(spark: SparkSession, snapshot: str, most_runs: int = MOST_RUNS) -> l
     if worn:
         rows = versions.load(spark, snapshot, "bucket", worn)
         kept = newest(rows.drop("bucket")).join(rows.select("path", "bucket").distinct(), "path")
-        versions.commit(kept, snapshot, "bucket", rows.select("bucket").distinct())
+        versions.commit(kept, snapshot, "bucket", rows.select("bucket").distinct(), folders=True)
     return worn
 
 

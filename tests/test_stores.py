@@ -108,6 +108,27 @@ def test_a_save_that_fails_leaves_the_report_before(spark, tmp_path, monkeypatch
     assert rows_of(versions.load(spark, path, "system_id")) == [("d", "correct", 3)] and stores.load_report(spark, path, 1).count() == 0
 
 
+def test_many_systems_make_few_folders(spark, tmp_path):
+    path = str(tmp_path / "report")
+    rows = spark.range(0, 4000, 1, 8).select((F.col("id") % 1000).alias("system_id"), F.col("id").cast("string").alias("set_name"), F.lit("correct").alias("status"))
+    rows = rows.unionByName(rows.limit(1).withColumns({"system_id": F.lit(None).cast("long"), "set_name": F.lit("none")}))
+    stores.save_report(rows, path)
+    assert len(list((tmp_path / "report").glob("data/run=*/*/*.parquet"))) <= 8 * versions.BUCKETS and len(list((tmp_path / "report").glob("data/run=*/*"))) <= versions.BUCKETS + 3
+    one = stores.load_report(spark, path, 7)
+    assert sorted(r["set_name"] for r in one.collect()) == ["1007", "2007", "3007", "7"]
+    assert versions.load(spark, path, "system_id").count() == 4001
+    assert "__bucket" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_runs_of_a_folder_for_each_partition_are_read(spark, tmp_path):
+    path = str(tmp_path / "report")
+    stores.save_report(spark.createDataFrame([(1, "a", "correct"), (2, "b", "correct")], REPORT), path)
+    run = next((tmp_path / "report" / "data").glob("run=*"))
+    spark.createDataFrame([(1, "a", "correct"), (2, "b", "correct")], REPORT).write.mode("overwrite").partitionBy("system_id").parquet(str(run))
+    assert [r["set_name"] for r in stores.load_report(spark, path, 1).collect()] == ["a"]
+    assert versions.load(spark, path, "system_id").count() == 2
+
+
 def test_two_writers_at_once_lose_nothing(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "report")
     stores.save_report(spark.createDataFrame([(1, "a", "correct")], REPORT), path)

@@ -74,3 +74,30 @@ def test_one_item_without_a_hash_leaves_its_size_apart(spark, monkeypatch):
     by_item = {r["set_ord"]: r["path"] for r in found.where("set_ord IN (4, 5, 6)").collect()}
     # Item 5 takes the first file that is free at its turn, that of item 6, which then has none: all others keep theirs.
     assert by_item == {4: "/r/000004", 5: "/r/000005"}
+
+
+def test_long_paths_are_linked_in_few_rounds(spark, monkeypatch):
+    """Labels in no order: a round that only passes the least one on to neighbours would take about as many as the path is long."""
+    monkeypatch.setattr(claims, "FEW_LINKS", 20)
+    steps, real = [], claims.cut
+
+    def counted(df):
+        steps.append(1)
+        assert len(steps) < 60
+        return real(df)
+
+    monkeypatch.setattr(claims, "cut", counted)
+    rng, n = random.Random(4), 600
+    names = rng.sample(range(10**12), n)
+    pairs = [(names[i], names[i + 1]) for i in range(n - 1) if i != 399]
+    got = dict(tuple(r) for r in claims.linked(spark.createDataFrame([*pairs, (-1, -1)], "a long, b long")).collect())
+    assert got == {-1: -1} | {x: min(names[:400] if i < 400 else names[400:]) for i, x in enumerate(names)}
+
+
+def test_a_stored_table_has_no_estimate_of_its_plan(spark):
+    from stocktake.lineage import cut
+
+    df = spark.range(10)
+    for _ in range(8):
+        df = cut(df.join(df.withColumnRenamed("id", "other"), df["id"] == F.col("other")).select("id"))
+    assert int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 30

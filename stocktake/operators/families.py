@@ -79,9 +79,36 @@ def dependency_chain(sets: DataFrame) -> DataFrame:
     return walks(sets).select("set_name", F.array_join(F.array_append(above, F.col("set_name")), ">").alias("chain"), F.when(F.col("end") != "root", F.col("end")).alias("error"))
 
 
+#: Components that lie so many references deep are followed one by one, deeper ones by doubling.
+LEVELS = 32
+#: After so many levels a pair that was reached before is left out: references that go round end there.
+LOOKS_BACK = (8, 24)
+
+
+def together(levels: Sequence[DataFrame]) -> DataFrame:
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst): everything that component references reach, each once. Rounds double the reach, so few are needed."""
-    reach = cut(edges.select("src", "dst").distinct())
+    """(src, dst): everything that component references reach, each once.
+
+    What is reached by one more reference comes from what was reached last, so each pair is made from its references, not from all pairs with a node between. Where new pairs are
+    left after ``LEVELS`` they are followed by rounds that double the reach.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    before = edges.where("src <> dst").select(F.col("src").alias("first"), F.col("dst").alias("src"))
+    level, levels = edges, [edges]
+    while len(levels) < LEVELS:
+        level = cut(before.join(level, "src").select(F.col("first").alias("src"), "dst").distinct())
+        if len(levels) in LOOKS_BACK:
+            level = cut(level.join(together(levels), ["src", "dst"], "left_anti"))
+        if level.isEmpty():
+            return together(levels).distinct()
+        levels.append(level)
+    reach = cut(together(levels).distinct())
     n = reach.count()
     while True:
         hop = reach.select(F.col("src").alias("mid"), F.col("dst").alias("far"))

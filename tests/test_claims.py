@@ -100,4 +100,4 @@ def test_a_stored_table_has_no_estimate_of_its_plan(spark):
     df = spark.range(10)
     for _ in range(8):
         df = cut(df.join(df.withColumnRenamed("id", "other"), df["id"] == F.col("other")).select("id"))
-    assert int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 30
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 30

@@ -18,6 +18,8 @@ from ..functions.paths import extension, file_name, unsupported_container
 #: Header lengths by the first bytes, and where a copier's header makes sizes odd.
 HEADERS = ((b"NES\x1a", 16), (b"LYNX", 64))
 COPIER, COPIER_MOST = 512, 64 << 20
+#: Entries of several containers are handed on together, up to so many or so many bytes of content.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
 
 
 def present_roots(spark: SparkSession, roots: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -74,7 +76,10 @@ def zip_entries(files: DataFrame, content: bool = False) -> DataFrame:
     says, null where the header leaves it to a descriptor.
     """
 
+    columns = ["path", "entry_name", "size", "stored_crc32", "local_crc32", "comment", "read_state", "content"]
+
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told, held = [], 0
         for pdf in parts:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 rows = []
@@ -89,8 +94,13 @@ def zip_entries(files: DataFrame, content: bool = False) -> DataFrame:
                             rows.append((path, info.filename, info.file_size, f"{info.CRC:08x}", f"{local:08x}" if not info.flag_bits & 8 else None, z.comment.decode("utf-8", "replace") or None, state, body))
                 except (zipfile.BadZipFile, EOFError, RuntimeError, NotImplementedError, zlib.error, ValueError):
                     rows = [(path, None, None, None, None, None, "corrupt", None)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "entry_name", "size", "stored_crc32", "local_crc32", "comment", "read_state", "content"])
+                told += rows
+                held += sum(len(r[7] or b"") for r in rows)
+                if len(told) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield pd.DataFrame(told, columns=columns)
+                    told, held = [], 0
+        if told:
+            yield pd.DataFrame(told, columns=columns)
 
     out = files.where(extension(F.col("path")) == "zip").select("path", "content").mapInPandas(read, "path string, entry_name string, size long, stored_crc32 string, local_crc32 string, comment string, read_state string, content binary")
     return out if content else out.drop("content")

@@ -14,7 +14,7 @@ from .functions import headers, names
 from .lineage import scratch
 from .operators import alternates, disks, layout, match, snapshots
 from .plans import changes
-from .queries_match import CTES, left
+from .queries_match import CTES, left, report
 from .queries_more import DISKS, NULLS, REDUNDANT, plan_cols
 from .sources import catalogs, inventories, stores, versions
 from .streaming import incremental
@@ -196,9 +196,9 @@ QUERIES = {
       SELECT path, entry_path, md5 FROM (SELECT *, row_number() OVER (PARTITION BY path, entry_path ORDER BY mtime DESC, md5 DESC) AS r FROM (SELECT path, entry_path, md5, mtime FROM a UNION ALL SELECT path, entry_path, md5, mtime FROM fx_known WHERE md5 IS NOT NULL)) WHERE r = 1"""),
     "S19_report_of_a_system": (stored_report, "SELECT row_ord, status FROM fx_audit WHERE system_id = 3"),
     "F15_checksum_conflicts": (lambda s, d: inventories.checksum_conflicts(inventories.zip_entries(packed(s, d))), f"WITH {ENTRIES} SELECT path, entry_name FROM e WHERE length(entry_name) % 4 = 0"),
-    "P15_corrupt_deleted": (lambda s, d: (lambda x: plan_cols(changes.corrupt_entries(x[2], inventories.checksum_conflicts(inventories.zip_entries(packed(s, d))), "delete")))(left(s, d)), f"WITH {CTES} SELECT 'remove_entry' AS op, concat(path, '::', entry_name) AS group_id, path AS source, entry_name AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM matches WHERE match_status = 'correct' AND path LIKE '%.zip' AND length(entry_name) % 4 = 0"),
-    "P15_corrupt_moved": (lambda s, d: (lambda x: plan_cols(changes.corrupt_entries(x[2], inventories.checksum_conflicts(inventories.zip_entries(packed(s, d))), "quarantine", "/q", x[1])))(left(s, d)), f"WITH {CTES}, r AS (SELECT * FROM matches WHERE match_status = 'correct' AND path LIKE '%.zip' AND length(entry_name) % 4 = 0) SELECT 'remove_entry' AS op, concat(path, '::', entry_name) AS group_id, path AS source, entry_name AS source_entry, NULL AS target, NULL AS target_entry FROM r UNION ALL SELECT 'extract', concat(path, '::', entry_name), path, entry_name, concat('/q/', set_name, '_', entry_name), NULL FROM r"),
-    "P17_remove_comments": (lambda s, d: (lambda x: plan_cols(changes.remove_comments(x[2], x[3], inventories.zip_entries(packed(s, d)))))(left(s, d)), f"WITH {CTES} SELECT DISTINCT 'clear_comment' AS op, path AS group_id, path AS source, {NULLS} AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM (SELECT path FROM matches WHERE match_status IN ('correct', 'misnamed') UNION ALL SELECT path FROM rest) WHERE path LIKE '%.zip' AND length(path) % 3 = 0"),
+    "P15_corrupt_deleted": (lambda s, d: (lambda x: plan_cols(changes.corrupt_entries(x[2], inventories.checksum_conflicts(inventories.zip_entries(packed(s, d))), "delete")))(report(s, d)), f"WITH {CTES} SELECT 'remove_entry' AS op, concat(path, '::', entry_name) AS group_id, path AS source, entry_name AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM matches WHERE match_status = 'correct' AND path LIKE '%.zip' AND length(entry_name) % 4 = 0"),
+    "P15_corrupt_moved": (lambda s, d: (lambda x: plan_cols(changes.corrupt_entries(x[2], inventories.checksum_conflicts(inventories.zip_entries(packed(s, d))), "quarantine", "/q", x[1])))(report(s, d)), f"WITH {CTES}, r AS (SELECT * FROM matches WHERE match_status = 'correct' AND path LIKE '%.zip' AND length(entry_name) % 4 = 0) SELECT 'remove_entry' AS op, concat(path, '::', entry_name) AS group_id, path AS source, entry_name AS source_entry, NULL AS target, NULL AS target_entry FROM r UNION ALL SELECT 'extract', concat(path, '::', entry_name), path, entry_name, concat('/q/', set_name, '_', entry_name), NULL FROM r"),
+    "P17_remove_comments": (lambda s, d: (lambda x: plan_cols(changes.remove_comments(x[2], match.leftovers(x[2], x[1]), inventories.zip_entries(packed(s, d)))))(report(s, d)), f"WITH {CTES} SELECT DISTINCT 'clear_comment' AS op, path AS group_id, path AS source, {NULLS} AS source_entry, {NULLS} AS target, {NULLS} AS target_entry FROM (SELECT path FROM matches WHERE match_status IN ('correct', 'misnamed') UNION ALL SELECT path FROM rest) WHERE path LIKE '%.zip' AND length(path) % 3 = 0"),
     "J25_serials": (serials, """WITH l AS (SELECT path, entry_name, concat('S', CAST(size % 300 AS VARCHAR)) AS serial, size % 2 AS k FROM fx_inventory), s AS (SELECT set_name, concat('S', CAST(set_ord % 300 AS VARCHAR)) AS serial, set_ord % 2 AS k FROM fx_sets),
       m AS (SELECT l.path, l.entry_name, s.set_name, l.k = s.k AS sized FROM l JOIN s ON s.serial = l.serial), w AS (SELECT *, bool_or(sized) OVER (PARTITION BY path, entry_name) AS any_sized FROM m) SELECT path, entry_name, min(set_name) AS set_name FROM w WHERE sized OR NOT any_sized GROUP BY 1, 2 HAVING count(*) = 1"""),
     "K1_stored_diff": (stored_diff, "SELECT key, status FROM fx_next WHERE key % 7 <> 5"),

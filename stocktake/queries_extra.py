@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import names, paths
-from .operators import audit, browse, disks, duplicates, families, suggest
+from .operators import audit, browse, disks, duplicates, families, match, suggest
 from .plans import changes
-from .queries_match import CTES, audited, left, report, sql
+from .queries_match import CTES, left, report, sql
 from .queries_more import DISKS, DONORS, wanted
 
 c = F.col
@@ -74,7 +74,7 @@ QUERIES = {
     "J28_donor_flag": (lambda s, d: (lambda w: duplicates.with_donor_flag(w[2].select("set_name", "set_ord", "item_ord", F.when(c("match_status") == "correct", "correct").otherwise("other").alias("status")), duplicates.donors(w[0], w[1])).select("set_ord", "item_ord", "donor_available"))(wanted(s, d)),
       f"WITH {CTES},\n{DONORS} SELECT set_ord, item_ord, match_status <> 'correct' AND uid IN (SELECT uid FROM dn) AND set_name IN (SELECT set_name FROM matches WHERE match_status = 'correct') AS donor_available FROM matches"),
     "J31_unused_bases": (lambda s, d: audit.unused_bases(bases(s, d)), f"SELECT set_name AS name FROM fx_sets WHERE is_bios AND {STATUS} <> 'missing' AND set_name NOT IN (SELECT unnest(['set1', 'set9']) FROM fx_sets WHERE set_ord % 50 = 3 AND {STATUS} <> 'missing')"),
-    "J33_system_copies": (lambda s, d: (lambda x: duplicates.system_copies(x[3], audited(s, d)))(left(s, d)), sql("""SELECT path, min(owner) AS owner FROM flagged WHERE owner IN (SELECT set_name FROM aud WHERE set_name IS NOT NULL AND status <> 'missing') AND path NOT IN (SELECT path FROM aud WHERE set_name IS NOT NULL AND path IS NOT NULL) GROUP BY path""")),
+    "J33_system_copies": (lambda s, d: (lambda x: duplicates.system_copies(x[3], match.to_audit(x[2], x[3], x[0])))(left(s, d)), sql("""SELECT path, min(owner) AS owner FROM flagged WHERE owner IN (SELECT set_name FROM aud WHERE set_name IS NOT NULL AND status <> 'missing') AND path NOT IN (SELECT path FROM aud WHERE set_name IS NOT NULL AND path IS NOT NULL) GROUP BY path""")),
     "J34_region_notes": (lambda s, d: families.notes_for(view(s, d, "fx_sets").select(c("description").alias("set_name")).distinct(), notes(s, d)).select("set_name", "recommended_region"), "SELECT DISTINCT a.description AS set_name, 'USA' AS recommended_region FROM fx_sets a JOIN fx_sets b ON trim(split_part(a.description, '(', 1)) = trim(split_part(b.description, '(', 1)) WHERE b.set_ord % 8 = 0 AND b.set_ord % 16 <> 0"),
     "U1_disks_in_report": (lambda s, d: audit.counters(disks.with_disks(view(s, d, "fx_audit"), disks.match_disks(view(s, d, "fx_disks"), view(s, d, "fx_disk_files")))).select("correct", "incorrect", "missing", "unverifiable"), f"""WITH {DISKS}, u AS (SELECT status FROM fx_audit UNION ALL SELECT status FROM m) SELECT count(*) FILTER (WHERE status = 'correct') AS correct, count(*) FILTER (WHERE status = 'incorrect') AS incorrect, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'unverifiable') AS unverifiable FROM u"""),
     "P21_restricted_plan": (lambda s, d: changes.restrict(changes.rename_entries(report(s, d)[2]), ["/r0"]).select("op", "group_id", "source", "source_entry"), f"""WITH {CTES}, r AS (SELECT * FROM matches WHERE match_status = 'misnamed' AND regexp_extract(path, '[^/]*$') <> entry_name AND starts_with(path, '/r0/')) SELECT op, concat(path, '::', entry_name) AS group_id, path AS source, entry_name AS source_entry FROM r, (VALUES ('add_entry'), ('remove_entry')) AS o(op)"""),

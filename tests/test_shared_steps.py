@@ -157,3 +157,27 @@ def test_phases_without_rows_reserve_nothing(spark, monkeypatch):
     assert [(r.source, r.target, r.step) for r in rows.collect()] == [("/a/2.zip", "/a/other.zip", 2)] and calls == [2]
     empty = changes.rename_files(none, items, wanted.limit(0), files)
     assert empty.columns == rows.columns and empty.count() == 0 and calls == [2]
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    # F32 (and all that share the match)
+    spark.createDataFrame([(i, f"text {i}", i) for i in range(64)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    content = fixtures.contents(spark, str(tmp_path))
+    assert not [f for f in content.inputFiles() if f"{tmp_path}/documents.parquet" in f]
+    # Only what views read is hashed: 26 by what is one longer, 7 and 3 (which stands for others) by what is behind a head.
+    got = {r.doc_id: (r.md5_text is not None, r.md5_longer is not None, r.md5_headed is not None) for r in content.collect()}
+    assert [got[i] for i in (2, 26, 7, 3)] == [(True, False, False), (True, True, False), (True, False, True), (True, True, True)]
+
+
+def test_trusted_names_are_stored_once(spark, monkeypatch):
+    # F32
+    made = kept_tables(monkeypatch, match)
+    sets = [("a", 0, 0, "x", 1, "h1"), ("a", 0, 1, "y", 2, "h2"), ("b", 1, 0, "z", 3, "h3"), ("c", 2, 0, "c.bin", 4, "h4"), ("d", 3, 0, "w", 5, "h5"), ("e", 4, 0, "v", 6, "h6")]
+    items = spark.createDataFrame(sets, "set_name string, set_ord long, item_ord long, item_name string, size long, md5 string").selectExpr("*", "'good' AS dump_status")
+    held = [("/1/a.zip", "x", 9, "o"), ("/2/A.zip", "x", 1, "h1"), ("/1/a.zip", "q", 2, "h2"), ("/1/b.zip", "only", 9, "o"), ("/1/c.bin", "c.bin", 9, "o"), ("/1/d.zip", "p", 9, "o"), ("/1/d.zip", "q", 9, "o"), ("/2/d.zip", "r", 9, "o"), ("/1/e.zip", "p", 9, "o"), ("/1/e.zip", "__MACOSX/q", 9, "o")]
+    files = spark.createDataFrame(held, "path string, entry_name string, size long, md5 string")
+    trusted = {(0, 0): ("/2/A.zip", "x"), (1, 0): ("/1/b.zip", "only"), (2, 0): ("/1/c.bin", "c.bin"), (3, 0): ("/2/d.zip", "r"), (4, 0): ("/1/e.zip", "p")}
+    got = {(r.set_ord, r.item_ord): (r.path, r.entry_name) for r in match.match_items(items, files, names_alone="name").where("match_status = 'correct'").collect()}
+    assert got == trusted
+    tables = [t for t in made if t.columns == ["set_ord", "item_ord", "path", "entry_name", "via_strip", "match_status"]]
+    assert len(tables) == 2 and {(r.set_ord, r.item_ord): (r.path, r.entry_name) for r in tables[0].collect()} == trusted

@@ -5,6 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .closeness import BITS, close_pairs, letter_bits
 
 #: Fixed values.
 THRESHOLD, NEAR_TIE = 0.75, 0.05
@@ -13,8 +16,8 @@ SIZE_OFF = 512
 #: In a range of sizes that at most so many catalog names have, each of them is compared; blocks are for larger ones. A name asks for some 3,000 pieces, and to
 #: rule a name out by its letters costs far less than to send a piece.
 FEW_NAMES = 20_000
-#: Local names that a share of a range holds.
-PART = 10_000
+#: Local names that a share of a range holds at most, and pairs that it compares; bundles of ranges for each task.
+PART, PAIRS, BUNDLES = 10_000, 4_000_000, 16
 SPECIAL = ("beta", "proto", "demo", "debug", "sample", "kiosk", "unl", "pirate", "alpha", "test program", "lodgenet", "gamecube", "virtual console", "switch online", "limited run", "aftermarket", "promo", "rerelease")
 
 
@@ -49,41 +52,20 @@ def score(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) ->
 
 
 def letters(x: pd.Series) -> pd.DataFrame:
-    """A name's letters in 64 bits, a letter's second and later places in bits of their own, and its pairs of letters in 128: an edit clears one bit or two at most, and sets as many."""
-    rows = []
-    for name in x:
-        one, pairs, seen, before = 0, 0, {}, 0
-        for ch in map(ord, name or ""):
-            seen[ch] = seen.get(ch, 0) + 1
-            one |= 1 << (ch + 41 * seen[ch]) % 64
-            if before:
-                pairs |= 1 << (before * 37 + ch) % 128
-            before = ch
-        rows.append((one, pairs & (1 << 64) - 1, pairs >> 64))
-    return pd.DataFrame([[n - (1 << 64) if n >> 63 else n for n in row] for row in rows], columns=["one", "two", "three"], dtype="int64")
+    return pd.DataFrame({k: v.view("int64") for k, v in zip(BITS, letter_bits(list(x)))})
 
 
 def about(names: DataFrame, c: str) -> DataFrame:
-    """``names`` with what comparisons of ``c`` ask for: title, tags, and lengths and letters of the whole and the title."""
+    """``names`` with what comparisons of ``c`` ask for: title, tags, and of the whole and the title the small letters, the length and bits of the letters."""
     names = names.withColumns({f"{c}_title": title(F.col(c)), f"{c}_tags": tags(F.col(c))})
-    bits = F.pandas_udf(letters, "one long, two long, three long")
-    names = names.withColumns({f"{c}_bits": bits(F.lower(c)), f"{c}_title_bits": bits(F.lower(f"{c}_title"))})
-    return names.withColumns({f"{x}_{k}": v for x in (c, f"{c}_title") for k, v in (("n", F.length(x)), ("low", F.length(F.lower(x))), *[(k, F.col(f"{x}_bits.{k}")) for k in BITS])})
-
-
-BITS = ("one", "two", "three")
+    names = names.withColumns({f"{x}_text": F.lower(x) for x in (c, f"{c}_title")})
+    bits = F.pandas_udf(letters, ", ".join(f"{k} long" for k in BITS))
+    names = names.withColumns({f"{x}_bits": bits(f"{x}_text") for x in (c, f"{c}_title")})
+    return names.withColumns({f"{x}_{k}": v for x in (c, f"{c}_title") for k, v in (("n", F.length(x)), *[(k, F.col(f"{x}_bits.{k}")) for k in BITS])})
 
 
 def added(c: str) -> list[str]:
-    return [f"{c}_title", f"{c}_tags", *[f"{x}_{k}" for x in (c, f"{c}_title") for k in ("n", "low", *BITS)]]
-
-
-def possible(a: str, b: str, floor: float) -> Column:
-    """Whether two texts can be of ``floor`` or more by their lengths and letters."""
-    of = lambda x, k: F.col(f"{x}_{k}")
-    lacks = lambda x, y, *ks: sum((F.bit_count(of(x, k).bitwiseAND(F.bitwise_not(of(y, k)))) for k in ks[1:]), F.bit_count(of(x, ks[0]).bitwiseAND(F.bitwise_not(of(y, ks[0])))))
-    edits = F.greatest(of(a, "n"), of(b, "n")) * (1 - floor) + 1e-9
-    return (F.abs(of(a, "low") - of(b, "low")) <= edits) & (lacks(a, b, "one") <= edits) & (lacks(b, a, "one") <= edits) & (lacks(a, b, "two", "three") <= edits * 2) & (lacks(b, a, "two", "three") <= edits * 2)
+    return [f"{c}_title", f"{c}_tags", *[f"{x}_{k}" for x in (c, f"{c}_title") for k in ("text", "n", *BITS)]]
 
 
 def special_words(name: Column, local: Column) -> Column:
@@ -107,23 +89,24 @@ def near_names(local: DataFrame, catalog: DataFrame, threshold: float = THRESHOL
     more, found = (["size"] if sized else []), []
     least = (threshold - 0.1) / 0.9
     whole = lambda c: (F.col(c), F.col(f"{c}_title"), F.col(f"{c}_tags"))
-    a = local.select(local_title(F.col("local_name")).alias("a"), *more).distinct()
-    b = catalog.select(F.col("set_name").alias("b"), *more).distinct()
+    a = local.select(local_title(F.col("local_name")).alias("a"), *more).where("a IS NOT NULL").distinct()
+    b = catalog.select(F.col("set_name").alias("b"), *more).where("b IS NOT NULL").distinct()
     if sized:
         a = about(a, "a").withColumn("near", F.explode(F.array(*[F.floor(F.col("size") / SIZE_OFF) + k for k in (-1, 0, 1)])))
         b = about(b, "b").withColumn("near", F.floor(F.col("size") / SIZE_OFF)).withColumnRenamed("size", "b_size")
-        # A range's comparisons are dealt out by shares of the local names.
-        ranges = b.groupBy("near").agg(F.count("*").alias("n")).hint("merge").join(a.groupBy("near").agg(F.ceil(F.count("*") / PART).alias("shares")), "near")
-        ranges = ranges.select("near", "shares", (F.col("n") > FEW_NAMES).alias("many"))
+        # A range's comparisons are dealt out by shares of the local names; ranges are compared by bundles, as most may hold a name or two.
+        ranges = b.groupBy("near").agg(F.count("*").alias("n")).hint("merge").join(a.groupBy("near").agg(F.count("*").alias("n_local")), "near")
+        ranges = ranges.select("near", F.greatest(F.ceil(F.col("n_local") / PART), F.ceil(F.col("n_local") * F.col("n") / PAIRS)).alias("shares"), (F.col("n") > FEW_NAMES).alias("many"))
         a, b = a.join(ranges.hint("merge"), "near"), b.join(ranges.hint("merge"), "near")
-        share = F.pmod(F.xxhash64("a", "size"), "shares")
         # So many tasks, however few bytes there are: it is the comparisons that take time.
         tasks = int(local.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        own = a.where("NOT many").select("near", share.alias("share"), "a", "size", *added("a")).repartition(tasks, "near", "share")
-        other = b.where("NOT many").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select("near", "share", "b", "b_size", *added("b")).repartition(tasks, "near", "share")
+        bundle = F.pmod(F.xxhash64("near"), F.lit(tasks * BUNDLES)).alias("bundle")
+        own = a.where("NOT many").select(bundle, F.pmod(F.xxhash64("a", "size"), "shares").alias("share"), "near", "a", "size", *added("a")).repartition(tasks, "bundle", "share")
+        other = b.where("NOT many").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select(bundle, "share", "near", "b", "b_size", *added("b")).repartition(tasks, "bundle", "share")
         fits = F.abs(F.col("size") - F.col("b_size")) <= SIZE_OFF
-        close = lambda x, y, floor: possible(x, y, floor) & (ratio(F.col(x), F.col(y)) >= floor - 1e-9)
-        pairs = own.join(other.hint("merge"), ["near", "share"]).where(fits & (close("a", "b", threshold) | close("a_title", "b_title", least)))
+        sides, kept = [("a", "b", threshold), ("a_title", "b_title", least)], (["a", "size", "a_title", "a_tags"], ["b", "b_title", "b_tags"])
+        schema = StructType([own.schema[c] for c in kept[0]] + [other.schema[c] for c in kept[1]])
+        pairs = own.groupBy("bundle", "share").cogroup(other.groupBy("bundle", "share")).applyInArrow(lambda left, right: close_pairs(left, right, sides, SIZE_OFF, kept), schema)
         found.append(pairs.select("a", "size", "b", score(whole("a"), whole("b")).alias("score")))
         a, b = a.where("many").select("a", "size", "near"), b.where("many").select("b", "b_size", "near")
     at, at_b = ["near", *more] if sized else [], ["near", "b_size"] if sized else []

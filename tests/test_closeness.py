@@ -60,3 +60,14 @@ def test_comparisons_of_near_sizes_are_made_in_bulk(spark):
     a, b = spark.createDataFrame([("abc.zip", 1)], "local_name string, size long"), spark.createDataFrame([("abc", 1)], "set_name string, size long")
     plan = suggest.near_names(a, b)._jdf.queryExecution().sparkPlan().toString()
     assert "CoGroups" in plan and "bit_count" not in plan
+
+
+def plan_of(spark, name):
+    import __spark_entry__
+
+    return __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_best_names_come_from_comparisons_in_bulk(spark):
+    plan = plan_of(spark, "W6_best_name")
+    assert "CoGroups" in plan and "bit_count" not in plan

@@ -71,3 +71,11 @@ def plan_of(spark, name):
 def test_best_names_come_from_comparisons_in_bulk(spark):
     plan = plan_of(spark, "W6_best_name")
     assert "CoGroups" in plan and "bit_count" not in plan
+
+
+def test_renames_by_near_names_compare_in_bulk(spark, monkeypatch):
+    seen, near_names = [], suggest.near_names
+    monkeypatch.setattr(suggest, "near_names", lambda *a: seen.append(near_names(*a)) or seen[-1])
+    plan_of(spark, "P1_near_names")
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in seen]
+    assert plans and all("CoGroups" in plan and "bit_count" not in plan for plan in plans)

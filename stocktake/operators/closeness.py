@@ -119,9 +119,9 @@ def close_pairs(left: pa.Table, right: pa.Table, sides: list[tuple[str, str, flo
     start, end = np.searchsorted(b_near, near), np.searchsorted(b_near, near, "right")
     low, high = np.maximum(start, np.searchsorted(b_size, size - off)), np.minimum(end, np.searchsorted(b_size, size + off, "right"))
     texts = [(Side(left, x, floor, order), Side(right, y, floor, other)) for x, y, floor in sides]
-    found = []
+    found = [(np.zeros(0, "int64"),) * 2]
     for i, j in blocks(low, high):
         at = np.unique(np.concatenate([close(a, b, i, j) for a, b in texts]))
         found.append((order[i[at]], other[j[at]]))
-    i, j = (np.concatenate([x[k] for x in found] or [np.zeros(0, "int64")]) for k in (0, 1))
-    return pa.table({c: t[c].take(pa.array(k)) for t, k, cs in ((left, i, kept[0]), (right, j, kept[1])) for c in cs})
+    # A block's rows are a batch of their own, however many pairs are close.
+    return pa.concat_tables(pa.table({c: t[c].take(pa.array(k)) for t, k, cs in ((left, i, kept[0]), (right, j, kept[1])) for c in cs}) for i, j in found)

@@ -17,7 +17,7 @@ SIZE_OFF = 512
 #: rule a name out by its letters costs far less than to send a piece.
 FEW_NAMES = 20_000
 #: Local names that a share of a range holds at most, and pairs that it compares; bundles of ranges for each task.
-PART, PAIRS, BUNDLES = 10_000, 4_000_000, 16
+PART, PAIRS, BUNDLES = 10_000, 1_000_000, 64
 SPECIAL = ("beta", "proto", "demo", "debug", "sample", "kiosk", "unl", "pirate", "alpha", "test program", "lodgenet", "gamecube", "virtual console", "switch online", "limited run", "aftermarket", "promo", "rerelease")
 
 

@@ -42,6 +42,18 @@ def test_pairs_come_in_blocks_of_the_window(monkeypatch):
     assert len(parts) > 100 and max(len(i) for i, _ in parts) < 37 + 30 and not list(closeness.blocks(low[:0], high[:0]))
 
 
+def test_close_pairs_are_returned_by_the_block(monkeypatch):
+    from stocktake.operators import closeness
+
+    monkeypatch.setattr(closeness, "PAIRS", 500)
+    n, name = 60, "the same name"
+    texts = {f"x_{k}": v for k, v in zip(closeness.BITS, (pa.array(v.view("int64")) for v in closeness.letter_bits([name] * n)))} | {"x_text": [name] * n, "x_n": [len(name)] * n, "near": [0] * n}
+    left, right = pa.table(texts | {"size": list(range(n)), "a": [str(k) for k in range(n)]}), pa.table(texts | {"b_size": list(range(n)), "b": [str(k) for k in range(n)]})
+    found = closeness.close_pairs(left, right, [("x", "x", 0.75)], 20, (["a"], ["b"]))
+    assert sorted((int(r["a"]), int(r["b"])) for r in found.to_pylist()) == [(i, j) for i in range(n) for j in range(n) if abs(i - j) <= 20]
+    assert len(found.to_batches()) > 3 and max(b.num_rows for b in found.to_batches()) <= 541
+
+
 def test_close_names_are_all_found(spark, monkeypatch):
     rng = random.Random(5)
     sizes = lambda: rng.choice([0, 511, 512, 513, 1024, 1025, 5_000_000_000])
